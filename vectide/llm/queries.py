@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import media
+from vectide.llm import flatscan, media, seekable
 from vectide.llm.common import table
+from vectide.llm.tokenizing import vocabulary
+
+#: The free id after the ranks of the rank files.
+RANK_END = 50256
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +39,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.concat(F.lit("frames="), "frames", F.lit(";shots="), F.size("clips"), F.lit(";starts="), cuts).alias("feature"),
     )
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = flatscan.write_flat_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), RANK_END)
+    counts = flatscan.count_documents(written.where("file_bytes is not null").select("file", "file_bytes"), RANK_END)
+    return written.join(counts, ["file", "document"], "left").select("doc_id", "n_tokens", "ended")
+
+
+@query
+def op7_token_id_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = seekable.write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
+    return seekable.token_documents(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
