@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import flatscan, media, seekable
+from vectide.llm import flatscan, media, mixing, seekable, sharding
 from vectide.llm.common import table
 from vectide.llm.tokenizing import vocabulary
 
@@ -52,3 +52,23 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_id_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = seekable.write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
     return seekable.token_documents(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), 16, seed=1, stable=True)
+    text = F.coalesce("text", F.lit(""))
+    return dealt.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), temperature=2.0, seed=9)
