@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import flatscan, media, mixing, seekable, sharding
+from vectide.llm import flatscan, media, mixing, quality, seekable, sharding
 from vectide.llm.common import table
 from vectide.llm.tokenizing import vocabulary
 
@@ -72,3 +72,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), temperature=2.0, seed=9)
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.drop("text", "lang")
