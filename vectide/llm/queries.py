@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import flatscan, media, mixing, quality, seekable, sharding
+from vectide.llm import bytebpe, flatscan, media, mixing, quality, seekable, sharding
 from vectide.llm.common import table
 from vectide.llm.tokenizing import vocabulary
 
@@ -78,3 +78,17 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.drop("text", "lang")
+
+
+@query
+def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocab = bytebpe.Vocabulary(spark, vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab).drop("text")
+    return bytebpe.decode(encoded, vocab).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
