@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bytebpe, flatscan, media, mixing, quality, seekable, sharding
-from vectide.llm.common import table
+from vectide.llm import bytebpe, flatscan, media, mixing, quality, seekable, sharding, simhash
+from vectide.llm.common import stored, table
 from vectide.llm.tokenizing import vocabulary
 
 #: The free id after the ranks of the rank files.
@@ -92,3 +92,11 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = stored(simhash.fingerprints(docs, "text", width=4), "simhash")
+    found = simhash.near_duplicates(prints, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("words", 1)), 16, "0")).alias("fingerprint"), "component_id")
