@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vectide.llm.common import fresh_path, open_fs
-from vectide.llm.tokenizing import PieceEncoder
+from vectide.llm.tokenizing import piece_encoder
 
 _SKIPPABLE, _TABLE, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 0x80
@@ -101,7 +101,7 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_id: int, folder
         from pyspark import TaskContext
 
         writer = file = None
-        encode = PieceEncoder(vocabulary_path)
+        encode = piece_encoder(vocabulary_path)
         end, part = struct.pack("<I", end_id), TaskContext.get().partitionId()
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1)):
@@ -143,7 +143,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return files.select("file", "ordinal", *["frames"] * asked).repartition(F.col("file")).mapInArrow(run, ROWS)
+    files = files.select("file", "ordinal", *["frames"] * asked)
+    return files.repartition(max(1, files.count()), "file").mapInArrow(run, ROWS)  # else they'd all meet in one task
 
 
 def token_documents(files: DataFrame) -> DataFrame:

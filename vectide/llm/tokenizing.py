@@ -8,9 +8,10 @@ from __future__ import annotations
 import base64
 import os
 import re
+import struct
 
-#: Pieces that a worker remembers before it starts anew.
-CACHED_PIECES = 300_000
+#: Pieces that a worker remembers: at half of them a new generation begins, and the older is kept beside it.
+CACHED_PIECES = 600_000
 
 #: The letters, numbers and white space of Latin-1: there the piece pattern needs no Unicode tables.
 _LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
@@ -26,8 +27,8 @@ class PieceEncoder:
     """Ids of whole texts by a byte-level tokenizer of the ``tokenizers`` library, as little-endian uint32 bytes.
 
     Such a tokenizer encodes each match of its pattern by itself.  So texts within Latin-1 are cut
-    with that pattern and each distinct piece is encoded by the library once; other texts go to the
-    library whole.
+    with that pattern, and the library's model encodes each distinct piece once; other texts go to
+    the library whole.
     """
 
     def __init__(self, path: str):
@@ -38,12 +39,20 @@ class PieceEncoder:
         self.library.encode_special_tokens = True
         n, s, t = _LETTERS, _NUMBERS, _SPACES
         self.pieces = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{n}]+| ?[{s}]+| ?[^{n}{s}{t}]+|[{t}]+(?![^{t}])|[{t}]+").findall
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        hidden = iter(range(256, 512))
+        names = {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+        self.spelled = {i: "".join(names[b] for b in chr(i).encode()) for i in range(256)}
+        self.merge = self.library.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        return [struct.pack(f"<{len(ids := e.ids)}I", *ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.merge(piece.translate(self.spelled))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         try:
@@ -53,16 +62,26 @@ class PieceEncoder:
         pieces = self.pieces(text)
         found = list(map(self.known.get, pieces))
         if None in found:
-            new = list({p for p, ids in zip(pieces, found) if ids is None})
-            ids = dict(zip(new, self._whole(new)))
+            lacking = {p for p, ids in zip(pieces, found) if ids is None}
+            ids = {p: self.older.get(p) or self._piece(p) for p in lacking}
             found = [ids[p] if f is None else f for p, f in zip(pieces, found)]
-            if len(self.known) + len(ids) > CACHED_PIECES:
-                self.known = {}
-            if len(ids) < CACHED_PIECES:
+            if len(self.known) + len(ids) > CACHED_PIECES // 2:
+                self.older, self.known = self.known, {}
+            if len(ids) <= CACHED_PIECES // 2:
                 self.known |= ids
         return b"".join(found)
 
 
+#: Encoders outlive a task, as Python workers do, with the pieces they know.
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
+
+
 def rank_encoder(path: str):
     """A ``tiktoken`` encoding of a rank file, without special tokens."""
     import public_tokenizers
