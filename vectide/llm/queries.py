@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bytebpe, flatscan, media, mixing, quality, seekable, sharding, simhash
+from vectide.llm import bytebpe, flatscan, linededup, media, mixing, quality, seekable, sharding, simhash
 from vectide.llm.common import stored, table
 from vectide.llm.tokenizing import vocabulary
 
@@ -100,3 +100,9 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = stored(simhash.fingerprints(docs, "text", width=4), "simhash")
     found = simhash.near_duplicates(prints, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.element_at("words", 1)), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, min_words=linededup.MIN_WORDS, stable=True)
