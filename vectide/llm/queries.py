@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bytebpe, flatscan, linededup, media, mixing, quality, seekable, sharding, simhash
+from vectide.llm import bytebpe, flatscan, linededup, media, mixing, pii, quality, seekable, sharding, simhash
 from vectide.llm.common import stored, table
 from vectide.llm.tokenizing import vocabulary
 
@@ -106,3 +106,16 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs, min_words=linededup.MIN_WORDS, stable=True)
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = pii.tag(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s.base)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    counts = [F.size(F.filter(base, _is(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return tagged.select("doc_id", *counts, F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _is(kind: str):
+    return lambda s: s.kind == F.lit(kind)
