@@ -2,16 +2,17 @@
 
 A text is cut by the tokenizer's pattern.  A piece that is a token is that token; any other is
 folded: of all neighbours whose join is a token, the pair with the lowest rank, the leftmost of
-equals, is joined, until none is left.  The fold is ``aggregate`` over the piece's bytes, and its
-state is the borders of the parts and the rank of each join.
+equals, is joined, until none is left.  The fold is ``aggregate`` over the piece's bytes; its state
+is one array of the parts' ids with, between neighbours, the rank of their join, which is its id.
 
-Ranks are one literal: an array of small maps, one for each value of 16 bits of a token's CRC-32,
-so that a lookup does not search 50,000 keys.  It reaches the plan as a scalar subquery in a column
-that one expression uses; the optimizer puts it in there, so no row ever holds it.
+Ranks are a literal map from pairs of ids: every way to cut a token into two.  It is an array of
+small maps, so that a lookup does not search 200,000 keys.  Literals reach the plan as a scalar
+subquery in a column that one expression uses; the optimizer puts it in there, so no row holds it.
 
-Pieces repeat, so distinct ones are folded once where that pays: the ``WORDS`` most frequent of
-about ``SAMPLE`` documents form a second literal of the same kind.  It is a cache with a fixed
-bound; pieces that it lacks are folded where they stand, so it never decides a result.
+Pieces repeat, so distinct ones are folded once where that pays: the tokens and the ``WORDS`` most
+frequent other pieces of about ``SAMPLE`` documents form a second literal of the same kind.  It is
+a cache with a fixed bound; pieces that it lacks are folded where they stand, so it never decides
+a result.
 
 Nulls and odd input.  A null text is the empty text, which has no ids.  Long texts and long pieces
 are taken whole (a piece's fold costs the square of its length).  Repeated rows are encoded alike.
@@ -21,8 +22,8 @@ through, and must not have the names of the columns that are added.
 
 from __future__ import annotations
 
+import contextlib
 import json
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,9 @@ from pyspark.sql import functions as F
 from vectide.llm.common import let, stored
 from vectide.llm.tokenizing import read_ranks
 
-SAMPLE = 20_000
-WORDS = 200_000
-_BUCKETS = 1 << 16
-_NONE = (1 << 31) - 1
+SAMPLE = 30_000
+WORDS = 400_000
+_BUCKETS = 1 << 17
 
 #: Unicode's white space, which Java's own class has only in part.
 _SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -43,67 +43,95 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{_SPACES}").replace(r"\S", f"[^{_SPACES}]").replace(r"\s", f"[{_SPACES}]")
 
 
-def bucket(piece: Column) -> Column:
-    return F.crc32(piece).bitwiseAND(_BUCKETS - 1).cast("int")
+def find(table: Column, piece: Column) -> Column:
+    """The ids of ``piece`` in an array of maps by its hash, or null."""
+    return F.try_element_at(F.get(table, _bucket(piece)), piece)
 
 
-def find(table: Column, piece: Column) -> Column:
-    """The value of ``piece`` in an array of maps, or null."""
-    return F.try_element_at(F.get(table, bucket(piece)), piece)
+def _bucket(piece: Column) -> Column:
+    return F.hash(piece).bitwiseAND(_BUCKETS - 1)
+
+
+#: Parts' ids are kept this much higher than ranks, so that the least number of a state is a rank.
+_PART = 1 << 16
+#: No id: what stands before the first part and behind the last.
+_EDGE = 2 * _PART - 1
+#: Odd, so that of the pairs in a bucket no two have the same second id.
+_SPREAD = 16_381
+
+
+def pair_bucket(a, b):
+    """Where the pair of two parts is kept (columns, or numbers in Python)."""
+    n = a * _SPREAD + b
+    return n.bitwiseAND(_PART - 1) if isinstance(n, Column) else n & (_PART - 1)
 
 
 class Vocabulary:
-    """Rank and piece literals of a rank file, and its pattern."""
+    """The literals of a rank file, and its pattern."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = read_ranks(path)
         self.spark, self.pattern = spark, java_pattern(pattern)
-        buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+        if max(ranks.values(), default=0) >= _PART - 1:
+            raise ValueError("ids beyond 16 bits")
+        pairs: list[dict[int, int]] = [{} for _ in range(_PART)]
         pieces = [None] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            buckets[zlib.crc32(token) & (_BUCKETS - 1)][token.hex().upper()] = rank
             pieces[rank] = token.hex().upper()
-        source = spark.createDataFrame([(json.dumps(buckets), json.dumps(pieces))], "ranks string, pieces string").coalesce(1)
-        maps = F.transform(F.from_json("ranks", "array<map<string,int>>"), lambda m: F.transform_keys(m, lambda k, _: F.unhex(k)))
-        self.literals = stored(source.select(maps.alias("ranks"), F.from_json("pieces", "array<string>").alias("pieces")), "bpe-vocabulary")
+            for i in range(1, len(token)):
+                if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                    pairs[pair_bucket(a, b)][b + _PART] = rank
+        single = [ranks[bytes([b])] + _PART for b in range(256)]
+        self.size = len(pieces) if None not in pieces else 0
+        tokens = {}
+        for token, rank in ranks.items():
+            with contextlib.suppress(UnicodeDecodeError):  # pieces are whole characters
+                tokens[token.decode()] = rank
+        source = spark.createDataFrame([(json.dumps(pairs), json.dumps(pieces), json.dumps(tokens), single)], "pairs string, pieces string, tokens string, bytes array<int>").coalesce(1)
+        maps = F.transform(F.from_json("pairs", "array<map<string,int>>"), lambda m: F.transform_keys(m, lambda k, _: k.cast("int")))
+        self.literals = stored(source.select(F.struct(maps.alias("pairs"), "bytes").alias("merges"), F.from_json("pieces", "array<string>").alias("pieces"), F.from_json("tokens", "map<string,int>").alias("tokens")), "bpe-vocabulary")
 
-    def ranks(self) -> Column:
-        return self.literals.select("ranks").scalar()
+    def merges(self) -> Column:
+        return self.literals.select("merges").scalar()
 
     def pieces(self) -> Column:
         return self.literals.select("pieces").scalar()
 
+    def tokens(self) -> DataFrame:
+        """``(w, ids)`` of each token that is a string."""
+        return self.literals.select(F.explode("tokens").alias("w", "id")).select("w", F.array("id").alias("ids"))
+
 
 def with_literal(df: DataFrame, literal: Column, name: str, body) -> DataFrame:
     """df with the column ``name``: ``body(literal)``, where body uses the literal once."""
     return df.withColumn("_bpe", literal).withColumn(name, let(F.col("_bpe"), body)).drop("_bpe")
 
 
-def fold(ranks: Column, word: Column) -> Column:
-    """The ids of a piece that is given as bytes."""
-    rank = lambda s, j: F.coalesce(find(ranks, F.substring(word, F.get(s, j) + 1, F.get(s, j + 2) - F.get(s, j))), F.lit(_NONE))
-    n = F.octet_length(word)
-    borders = F.sequence(F.lit(0), n)
-    first = F.transform(F.sequence(F.lit(0), n - 2), lambda j: F.coalesce(find(ranks, F.substring(word, j + 1, F.lit(2))), F.lit(_NONE)))
-    start = F.struct(borders.alias("s"), first.alias("r"))
+def fold(merges: Column, word: Column) -> Column:
+    """The ids of a piece of two bytes or more that is no token."""
+
+    rank = lambda a, b: F.try_element_at(F.get(merges.pairs, pair_bucket(a, b)), b)
 
-    def step(acc: Column, _: Column) -> Column:
-        def join(p: Column) -> Column:
-            """``p``: which pair, from 0."""
+    def begin(parts: Column) -> Column:
+        """An edge, and before each part the rank of its join to the part before; nulls where there is none."""
+        pairs = F.flatten(F.transform(parts, lambda b, i: F.array(rank(F.get(parts, i - 1), b), b)))
+        return F.flatten(F.array(F.array(F.lit(_EDGE)), pairs, F.array(F.lit(None).cast("int"), F.lit(_EDGE))))
 
-            def ranked(s: Column) -> Column:
-                before = F.when(p > 0, F.array(rank(s, p - 1))).otherwise(F.array().cast("array<int>"))
-                after = F.when(F.size(s) - 2 > p, F.array(rank(s, p))).otherwise(F.array().cast("array<int>"))
-                kept = F.slice(acc.r, 1, F.greatest(p - 1, F.lit(0)))
-                return F.struct(s.alias("s"), F.concat(kept, before, after, F.slice(acc.r, p + 3, F.size(acc.r))).alias("r"))
+    def step(x: Column, _: Column) -> Column:
+        def join(m: Column) -> Column:
+            def at(p: Column) -> Column:
+                """``p``: where the rank stands, from 1; parts beside it become one."""
+                new = F.array(rank(F.get(x, p - 4), m + _PART), m + _PART, rank(m + _PART, F.get(x, p + 2)))
+                return F.flatten(F.array(F.slice(x, 1, p - 3), new, F.slice(x, p + 3, F.size(x))))
 
-            return let(F.concat(F.slice(acc.s, 1, p + 1), F.slice(acc.s, p + 3, F.size(acc.s))), ranked)
+            return F.when(m < _PART, let(F.array_position(x, m).cast("int"), at)).otherwise(x)
 
-        return let(F.array_min(acc.r), lambda m: F.when(m < _NONE, let((F.array_position(acc.r, m) - 1).cast("int"), join)).otherwise(acc))
+        return let(F.array_min(x), join)
 
-    finish = lambda acc: F.transform(F.slice(acc.s, 1, F.size(acc.s) - 1), lambda a, j: find(ranks, F.substring(word, a + 1, F.get(acc.s, j + 1) - a)))
-    merged = F.aggregate(F.sequence(F.lit(2), n), start, step, finish)
-    return let(find(ranks, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged))
+    finish = lambda x: F.transform(F.filter(x, lambda v: (v >= _PART) & (v < _EDGE)), lambda v: v - _PART)
+    letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
+    parts = F.transform(letters, lambda c: F.get(merges.bytes, F.ascii(c)))
+    return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), let(parts, begin), step, finish)
 
 
 def split_words(vocabulary: Vocabulary, text: Column) -> Column:
@@ -111,25 +139,27 @@ def split_words(vocabulary: Vocabulary, text: Column) -> Column:
 
 
 def frequent_words(vocabulary: Vocabulary, docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: the ids of the most frequent pieces of a sample, as an array of maps like the ranks'."""
+    """One row: the ids of all tokens and of a sample's most frequent other pieces, as an array of maps by the pieces' hash."""
     n = docs.count()
     some = docs.select(text_col) if n <= SAMPLE else docs.select(text_col).sample(SAMPLE / n, seed=1)
     words = some.select(F.explode(split_words(vocabulary, F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = words.orderBy(F.desc("n"), "w").limit(WORDS).select(F.encode("w", "UTF-8").alias("w"))
-    ids = with_literal(top.repartition(F.col("w")), vocabulary.ranks(), "ids", lambda r: fold(r, F.col("w")))
-    maps = ids.groupBy(bucket(F.col("w")).alias("b")).agg(F.collect_list(F.struct("w", "ids")).alias("m"))
+    words = words.join(vocabulary.tokens(), "w", "left_anti")
+    top = words.orderBy(F.desc("n"), "w").limit(WORDS).select("w")
+    folded = with_literal(top.repartition(F.col("w")), vocabulary.merges(), "ids", lambda m: fold(m, F.col("w")))
+    ids = folded.unionByName(vocabulary.tokens())
+    maps = ids.groupBy(_bucket(F.col("w")).alias("b")).agg(F.collect_list(F.struct("w", "ids")).alias("m"))
     every = vocabulary.spark.range(_BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
-    rows = every.agg(F.sort_array(F.collect_list(F.struct("b", F.coalesce("m", F.array().cast("array<struct<w:binary,ids:array<int>>>")).alias("m")))).alias("all"))
+    rows = every.agg(F.sort_array(F.collect_list(F.struct("b", F.coalesce("m", F.array().cast("array<struct<w:string,ids:array<int>>>")).alias("m")))).alias("all"))
     return stored(rows.select(F.transform("all", lambda x: F.map_from_entries(x.m)).alias("words")), "bpe-words")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the token ids of each text."""
     words = frequent_words(vocabulary, docs, text_col).select("words").scalar()
-    literals = F.struct(vocabulary.ranks().alias("ranks"), words.alias("words"))
+    literals = F.struct(vocabulary.merges().alias("merges"), words.alias("words"))
 
     def ids(g: Column) -> Column:
-        piece = lambda w: let(F.encode(w, "UTF-8"), lambda b: F.coalesce(find(g.words, b), fold(g.ranks, b)))
+        piece = lambda w: F.coalesce(find(g.words, w), fold(g.merges, w))
         return F.flatten(F.transform(split_words(vocabulary, F.col(text_col)), piece))
 
     return with_literal(docs, literals, ids_col, ids)
@@ -139,8 +169,12 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", bytes_co
     """df with the bytes that the ids stand for."""
 
 
-    def joined(pieces: Column) -> Column:
-        known = lambda x: F.when(~F.exists(x, lambda h: h.isNull()), F.unhex(F.array_join(x, "")))
-        return let(F.transform(ids_col, lambda i: F.get(pieces, i)), known)
+    def bytes_of(pieces: Column) -> Column:
+        text = F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(pieces, i)), ""))
+        if vocabulary.size:
+            known = F.coalesce((F.array_min(ids_col) >= 0) & (F.array_max(ids_col) < vocabulary.size), F.lit(True))
+        else:
+            known = ~F.exists(ids_col, lambda i: F.get(pieces, i).isNull())
+        return F.when(known, text)
 
-    return with_literal(df, vocabulary.pieces(), bytes_col, joined)
+    return with_literal(df, vocabulary.pieces(), bytes_col, bytes_of)
