@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def quantize_symmetric(v: Column, scale: float) -> Column:
@@ -37,7 +38,7 @@ def unpack_nibbles(packed: Column) -> Column:
     return F.flatten(F.transform(packed, lambda b: F.array(b.bitwiseAND(15), F.shiftright(b, 4).bitwiseAND(15))))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def through_float16(v):
     """Each number as the nearest 16-bit float, clamped to their range."""
     import numpy as np
@@ -45,7 +46,7 @@ def through_float16(v):
     return v.map(lambda x: None if x is None else np.clip(np.asarray(x, np.float32), -65504, 65504).astype(np.float16).astype(np.float32).tolist())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def through_bfloat16(v):
     """Each number as the nearest float with an 8-bit mantissa, ties to even."""
     import numpy as np

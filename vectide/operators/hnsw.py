@@ -14,8 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from vectide.operators.search import dimension_of, query_blocks
+from vectide.operators.search import dimension_of, found_schema, query_blocks
 from vectide.operators.topk import top_k_by
 from vectide.schema import Collection, VectorError, check_k
 
@@ -197,8 +198,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
     """
     k = check_k(k, "hnsw.search")
     d = dimension_of(queries, "q")
-    kind = next(f for f in graphs.schema if f.name == "ids").dataType.elementType.simpleString()
-    qid_kind = queries.schema["qid"].dataType.simpleString()
+    schema = found_schema(queries.schema["qid"].dataType, graphs.schema["ids"].dataType.elementType)
     if allowed is not None and filter_mode == "pre":
         inside = graphs.select("shard", F.posexplode("ids").alias("at", "id")).join(allowed.select("id").distinct(), "id", "left_semi")
         graphs = graphs.join(inside.groupBy("shard").agg(F.collect_list("at").alias("allowed")), "shard", "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<int>")))
@@ -218,10 +218,9 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
                         mask[row["allowed"]] = True
                     found = [(qid, ids[n], dist) for qid, q in data for dist, n in g.search(q, k, settings.ef_search, mask)]
                     if found:
-                        a, b, c = zip(*found)
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.float64())], names=["qid", "id", "distance"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), to_arrow_schema(schema))], names=schema.names)
 
-        hits = graphs.mapInArrow(run, f"qid {qid_kind}, id {kind}, distance double")
+        hits = graphs.mapInArrow(run, schema)
         best = top_k_by(hits, k).select("qid", "rank", "id", "distance")
         out = best if out is None else out.unionByName(best)
     if allowed is not None and filter_mode == "post":

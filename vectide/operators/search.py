@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vectide.functions import metrics
 from vectide.operators.topk import top_k, top_k_by
@@ -108,11 +110,12 @@ def _arrow_scores(rows: DataFrame, block: DataFrame, k: int, metric: str) -> Dat
     data = [(r.qid, r.q) for r in block.collect()]  # QUERY_BYTES at most
     queries = np.array([q for _, q in data], float).reshape(len(data), -1)
     qids = [qid for qid, _ in data]
-    qid_type, id_type = block.schema["qid"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    schema = found_schema(block.schema["qid"].dataType, rows.schema["id"].dataType)
 
     def run(batches):
         import pyarrow as pa
 
+        kind = to_arrow_schema(schema).field("qid").type
         for batch in batches:
             n = batch.num_rows
             if not n or not qids or not k:
@@ -127,9 +130,13 @@ def _arrow_scores(rows: DataFrame, block: DataFrame, k: int, metric: str) -> Dat
                 q_at.append(np.full(len(hit), i))
                 at.append(hit)
             q_at, at = np.concatenate(q_at), np.concatenate(at)
-            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q_at]), batch.column(0).take(pa.array(at)), pa.array(d[q_at, at])], names=["qid", "id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q_at], kind), batch.column(0).take(pa.array(at)), pa.array(d[q_at, at])], names=["qid", "id", "distance"])
 
-    return rows.select("id", "vector").mapInArrow(run, f"qid {qid_type}, id {id_type}, distance double")
+    return rows.select("id", "vector").mapInArrow(run, schema)
+
+
+def found_schema(qid: T.DataType, id: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("qid", qid), T.StructField("id", id), T.StructField("distance", T.DoubleType())])
 
 
 def range_search(collection: DataFrame, queries: DataFrame, threshold: float, metric: str = "euclidean", most: int | None = None) -> DataFrame:
