@@ -10,14 +10,14 @@ small maps, so that a lookup does not search 200,000 keys.  Literals reach the p
 subquery in a column that one expression uses; the optimizer puts it in there, so no row holds it.
 
 Pieces repeat, so distinct ones are folded once where that pays: the tokens and the ``WORDS`` most
-frequent other pieces of about ``SAMPLE`` documents form a second literal of the same kind.  It is
-a cache with a fixed bound; pieces that it lacks are folded where they stand, so it never decides
-a result.
+frequent pieces of about ``SAMPLE`` documents form a second literal of the same kind, and the
+``FEW`` most frequent a third that fits a processor's cache.  They have fixed bounds; pieces that
+they lack are folded where they stand, so they never decide a result.
 
 Nulls and odd input.  A null text is the empty text, which has no ids.  Long texts and long pieces
 are taken whole (a piece's fold costs the square of its length).  Repeated rows are encoded alike.
 An empty table gives no rows.  Unknown ids make ``decode`` null.  Columns of the input pass
-through, and must not have the names of the columns that are added.
+through; those that are named like the added one, or ``_bpe``, are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -28,12 +28,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import let, stored
+from vectide.llm.common import cleared, let, stored
 from vectide.llm.tokenizing import read_ranks
 
 SAMPLE = 30_000
 WORDS = 400_000
-_BUCKETS = 1 << 17
+FEW = 8_000
+_BUCKETS, _FEW_BUCKETS = 1 << 17, 1 << 13
 
 #: Unicode's white space, which Java's own class has only in part.
 _SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -43,13 +44,22 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{_SPACES}").replace(r"\S", f"[^{_SPACES}]").replace(r"\s", f"[{_SPACES}]")
 
 
-def find(table: Column, piece: Column) -> Column:
+def find(table: Column, piece: Column, buckets: int = _BUCKETS) -> Column:
     """The ids of ``piece`` in an array of maps by its hash, or null."""
-    return F.try_element_at(F.get(table, _bucket(piece)), piece)
+    return F.try_element_at(F.get(table, _bucket(piece, buckets)), piece)
 
 
-def _bucket(piece: Column) -> Column:
-    return F.hash(piece).bitwiseAND(_BUCKETS - 1)
+def _bucket(piece: Column, buckets: int) -> Column:
+    return F.hash(piece).bitwiseAND(buckets - 1)
+
+
+def _table(spark: SparkSession, ids: DataFrame, buckets: int, name: str) -> DataFrame:
+    """One row: ``ids(w, ids)`` as an array of maps by hash."""
+    maps = ids.groupBy(_bucket(F.col("w"), buckets).alias("b")).agg(F.collect_list(F.struct("w", "ids")).alias("m"))
+    every = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
+    none = F.array().cast("array<struct<w:string,ids:array<int>>>")
+    rows = every.agg(F.sort_array(F.collect_list(F.struct("b", F.coalesce("m", none).alias("m")))).alias("all"))
+    return rows.select(F.transform("all", lambda x: F.map_from_entries(x.m)).alias(name))
 
 
 #: Parts' ids are kept this much higher than ranks, so that the least number of a state is a rank.
@@ -89,13 +99,14 @@ class Vocabulary:
                 tokens[token.decode()] = rank
         source = spark.createDataFrame([(json.dumps(pairs), json.dumps(pieces), json.dumps(tokens), single)], "pairs string, pieces string, tokens string, bytes array<int>").coalesce(1)
         maps = F.transform(F.from_json("pairs", "array<map<string,int>>"), lambda m: F.transform_keys(m, lambda k, _: k.cast("int")))
-        self.literals = stored(source.select(F.struct(maps.alias("pairs"), "bytes").alias("merges"), F.from_json("pieces", "array<string>").alias("pieces"), F.from_json("tokens", "map<string,int>").alias("tokens")), "bpe-vocabulary")
+        self.literals = stored(source.select(F.struct(maps.alias("pairs"), "bytes").alias("merges"), F.transform(F.from_json("pieces", "array<string>"), lambda p: F.unhex(p)).alias("pieces"), F.from_json("tokens", "map<string,int>").alias("tokens")), "bpe-vocabulary")
 
     def merges(self) -> Column:
         return self.literals.select("merges").scalar()
 
     def pieces(self) -> Column:
-        return self.literals.select("pieces").scalar()
+        """The bytes of each token, as strings, which may hold parts of characters."""
+        return self.literals.select(F.transform("pieces", lambda p: p.cast("string"))).scalar()
 
     def tokens(self) -> DataFrame:
         """``(w, ids)`` of each token that is a string."""
@@ -104,6 +115,7 @@ class Vocabulary:
 
 def with_literal(df: DataFrame, literal: Column, name: str, body) -> DataFrame:
     """df with the column ``name``: ``body(literal)``, where body uses the literal once."""
+    df = cleared(df, "_bpe", name)
     return df.withColumn("_bpe", literal).withColumn(name, let(F.col("_bpe"), body)).drop("_bpe")
 
 
@@ -138,28 +150,28 @@ def split_words(vocabulary: Vocabulary, text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(vocabulary.pattern), F.lit(0))
 
 
-def frequent_words(vocabulary: Vocabulary, docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: the ids of all tokens and of a sample's most frequent other pieces, as an array of maps by the pieces' hash."""
+def frequent_words(vocabulary: Vocabulary, docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of one row, ``words`` and ``few``: the ids of all tokens and of a sample's most frequent pieces, and those of the first of them."""
     n = docs.count()
     some = docs.select(text_col) if n <= SAMPLE else docs.select(text_col).sample(SAMPLE / n, seed=1)
-    words = some.select(F.explode(split_words(vocabulary, F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    words = words.join(vocabulary.tokens(), "w", "left_anti")
-    top = words.orderBy(F.desc("n"), "w").limit(WORDS).select("w")
-    folded = with_literal(top.repartition(F.col("w")), vocabulary.merges(), "ids", lambda m: fold(m, F.col("w")))
-    ids = folded.unionByName(vocabulary.tokens())
-    maps = ids.groupBy(_bucket(F.col("w")).alias("b")).agg(F.collect_list(F.struct("w", "ids")).alias("m"))
-    every = vocabulary.spark.range(_BUCKETS).select(F.col("id").cast("int").alias("b")).join(maps, "b", "left")
-    rows = every.agg(F.sort_array(F.collect_list(F.struct("b", F.coalesce("m", F.array().cast("array<struct<w:string,ids:array<int>>>")).alias("m")))).alias("all"))
-    return stored(rows.select(F.transform("all", lambda x: F.map_from_entries(x.m)).alias("words")), "bpe-words")
+    counts = some.select(F.explode(split_words(vocabulary, F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    tokens = vocabulary.tokens()
+    top = counts.orderBy(F.desc("n"), "w").limit(WORDS).join(tokens.withColumnRenamed("ids", "token"), "w", "left").repartition(F.col("w"))
+    ids = with_literal(top, vocabulary.merges(), "ids", lambda m: F.coalesce("token", fold(m, F.col("w")))).select("w", "n", "ids")
+    ids = stored(ids, "bpe-pieces")
+    words = ids.select("w", "ids").unionByName(tokens.join(ids, "w", "left_anti"))
+    few = ids.orderBy(F.desc("n"), "w").limit(FEW).select("w", "ids")
+    spark = vocabulary.spark
+    return stored(_table(spark, words, _BUCKETS, "words"), "bpe-words"), stored(_table(spark, few, _FEW_BUCKETS, "few"), "bpe-few")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the token ids of each text."""
-    words = frequent_words(vocabulary, docs, text_col).select("words").scalar()
-    literals = F.struct(vocabulary.merges().alias("merges"), words.alias("words"))
+    words, few = frequent_words(vocabulary, docs, text_col)
+    literals = F.struct(vocabulary.merges().alias("merges"), words.scalar().alias("words"), few.scalar().alias("few"))
 
     def ids(g: Column) -> Column:
-        piece = lambda w: F.coalesce(find(g.words, w), fold(g.merges, w))
+        piece = lambda w: F.coalesce(find(g.few, w, _FEW_BUCKETS), find(g.words, w), fold(g.merges, w))
         return F.flatten(F.transform(split_words(vocabulary, F.col(text_col)), piece))
 
     return with_literal(docs, literals, ids_col, ids)
@@ -170,7 +182,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", bytes_co
 
 
     def bytes_of(pieces: Column) -> Column:
-        text = F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(pieces, i)), ""))
+        text = F.array_join(F.transform(ids_col, lambda i: F.get(pieces, i)), "").cast("binary")
         if vocabulary.size:
             known = F.coalesce((F.array_min(ids_col) >= 0) & (F.array_max(ids_col) < vocabulary.size), F.lit(True))
         else:
