@@ -54,6 +54,12 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def cleared(df: DataFrame, *added: str, prefix: str | None = None) -> DataFrame:
+    """df without columns that are named like those to be added, or begin with an operator's own prefix; case doesn't count."""
+    names = {a.lower() for a in added}
+    return df.drop(*[c for c in df.columns if c.lower() in names or (prefix and c.lower().startswith(prefix))])
+
+
 def hash_unit(*cols: Column | str) -> Column:
     """A uniform double in [0, 1) that only the given columns decide."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") * F.lit(2.0**-53)

@@ -106,7 +106,7 @@ def count_documents(files: DataFrame, end_id: int, block: int = BLOCK) -> DataFr
 
     files = files.where(F.col("file_bytes") > 0).select("file", F.expr("file_bytes div 2").alias("_all"))
     blocks = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_all - 1) div {block}"))).alias("block"))
-    found = blocks.repartition(F.col("file"), F.col("block")).mapInArrow(run, BLOCKS)
+    found = blocks.repartition(max(1, blocks.count()), "file", "block").mapInArrow(run, BLOCKS)  # else they'd meet in a few tasks
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = (
         found.withColumn("_number", F.coalesce(F.sum("n_separators").over(before), F.lit(0)))

@@ -24,8 +24,8 @@ Nulls and odd input.  A null text has no lines and stays null.  Lines without wo
 a text whose lines with words are all deleted becomes empty.  Repeated rows are copies of each
 other.  An empty table gives no rows.  The input must give its rows in the same order each time it
 is read (``stable``: a scan of files with narrow steps on it); other inputs are checkpointed.
-Columns pass through; ``n_lines`` and ``n_removed`` are added, and the input must not have these
-names or names that begin with ``_ld_``.
+Columns pass through; ``n_lines`` and ``n_removed`` are added, and take the place of columns of
+these names; names that begin with ``_ld_`` are dropped.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vectide.llm.common import let, shared_dir, stored
+from vectide.llm.common import cleared, let, shared_dir, stored
 
 MIN_WORDS = 50
 _WORDS = r"[\x20\x09-\x0D]+"
@@ -127,6 +127,7 @@ def removed_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup_lines(df: DataFrame, *, min_words: int = MIN_WORDS, text_col: str = "text", id_col: str = "doc_id", stable: bool = False) -> DataFrame:
     """df with later copies of repeated line runs cut out of its texts, and ``n_lines`` and ``n_removed`` (lines with words)."""
+    df = cleared(df, "n_lines", "n_removed", prefix="_ld_")
     if not stable:
         shared_dir(df.sparkSession)
         df = df.checkpoint()

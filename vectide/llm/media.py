@@ -10,8 +10,8 @@ where there is none), the frames, then shots by adaptive histogram differences.
 
 Nulls and odd input.  A null text is stored as the empty text.  A null media value or bytes that
 are no readable AVI give ``frames`` null, no clips and a non-null ``error``; the row stays.
-Repeated rows and equal texts give equal bytes.  Extra input columns pass through untouched, so
-they must not be named like the columns that are added.
+Repeated rows and equal texts give equal bytes.  Other columns pass through; those that are named
+like the columns that are added are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.llm.common import cleared
+
 #: Payload bytes are padded with this byte to a positive multiple of UNIT.
 PAD, UNIT = 32, 192
 #: Samples of a frame: four units.
@@ -296,8 +298,9 @@ def _mapped(df: DataFrame, column: str, added: list[T.StructField], row) -> Data
     """Columns ``added`` beside all of df's, from ``row(value)``, in small Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([*df.schema.fields, *added])
     names = [f.name for f in added]
+    df = cleared(df, *names)
+    schema = T.StructType([*df.schema.fields, *added])
     where = df.columns.index(column)
 
     def run(batches):

@@ -12,7 +12,7 @@ Weights are given for each source, or follow from the counts: share in proportio
 Nulls and odd input.  A null source is a source of its own.  A null text counts as empty and a
 null id as a value in the hash; such rows are copied like others.  Equal rows get equal counts.
 An empty table gives no rows.  Columns of the input pass through; ``copy`` (from 1) and ``copies``
-are added, and the input must not have these names or names that begin with ``_mix_``.
+are added, and take the place of columns of these names; names that begin with ``_mix_`` are dropped.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import let, stored
+from vectide.llm.common import cleared, let, stored
 
 #: Source tables up to this many rows are broadcast, longer ones joined by a shuffle.
 BROADCAST_SOURCES = 10_000
@@ -51,6 +51,7 @@ def row_unit(seed: int, id_col: str, text_col: str) -> Column:
 
 def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 2.0, total: int | None = None, seed: int = 0, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows, each as often as drawn, in random order.  ``total``: rows wanted; as many as df has for None."""
+    df = cleared(df, "copies", "copy", prefix="_mix_")
     names = df.columns
     counts = stored(df.groupBy(F.col(source_col).alias("_mix_source")).agg(F.count(F.lit(1)).alias("n")), "sources")
     if weights is None:

@@ -11,13 +11,14 @@ pattern gave that label.  So texts without pattern matches get no spans.
 
 ``fit`` learns the weights from a sample of at most ``SAMPLE`` documents, chosen by a hash of the
 text, in which the patterns' own matches are the labels: token features by multinomial logistic
-regression, chain and skip weights by counts.
+regression, chain and skip weights by counts.  A token that no pattern matched but skip links join
+to a matched one counts as unlabelled, not as none.
 
 Everything is done within a text: a text is whole in one task, and nothing is shuffled.
 
 Nulls and odd input.  A null text has no spans.  Places are code points, the end exclusive.
 Repeated rows get equal spans.  An empty table gives no rows and default weights.  Columns of the
-input pass through; the input must not have the name of the added column, ``spans``.
+input pass through; one that is named ``spans``, like the added one, is replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.llm.common import cleared
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE = 2_000
@@ -149,6 +152,21 @@ def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
     return g
 
 
+def tops(g: Graph) -> list[int]:
+    """For each token the first token that skip links join it to."""
+    parent = list(range(len(g.x)))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, j in g.skip:
+        a, b = top(i), top(j)
+        parent[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(parent))]
+
+
 @dataclass
 class Weights:
     """Log potentials: token features by label, neighbours by label pair, and equal labels of skip links."""
@@ -166,10 +184,14 @@ def learn(graphs: list[Graph], steps: int = 300, rate: float = 1.0, decay: float
     import numpy as np
 
     n = len(LABELS)
-    x = np.array([f for g in graphs for f in g.x], float)
-    if not len(x):
+    used = []
+    for g in graphs:
+        top = tops(g)
+        known = {t for t, v in zip(top, g.y) if v}
+        used += [(f, v) for f, v, t in zip(g.x, g.y, top) if v or t not in known]
+    if not used:
         return default_weights()
-    y = np.array([v for g in graphs for v in g.y])
+    x, y = np.array([f for f, _ in used], float), np.array([v for _, v in used])
     target, w, moment = np.eye(n)[y], np.zeros((x.shape[1], n)), np.zeros((x.shape[1], n))
     for _ in range(steps):
         s = x @ w
@@ -183,9 +205,9 @@ def learn(graphs: list[Graph], steps: int = 300, rate: float = 1.0, decay: float
         for i, j in g.chain:
             pairs[g.y[i], g.y[j]] += 1
     chain = np.log(pairs / pairs.sum()) - np.log(np.outer(own, own) / own.sum() ** 2)
-    alike = [g.y[i] == g.y[j] for g in graphs for i, j in g.skip]
+    alike = [g.y[i] == g.y[j] for g in graphs for i, j in g.skip if g.y[i] and g.y[j]]
     skip = float(np.log((sum(alike) + 1) / (len(alike) - sum(alike) + 1)) + np.log(n - 1))
-    return Weights(w.tolist(), np.clip(chain, -2, 2).tolist(), max(0.0, min(skip, 5.0)))
+    return Weights(w.tolist(), np.clip(chain, -2, 2).tolist(), max(1.0, min(skip, 5.0)))
 
 
 def marginals(g: Graph, w: Weights):
@@ -233,20 +255,12 @@ def added_spans(text: str, base: list[tuple[int, int, int]], w: Weights) -> list
     if all(g.y) or not g.skip:
         return []
     p = marginals(g, w)
-    parent = list(range(len(g.at)))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i, j in g.skip:
-        parent[top(i)] = top(j)
-    known = {(top(i), y) for i, y in enumerate(g.y) if y}
+    top = tops(g)
+    known = {(t, y) for t, y in zip(top, g.y) if y}
     out = []
     for i, (a, b) in enumerate(g.at):
         label = int(p[i].argmax())
-        if g.y[i] or not label or p[i, label] < SURE or (top(i), label) not in known:
+        if g.y[i] or not label or p[i, label] < SURE or (top[i], label) not in known:
             continue
         while a < b and not (text[a].isalnum() or text[a] in "+("):
             a += 1
@@ -287,6 +301,7 @@ def tag(df: DataFrame, weights: Weights | None = None, text_col: str = "text") -
     """df with ``spans``: kind, start, end and whether a pattern gave it; by start, then kind."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    df = cleared(df, "spans")
     weights = weights or fit(df, text_col)
     schema = T.StructType([*df.schema.fields, T.StructField("spans", SPANS)])
     at = df.columns.index(text_col)

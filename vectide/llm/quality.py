@@ -12,10 +12,8 @@ Everything is a DataFrame expression.  Words are what ``[^\\x20\\x09-\\x0D]+`` m
 
 Nulls and odd input.  A null text has no words and no lines, and is rejected.  A null language is a
 language of its own; one without a list of common words uses all lists.  Repeated rows are judged
-alike.  Empty tables give no rows.  Columns of the input pass through, and must not have the names
-of the columns that are added (``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-``n_repeat_words``, ``base_failed``, ``char_distance``, ``word_distance``, ``kept``) or names that
-begin with ``_q_``.
+alike.  Empty tables give no rows.  Columns of the input pass through; those that are named like
+the ``ADDED`` ones are replaced, and names that begin with ``_q_`` are dropped.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import let, stored
+from vectide.llm.common import cleared, let, stored
 
 #: Common function words of the languages that references are kept for.
 COMMON_WORDS = {
@@ -39,6 +37,7 @@ MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.30
 WINDOW = 8
 CLASSES = 7
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 #: Reference tables up to this many languages are broadcast, longer ones joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
 
@@ -134,6 +133,7 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
 def judge(df: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: DataFrame | None = None) -> DataFrame:
     """df with the counts, ``base_failed``, both distances (null below MIN_WORDS words) and ``kept``."""
+    df = cleared(df, *ADDED, prefix="_q_")
     names = df.columns
     refs = stored(references(df, text_col, lang_col), "quality-references") if refs is None else refs
     if refs.count() <= BROADCAST_LANGUAGES:
@@ -147,4 +147,4 @@ def judge(df: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: D
     })
     far = (F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)
     scored = scored.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    return scored.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+    return scored.select(*names, *ADDED)

@@ -18,7 +18,8 @@ Input.  Rows are told apart by their place, so nulls in any column, empty and lo
 repeated rows are rows like any other, and an empty table gives no rows.  The place must be the
 same each time the input is read: set ``stable`` for a scan of files with narrow steps on it;
 other inputs are first checkpointed.  Columns of the input pass through; ``shard`` and ``slot``
-are added, and the input must not have columns of these names or names that begin with ``_shard_``.
+are added, and take the place of columns of these names; names that begin with ``_shard_`` are
+dropped.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vectide.llm.common import hash_unit, let, shared_dir
+from vectide.llm.common import cleared, hash_unit, let, shared_dir
 
 MAX_ENTRIES = 1 << 20
 MAX_CELLS = 1 << 16
@@ -105,6 +106,7 @@ def communication_matrix(counts: DataFrame, n_partitions: int, n_shards: int, se
 
 def shard_rows(df: DataFrame, n_shards: int, seed: int = 0, *, stable: bool = False) -> DataFrame:
     """df with ``shard`` (0 to n_shards - 1; counts at most one apart) and ``slot`` (gapless from 0 in each shard, in random order)."""
+    df = cleared(df, "shard", "slot", prefix="_shard_")
     if not stable:
         shared_dir(df.sparkSession)
         df = df.checkpoint()

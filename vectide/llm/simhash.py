@@ -16,7 +16,8 @@ classes divide that by a constant (by 3 for 64 bits and radius 4).
 
 Nulls and odd input.  A null text is the empty text.  Texts without words have fingerprint zero and
 are linked like any other.  Null ids count last as a component's smallest.  Repeated rows share a
-fingerprint.  Empty tables give no rows.  Of a hot fingerprint only one item is compared.
+fingerprint.  Empty tables give no rows.  Of a hot fingerprint only one item is compared.  Other
+columns pass through; those that are named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.llm.common import stored
+from vectide.llm.common import cleared, stored
 from vectide.llm.graph import connected_components
 
 TILE = 4096
@@ -68,6 +69,7 @@ def fingerprints(df: DataFrame, text_col: str, width: int, n_words: int = 1, wor
     """df without its text, with the fingerprint as ``words array<long>``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    df = cleared(df, words_col)
     kept = [c for c in df.columns if c != text_col]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(words_col, T.ArrayType(T.LongType()))])
     text_at = df.columns.index(text_col)
@@ -188,6 +190,7 @@ def links(items: DataFrame, radius: int, n_words: int = 1) -> DataFrame:
 
 def near_duplicates(prints: DataFrame, radius: int, n_words: int = 1, id_col: str = "doc_id") -> DataFrame:
     """``prints`` (with ``words`` and an id) with ``component_id``: the smallest id of all that can be reached by links."""
+    prints = cleared(prints, "component_id")
     items = prints.groupBy("words").agg(F.min(id_col).alias("least"))
     items = stored(items.withColumn("id", F.monotonically_increasing_id()), "fingerprints")
     parts = connected_components(links(items.select("id", "words"), radius, n_words))
