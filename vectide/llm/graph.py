@@ -4,7 +4,8 @@ Each step links nodes to the smallest node that they or their neighbours see, un
 changes; the number of steps grows with the logarithm of the longest path.  Only edges are moved,
 each step's edges are written to the shared folder, and nothing is collected but a count and a
 checksum.  Neighbours are never gathered: a step takes their minimum, which Spark combines before
-it shuffles, and joins it back.
+it shuffles, and joins it back.  Both sides of that join come by an exchange, so Spark can split the
+rows of a node with very many neighbours.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from vectide.llm.common import stored
 
 def _least(pairs: DataFrame) -> DataFrame:
     """``pairs(u, v)`` with ``m``: the least ``v`` of each ``u``, or ``u`` if that is less."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least.select("u", F.least("u", "m").alias("m")), "u")
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return pairs.join(least, "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before, now = None, state(edges)
     while now != before and now[0]:
-        edges = stored(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct(), "edges")
+        for star in (_large_star, _small_star):
+            edges = stored(star(edges).where("u <> v").distinct(), "edges")
         before, now = now, state(edges)
     tops = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)

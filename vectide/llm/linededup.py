@@ -111,7 +111,8 @@ def removed_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ends = ranks.select("row", F.col("at").alias("end"), F.col("r").alias("r2"))
         named = here.join(ranks, ["row", "at"]).withColumn("end", F.col("at") + F.col("m") - k).join(ends, ["row", "end"])
         place = F.struct("id", "row", "at")
-        first = named.groupBy("m", "r", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        # written, so that the join reads both sides by an exchange and Spark can split a frequent run's rows
+        first = stored(named.groupBy("m", "r", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "first-places")
         copies = named.join(first, ["m", "r", "r2"]).where(place != F.col("first"))
         later.append(stored(copies.select("row", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")), "copies"))
         if 2 * k <= longest:

@@ -195,6 +195,7 @@ def near_duplicates(prints: DataFrame, radius: int, n_words: int = 1, id_col: st
     items = stored(items.withColumn("id", F.monotonically_increasing_id()), "fingerprints")
     parts = connected_components(links(items.select("id", "words"), radius, n_words))
     labelled = items.join(parts.withColumnRenamed("node", "id"), "id", "left").select("words", "least", F.coalesce("component", "id").alias("part"))
-    least = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
+    # written, so that the join reads both sides by an exchange and Spark can split a large component's rows
+    least = stored(labelled.groupBy("part").agg(F.min("least").alias("component_id")), "components")
     named = labelled.join(least, "part").select("words", "component_id")
     return prints.join(named, "words")
