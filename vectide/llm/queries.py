@@ -77,7 +77,7 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.drop("text", "lang")
+    return judged.drop("text", "lang").withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
 @query
@@ -119,3 +119,88 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _is(kind: str):
     return lambda s: s.kind == F.lit(kind)
+
+
+ORACLES["op9_mixing_sources"] = """
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, pow(n::DOUBLE, 0.5) / sum(pow(n::DOUBLE, 0.5)) OVER () * sum(n) OVER ()::DOUBLE / n AS rate FROM counts),
+laws AS (
+  SELECT source, list_transform(range(0, ceil(rate + sqrt(rate) * 12 + 30)::BIGINT + 1), lambda j:
+    exp(-rate + j * ln(rate) - coalesce(list_sum(list_transform(range(1, j + 1), lambda i: ln(i::DOUBLE))), 0.0))) AS pmf
+  FROM rates),
+drawn AS (
+  SELECT d.*, ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT / pow(2::DOUBLE, 52) AS u, pmf
+  FROM documents d JOIN laws l ON d.source IS NOT DISTINCT FROM l.source),
+counted AS (
+  SELECT * EXCLUDE (u, pmf), len(list_filter(range(1, len(pmf) + 1), lambda k: list_sum(pmf[1:k]) <= u)) AS copies FROM drawn)
+SELECT doc_id, text, lang, source, n_chars, copies::INTEGER AS copies, unnest(range(1, copies + 1))::INTEGER AS copy FROM counted WHERE copies > 0
+"""
+
+
+def _quality_sql() -> str:
+    lists = " ".join(f"WHEN lang = '{lang}' THEN {words!r}" for lang, words in quality.COMMON_WORDS.items())
+    share = lambda c: f"list_transform({c}, lambda x: x / greatest(list_sum({c}), 1)::DOUBLE)"
+    part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0.0 END"
+    terms = part.format("p[i]", "q[i]") + " + " + part.format("q[i]", "p[i]")
+    classes = ["[^A-Z]", "[^0-9]", "[^.,;:!?''\"()-]", "[^#*$%&|<>]", "[^ß-ÿ]"]
+    counts = ", ".join(f"length(regexp_replace(rest, '{c}', '', 'g'))" for c in classes)
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    regexp_replace(coalesce(text, ''), '[a-z\\x20\\x09-\\x0D]', '', 'g') AS rest
+  FROM documents),
+windows AS (SELECT r, i, words[i : i + 7] AS w FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM docs)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 8)) AS k) GROUP BY r),
+base AS (
+  SELECT d.*, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CASE {lists} ELSE {quality.ALL_WORDS!r} END AS listed
+  FROM docs d LEFT JOIN covered c USING (r)),
+counted AS (
+  SELECT *, [word_chars - length(rest), {counts}] AS part, list_transform(listed, lambda c: len(list_filter(words, lambda x: x = c))) AS found FROM base),
+histograms AS (
+  SELECT * EXCLUDE (part, found), list_append(part, word_chars - list_sum(part)) AS chars, list_append(found, n_words - list_sum(found)) AS common FROM counted),
+sums AS (SELECT lang, pos, sum(chars[pos]) AS c, sum(common[pos]) AS w FROM histograms, (SELECT unnest(range(1, {len(quality.ALL_WORDS) + 2})) AS pos) GROUP BY lang, pos),
+refs AS (SELECT lang, list(c ORDER BY pos) FILTER (c IS NOT NULL) AS ref_chars, list(w ORDER BY pos) FILTER (w IS NOT NULL) AS ref_common FROM sums GROUP BY lang),
+pairs AS (
+  SELECT h.*, {share('chars')} AS cp, {share('ref_chars')} AS cq, {share('common')} AS wp, {share('ref_common')} AS wq
+  FROM histograms h JOIN refs r ON h.lang IS NOT DISTINCT FROM r.lang),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    CASE WHEN n_words >= {quality.MIN_WORDS} THEN sqrt(greatest(0.0, list_sum(list_transform(range(1, len(cp) + 1), lambda i: {terms.replace('p[i]', 'cp[i]').replace('q[i]', 'cq[i]')})) / 2)) END AS char_distance,
+    CASE WHEN n_words >= {quality.MIN_WORDS} THEN sqrt(greatest(0.0, list_sum(list_transform(range(1, len(wp) + 1), lambda i: {terms.replace('p[i]', 'wp[i]').replace('q[i]', 'wq[i]')})) / 2)) END AS word_distance
+  FROM pairs)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  round(char_distance, 9) AS char_distance, round(word_distance, 9) AS word_distance,
+  NOT base_failed AND NOT coalesce(char_distance > {quality.MAX_CHAR_DISTANCE} OR word_distance > {quality.MAX_WORD_DISTANCE}, false) AS kept
+FROM judged
+"""
+
+
+ORACLES["op4_quality_rules"] = _quality_sql()
+
+
+ORACLES["op8_line_dedup"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+filled AS (
+  SELECT *, list_filter(range(1, len(lines) + 1), lambda k: regexp_matches(lines[k], '[^\\x20\\x09-\\x0D]')) AS places FROM docs),
+counted AS (
+  SELECT *, list_transform(places, lambda k: lines[k]) AS real,
+    list_transform(places, lambda k: len(list_filter(string_split_regex(lines[k], '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS n FROM filled),
+sums AS (SELECT *, list_transform(range(0, len(n) + 1), lambda k: coalesce(list_sum(n[1:k]), 0)) AS s FROM counted),
+starts AS (SELECT r, real, n, s, unnest(range(1, len(real) + 1)) AS i FROM sums),
+runs AS (
+  SELECT r, real, i AS a, list_min(list_filter(range(i, len(real) + 1), lambda b: s[b + 1] - s[i] >= {linededup.MIN_WORDS})) AS b FROM starts
+  UNION
+  SELECT r, real, list_max(list_filter(range(1, i + 1), lambda a: s[i + 1] - s[a] >= {linededup.MIN_WORDS})) AS a, i AS b FROM starts),
+keyed AS (SELECT r, a, b, real[a:b] AS run FROM runs WHERE a IS NOT NULL AND b IS NOT NULL),
+copies AS (SELECT r, a, b FROM keyed QUALIFY row_number() OVER (PARTITION BY run ORDER BY r, a) > 1),
+gone AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(a, b + 1)) AS i FROM copies) GROUP BY r)
+SELECT doc_id, len(coalesce(places, []))::BIGINT AS n_lines, len(coalesce(gone, []))::BIGINT AS n_removed,
+  CASE WHEN gone IS NULL THEN text WHEN len(gone) = len(places) THEN ''
+    ELSE array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda k: NOT list_contains(list_transform(gone, lambda i: places[i]), k)), lambda k: lines[k]), chr(10)) END AS text
+FROM sums LEFT JOIN gone USING (r)
+"""
