@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from vectide.functions import metrics
 from vectide.operators import kmeans
-from vectide.operators.search import batch_knn, dimension_of, query_blocks
+from vectide.operators.search import batch_knn, dimension_of, pairs, query_blocks
 from vectide.operators.topk import top_k_by
 from vectide.schema import VectorError
 
@@ -26,8 +26,10 @@ def train(collection: DataFrame, nlist: int, seed: int = 42, **settings) -> Data
     return kmeans.train(collection, nlist, seed, **settings)
 
 
-def build(collection: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """The collection with ``list_id``."""
+def build(collection: DataFrame, centroids: DataFrame, metric: str = "euclidean", strategy: str = "expr") -> DataFrame:
+    """The collection with ``list_id``; ``strategy="arrow"`` adds it where the rows stand, without a shuffle."""
+    if strategy == "arrow":
+        return kmeans.assign_in_place(collection, centroids, metric).drop("distance")
     lists = kmeans.assign(collection, centroids, metric).select("id", "list_id")
     return collection.join(lists, "id")
 
@@ -43,8 +45,7 @@ def select_lists(centroids: DataFrame, queries: DataFrame, nprobe: int, metric:
     open_lists = centroids.where(~F.col("list_id").isin(list(disabled))) if disabled else centroids
     out = None
     for block in query_blocks(queries, d):
-        both = open_lists.join(F.broadcast(block.select("qid", F.col("q").alias("_q"))))
-        scored = both.select("qid", "list_id", metrics.score(metric, F.col("_q"), F.col("centroid"), d).alias("score"))
+        scored = pairs(_as_rows(open_lists), block, metric, d, raw=True).withColumnRenamed("id", "list_id")
         best = top_k_by(scored, nprobe, score="score", ascending=metrics.ascending(metric), tie="list_id")
         out = best if out is None else out.unionByName(best)
     out = out.select("qid", "rank", "list_id", "score")
@@ -80,9 +81,12 @@ def search(lists: DataFrame, centroids: DataFrame | None, queries: DataFrame, k:
 def _probes(centroids: DataFrame, block: DataFrame, nprobe: int, metric: str) -> DataFrame:
     """Probes by distance, which orders all five metrics."""
     d = dimension_of(centroids, "centroid")
-    both = centroids.join(F.broadcast(block.select("qid", F.col("q").alias("_q"))))
-    scored = both.select("qid", "list_id", metrics.distance(metric, F.col("_q"), F.col("centroid"), d).alias("score"))
-    return top_k_by(scored, nprobe, score="score", tie="list_id").select("qid", "list_id")
+    scored = pairs(_as_rows(centroids), block, metric, d).withColumnRenamed("id", "list_id")
+    return top_k_by(scored, nprobe, tie="list_id").select("qid", "list_id")
+
+
+def _as_rows(centroids: DataFrame) -> DataFrame:
+    return centroids.select(F.col("list_id").alias("id"), F.col("centroid").alias("vector"))
 
 
 def list_stats(lists: DataFrame, centroids: DataFrame) -> DataFrame:

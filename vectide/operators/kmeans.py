@@ -12,10 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectide.functions import metrics
 from vectide.operators.sampling import bounded_sample, weighted_pick
-from vectide.operators.search import dimension_of
+from vectide.operators.search import dimension_of, distances
+from vectide.operators.transform import CENTROID_BYTES, bounded
 from vectide.schema import VectorError
 
 SAMPLE = 65_536
@@ -104,19 +106,41 @@ def centroid_table(spark, c: np.ndarray) -> DataFrame:
 def assign(collection: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
     """``(id, list_id, distance)``: the nearest centroid of each row, the lowest list of equals.
 
-    The centroid table, a model's size, is one array that each task gets; no row is copied for it.
+    A row meets all centroids in its task, and the nearest is taken there before rows are shuffled
+    by id.  The centroid table is broadcast only if a count shows that it is small.
     """
     d = dimension_of(centroids, "centroid")
-    all_lists = centroids.agg(F.sort_array(F.collect_list(F.struct("list_id", "centroid"))).alias("_lists"))
-    scored = lambda c: F.struct(metrics.distance(metric, F.col("vector"), c.centroid, d).alias("distance"), c.list_id.alias("list_id"))
-    if d > metrics.UNROLLED or metric == "cosine":
-        best = collection.join(F.broadcast(all_lists)).select("id", F.array_min(F.transform("_lists", scored)).alias("b"))
-        return best.select("id", "b.list_id", "b.distance")
-    from vectide.operators.transform import bounded
-
     both = collection.join(bounded(centroids.select("list_id", F.col("centroid").alias("_c")), d))
-    scores = both.select("id", "list_id", metrics.distance(metric, F.col("vector"), F.col("_c"), d).alias("distance"))
-    return scores.groupBy("id").agg(F.min(F.struct("distance", "list_id")).alias("b")).select("id", "b.list_id", "b.distance")
+    scores = both.select("id", F.struct(metrics.distance(metric, F.col("vector"), F.col("_c"), d).alias("distance"), F.col("list_id")).alias("s"))
+    return scores.groupBy("id").agg(F.min("s").alias("b")).select("id", "b.list_id", "b.distance")
+
+
+def assign_in_place(collection: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """The collection with ``list_id`` and ``distance``, by numpy on Arrow batches: no shuffle.
+
+    The model goes to the tasks whole; it is collected only up to CENTROID_BYTES.
+    """
+    d, n = dimension_of(centroids, "centroid"), centroids.count()
+    if n * (8 * d + 64) > CENTROID_BYTES:
+        raise VectorError("capacity_exceeded", "a model this large is assigned by expressions", "assign_in_place", centroids=n, dimension=d)
+    model = sorted((r.list_id, r.centroid) for r in centroids.select("list_id", "centroid").collect())
+    lists, c = [i for i, _ in model], np.array([row for _, row in model], float)
+    schema = T.StructType([*collection.schema.fields, T.StructField("list_id", T.IntegerType()), T.StructField("distance", T.DoubleType())])
+    at = collection.columns.index("vector")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            near, best = np.empty(len(x), int), np.empty(len(x))
+            for i in range(0, len(x), 4096):
+                dist = distances(x[i : i + 4096], c, metric)
+                near[i : i + 4096] = dist.argmin(1)
+                best[i : i + 4096] = dist.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([lists[i] for i in near], pa.int32()), pa.array(best)], names=schema.names)
+
+    return collection.mapInArrow(run, schema)
 
 
 def cost(collection: DataFrame, centroids: DataFrame) -> DataFrame:

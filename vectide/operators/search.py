@@ -42,9 +42,15 @@ def _check(metric: str, operation: str) -> None:
 
 def pairs(collection: DataFrame, block: DataFrame, metric: str, d: int, raw: bool = False) -> DataFrame:
     """``(qid, id, distance)`` of each row and each query of a block (broadcast: see ``query_blocks``)."""
+    name = "score" if raw else "distance"
+    queries = block.select("qid", F.col("q").alias("_q"))
+    if metric == "cosine":  # norms once for each row and query, not for each pair
+        rows = collection.select("id", "vector", metrics.norm_squared(F.col("vector"), d).alias("_x2"))
+        queries = queries.withColumn("_q2", metrics.norm_squared(F.col("_q"), d))
+        similarity = metrics.cosine_similarity(metrics.dot(F.col("_q"), F.col("vector"), d), F.col("_q2"), F.col("_x2"))
+        return rows.join(F.broadcast(queries)).select("qid", "id", (similarity if raw else F.lit(1.0) - similarity).alias(name))
     how = metrics.score if raw else metrics.distance
-    both = collection.join(F.broadcast(block.select("qid", F.col("q").alias("_q"))))
-    return both.select("qid", "id", how(metric, F.col("_q"), F.col("vector"), d).alias("score" if raw else "distance"))
+    return collection.join(F.broadcast(queries)).select("qid", "id", how(metric, F.col("_q"), F.col("vector"), d).alias(name))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -207,7 +213,8 @@ def candidates(collection: DataFrame, queries: DataFrame) -> DataFrame:
 
     pos = F.row_number().over(Window.partitionBy("qid").orderBy("id")) - 1
     kept = [c for c in ("vector", "metadata") if c in collection.columns]
-    return collection.join(F.broadcast(query_blocks(queries, dimension_of(queries, "q"))[0].select("qid"))).select("qid", pos.alias("pos"), "id", *kept)
+    blocks = query_blocks(queries, dimension_of(queries, "q"))
+    return _union([collection.join(F.broadcast(block.select("qid"))).select("qid", pos.alias("pos"), "id", *kept) for block in blocks])
 
 
 def finalize(found: DataFrame, offered: DataFrame, k: int, where: Column | None = None) -> DataFrame:

@@ -296,6 +296,11 @@ _LISTS = f"WITH {S.SCALED}, {S.CENTROIDS}, {_NEAR.format(dist=S.distance('euclid
 _COSINE_LISTS = f"WITH {S.SCALED}, {S.CENTROIDS}, {_NEAR.format(dist=S.distance('cosine', 'e.v', 'c.c'))}, {_ASSIGN}"
 add("ivf_assign_l2", lambda s, f: kmeans.assign(v := scaled(s, f), centroids(v)), f"{_LISTS} SELECT id, list_id, distance FROM asg")
 add("ivf_assign_cosine", lambda s, f: kmeans.assign(v := scaled(s, f), centroids(v), "cosine"), f"{_COSINE_LISTS} SELECT id, list_id, distance FROM asg")
+add(
+    "ivf_build_arrow",
+    lambda s, f: ivf.build(v := scaled(s, f), centroids(v), strategy="arrow").select("id", "list_id"),
+    f"{_LISTS} SELECT id, list_id FROM asg",
+)
 add("kmeans_assign", lambda s, f: kmeans.assign(v := plain(s, f), centroids(v)), _LISTS.replace(S.SCALED, S.PLAIN) + " SELECT id, list_id, distance FROM asg")
 add("kmeans_cost", lambda s, f: kmeans.cost(v := scaled(s, f), centroids(v)).select("n", F.round("cost", 6).alias("cost")), f"{_LISTS} SELECT count(*) AS n, round(sum(distance * distance), 6) AS cost FROM asg")
 add(
