@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vectide.schema import VectorError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session has none, as in local tests."""
+    """``spark.checkpoint.dir``; a temporary folder only where a local session has none, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vectide-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise VectorError("io_error", "set spark.checkpoint.dir to a folder that driver and executors share", "shared_dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vectide-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def fresh_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
     """``df`` written once and read again: a cut of the lineage that outlives executors."""
-    path, schema = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}", df.schema
+    path, schema = fresh_path(df.sparkSession, what), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
