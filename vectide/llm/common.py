@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectide.sources.store import fresh_path, shared_dir, stored
+
+__all__ = ["cleared", "fresh_path", "hash_unit", "let", "open_fs", "shared_dir", "stored", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,30 +21,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession, *, make: bool = True) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A temporary folder is set only where the session has none, as in local tests.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty() and make:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vectide-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def open_fs(uri: str):
     """The pyarrow file system and path of a Hadoop-style URI."""
     from pyarrow import fs
