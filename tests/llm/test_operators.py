@@ -369,6 +369,16 @@ def test_forest_connects_all_links(words, radius):
     assert components(len(x), both) == components(len(x), [(j, i) for i, j in near if j < 100 <= i])
 
 
+@pytest.mark.parametrize("split", [(21, 25, 0, 0), (46, 0, 0, 0), (0, 0, 0, 46), (12, 11, 12, 11)])
+def test_forest_has_links_whose_bits_lie_in_one_word(split):
+    a = np.random.default_rng(5).integers(0, 2**63, (3, 4), dtype=np.uint64)
+    b = a.copy()
+    b[0] ^= np.array([(1 << n) - 1 for n in split], np.uint64)
+    b[1] ^= np.array([(1 << n) - 1 for n in (*split[:3], split[3] + 1)], np.uint64)
+    assert list(simhash.link_forest(a[:2], b[:2], False, 46)) == [(0, 0)]
+    assert list(simhash.link_forest(np.stack([a[0], b[0], a[2]]), np.stack([a[0], b[0], a[2]]), True, 46)) in ([(0, 1)], [(1, 0)])
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)] + [(7, 7)]

@@ -93,7 +93,7 @@ def link_forest(a, b, same: bool, radius: int) -> Iterator[tuple[int, int]]:
     n, m, whole = len(a), len(b), a.shape[1]
     root = np.arange(n if same else n + m)
     shift = 0 if same else n
-    first = radius if whole == 1 else min(radius, 20)
+    dense = min(whole, (radius + 16) // 32 + 1)  # words counted for all pairs; more bits apart than the radius there are no link
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -105,12 +105,16 @@ def link_forest(a, b, same: bool, radius: int) -> Iterator[tuple[int, int]]:
     for i in range(0, n, step):
         start = i if same else 0
         d = np.bitwise_count(a[i : i + step, 0][:, None] ^ b[None, start:, 0])
-        ii, jj = np.nonzero(d <= first)
+        if dense > 3:  # beyond 255 bits
+            d = d.astype(np.int32)
+        for w in range(1, dense):
+            d += np.bitwise_count(a[i : i + step, w][:, None] ^ b[None, start:, w])
+        ii, jj = np.nonzero(d <= radius)
         if not len(ii):
             continue
-        if whole > 1:
+        if whole > dense:
             total = d[ii, jj].astype(np.int32)
-            for w in range(1, whole):
+            for w in range(dense, whole):
                 total += np.bitwise_count(a[ii + i, w] ^ b[jj + start, w])
             near = total <= radius
             ii, jj = ii[near], jj[near]
