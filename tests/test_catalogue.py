@@ -35,6 +35,11 @@ def test_recall(spark, name, least):
     assert catalogue.QUERIES[name](spark, SF).toPandas()["recall"].mean() >= least
 
 
+@pytest.mark.parametrize("name", ["ivf_trained_knn", "ivfpq_knn"])
+def test_recall_of_trained_lists_is_nine_tenths(spark, name):
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.1").toPandas()["recall"].mean() >= 0.9
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -454,7 +454,7 @@ def _hnsw(spark, sf):
 def _ivf_trained(spark, sf):
     v = plain(spark, sf)
     c = stored(ivf.train(v, 16), "centroids")
-    return _recall(ivf.search(ivf.build(v, c), c, probes(v), 10, 6), search.batch_knn(v, probes(v), 10))
+    return _recall(ivf.search(ivf.build(v, c), c, probes(v), 10, 12), search.batch_knn(v, probes(v), 10))
 
 
 def _ivfpq(spark, sf):
@@ -462,9 +462,9 @@ def _ivfpq(spark, sf):
     c = stored(ivf.train(v, 16), "centroids")
     lists = stored(ivf.build(v, c), "lists")
     rest = transform.residuals(lists, c).select("id", F.col("residual").alias("vector"))
-    books = stored(pq.train(rest, M, 32), "codebooks")
+    books = stored(pq.train(rest, M, 128), "codebooks")
     codes = stored(pq.code_arrays(pq.encode(rest, books, M)).join(lists.select("id", "list_id"), "id"), "codes")
-    return _recall(pq.search(codes, c, books, v, probes(v), 10, 8, M), search.batch_knn(v, probes(v), 10))
+    return _recall(pq.search(codes, c, books, v, probes(v), 10, 14, M, refine=20), search.batch_knn(v, probes(v), 10))
 
 
 def _hnsw_graph(spark, sf):
