@@ -197,6 +197,13 @@ def test_piece_encoder_is_the_library(text):
         assert np.frombuffer(encode(t), "<u4").tolist() == encode.library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "漢 <|endoftext|>"])
+def test_piece_encoder_keeps_added_tokens(text):
+    path = vocabulary("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert 50256 in want and np.frombuffer(PieceEncoder(path)(text), "<u4").tolist() == want
+
+
 # 4
 
 

@@ -27,8 +27,8 @@ class PieceEncoder:
     """Ids of whole texts by a byte-level tokenizer of the ``tokenizers`` library, as little-endian uint32 bytes.
 
     Such a tokenizer encodes each match of its pattern by itself.  So texts within Latin-1 are cut
-    with that pattern, and the library's model encodes each distinct piece once; other texts go to
-    the library whole.
+    with that pattern, and the library's model encodes each distinct piece once; other texts, and
+    those that hold an added token such as ``<|endoftext|>``, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -36,7 +36,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         n, s, t = _LETTERS, _NUMBERS, _SPACES
         self.pieces = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{n}]+| ?[{s}]+| ?[^{n}{s}{t}]+|[{t}]+(?![^{t}])|[{t}]+").findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
@@ -59,6 +59,8 @@ class PieceEncoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self._whole([text])[0]
+        if any(t in text for t in self.added):
+            return self._whole([text])[0]
         pieces = self.pieces(text)
         found = list(map(self.known.get, pieces))
         if None in found:
