@@ -295,16 +295,93 @@ def test_repeats_get_the_label_and_clean_texts_none(spark, odd):
     assert pii.tag(odd.where("false")).collect() == []
 
 
+def exact_marginals(g, w):
+    """Label probabilities by summing over all labelings."""
+    k, n = len(pii.LABELS), len(g.at)
+    x, c = pii.unpacked(g.x) @ np.array(w.unary), np.array(w.chain)
+    p = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        if all(not seen or seen == v for seen, v in zip(g.y, labels)):
+            weight = math.exp(
+                sum(x[i, v] for i, v in enumerate(labels) if not g.y[i])
+                + sum(c[labels[i], labels[j]] for i, j in g.chain)
+                + sum(w.skip for i, j in g.skip if labels[i] == labels[j])
+            )
+            for i, v in enumerate(labels):
+                p[i, v] += weight
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def test_messages_give_exact_marginals_on_a_tree():
-    g = pii.Graph([(0, 1), (2, 3), (4, 5)], [[1] + [0] * 11, [0, 1] + [0] * 10, [1, 1] + [0] * 10], [0, 0, 0], [(0, 1)], [(1, 2)])
-    rng = np.random.default_rng(3)
-    w = pii.Weights(rng.normal(size=(12, 5)).tolist(), rng.normal(size=(5, 5)).tolist(), 0.7)
-    x, c = np.array(g.x) @ np.array(w.unary), np.array(w.chain)
-    joint = np.zeros((5, 5, 5))
-    for a, b, d in itertools.product(range(5), repeat=3):
-        joint[a, b, d] = math.exp(x[0, a] + x[1, b] + x[2, d] + c[a, b] + (0.7 if b == d else 0))
-    joint /= joint.sum()
-    assert np.allclose(pii.marginals(g, w), [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))], atol=1e-3)
+    rng, k, f = np.random.default_rng(3), len(pii.LABELS), len(pii.FEATURES)
+    w = pii.Weights(rng.normal(size=(f, k)).tolist(), rng.normal(size=(k, k)).tolist(), 0.7)
+    for seen in (0, 2):
+        g = pii.Graph([(0, 1), (2, 3), (4, 5), (6, 7)], [1, 3, 5, 17], [0, 0, 0, seen], [(0, 1), (2, 3)], [(1, 2)], [0, 1, 2, 3])
+        assert np.allclose(pii.marginals(g, w), exact_marginals(g, w), atol=1e-3)
+
+
+#: Texts with what the patterns leave out, and the spans that the field is to add.
+HIDDEN = [
+    ("Numbers 2353820953013749 4550997810720808 stand side by side.", [("card", "4550997810720808")]),
+    ("Phone +1 (826) 555-4081 190.137.223.204 ran on.", [("phone", "+1 (826) 555-4081")]),
+    ('The token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" is here.', [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]),
+    ("api_key: 04dbebab91ab85687d33eeaaf9ac699e1188f962 and 04dbebab91ab85687d33eeaaf9ac699e1188f962 again", [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")] * 2),
+    ("Write to ann.lee at mail dot example dot org today", [("email", "ann.lee at mail dot example dot org")]),
+    ("Ask bob(at)host[dot]net now", [("email", "bob(at)host[dot]net")]),
+    ("From 10[.]20[.]30[.]40 it came", [("ip", "10[.]20[.]30[.]40")]),
+    ("Call +1 (743) 555-9182 or else 555-9182 later", [("phone", "555-9182")]),
+    ("Card 4550997810720808 then ************0808 ends", [("card", "0808")]),
+    ("Only 16 digits: 2353820953013749 and version 2.0 of 1999, 555-1234, rev 3.11", []),
+    ("He met me at the dot on the map in 2024", []),
+    ("", []),
+]
+
+
+def training_texts():
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    out = []
+    for i in range(300):
+        card = digits(16)
+        while pii.luhn(card) != (i % 2 == 0):
+            card = digits(16)
+        word = lambda: rng.choice(WORDS)
+        hidden = digits(12) + "abcdef" + digits(8) + "bcd"
+        out.append(
+            f"{word()} {card} {word()} v.{i % 50}@mail.example.com {word()} +1 ({digits(3)}) 555-{digits(4)} {word()} 10.{i % 200}.3.4 {word()} "
+            f'token = "{hidden}" {word()} in {1900 + i % 120}, {digits(3)}-{digits(4)} or {i % 9}.{i % 7} end'
+        )
+    return out
+
+
+@pytest.fixture(scope="module")
+def field_weights(spark):
+    return pii.fit(spark.createDataFrame([(t,) for t in training_texts()], "text string"))
+
+
+@pytest.mark.parametrize(("text", "want"), HIDDEN)
+def test_the_field_finds_what_patterns_leave_out(field_weights, text, want):
+    spans = pii.find_spans(text, field_weights)
+    assert [s[:3] for s in spans if s[3]] == plain_spans(text)
+    assert [(pii.ALL_KINDS[k], text[a:b]) for a, k, b, base in spans if not base] == want
+
+
+@pytest.mark.parametrize("text", [t for t, _ in HIDDEN if t])
+def test_spans_are_those_of_the_exact_field(field_weights, text):
+    base = plain_spans(text)
+    g = pii.graph_of(text, base)
+    assert len(g.at) <= 7
+    assert pii.added_spans(text, base, field_weights) == ([] if all(g.y) else pii.decode(text, g, exact_marginals(g, field_weights)))
+
+
+def test_fit_sums_counts_over_all_texts(spark, odd, field_weights):
+    import collections
+
+    counts = collections.Counter()
+    for t in training_texts():
+        counts.update(pii.observations(pii.graph_of(t, plain_spans(t))))
+    assert pii.learn(counts) == field_weights
+    assert pii.fit(odd.where("false")) == pii.default_weights()
 
 
 # 6

@@ -2,12 +2,13 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
-from test_operators import components, library, plain_spans, slow_fingerprint  # noqa: F401
+from test_operators import components, exact_marginals, library, plain_spans, slow_fingerprint  # noqa: F401
 from tokenizers import Tokenizer
 
 from vectide.llm import media, pii, queries
@@ -69,6 +70,24 @@ def test_private_data(spark, docs):
     assert result(spark, "op5_pii", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == want
 
 
+def test_spans_of_the_field(spark, docs):
+    counts, want, added = collections.Counter(), {}, 0
+    graphs = {d: (t or "", plain_spans(t or ""), pii.graph_of(t or "", plain_spans(t or ""))) for d, t in docs}
+    for _, _, g in graphs.values():
+        counts.update(pii.observations(g))
+    weights = pii.learn(counts)
+    for d, (t, base, g) in graphs.items():
+        p = exact_marginals(g, weights) if len(g.at) <= 5 else pii.marginals(g, weights)
+        more = [] if all(g.y) else pii.decode(t, g, p)
+        added += len(more)
+        want[d] = (",".join(f"{pii.ALL_KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more)), len(base) + len(more), len(more))
+    assert result(spark, "op5_pii", "spans", "n_spans", "n_added") == want
+    # all planted secrets, and no number that fails the check digits
+    secrets = {(d, m.start(1)) for d, t in docs for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "", re.IGNORECASE)}
+    found = {(d, int(s.split(":")[1])) for d, v in want.items() for s in v[0].split(",") if s.startswith("secret")}
+    assert added and secrets == found
+
+
 def test_fingerprints(spark, docs):
     fp = [slow_fingerprint(t) for _, t in docs]
     label = components(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 4])

@@ -1,20 +1,29 @@
-"""Personal data: patterns, and a skip-chain conditional random field that carries labels to repeats.
+"""Personal data: patterns, and a skip-chain conditional random field that finds what they leave out.
 
 The patterns find emails, IP addresses, card numbers and phone numbers; their spans always stay.
-In texts where they find something, the tokens that hold a digit or ``@`` become the variables of
-a conditional random field with the labels none, email, ip, card and phone.  Neighbouring tokens
-share chain potentials.  Tokens that repeat or resemble each other anywhere in the text (the same
-letters and digits, or the same last seven digits) share skip potentials, which favour equal labels.
-Sum-product messages run over this loopy graph until they settle.  A token that the patterns left
-out becomes a span where a label has ``SURE`` probability and skip links join it to a token that a
-pattern gave that label.  So texts without pattern matches get no spans.
-
-``fit`` learns the weights from a sample of at most ``SAMPLE`` documents, chosen by a hash of the
-text, in which the patterns' own matches are the labels: token features by multinomial logistic
-regression, chain and skip weights by counts.  A token that no pattern matched but skip links join
-to a matched one counts as unlabelled, not as none.
-
-Everything is done within a text: a text is whole in one task, and nothing is shuffled.
+In every text the tokens that may be part of personal data (they hold a digit or ``@``, or are an
+email spelled out with "at" and "dot") become the variables of a conditional random field with the
+labels none, email, ip, card, phone and secret.  Tokens in a pattern's span are observed.
+Neighbouring tokens share chain potentials.  Tokens that repeat or resemble each other anywhere in
+the text share skip potentials, which favour equal labels: the same letters and digits, the same
+last seven digits, or the same last four digits where the rest is masked.  Sum-product messages run
+over this loopy graph until they settle.
+
+A token has a label where its probability is ``SURE`` or more.  Neighbouring phone tokens make one
+span.  A span is added if it is whole (``whole``: digits of a full number, four groups of an
+address, and so on), or if skip links join it to a token that is part of a span of the same kind.
+So the field finds numbers that a pattern lost because it ran into the next number, addresses and
+emails in altered spelling, secrets after a key name, and parts and repeats of all these.
+
+``fit`` learns the weights from all documents, with the patterns' matches as labels, and as secrets
+the long mixed tokens that a key name is assigned.  Token features are learnt by multinomial
+logistic regression, chain and skip weights from counts.  A token that no pattern matched but skip
+links join to a matched one counts as unlabelled, not as none.  Of each email, address and card
+a copy in altered spelling is learnt too.  All this needs only counts of feature sets, label pairs and links:
+a task sums them up, so a fit shuffles and collects a small table however many documents there are
+(a row for each set of features that occurs; ``_MASKS`` at most, usually some dozens).
+
+Both passes work text by text, whole in one task, and shuffle no text.
 
 Nulls and odd input.  A null text has no spans.  Places are code points, the end exclusive.
 Repeated rows get equal spans.  An empty table gives no rows and default weights.  Columns of the
@@ -24,6 +33,8 @@ input pass through; one that is named ``spans``, like the added one, is replaced
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -32,10 +43,14 @@ from pyspark.sql import types as T
 
 from vectide.llm.common import cleared
 
+#: The patterns' kinds; the field adds one more.
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("none", *KINDS)
-SAMPLE = 2_000
+ALL_KINDS = (*KINDS, "secret")
+LABELS = ("none", *ALL_KINDS)
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
 SURE = 0.9
+#: Links that are taken to agree before any is seen; one is taken to disagree.
+ALIKE = 20
 ROUNDS, DAMPING, SETTLED = 30, 0.5, 1e-4
 
 SPANS = T.ArrayType(T.StructType([
@@ -92,60 +107,132 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-_FEATURES = 12
-
-
-def features(token: str, digits: str) -> list[int]:
+_CORE = "()[]{}<>,;:!?\"'`#*$%&|=."
+_MIXED = re.compile(r"[A-Za-z0-9_+/-]{16,}")
+_KEY_NAME = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credential|bearer|auth|api.?key|access.?key|private.?key)\w*[\"']?\s*[=:]+\s*[\"'`]?$", re.IGNORECASE)
+_SEVEN = re.compile(r"(?<![0-9])[0-9]{3}[-.][0-9]{4}(?![0-9])")
+_SPELLED = re.compile(
+    r"[A-Za-z0-9._%+-]+\s*(?:\(at\)|\[at\]|\{at\}|\sat\s|@)\s*[A-Za-z0-9-]+(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s*[A-Za-z0-9-]+)+", re.IGNORECASE
+)
+_WORDY = re.compile(r"\s(?:at|dot)\s", re.IGNORECASE)
+#: Common top-level domains.  An email spelled out in bare words must end in one.
+DOMAINS = frozenset("com org net edu gov mil int info io co dev app ai eu uk us ca au de fr es it nl ch at se no pl br jp cn in ru".split())
+_AT, _DOT = re.compile(r"\s*(?:[(\[{]at[)\]}]|\sat\s)\s*", re.IGNORECASE), re.compile(r"\s*(?:[(\[{]dot[)\]}]|\sdot\s)\s*", re.IGNORECASE)
+_MASKED = re.compile(r"\*\*|xx|XX")
+_FENCED = re.compile(r"[\[({]\.[\])}]")
+
+#: What a token's features say; a token's set of them is a bit mask.
+FEATURES = (
+    "always", "at", "domain", "four groups", "no digit", "1-4 digits", "5-9 digits", "10-13 digits", "14-19 digits", "check digit",
+    "plus", "bracket", "seven digits", "letter", "mixed", "key name", "altered", "masked",
+)
+#: A bound of the sets that can occur: five digit classes, and all else free.
+_MASKS = 6 * 2 ** (len(FEATURES) - 6)
+
+
+def features(token: str, digits: str, keyed: bool = False) -> int:
+    """The bit mask of a token's features."""
     n = len(digits)
-    dots = token.count(".")
-    return [
-        1,
+    core = token.strip(_CORE)
+    plain = _FENCED.sub(".", core)
+    parts = plain.split(".")
+    letters = any(c.isalpha() for c in core)
+    masked = n >= 4 and _MASKED.search(token) is not None
+    found = (
+        True,
         "@" in token,
-        "@" in token and "." in token.rpartition("@")[2],
-        dots == 3 and all(p and small(p) for p in token.strip("()[]{},;:!?\"'.").split(".") if p.isdecimal()),
-        n <= 4,
+        "@" in token and "." in token.rpartition("@")[2].strip(_CORE),
+        len(parts) == 4 and all(p.isdecimal() and p.isascii() and small(p) for p in parts),
+        n == 0,
+        1 <= n <= 4 and not masked,
         5 <= n <= 9,
         10 <= n <= 13,
         14 <= n <= 19,
         14 <= n <= 19 and luhn(digits),
-        "+" in token or "(" in token,
-        "-" in token,
-        any(c.isalpha() for c in token),
-    ]
+        token.startswith("+"),
+        "(" in token or ")" in token,
+        bool(_SEVEN.search(core)),
+        letters,
+        letters and n > 0 and "@" not in token and bool(_MIXED.fullmatch(core)) and len(set(core.lower())) >= 8,
+        keyed,
+        plain != core,
+        masked,
+    )
+    return sum(1 << i for i, f in enumerate(found) if f)
+
+
+def _bits(*names: str) -> int:
+    return sum(1 << FEATURES.index(name) for name in names)
+
+
+#: Emails spelled out, and the altered copies that are learnt beside each observed email, address and card.
+SPELLED = _bits("always", "at", "domain", "no digit", "letter", "altered")
+ALTERED = {EMAIL + 1: SPELLED, IP + 1: _bits("always", "four groups", "10-13 digits", "altered"), CARD + 1: _bits("always", "masked")}
+_SECRET = _bits("mixed", "key name")
 
 
 @dataclass
 class Graph:
-    """The tokens of a text: places, features, pattern labels, chain and skip links."""
+    """The tokens of a text: places, numbers, feature masks, observed labels, chain and skip links."""
 
     at: list[tuple[int, int]] = field(default_factory=list)
-    x: list[list[int]] = field(default_factory=list)
+    x: list[int] = field(default_factory=list)
     y: list[int] = field(default_factory=list)
     chain: list[tuple[int, int]] = field(default_factory=list)
     skip: list[tuple[int, int]] = field(default_factory=list)
+    number: list[int] = field(default_factory=list)
+
+
+def spelled_emails(text: str) -> list[tuple[int, int]]:
+    lower = text.lower()
+    if "dot" not in lower or ("at" not in lower and "@" not in lower):
+        return []
+    return [m.span() for m in _SPELLED.finditer(text) if not _WORDY.search(m[0]) or m[0].split()[-1].lower() in DOMAINS]
+
+
+def may_hold(text: str) -> bool:
+    return _DIGIT.search(text) is not None or "@" in text or bool(spelled_emails(text))
+
+
+def keys_of(token: str, digits: str) -> set[str]:
+    """Tokens that share a key are alike."""
+    token = _DOT.sub(".", _AT.sub("@", token))
+    keys = {"=" + "".join(c for c in token.lower() if c.isalnum() or c == "@")}
+    if len(digits) >= 7:
+        keys.add("7" + digits[-7:])
+    if len(digits) >= 14 or (len(digits) >= 4 and _MASKED.search(token)):
+        keys.add("masked" + digits[-4:])
+    return {k for k in keys if len(k) > 3}
 
 
 def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
     g, last_of, k, before = Graph(), {}, 0, None
+    spelled, s = spelled_emails(text), 0
     for number, m in enumerate(_TOKEN.finditer(text)):
-        token = m[0]
-        if "@" not in token and not _DIGIT.search(token):
+        start, end = m.span()
+        while s < len(spelled) and spelled[s][1] <= start:
+            s += 1
+        if altered := s < len(spelled) and start < spelled[s][1] and end > spelled[s][0]:
+            if g.at and g.at[-1] == spelled[s]:
+                continue  # a later token of the same spelled email
+            start, end = spelled[s]
+        token = text[start:end]
+        if not altered and "@" not in token and not _DIGIT.search(token):
             continue
         i, digits = len(g.at), _NO_DIGITS.sub("", token)
-        while k < len(base) and base[k][2] <= m.start():
+        while k < len(base) and base[k][2] <= start:
             k += 1
-        label = next((b[1] + 1 for b in base[k : k + 8] if b[0] < m.end() and b[2] > m.start()), 0)
-        g.at.append(m.span())
-        g.x.append(features(token, digits))
+        label = next((b[1] + 1 for b in base[k : k + 8] if b[0] < end and b[2] > start), 0)
+        body = start + len(token) - len(token.lstrip(_CORE))
+        g.at.append((start, end))
+        g.x.append(SPELLED if altered else features(token, digits, bool(_KEY_NAME.search(text, max(0, body - 40), body))))
         g.y.append(label)
+        g.number.append(number)
         if before is not None and number - before <= 2:
             g.chain.append((i - 1, i))
         before = number
-        keys = {"=" + "".join(c for c in token.lower() if c.isalnum() or c == "@")}
-        if len(digits) >= 7:
-            keys.add("7" + digits[-7:])
-        for key in keys:
-            if key in last_of and len(key) > 3:
+        for key in keys_of(token, digits):
+            if key in last_of:
                 g.skip.append((last_of[key], i))
             last_of[key] = i
     g.skip = sorted(set(g.skip))
@@ -177,36 +264,61 @@ class Weights:
 
 
 def default_weights() -> Weights:
-    return Weights([[0.0] * len(LABELS) for _ in range(_FEATURES)], [[0.0] * len(LABELS) for _ in LABELS], 2.0)
+    return Weights([[0.0] * len(LABELS) for _ in FEATURES], [[0.0] * len(LABELS) for _ in LABELS], 2.0)
+
+
+def observations(g: Graph) -> Iterator[tuple[str, int, int]]:
+    """What a text's graph teaches: ("token", mask, label), ("chain", label, label) and ("skip", 0, alike)."""
+    y = [v or (SECRET + 1 if x & _SECRET == _SECRET else 0) for x, v in zip(g.x, g.y)]
+    top = tops(g)
+    known = {t for t, v in zip(top, y) if v}
+    for x, v, t in zip(g.x, y, top):
+        if v or t not in known:
+            yield "token", x, v
+        if v in ALTERED:
+            yield "token", ALTERED[v], v
+    for i, j in g.chain:
+        yield "chain", y[i], y[j]
+    for i, j in g.skip:
+        if y[i] and y[j]:
+            yield "skip", 0, int(y[i] == y[j])
+
+
+def unpacked(masks: list[int]):
+    """Feature masks as rows of 0 and 1."""
+    import numpy as np
+
+    return (np.array(masks, np.int64).reshape(-1, 1) >> np.arange(len(FEATURES)) & 1).astype(float)
 
 
-def learn(graphs: list[Graph], steps: int = 300, rate: float = 1.0, decay: float = 1e-4) -> Weights:
+def learn(counts: dict[tuple[str, int, int], int], steps: int = 400, rate: float = 1.0, decay: float = 1e-4) -> Weights:
+    """Weights from how often each of the ``observations`` occurs."""
     import numpy as np
 
     n = len(LABELS)
-    used = []
-    for g in graphs:
-        top = tops(g)
-        known = {t for t, v in zip(top, g.y) if v}
-        used += [(f, v) for f, v, t in zip(g.x, g.y, top) if v or t not in known]
+    used = sorted((mask, label, c) for (kind, mask, label), c in counts.items() if kind == "token")
     if not used:
         return default_weights()
-    x, y = np.array([f for f, _ in used], float), np.array([v for _, v in used])
+    x, y = unpacked([m for m, _, _ in used]), np.array([v for _, v, _ in used])
+    share = np.array([c for _, _, c in used], float)
+    # rare labels and frequent ones teach alike: the root of a label's count is its weight
+    totals = np.bincount(y, share, n)
+    share /= np.sqrt(totals[y])
+    share /= share.sum()
     target, w, moment = np.eye(n)[y], np.zeros((x.shape[1], n)), np.zeros((x.shape[1], n))
     for _ in range(steps):
         s = x @ w
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        moment = 0.9 * moment + x.T @ (target - p) / len(x) - decay * w
+        moment = 0.9 * moment + x.T @ ((target - p) * share[:, None]) - decay * w
         w += rate * moment
-    own = np.bincount(y, minlength=n) + 1.0
     pairs = np.ones((n, n))
-    for g in graphs:
-        for i, j in g.chain:
-            pairs[g.y[i], g.y[j]] += 1
-    chain = np.log(pairs / pairs.sum()) - np.log(np.outer(own, own) / own.sum() ** 2)
-    alike = [g.y[i] == g.y[j] for g in graphs for i, j in g.skip if g.y[i] and g.y[j]]
-    skip = float(np.log((sum(alike) + 1) / (len(alike) - sum(alike) + 1)) + np.log(n - 1))
+    for (kind, a, b), c in counts.items():
+        if kind == "chain":
+            pairs[a, b] += c
+    chain = np.log(pairs / pairs.sum()) - np.log(np.outer(pairs.sum(1), pairs.sum(0)) / pairs.sum() ** 2)
+    alike, unlike = counts.get(("skip", 0, 1), 0), counts.get(("skip", 0, 0), 0)
+    skip = float(np.log((alike + ALIKE) / (unlike + 1)) + np.log(n - 1))
     return Weights(w.tolist(), np.clip(chain, -2, 2).tolist(), max(1.0, min(skip, 5.0)))
 
 
@@ -215,7 +327,7 @@ def marginals(g: Graph, w: Weights):
     import numpy as np
 
     n, k = len(g.at), len(LABELS)
-    unary = np.array(g.x, float) @ np.array(w.unary)
+    unary = unpacked(g.x) @ np.array(w.unary)
     y = np.array(g.y)
     seen = y > 0
     unary[seen] = -30.0
@@ -249,52 +361,76 @@ def marginals(g: Graph, w: Weights):
     return p / p.sum(axis=1, keepdims=True)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]], w: Weights) -> list[tuple[int, int, int]]:
-    """Spans (start, kind, end) of tokens beside the patterns' that the field labels."""
-    g = graph_of(text, base)
-    if all(g.y) or not g.skip:
-        return []
-    p = marginals(g, w)
+def whole(kind: int, text: str) -> bool:
+    """Whether a text is all of an item of a kind, and not only a part of one."""
+    n = len(_NO_DIGITS.sub("", text))
+    if kind == EMAIL:
+        return bool(_SPELLED.fullmatch(text)) or bool(emails(text))
+    if kind == IP:
+        return len(parts := _FENCED.sub(".", text).split(".")) == 4 and all(p.isdecimal() and small(p) for p in parts)
+    if kind == CARD:
+        return 14 <= n <= 19
+    return 10 <= n <= 15 if kind == PHONE else len(text) >= 16
+
+
+def decode(text: str, g: Graph, p) -> list[tuple[int, int, int]]:
+    """Spans (start, kind, end) of tokens beside the patterns' from the label probabilities."""
     top = tops(g)
-    known = {(t, y) for t, y in zip(top, g.y) if y}
-    out = []
-    for i, (a, b) in enumerate(g.at):
-        label = int(p[i].argmax())
-        if g.y[i] or not label or p[i, label] < SURE or (top[i], label) not in known:
+    label = [y or (int(q.argmax()) if q.max() >= SURE else 0) for y, q in zip(g.y, p)]
+    runs: list[list[int]] = []
+    for i, v in enumerate(label):
+        if not v or g.y[i]:
             continue
+        last = runs[-1][-1] if runs else None
+        more = last is not None and last == i - 1 and label[last] == v == PHONE + 1 and g.number[i] == g.number[last] + 1 and text[g.at[i][0]] != "+"
+        if more:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    found, known = [], {(t, y) for t, y in zip(top, g.y) if y}
+    for run in runs:
+        kind, (a, b) = label[run[0]] - 1, (g.at[run[0]][0], g.at[run[-1]][1])
         while a < b and not (text[a].isalnum() or text[a] in "+("):
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
         if a < b:
-            out.append((a, label - 1, b))
-    return out
+            complete = whole(kind, text[a:b])
+            found.append((a, kind, b, complete, {top[i] for i in run}))
+            if complete:
+                known |= {(top[i], kind + 1) for i in run}
+    return [(a, kind, b) for a, kind, b, complete, ts in found if complete or any((t, kind + 1) in known for t in ts)]
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]], w: Weights) -> list[tuple[int, int, int]]:
+    """Spans (start, kind, end) beside the patterns' that the field gives."""
+    g = graph_of(text, base)
+    return [] if all(g.y) else decode(text, g, marginals(g, w))
 
 
 def find_spans(text: str, w: Weights) -> list[tuple[int, int, int, bool]]:
+    if not may_hold(text):
+        return []
     base = base_spans(text)
-    more = added_spans(text, base, w) if base else []
-    return sorted([(*s, True) for s in base] + [(*s, False) for s in more])
+    return sorted([(*s, True) for s in base] + [(*s, False) for s in added_spans(text, base, w)])
 
 
-def fit(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Weights:
-    """Weights from at most ``sample`` documents that hold a digit or ``@``."""
-    some = df.select(text_col).where(F.col(text_col).rlike("[0-9@]"))
-    some = some.orderBy(F.xxhash64(text_col)).limit(sample)
+def fit(df: DataFrame, text_col: str = "text") -> Weights:
+    """Weights from counts over all of df's texts."""
 
     def run(batches):
-        import json
-
         import pyarrow as pa
 
+        counts: Counter = Counter()
         for batch in batches:
-            graphs = [graph_of(t, base) for t in batch.column(0).to_pylist() if (base := base_spans(t))]
-            yield pa.RecordBatch.from_pydict({"g": [json.dumps([[[int(v) for v in x] for x in g.x], g.y, g.chain, g.skip]) for g in graphs]}, schema=pa.schema([("g", pa.string())]))
-
-    import json
+            for t in batch.column(0):
+                if (text := t.as_py()) and may_hold(text):
+                    counts.update(observations(graph_of(text, base_spans(text))))
+        rows = [(*key, n) for key, n in sorted(counts.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["kind", "a", "b", "n"])
 
-    rows = sorted(r.g for r in some.mapInArrow(run, "g string").collect())  # ``sample`` rows at most
-    return learn([Graph([], x, y, chain, skip) for x, y, chain, skip in map(json.loads, rows)])
+    sums = df.select(text_col).mapInArrow(run, "kind string, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return learn({(r.kind, r.a, r.b): r.n for r in sums.collect()})
 
 
 def tag(df: DataFrame, weights: Weights | None = None, text_col: str = "text") -> DataFrame:
@@ -311,7 +447,7 @@ def tag(df: DataFrame, weights: Weights | None = None, text_col: str = "text") -
 
         kind = to_arrow_schema(schema).field("spans").type
         for batch in batches:
-            rows = [[{"kind": KINDS[k], "start": a, "end": b, "base": base} for a, k, b, base in find_spans(t.as_py() or "", weights)] for t in batch.column(at)]
+            rows = [[{"kind": ALL_KINDS[k], "start": a, "end": b, "base": base} for a, k, b, base in find_spans(t.as_py() or "", weights)] for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "spans"])
 
     return df.mapInArrow(run, schema)

@@ -114,7 +114,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s.base)
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     counts = [F.size(F.filter(base, _is(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
-    return tagged.select("doc_id", *counts, F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    more = [F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: ~s.base)).cast("long").alias("n_added")]
+    return tagged.select("doc_id", *counts, F.sha2(F.encode(listed(base), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *more)
 
 
 def _is(kind: str):
