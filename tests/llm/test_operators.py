@@ -425,6 +425,7 @@ def near_copies(n, seed):
 @pytest.mark.parametrize("tile", [7, 4096])
 def test_simhash_components(spark, odd, monkeypatch, tile):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "LARGE_TILE", tile)
     df = odd.unionByName(spark.createDataFrame([(50 + i, t, "en", "s", 1) for i, t in enumerate(near_copies(60, 5))], SCHEMA))
     prints = simhash.fingerprints(clashing(df, "words", "component_id"), "text", 4)
     rows = simhash.near_duplicates(prints, 4).collect()
@@ -463,6 +464,31 @@ def test_forest_has_links_whose_bits_lie_in_one_word(split):
     assert list(simhash.link_forest(np.stack([a[0], b[0], a[2]]), np.stack([a[0], b[0], a[2]]), True, 46)) in ([(0, 1)], [(1, 0)])
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_similar_duplicates_are_exact(spark, odd, monkeypatch, block):
+    """Groups of near copies, and chains of texts of which only some neighbours are near enough."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng, made = random.Random(9), near_copies(25, 8)
+    for t in texts(6, 77, (80, 160)):
+        w = t.split(" ")
+        for _ in range(12):  # a chain: each text differs a little more from the first
+            w = list(w)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            made.append(" ".join(w))
+    rows = [(50 + i, t, "en", "s", 1) for i, t in enumerate(made)]
+    df = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(spark.createDataFrame(rows, SCHEMA))
+    docs = clashing(df, "words", "same", "component_id", "part", "id", "group")
+    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs, "text", "doc_id", 5, 0.8, 76, 4).collect()}
+    all_rows = sorted((r.doc_id, r.text) for r in df.collect())
+    sets = [set(simhash._hashes(t, 5)) for _, t in all_rows]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = components(len(sets), links)
+    assert got == {d: all_rows[c][0] for (d, _), c in zip(all_rows, label)}
+    assert 20 < len(set(label)) < len(label) and any(0.6 < len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8 for i in range(60, len(sets)) for j in range(i))
+    assert simhash.similar_duplicates(docs.where("false"), "text", "doc_id", 5, 0.8, 76, 4).collect() == []
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)] + [(7, 7)]

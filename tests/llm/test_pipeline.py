@@ -33,6 +33,9 @@ def corpus():
         rows.append("\n".join(lines))
     for t in docs[20:25]:  # near copies whose lines all differ a little
         rows.append("\n".join(x + (" more" if k % 2 else " still") for k, x in enumerate(t.split("\n"))))
+    for _ in range(6):  # long lines, and copies of them that all differ by a word at their end
+        lines = [" ".join(sentence() for _ in range(5)) for _ in range(4)]
+        rows += ["\n".join(lines), "\n".join(x + " more" for x in lines), "\n".join(x + " still" for x in lines)]
     for i in range(4):  # a shared passage in new documents
         rows.append("\n".join(sentence() for _ in range(8)) + "\n" + passage + "\n" + sentence())
     rows += ["\n".join("### $$$ %%% ZQ&&& ***" * 1 for _ in range(60)) + f" {i}" for i in range(3)]
@@ -92,18 +95,32 @@ def test_lines(stages):
 
 def test_near_copies(stages):
     rows = sorted(stages[2])
-    fp = np.array([simhash.fingerprint(r[1], P.SHINGLE, P.BITS // 64) for r in rows], np.uint64)
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if np.bitwise_count(fp[i] ^ fp[j]).sum() <= P.RADIUS]
-    label = components(len(rows), links)
-    assert sorted((r for i, r in enumerate(rows) if label[i] == i), key=str) == stages[3]
 
     def shingles(t):
         w = t.lower().split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
     sets = [shingles(r[1]) for r in rows]
-    for i, j in links:
-        assert len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > 0.5
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = components(len(rows), links)
+    assert len(links) >= 12 and sorted((r for i, r in enumerate(rows) if label[i] == i), key=str) == stages[3]
+
+
+def test_near_copies_of_a_whole_table(spark):
+    """All links of the exact similarity between all documents at sf0.01, by an inverted list."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs, "text", "doc_id", P.SHINGLE, P.SIMILARITY, P.RADIUS, P.BITS // 64).collect()}
+    rows = sorted(docs.collect())
+    sets = [set(simhash._hashes(r.text, P.SHINGLE)) for r in rows]
+    holders, links = collections.defaultdict(list), []
+    for j, s in enumerate(sets):
+        shared = collections.Counter(i for h in s for i in holders[h])
+        links += [(i, j) for i, n in shared.items() if n >= P.SIMILARITY * (len(sets[i]) + len(s) - n)]
+        for h in s:
+            holders[h].append(j)
+    none = [j for j, s in enumerate(sets) if not s]
+    label = components(len(rows), links + list(zip(none, none[1:])))
+    assert got == {r.doc_id: rows[c].doc_id for r, c in zip(rows, label)}
 
 
 def test_mixture(stages):

@@ -12,7 +12,12 @@ pair gives a spanning forest of its links, so a group of ``n`` gives ``n - 1`` r
 Components of the links are found by ``graph.connected_components``.
 
 The comparison is exact, so its work grows with the square of the distinct fingerprints; the
-classes divide that by a constant (by 3 for 64 bits and radius 4).
+classes divide that by a constant (by 3 for 64 bits and radius 4).  Tiles grow with the work up to
+``LARGE_TILE``, and what is moved is the square of the fingerprints over the tile's size.  Only a
+table of the classes is broadcast, of which there are 33 x 33 at most.
+
+``similar_duplicates`` links by the exact Jaccard similarity of the sets of shingles; there the
+fingerprints, at a wider radius, only choose the candidates.
 
 Nulls and odd input.  A null text is the empty text.  Texts without words have fingerprint zero and
 are linked like any other.  Null ids count last as a component's smallest.  Repeated rows share a
@@ -22,36 +27,49 @@ columns pass through; those that are named like the added ones are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from vectide.llm.common import cleared, stored
 from vectide.llm.graph import connected_components
 
-TILE = 4096
+#: Fingerprints of a tile: the least, and where there are very many.
+TILE, LARGE_TILE = 4096, 65_536
+#: Items of a block that are compared by their whole shingle sets.
+BLOCK = 512
 #: Comparisons, and bytes of tiles, that a task has about.
 WORK, BYTES = 500_000_000, 16_000_000
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def fingerprint(text: str | None, width: int, n_words: int = 1) -> list[int]:
-    """The fingerprint of a text as unsigned 64-bit words."""
+def _hashes(text: str | None, width: int) -> list[int]:
+    """The XXH64 of a text's shingles, repeats included."""
     import numpy as np
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * n_words
+        return []
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [hashed(joined, 42)]
-    else:
-        at = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
-        hashes = [hashed(joined[a:b], 42) for a, b in zip(at[:-width].tolist(), (at[width:] - 1).tolist())]
+        return [hashed(joined, 42)]
+    at = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
+    return [hashed(joined[a:b], 42) for a, b in zip(at[:-width].tolist(), (at[width:] - 1).tolist())]
+
+
+def fingerprint(text: str | None, width: int, n_words: int = 1) -> list[int]:
+    """The fingerprint of a text as unsigned 64-bit words."""
+    import numpy as np
+
+    hashes = _hashes(text, width)
+    if not hashes:
+        return [0] * n_words
     h, out = np.array(hashes, np.uint64), []
     for k in range(n_words):
         if k:
@@ -67,21 +85,37 @@ def fingerprint(text: str | None, width: int, n_words: int = 1) -> list[int]:
 
 def fingerprints(df: DataFrame, text_col: str, width: int, n_words: int = 1, words_col: str = "words") -> DataFrame:
     """df without its text, with the fingerprint as ``words array<long>``."""
+    row = lambda t: ([w - (w >> 63 << 64) for w in fingerprint(t, width, n_words)],)
+    return _mapped(df, text_col, [T.StructField(words_col, T.ArrayType(T.LongType()))], row)
+
+
+#: Numbers that a Python worker holds as output at once, about.
+_HELD = 1_000_000
+
+
+def _mapped(df: DataFrame, text_col: str, added: list[T.StructField], row) -> DataFrame:
+    """df without its text and with the columns ``added``, from ``row(text)``, in small Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    df = cleared(df, words_col)
+    df = cleared(df, *[f.name for f in added])
     kept = [c for c in df.columns if c != text_col]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(words_col, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(df.schema[c] for c in kept), *added])
     text_at = df.columns.index(text_col)
     keep_at = [df.columns.index(c) for c in kept]
 
     def run(batches):
         import pyarrow as pa
 
-        kind = to_arrow_schema(schema).field(words_col).type
+        kinds = [to_arrow_schema(schema).field(f.name).type for f in added]
         for batch in batches:
-            rows = [[w - (w >> 63 << 64) for w in fingerprint(t.as_py(), width, n_words)] for t in batch.column(text_at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep_at), pa.array(rows, kind)], names=[*kept, words_col])
+            rows, first, held = [], 0, 0
+            for i in range(batch.num_rows):
+                rows.append(row(batch.column(text_at)[i].as_py()))
+                held += sum(len(v) for v in rows[-1] if hasattr(v, "__len__"))
+                if held >= _HELD or i == batch.num_rows - 1:
+                    part = batch.slice(first, len(rows))
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep_at), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=schema.names)
+                    rows, first, held = [], i + 1, 0
 
     return df.mapInArrow(run, schema)
 
@@ -153,25 +187,33 @@ def links(items: DataFrame, radius: int, n_words: int = 1) -> DataFrame:
     high, low, offsets = _class(radius, n_words)
     items = items.select("id", "words", high.alias("h"), low.alias("w"))
     sizes = {(r.h, r.w): r.n for r in items.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).collect()}  # 33 x 33 classes at most
-    tiles = {c: -(-n // TILE) for c, n in sizes.items()}
     met = [(c, d) for c in sizes for o in offsets if (d := (c[0] + o[0], c[1] + o[1])) in sizes]
     work = sum(sizes[c] * sizes[d] for c, d in met)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # larger tiles where there are many, so that what is moved grows slower than the comparisons
+    size = min(LARGE_TILE, max(TILE, math.isqrt(max(1, work // (64 * least)))))
+    tiles = {c: -(-n // size) for c, n in sizes.items()}
     moved = sum(tiles[c] * tiles[d] * 8 * (n_words + 1) * (sizes[c] / tiles[c] + sizes[d] / tiles[d]) for c, d in met)
-    tasks = int(min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), work / WORK, moved / BYTES)))
-    counts = spark.createDataFrame([(*c, k) for c, k in tiles.items()] or [(0, 0, 1)], "h int, w int, tiles int").coalesce(1)
-    pairs = spark.createDataFrame([(*c, *d) for c, d in met] or [(0, 0, 0, 0)], "h int, w int, h2 int, w2 int").coalesce(1)
-
-    cut = items.join(F.broadcast(counts), ["h", "w"]).withColumn("k", F.pmod(F.xxhash64("words", F.lit(7)), F.col("tiles")).cast("int"))
+    tasks = int(max(least, work / WORK, moved / BYTES))
+    # one row a class, of which there are 33 x 33 at most, with the classes that it meets: 41 at most
+    after, before = {c: [] for c in sizes}, {c: [] for c in sizes}
+    for c, d in met:
+        after[c].append((*d, tiles[d]))
+        before[d].append((*c, tiles[c]))
+    kind = "array<struct<h:int,w:int,tiles:int>>"
+    table = spark.createDataFrame([(*c, tiles[c], after[c], before[c]) for c in sizes] or [(0, 0, 1, [], [])], f"h int, w int, tiles int, after {kind}, before {kind}").coalesce(1)
+
+    cut = items.join(F.broadcast(table.select("h", "w", "tiles")), ["h", "w"]).withColumn("k", F.pmod(F.xxhash64("words", F.lit(7)), F.col("tiles")).cast("int"))
     tile = cut.groupBy("h", "w", "k").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("words")).alias("all"))
-    tile = stored(tile, "tiles")
-    seconds = counts.select(F.col("h").alias("h2"), F.col("w").alias("w2"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("k2"))
-    left = tile.join(F.broadcast(pairs.join(seconds, ["h2", "w2"])), ["h", "w"])
-    left = left.where("h <> h2 or w <> w2 or k <= k2").repartition(tasks, "h2", "w2", "k2", "k")
-    right = tile.select(F.col("h").alias("h2"), F.col("w").alias("w2"), F.col("k").alias("k2"), F.col("ids").alias("ids2"), F.col("all").alias("all2"))
+    tile = stored(tile, "tiles").join(F.broadcast(table), ["h", "w"])
+    every = lambda classes: F.explode(F.flatten(F.transform(classes, lambda c: F.transform(F.sequence(F.lit(0), c.tiles - 1), lambda k: F.struct(c.h.alias("h"), c.w.alias("w"), k.alias("k"))))))
     # dealt by both tiles of a pair, so that tiles of a large class don't meet in one task
-    firsts = pairs.join(counts.select("h", "w", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("k")), ["h", "w"])
-    right = right.join(F.broadcast(firsts), ["h2", "w2"]).where("h <> h2 or w <> w2 or k <= k2").repartition(tasks, "h2", "w2", "k2", "k")
-    met_tiles = left.join(right.hint("shuffle_hash"), ["h2", "w2", "k2", "k", "h", "w"])
+    keys, once = ["h2", "w2", "k2", "k", "h", "w"], "h <> h2 or w <> w2 or k <= k2"
+    left = tile.select("h", "w", "k", "ids", "all", every(F.col("after")).alias("x"))
+    left = left.select("h", "w", "k", "ids", "all", F.col("x.h").alias("h2"), F.col("x.w").alias("w2"), F.col("x.k").alias("k2")).where(once).repartition(tasks, *keys)
+    right = tile.select(F.col("h").alias("h2"), F.col("w").alias("w2"), F.col("k").alias("k2"), F.col("ids").alias("ids2"), F.col("all").alias("all2"), every(F.col("before")).alias("x"))
+    right = right.select("h2", "w2", "k2", "ids2", "all2", F.col("x.h").alias("h"), F.col("x.w").alias("w"), F.col("x.k").alias("k")).where(once).repartition(tasks, *keys)
+    met_tiles = left.join(right.hint("shuffle_hash"), keys)
     same = (F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2")) & (F.col("k") == F.col("k2"))
 
     def run(batches):
@@ -203,3 +245,143 @@ def near_duplicates(prints: DataFrame, radius: int, n_words: int = 1, id_col: st
     least = stored(labelled.groupBy("part").agg(F.min("least").alias("component_id")), "components")
     named = labelled.join(least, "part").select("words", "component_id")
     return prints.join(named, "words")
+
+
+def shingle_hashes(text: str | None, width: int):
+    """The distinct hashes of a text's shingles, sorted."""
+    import numpy as np
+
+    return np.unique(np.array(_hashes(text, width), np.uint64))
+
+
+def shingle_sets(df: DataFrame, text_col: str, width: int, n_words: int, words_col: str = "words") -> DataFrame:
+    """df without its text, with the fingerprint and ``same long``: a hash of the set of shingles."""
+    return _mapped(df, text_col, [T.StructField(words_col, T.ArrayType(T.LongType())), T.StructField("same", T.LongType())], lambda t: _print_and_set(t, width, n_words))
+
+
+def _print_and_set(text: str | None, width: int, n_words: int) -> tuple:
+    import xxhash
+
+    signed = lambda w: w - (w >> 63 << 64)
+    return [signed(w) for w in fingerprint(text, width, n_words)], signed(xxhash.xxh64_intdigest(shingle_hashes(text, width).tobytes(), 1))
+
+
+def similar(a, b, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have the Jaccard similarity or more; two empty ones have."""
+    import numpy as np
+
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def similar_links(sets: list, groups: list[int], first: list[bool], second: list[bool], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that join ``groups`` of sets further: pairs of one of ``first`` and one of ``second`` by exact similarity.
+
+    The shared hashes are counted by an inverted list.  Pairs whose groups are joined already are
+    passed over, so there is less than one link for each set.
+    """
+    import numpy as np
+
+    parent = {g: g for g in groups}
+
+    def top(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = g = parent[parent[g]]
+        return g
+
+    sizes = np.array([len(x) for x in sets])
+    holders = [i for i, f in enumerate(first) if f]
+    values = np.concatenate([sets[i] for i in holders]) if holders else np.zeros(0, np.uint64)
+    owner = np.repeat(holders, sizes[holders]) if holders else np.zeros(0, int)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for j, asked in enumerate(second):
+        if not asked:
+            continue
+        lo, hi = np.searchsorted(values, sets[j], "left"), np.searchsorted(values, sets[j], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if n.sum() else np.zeros(0, int)
+        both = np.bincount(owner[at], minlength=len(sets))
+        near = np.flatnonzero((both > 0) & (both >= similarity * (sizes + sizes[j] - both)))
+        for i in near.tolist():
+            a, b = top(groups[i]), top(groups[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                yield i, j
+
+
+def similar_duplicates(docs: DataFrame, text_col: str, key_col: str, width: int, similarity: float, radius: int, n_words: int) -> DataFrame:
+    """``(key, component_id)``: the smallest key that links of exact Jaccard ``similarity`` or more reach.
+
+    1. Texts with equal shingle sets are one item.
+    2. Fingerprints within ``radius``, which is wide, make candidate groups (``links`` and components).
+    3. The candidate links that were found are tried by the exact similarity; those that hold join
+       items to parts.
+    4. A candidate group of one part is done.  In the others all pairs of items of different parts
+       are tried, in blocks of ``BLOCK`` items, sorted by part, so that pairs of blocks of one part
+       drop out.  Groups of copies thus cost a link for each item; only parts that are near each
+       other and yet not linked cost all their pairs.
+
+    ``docs`` must give the same rows each time it is read.
+    """
+    prints = stored(shingle_sets(docs.select(key_col, text_col), text_col, width, n_words), "shingle-sets")
+    items = prints.groupBy("words", "same").agg(F.min(key_col).alias("least"))
+    items = stored(items.withColumn("id", F.monotonically_increasing_id()), "items")
+    found = stored(links(items.select("id", "words"), radius, n_words), "candidate-links")
+    group = stored(connected_components(found).select(F.col("node").alias("id"), F.col("component").alias("group")), "candidate-groups")
+    # the sets of items that have a candidate, each from the text of the item's smallest key
+    wanted = items.join(group, "id").select("id", "least")
+    texts = docs.select(F.col(key_col).alias("least"), F.col(text_col).alias("text")).join(wanted, "least")
+    sets = stored(_mapped(texts.select("id", "text"), "text", [T.StructField("hashes", T.ArrayType(T.LongType()))], lambda t: (shingle_hashes(t, width).view("int64"),)), "sets")
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+    sure = stored(tried(found.select("u", "v").distinct()), "links")
+    part = connected_components(sure).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    grouped = stored(group.join(part, "id", "left").select("id", "group", F.coalesce("part", "id").alias("part")), "parts")
+    split = grouped.groupBy("group").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n")).where("parts > 1")
+    more = stored(_across_parts(stored(grouped.join(split, "group"), "split-groups"), sets, similarity), "more-links")
+    joined = connected_components(sure.unionByName(more))
+    labelled = items.join(joined.withColumnRenamed("node", "id"), "id", "left").select("words", "same", "least", F.coalesce("component", "id").alias("part"))
+    least = stored(labelled.groupBy("part").agg(F.min("least").alias("component_id")), "components")
+    named = labelled.join(least, "part").select("words", "same", "component_id")
+    return prints.join(named, ["words", "same"]).select(key_col, "component_id")
+
+
+def _across_parts(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between different parts of the groups of ``members(id, group, part, n)``, block by block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = members.where(blocks > 1)
+    # places in order of parts: counts of parts' items before, and a part's items in any order
+    sizes = large.groupBy("group", "part").agg(F.count(F.lit(1)).alias("c"))
+    ahead = sizes.withColumn("ahead", F.sum("c").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = large.join(ahead.select("group", "part", "c", F.coalesce("ahead", F.lit(0)).alias("ahead")), ["group", "part"])
+    # within a part blocks are dealt by hash, so that no task sorts a large part
+    start, end = F.floor(F.col("ahead") / BLOCK), F.floor((F.col("ahead") + F.col("c") - 1) / BLOCK)
+    placed = placed.withColumn("block", (start + F.pmod(F.xxhash64("id"), (end - start + 1))).cast("int")).select("id", "group", "part", "block", blocks.alias("blocks"))
+    small = members.where(blocks <= 1).select("id", "group", "part", F.lit(0).alias("block"), F.lit(1).alias("blocks"))
+    rows = stored(placed.unionByName(small), "blocks")
+    kept = rows.groupBy("group", "block").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.first("blocks").alias("blocks"))
+    kept = stored(kept, "block-parts")
+    left = kept.select("group", F.col("block").alias("b1"), F.col("low").alias("low1"), F.col("high").alias("high1"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("b2"))
+    pairs = left.join(kept.select("group", F.col("block").alias("b2"), "low", "high"), ["group", "b2"])
+    pairs = stored(pairs.where("low1 <> high1 or low <> high or low1 <> low").select("group", "b1", "b2"), "block-pairs")
+    sides = pairs.select("group", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
+    met = sides.join(rows.select("id", "group", "part", "block"), ["group", "block"]).join(sets, "id")
+
+    def run(_, table):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, parts = table["id"].to_pylist(), table["part"].to_pylist()
+        block, one, two = (table[c].to_pylist() for c in ("block", "b1", "b2"))
+        hashes = [np.array(x.as_py(), np.int64).view(np.uint64) for x in table["hashes"]]
+        found = list(similar_links(hashes, parts, [b == k for b, k in zip(block, one)], [b == k for b, k in zip(block, two)], similarity))
+        return pa.table({"u": pa.array([ids[i] for i, _ in found], pa.int64()), "v": pa.array([ids[j] for _, j in found], pa.int64())})
+
+    return met.groupBy("group", "b1", "b2").applyInArrow(run, "u long, v long")
