@@ -7,10 +7,11 @@ lost executor costs one stage at most.
 1. Quality rules: documents that they reject go.
 2. Line dedup: later copies of repeated line runs of 50 words or more go; so do documents of which
    nothing is left.
-3. SimHash near-dedup: fingerprints of 256 bits over shingles of five words.  Two texts whose
-   shingle sets have a Jaccard similarity of 0.8 differ in 39 bits on average, with a deviation of
-   6; texts that share nothing in 128, with a deviation of 8.  Links are fingerprints that differ
-   in at most ``RADIUS`` bits, and of each group the document with the smallest id stays.
+3. SimHash near-dedup: documents whose sets of five-word shingles have a Jaccard similarity of 0.8
+   or more are linked, and of each group the document with the smallest id stays.  Fingerprints of
+   256 bits choose the candidates: such pairs differ in 39 bits on average, with a deviation of 6,
+   texts that share nothing in 128, with a deviation of 8, and candidates in ``RADIUS`` at most.  Each link
+   is then tried by the exact similarity.
 4. Mixing: each source gets a share in proportion to the root of its rows.
 5. Byte-level BPE: ids, and whether they decode to the text.
 
@@ -29,7 +30,7 @@ from vectide.llm.common import stored
 from vectide.llm.tokenizing import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-SHINGLE, BITS, RADIUS = 5, 256, 46
+SHINGLE, SIMILARITY, BITS, RADIUS = 5, 0.8, 256, 76
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     docs = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
     # a row's key: its id, nulls last, then its place in the stage's input
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("_row").alias("row")).alias("key"), "text")
-    prints = stored(simhash.fingerprints(keyed, "text", SHINGLE, BITS // 64), "pipeline-simhash")
-    found = simhash.near_duplicates(prints, RADIUS, BITS // 64, id_col="key")
+    found = simhash.similar_duplicates(keyed, "text", "key", SHINGLE, SIMILARITY, RADIUS, BITS // 64)
     first = found.where(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("_row"))
     return docs.join(first, "_row", "left_semi").select(*COLUMNS)
 
