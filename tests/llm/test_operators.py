@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vectide.llm import bytebpe, flatscan, graph, linededup, media, mixing, pii, quality, seekable, sharding, simhash
+from vectide.llm import baseline, bytebpe, flatscan, graph, linededup, media, mixing, pii, quality, seekable, sharding, simhash
 from vectide.llm.tokenizing import PieceEncoder, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -624,3 +624,114 @@ def test_other_huffman_tables_are_decoded():
     body = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
     frame = head + body + b"\xff\xd9"
     assert (media.decode_frames(frame, [(0, len(frame))]) == x).all()
+
+
+def baseline_frame(planes, sampling=((1, 1),), tables=True, interval=0):
+    """A baseline JPEG file of planes (height, width multiples of whole units), all quantized by 1 and coded by the standard's tables."""
+    k = np.arange(8)
+    cosines = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) / 2 * np.where(k[:, None] == 0, np.sqrt(0.5), 1.0)
+    kinds = [(baseline.DC_LUMINANCE, baseline.AC_LUMINANCE), (baseline.DC_CHROMINANCE, baseline.AC_CHROMINANCE)]
+
+    def codes(table):
+        out, code, at = {}, 0, 0
+        for length, n in enumerate(table[0], 1):
+            for _ in range(n):
+                out[table[1][at]] = format(code, f"0{length}b")
+                code, at = code + 1, at + 1
+            code <<= 1
+        return out
+
+    def number(v):
+        size = abs(v).bit_length()
+        return size, format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
+
+    def block(x, before, kind):
+        dc, ac = map(codes, kinds[kind])
+        c = np.rint(cosines @ (x.astype(float) - 128) @ cosines.T).astype(int).ravel()
+        size, bits = number(int(c[0]) - before)
+        out, run = dc[size] + bits, 0
+        for place in baseline.ZIGZAG[1:]:
+            v = int(c[place])
+            if not v:
+                run += 1
+                continue
+            out += ac[0xF0] * (run // 16)
+            size, bits = number(v)
+            out, run = out + ac[run % 16 << 4 | size] + bits, 0
+        return out + (ac[0] if run else ""), int(c[0])
+
+    (a, d), (height, width) = sampling[0], planes[0].shape
+    wide, high = -(-width // (8 * a)), -(-height // (8 * d))
+    sections, bits, before = [], "", [0] * len(planes)
+    for unit in range(wide * high):
+        if interval and unit and unit % interval == 0:
+            sections.append(bits)
+            bits, before = "", [0] * len(planes)
+        for p, (plane, (n, m)) in enumerate(zip(planes, sampling)):
+            for i in range(n * m):
+                y, x = 8 * (unit // wide * m + i // n), 8 * (unit % wide * n + i % n)
+                more, before[p] = block(plane[y : y + 8, x : x + 8], before[p], min(p, 1))
+                bits += more
+    sections.append(bits)
+    coded = b""
+    for i, bits in enumerate(sections):
+        bits += "1" * (-len(bits) % 8)
+        coded += (bytes([0xFF, 0xD0 + (i - 1) % 8]) if i else b"") + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    segment = media._segment
+    n = len(planes)
+    out = b"\xff\xd8" + segment(0xDB, bytes([0, *[1] * 64]))
+    out += segment(0xC0, struct.pack(">BHHB", 8, height, width, n) + b"".join(bytes([i + 1, s[0] << 4 | s[1], 0]) for i, s in enumerate(sampling)))
+    if tables:
+        for i, (dc, ac) in enumerate(kinds):
+            out += segment(0xC4, bytes([i, *dc[0], *dc[1]])) + segment(0xC4, bytes([0x10 | i, *ac[0], *ac[1]]))
+    if interval:
+        out += segment(0xDD, struct.pack(">H", interval))
+    return out + segment(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0x11 * min(i, 1)]) for i in range(n)) + bytes([0, 63, 0])) + coded + b"\xff\xd9"
+
+
+def test_the_standard_tables_are_whole():
+    want = {run << 4 | size for run in range(16) for size in range(1, 11)} | {0, 0xF0}
+    for counts, symbols in (baseline.AC_LUMINANCE, baseline.AC_CHROMINANCE):
+        assert set(symbols) == want and len(symbols) == sum(counts) == 162
+    assert baseline.ZIGZAG[:10] == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(baseline.ZIGZAG) == list(range(64))
+
+
+@pytest.mark.parametrize(("n", "sampling", "tables", "interval"), [(1, ((1, 1),), True, 0), (1, ((2, 2),), False, 0), (3, ((1, 1),) * 3, True, 2), (3, ((2, 2), (1, 1), (1, 1)), False, 1), (3, ((2, 1), (1, 1), (1, 1)), False, 3)])
+def test_baseline_frames(n, sampling, tables, interval):
+    rng = np.random.default_rng(n)
+    y, x = np.mgrid[0:32, 0:48]
+    luma = np.clip(128 + 60 * np.sin(x / 7) + 40 * np.cos(y / 5) + rng.integers(-20, 20, (32, 48)), 0, 255).astype(np.uint8)
+    a, d = sampling[0]
+    planes = [luma] + [rng.integers(90, 160, (32 * s[1] // d, 48 * s[0] // a)).astype(np.uint8) for s in sampling[1:]]
+    frame = baseline_frame(planes, sampling if n > 1 else ((1, 1),), tables, interval)
+    assert np.abs(baseline.luminance(frame).astype(int) - luma).max() <= 2
+
+
+def test_baseline_clips_and_large_files():
+    rng = np.random.default_rng(1)
+    scenes = [np.clip(rng.integers(lo, lo + 30, (16, 24)), 0, 255).astype(np.uint8) for lo in (10, 110, 210)]
+    frames = [baseline_frame([s]) for s in scenes for _ in range(10)]
+    n, payload, clips, error = media.analyse(media.write_avi(frames, 24, 16))
+    assert (n, error) == (30, None) and [c["start_frame"] for c in clips] == [0, 10, 20] and len(payload) == 30 * 24 * 16
+    # a second RIFF chunk, and frames in rec lists
+    lossless = media.encode_frames(np.arange(3 * 768, dtype=np.uint8).reshape(3, 24, 32))
+    first = media.write_avi(lossless[:1], 32, 24)
+    rec = media._chunk(b"LIST", b"rec " + b"".join(media._chunk(b"00dc", f) for f in lossless[1:]))
+    more = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + rec))
+    assert media.analyse(first + more)[1] == bytes(np.arange(3 * 768, dtype=np.uint8))
+
+
+def test_odd_files_give_rows_with_errors():
+    headless = b"\xff\xd8" + media._segment(0xC4, bytes([0, *media._COUNTS, *media._SYMBOLS])) + media._segment(0xDA, bytes([1, 1, 0, 1, 0, 0])) + b"\xff\xd9"
+    assert media.analyse(media.write_avi([headless], 32, 24))[3] == "no frame header"
+    x = np.arange(768, dtype=np.uint8).reshape(1, 24, 32)
+    for note in ("payload_bytes=-5", "payload_bytes=x", "payload_bytes=99999"):
+        assert media.analyse(media.write_avi(media.encode_frames(x), 32, 24, note))[1] == x.tobytes()
+    good = [media.write_avi(media.encode_frames(x), 32, 24), media.write_avi([baseline_frame([x[0]])], 32, 24)]
+    rng = random.Random(6)
+    for i in range(600):  # damaged files: a result or an error, never an exception
+        data = bytearray(good[i % 2])
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        n, payload, clips, error = media.analyse(bytes(data[: rng.choice([len(data), rng.randrange(len(data))])]))
+        assert (n is None) == (error is not None) == (payload is None)

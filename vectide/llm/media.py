@@ -5,8 +5,11 @@
 code of ``9 - s`` bits, so with its ``s`` extra bits each sample takes nine bits, and a frame can
 be coded and decoded as arrays.  Other tables are decoded symbol by symbol.
 
-``avi_clips`` reads any such file: RIFF chunks, the ``idx1`` index (or a walk over ``movi``
-where there is none), the frames, then shots by adaptive histogram differences.
+``avi_clips`` reads motion-JPEG files: RIFF chunks, the ``idx1`` index of a file of one RIFF chunk,
+or a walk over the ``movi`` lists and their ``rec`` lists where there is none or where more RIFF
+chunks (``AVIX``) follow; then the frames, and shots by adaptive histogram differences.  Frames are
+lossless, or baseline JPEG, of which the luminance is read (``baseline``); other kinds, such as
+progressive frames, give an error row.
 
 Nulls and odd input.  A null text is stored as the empty text.  A null media value or bytes that
 are no readable AVI give ``frames`` null, no clips and a non-null ``error``; the row stays.
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.llm import baseline
 from vectide.llm.common import cleared
 
 #: Payload bytes are padded with this byte to a positive multiple of UNIT.
@@ -135,41 +139,53 @@ def read_avi(media: bytes) -> dict:
     data = memoryview(media)
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no RIFF AVI file")
-    out, movi, index = {"fps": float(FPS), "comment": ""}, None, None
-    todo = [(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))]
-    while todo:
-        for name, at, size in _chunks(data, *todo.pop()):
-            if name == b"LIST":
-                kind = bytes(data[at : at + 4])
-                if kind == b"movi":
-                    movi = (at, at + size)
-                else:
-                    todo.append((at + 4, at + size))
-            elif name == b"strh" and data[at : at + 4] == b"vids":
-                scale, rate = struct.unpack_from("<II", data, at + 20)
-                out["fps"] = rate / scale if scale and rate else out["fps"]
-            elif name == b"avih":
-                out["width"], out["height"] = struct.unpack_from("<II", data, at + 32)
-            elif name == b"ICMT":
-                out["comment"] = bytes(data[at : at + size]).rstrip(b"\0").decode("utf-8", "replace")
-            elif name == b"idx1":
-                index = (at, size)
-    if movi is None:
+    out, movi, index, riffs = {"fps": float(FPS), "comment": ""}, [], None, 0
+    for riff, begin, length in _chunks(data, 0, len(data)):
+        if riff != b"RIFF" or bytes(data[begin : begin + 4]) not in (b"AVI ", b"AVIX"):
+            continue
+        riffs += 1
+        todo = [(begin + 4, begin + length)]
+        while todo:
+            for name, at, size in _chunks(data, *todo.pop()):
+                if name == b"LIST":
+                    if bytes(data[at : at + 4]) == b"movi":
+                        movi.append((at, at + size))
+                    else:
+                        todo.append((at + 4, at + size))
+                elif name == b"strh" and data[at : at + 4] == b"vids":
+                    scale, rate = struct.unpack_from("<II", data, at + 20)
+                    out["fps"] = rate / scale if scale and rate else out["fps"]
+                elif name == b"avih":
+                    out["width"], out["height"] = struct.unpack_from("<II", data, at + 32)
+                elif name == b"ICMT":
+                    out["comment"] = bytes(data[at : at + size]).rstrip(b"\0").decode("utf-8", "replace")
+                elif name == b"idx1":
+                    index = (at, size)
+    if not movi:
         raise ValueError("no movi list")
-    if index:
+    if index and riffs == 1:
         entries = [e for e in struct.iter_unpack("<4sIII", data[index[0] : index[0] + index[1] // 16 * 16]) if e[0][2:] in (b"dc", b"db")]
-        base = movi[0] if not entries or data[movi[0] + entries[0][2] : movi[0] + entries[0][2] + 4] == entries[0][0] else 0
+        base = movi[0][0] if not entries or data[movi[0][0] + entries[0][2] : movi[0][0] + entries[0][2] + 4] == entries[0][0] else 0
         out["frames"] = [(base + at + 8, size) for _, _, at, size in entries]
     else:
-        out["frames"] = [(at, size) for name, at, size in _chunks(data, movi[0] + 4, movi[1]) if name[2:] in (b"dc", b"db")]
+        out["frames"] = [f for at, end in movi for f in _movi_frames(data, at + 4, end)]
     return out
 
 
+def _movi_frames(data: memoryview, at: int, end: int) -> Iterator[tuple[int, int]]:
+    for name, start, size in _chunks(data, at, end):
+        if name == b"LIST":
+            yield from _movi_frames(data, start + 4, start + size)
+        elif name[2:] in (b"dc", b"db"):
+            yield start, size
+
+
 class _Jpeg:
     """What the header of a lossless JPEG frame says, and how to decode what follows it."""
 
     def __init__(self, frame: bytes):
         at, lookup = 2, {}
+        self.width = self.height = None
         if frame[:2] != b"\xff\xd8":
             raise ValueError("no JPEG frame")
         while True:
@@ -188,12 +204,14 @@ class _Jpeg:
                 if bits != 8 or parts != 1:
                     raise ValueError("only one 8-bit component is read")
             elif 0xC0 <= marker <= 0xCF and marker != 0xC8:
-                raise ValueError("only lossless sequential frames are read")
+                raise ValueError("only lossless sequential and baseline frames are read")
             elif marker == 0xDA:
                 if body[3] != 1:
                     raise ValueError("only predictor 1 is read")
                 table = lookup[body[2] >> 4]
                 break
+        if self.width is None:
+            raise ValueError("no frame header")
         self.head = frame[:at]
         self.codes, code, k = {}, 0, 0
         for length, n in enumerate(table[0], 1):
@@ -231,8 +249,23 @@ class _Jpeg:
         return out
 
 
+def _baseline(frame: bytes) -> bool:
+    """Whether a frame's header says baseline or extended sequential."""
+    at = 2
+    while at + 4 <= len(frame) and frame[at] == 0xFF and frame[at + 1] not in (0xDA, 0xC3):
+        if frame[at + 1] in (0xC0, 0xC1):
+            return True
+        at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
+    return False
+
+
 def decode_frames(media: bytes, frames: list[tuple[int, int]]) -> np.ndarray:
-    """Samples (frames, height, width) of lossless JPEG frames that share one header."""
+    """Samples (frames, height, width) of lossless JPEG frames that share one header, or the luminance of baseline ones."""
+    if frames and _baseline(media[frames[0][0] : sum(frames[0])]):
+        planes = [baseline.luminance(media[at : at + size]) for at, size in frames]
+        if len({p.shape for p in planes}) > 1:
+            raise ValueError("frames of unlike sizes")
+        return np.stack(planes)
     jpeg, coded = None, []
     for at, size in frames:
         f = media[at : at + size]
@@ -283,8 +316,9 @@ def analyse(media: bytes | None) -> tuple[int | None, bytes | None, list[dict],
         edges = [0, *shot_cuts(samples), n] if n else []
         clips = [{"clip": i, "start_frame": a, "end_frame": b, "start_s": a / fps, "end_s": b / fps} for i, (a, b) in enumerate(zip(edges, edges[1:]))]
         payload = samples.tobytes()
-        if avi["comment"].startswith("payload_bytes="):
-            payload = payload[: int(avi["comment"].partition("=")[2])]
+        kept = avi["comment"].partition("payload_bytes=")[2]
+        if kept.isdecimal():
+            payload = payload[: int(kept)]
         return n, payload, clips, None
     except (ValueError, IndexError, KeyError, struct.error) as e:
         return None, None, [], str(e) or type(e).__name__
