@@ -29,7 +29,12 @@ def open_fs(uri: str):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+#: pyarrow's names of the schemes that Hadoop's connectors have under others.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "viewfs": "hdfs"}
 
 
 def cleared(df: DataFrame, *added: str, prefix: str | None = None) -> DataFrame:
