@@ -43,8 +43,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = flatscan.write_flat_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), RANK_END)
-    counts = flatscan.count_documents(written.where("file_bytes is not null").select("file", "file_bytes"), RANK_END)
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    written = flatscan.write_flat_files(table(spark, sf_dir, "documents"), ranks, RANK_END)
+    files = written.where("file_bytes is not null").select("file", "file_bytes")
+    counts = flatscan.count_documents(files, RANK_END, id_bytes=flatscan.id_bytes(ranks, RANK_END))
     return written.join(counts, ["file", "document"], "left").select("doc_id", "n_tokens", "ended")
 
 
