@@ -148,9 +148,45 @@ def test_unended_and_separator_only_files(spark, tmp_path):
     np.array([1, 2, 9, 9, 3, 4, 5], "<u2").tofile(tmp_path / "a")
     np.array([1] * 10, "<u2").tofile(tmp_path / "b")
     files = spark.createDataFrame([(str(tmp_path / "a"), 14), (str(tmp_path / "b"), 20), ("none", 0)], "file string, file_bytes long")
+    want = [("a", 0, 2, True), ("a", 1, 0, True), ("a", 2, 3, False), ("b", 0, 10, False)]
     for block in (2, 3, 100):
-        got = sorted((r.file[-1], r.document, r.n_tokens, r.ended) for r in flatscan.count_documents(files, 9, block).collect())
-        assert got == [("a", 0, 2, True), ("a", 1, 0, True), ("a", 2, 3, False), ("b", 0, 10, False)]
+        assert sorted((r.file[-1], r.document, r.n_tokens, r.ended) for r in flatscan.count_documents(files, 9, block).collect()) == want
+    # wide ids: 65,545 is no 9
+    np.array([1, 65_545, 9, 9, 3, 4, 5], "<u4").tofile(tmp_path / "a")
+    np.array([70_000] * 10, "<u4").tofile(tmp_path / "b")
+    files = spark.createDataFrame([(str(tmp_path / "a"), 28), (str(tmp_path / "b"), 40)], "file string, file_bytes long")
+    assert sorted((r.file[-1], r.document, r.n_tokens, r.ended) for r in flatscan.count_documents(files, 9, 3, id_bytes=4).collect()) == want
+
+
+def test_many_blocks_and_spans(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flatscan, "SPAN", 3)
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, 500).astype("<u2")
+    x[100:200] = 1
+    x.tofile(tmp_path / "c")
+    ends = [-1, *np.flatnonzero(x == 9).tolist()]
+    want = [(i, b - a - 1, True) for i, (a, b) in enumerate(zip(ends, ends[1:]))] + [(len(ends) - 1, len(x) - 1 - ends[-1], False)] * (ends[-1] < len(x) - 1)
+    files = spark.createDataFrame([(str(tmp_path / "c"), 1000)], "file string, file_bytes long")
+    for block in (1, 7, 64):
+        assert sorted((r.document, r.n_tokens, r.ended) for r in flatscan.count_documents(files, 9, block).collect()) == want
+
+
+def test_wide_vocabularies_take_four_bytes(spark, tmp_path, odd):
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % (b * 1000) for b in range(256)))
+    assert flatscan.id_bytes(str(path), 255_001) == 4 and flatscan.id_bytes(vocabulary("byte_bpe_multi_50k.tiktoken"), 50256) == 2
+    written = flatscan.write_flat_files(odd, str(path), 255_001)
+    counts = flatscan.count_documents(written.where("file_bytes is not null").select("file", "file_bytes"), 255_001, id_bytes=4)
+    got = written.join(counts, ["file", "document"], "left").collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(r.doc_id), len((r.text or "").encode())) for r in odd.collect())
+
+
+def test_hadoop_schemes_are_known():
+    from vectide.llm import common
+
+    with pytest.raises(Exception) as e:
+        common.open_fs("s3a://no-such-bucket-name/none?endpoint_override=localhost:1&region=x")[0].get_file_info("no-such-bucket-name/none")
+    assert "Unrecognized" not in str(e.value)
 
 
 def test_seekable_files(spark, odd):
@@ -167,7 +203,22 @@ def test_seekable_files(spark, odd):
     assert got == want
     some = seekable.read_token_files(files.withColumn("frames", F.array(F.lit(0))))
     assert some.count() == files.count() and {r.frame for r in some.collect()} == {0}
-    assert seekable.token_documents(seekable.write_token_files(odd.where("false"), vocabulary("byte_bpe_50k.json"), 2)).count() == 0
+    asked = spark.createDataFrame([(5,), (960,), (None,), (77,), (960,)], "doc_id long")
+    found = sorted(((r.doc_id, bytes(r.ids)) for r in seekable.read_documents(files, asked).collect()), key=str)
+    assert found == sorted(((d, ids) for d, _, _, ids in want if d in (5, 960, None)), key=str) and len(found) == 5
+    assert seekable.read_documents(files, asked.where("doc_id = 77")).count() == 0 == seekable.read_documents(files, asked.where("false")).count()
+    none = seekable.write_token_files(odd.where("false"), vocabulary("byte_bpe_50k.json"), 2)
+    assert seekable.token_documents(none).count() == 0 == seekable.read_documents(none, asked).count()
+
+
+def test_repeated_and_null_ids_are_spread_over_files(spark):
+    rows = [(None if i % 2 else 7, f"text {i}", "en", "s", 1) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would join so small ranges
+    try:
+        files = seekable.write_token_files(spark.createDataFrame(rows, SCHEMA).repartition(4), vocabulary("byte_bpe_50k.json"), 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(files) >= 4 and max(f.n_docs for f in files) < 200
 
 
 def test_damaged_frames_are_found(tmp_path):

@@ -4,11 +4,13 @@ A file holds documents in ascending order: frame ``i`` is document ``i``'s ids,
 uint32, compressed by itself with zstandard's own checksum.  Then come a skippable frame with the
 documents' ids (a null flag and an int64 each) and the seek table of zstandard's seekable format:
 for each frame its compressed and decompressed size and the low half of the XXH64 of its content.
-A reader opens a file at its end, and decompresses only the frames that are asked for.
+A reader opens a file at its end, and decompresses only the frames that are asked for:
+``read_documents`` finds them by document id in the files whose range of ids may hold it.
 
 Nulls and odd input.  A null text is the empty text: its document is the end id alone.  A null
 document id sorts first and comes back as null.  Repeated ids are documents of their own, ordered
-by text.  An empty table makes no file and no rows.  Other columns of the input are ignored.
+by a hash of their text, then by text; ids are whole numbers.  Ranges are cut by id and hash, so
+rows of one id, or without one, are spread over files; only equal rows stay together.  An empty table makes no file and no rows.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ _SKIPPABLE, _TABLE, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 0x80
 LEVEL = 3
 
-FILES = "file string, ordinal long, n_docs long, n_tokens long"
+FILES = "file string, ordinal long, n_docs long, n_tokens long, first_id long, last_id long, nulls boolean"
 ROWS = "file string, ordinal long, frame int, doc_id long, file_start long, n_tokens long, ids binary"
 
 
@@ -40,6 +42,8 @@ class FrameWriter:
         self.table: list[bytes] = []
         self.keys: list[bytes] = []
         self.tokens = 0
+        self.first = self.last = None
+        self.nulls = False
 
     def add(self, key: int | None, ids: bytes) -> None:
         import xxhash
@@ -49,6 +53,10 @@ class FrameWriter:
         self.table.append(struct.pack("<III", len(z), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
         self.keys.append(struct.pack("<?q", key is None, key or 0))
         self.tokens += len(ids) // 4
+        if key is None:
+            self.nulls = True
+        else:
+            self.first, self.last = key if self.first is None else self.first, key
 
     def close(self) -> None:
         import xxhash
@@ -61,17 +69,22 @@ class FrameWriter:
         self.out.close()
 
 
-def read_frames(source, wanted: list[int] | None = None) -> Iterator[tuple[int, int | None, int, bytes]]:
-    """(frame, document id, tokens before it in the file, ids) of the frames wanted, of all for None."""
-    import xxhash
-    import zstandard
-
+def read_tables(source) -> tuple[list[tuple[int, int, int]], bytes]:
+    """The seek table, whose last entry is the table of ids, and the table of ids."""
     size = source.size()
     n, flags, magic = struct.unpack("<IBI", source.read_at(9, size - 9))
     if magic != _SEEKABLE or flags != _CHECKSUMS:
         raise ValueError("no seek table")
     table = list(struct.iter_unpack("<III", source.read_at(12 * n, size - 9 - 12 * n)))
-    keys = source.read_at(table[-1][0] - 8, size - 9 - 12 * n - 8 - table[-1][0] + 8)
+    return table, source.read_at(table[-1][0] - 8, size - 9 - 12 * n - 8 - table[-1][0] + 8)
+
+
+def read_frames(source, wanted: list[int] | None = None) -> Iterator[tuple[int, int | None, int, bytes]]:
+    """(frame, document id, tokens before it in the file, ids) of the frames wanted, of all for None."""
+    import xxhash
+    import zstandard
+
+    table, keys = read_tables(source)
     unzip = zstandard.ZstdDecompressor()
     at = start = 0
     chosen = None if wanted is None else set(wanted)
@@ -113,9 +126,12 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_id: int, folder
                 writer.add(key.as_py(), encode(text.as_py() or "") + end)
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"file": [file], "ordinal": [part], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens]}, schema=pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            schema = pa.schema([("file", pa.string()), *((c, pa.int64()) for c in ("ordinal", "n_docs", "n_tokens", "first_id", "last_id")), ("nulls", pa.bool_())])
+            row = {"file": file, "ordinal": part, "n_docs": len(writer.keys), "n_tokens": writer.tokens, "first_id": writer.first, "last_id": writer.last, "nulls": writer.nulls}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "_hash", "text")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash")).repartitionByRange("doc_id", "_hash").sortWithinPartitions(*order).select("doc_id", "text")
     made = f"{folder}/_files"
     dealt.mapInArrow(run, FILES).write.parquet(made)
     return spark.read.schema(FILES).parquet(made)
@@ -144,11 +160,53 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     files = files.select("file", "ordinal", *["frames"] * asked)
-    return files.repartition(max(1, files.count()), "file").mapInArrow(run, ROWS)  # else they'd all meet in one task
+    return files.repartition(max(1, files.count())).mapInArrow(run, ROWS)  # dealt in turn: a file a task
+
+
+def file_index(files: DataFrame) -> DataFrame:
+    """``(file, ordinal, frame, doc_id)`` of all documents; only the files' tables are read."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("frame", pa.int32()), ("doc_id", pa.int64())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, path = open_fs(row["file"])
+                with store.open_input_file(path) as source:
+                    _, keys = read_tables(source)
+                ids = [None if null else key for null, key in struct.iter_unpack("<?q", keys)]
+                for a in range(0, len(ids), 100_000):
+                    part = ids[a : a + 100_000]
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["file"]] * n), pa.array([row["ordinal"]] * n), pa.array(range(a, a + n), pa.int32()), pa.array(part, pa.int64())], schema=schema)
+
+    files = files.select("file", "ordinal")
+    return files.repartition(max(1, files.count())).mapInArrow(run, "file string, ordinal long, frame int, doc_id long")
+
+
+def read_documents(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """As ``read_token_files``, of the documents of ``wanted(doc_id)`` alone; a null asks for those without an id.
+
+    Files outside the range of the ids wanted stay closed; of the others the tables are read, and then
+    the frames that are asked for.
+    """
+    wanted = wanted.select(F.col("doc_id").cast("long").alias("_wanted")).distinct()
+    bounds = wanted.agg(F.min("_wanted").alias("_least"), F.max("_wanted").alias("_most"), F.max(F.col("_wanted").isNull()).alias("_none"))
+    may_hold = ((F.col("first_id") <= F.col("_most")) & (F.col("last_id") >= F.col("_least"))) | (F.col("_none") & F.col("nulls"))
+    near = files.join(F.broadcast(bounds), may_hold, "left_semi")  # one row
+    hit = file_index(near).join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    return read_token_files(hit.groupBy("file", "ordinal").agg(F.collect_list("frame").alias("frames")))
+
+
+#: Files up to this many are broadcast by their offsets, more are joined by a shuffle.
+BROADCAST_FILES = 500_000
 
 
 def token_documents(files: DataFrame) -> DataFrame:
     """All documents of ``files`` with ``start``: the tokens of all documents before them."""
     before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     offsets = files.select("ordinal", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
-    return read_token_files(files).join(F.broadcast(offsets), "ordinal").withColumn("start", F.col("file_start") + F.col("_before")).drop("_before")
+    if files.count() <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
+    return read_token_files(files).join(offsets, "ordinal").withColumn("start", F.col("file_start") + F.col("_before")).drop("_before")
