@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from vectide.llm.common import cleared, hash_unit, let, shared_dir
 
 MAX_ENTRIES = 1 << 20
-MAX_CELLS = 1 << 16
+MAX_CELLS = 1 << 20
 ROWS_A_CELL = 1024
 
 _POSITION = (1 << 33) - 1
@@ -113,7 +113,7 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 0, *, stable: bool = Fa
     counted = lambda d: d.select(F.spark_partition_id().alias("_shard_part")).groupBy("_shard_part").agg(F.count(F.lit(1)).alias("n"))
     n_partitions = counted(df).count()
     if n_partitions * n_shards > MAX_ENTRIES:
-        df = df.coalesce(MAX_ENTRIES // n_shards)
+        df = df.coalesce(max(1, MAX_ENTRIES // n_shards))
         n_partitions = counted(df).count()
     matrix = communication_matrix(counted(df), n_partitions, n_shards, seed)
     ends = F.aggregate("_shard_counts", F.array().cast("array<long>"), lambda a, c: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + c)))
