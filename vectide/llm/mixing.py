@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from vectide.llm.common import cleared, let, stored
 
-#: Source tables up to this many rows are broadcast, longer ones joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: Source tables up to this many rows are broadcast, longer ones joined by a shuffle of salted sources.
+BROADCAST_SOURCES, SALTS = 10_000, 64
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -64,9 +64,13 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, *
     sums = counts.agg(F.sum("w").alias("w_all"), F.sum("n").alias("n_all"))
     wanted = F.col("n_all").cast("double") if total is None else F.lit(float(total))
     rates = counts.join(F.broadcast(sums)).where("w > 0").select("_mix_source", poisson_cdf(F.col("w") / F.col("w_all") * wanted / F.col("n")).alias("_mix_law"))
+    same = F.col(source_col).eqNullSafe(F.col("_mix_source"))
     if counts.count() <= BROADCAST_SOURCES:
-        rates = F.broadcast(rates)
-    drawn = df.join(rates, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+        drawn = df.join(F.broadcast(rates), same)
+    else:  # a hot source's rows go to SALTS tasks
+        salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS))
+        drawn = df.withColumn("_mix_part", salt).join(salted, same & (F.col("_mix_part") == F.col("_mix_salt")))
     unit = row_unit(seed, id_col, text_col)
     law = F.col("_mix_law")
     copies = let(unit, lambda u: law["first"] + F.size(F.filter(law["cdf"], lambda c: c <= u)))
