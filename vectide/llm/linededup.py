@@ -38,8 +38,11 @@ from vectide.llm.common import cleared, let, shared_dir, stored
 
 MIN_WORDS = 50
 _WORDS = r"[\x20\x09-\x0D]+"
-#: Ranges of line hashes whose counts are summed up before ranks are given.
-_RANGES = 12
+#: Bits of the ranges of line hashes whose counts are summed up before ranks are given: the least, and
+#: the most, of which the sums are 2 ** 20 rows; and the rows of a range.
+_RANGES, _MOST_RANGES, _IN_RANGE = 12, 20, 1 << 20
+#: Bits of the ranges that the successors of a line are counted in.
+_SUCCESSORS = 6
 
 
 def line_table(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -56,8 +59,9 @@ def line_table(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def first_ranks(lines: DataFrame) -> DataFrame:
     """Lines that occur twice or more, with ``r``: how many such lines have a smaller id."""
     ids = stored(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-ids")
-    ids = ids.withColumn("range", F.shiftright("h1", 64 - _RANGES))
-    sums = ids.groupBy("range").agg(F.sum("c").alias("c"))  # 2 ** _RANGES rows at most
+    bits = min(_MOST_RANGES, max(_RANGES, (ids.count() // _IN_RANGE).bit_length()))
+    ids = ids.withColumn("range", F.shiftright("h1", 64 - bits))
+    sums = ids.groupBy("range").agg(F.sum("c").alias("c"))  # 2 ** bits rows at most
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("range", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("range").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,8 +99,17 @@ def doubled(ranks: DataFrame, k: int) -> DataFrame:
     on = Window.partitionBy("row").orderBy("at").rangeBetween(k, k)
     pairs = ranks.withColumn("r2", F.max("r").over(on)).where("r2 is not null")
     counts = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("c"))
-    ahead = Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
-    named = counts.withColumn("to", F.col("r") + F.coalesce(F.sum("c").over(ahead), F.lit(0))).where("c > 1").select("r", "r2", "to")
+    # a frequent line has many successors: they are counted in ranges of the second rank, and the ranges
+    # are summed up first, so that no task sorts all successors of a line
+    counts = stored(counts, "rank-pairs")
+    span = 1 << max(0, (counts.agg(F.max("r2")).first()[0] or 0).bit_length() - _SUCCESSORS)
+    counts = counts.withColumn("range", F.expr(f"r2 div {span}"))
+    sums = counts.groupBy("r", "range").agg(F.sum("c").alias("c"))
+    earlier = Window.partitionBy("r").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("r", "range", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("r", "range").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
+    named = counts.withColumn("inside", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(sums, ["r", "range"])
+    named = named.where("c > 1").select("r", "r2", (F.col("r") + F.col("ahead") + F.col("inside")).alias("to"))
     return pairs.join(named, ["r", "r2"]).select("row", "at", F.col("to").alias("r"))
 
 
@@ -142,8 +155,8 @@ def dedup_lines(df: DataFrame, *, min_words: int = MIN_WORDS, text_col: str = "t
     def cut(x):
         def without(real):
             gone_at = F.transform("_ld_gone", lambda k: F.get(real, k))
-            left = let(gone_at, lambda g: F.array_join(F.filter(x, lambda _, i: ~F.array_contains(g, i)), "\n"))
-            return F.when(F.size("_ld_gone") >= F.size(real), F.lit("")).otherwise(left)
+            left = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone_at)
+            return F.when(F.size("_ld_gone") >= F.size(real), F.lit("")).otherwise(F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n"))
 
         return let(filled(x), without)
 
