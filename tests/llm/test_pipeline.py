@@ -78,7 +78,8 @@ def test_quality(stages):
         seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         repeated = len({j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)})
         bad = len(w) < 20 or 100 * repeated > 30 * len(w)
-        if len(w) >= quality.MIN_WORDS and (divergence(chars, refs[0]) > quality.MAX_CHAR_DISTANCE or divergence(words, refs[1]) > quality.MAX_WORD_DISTANCE):
+        by_chance = lambda k: (k - 1 + 3 * math.sqrt(2 * (k - 1))) / (8 * len(w) * math.log(2))  # noqa: B023, E731
+        if len(w) >= quality.MIN_WORDS and (divergence(chars, refs[0]) > 0.13 + math.sqrt(by_chance(7)) or divergence(words, refs[1]) > math.sqrt(0.1**2 + by_chance(len(words)))):
             bad = True
         if not bad:
             kept.append(r)

@@ -1,12 +1,20 @@
 """Quality rules by distribution divergence.
 
 Each document has two histograms: of its characters by class, and of common words of its language.
-The references are the sums of the histograms over all documents of a language.  A document is rejected where the Jensen-Shannon distance (base 2, from 0 to 1) of either
-histogram to its language's reference is over a threshold; the distances count only from
-``MIN_WORDS`` words on, since a short text's histogram says little.
+The references are the sums of the histograms over all documents of a language.  A document is
+rejected where the Jensen-Shannon distance (base 2, from 0 to 1) of either histogram to its
+language's reference is over a limit.
+
+The limits follow from how far a sample of ``n`` words strays from the distribution that it is drawn
+from: the divergence of a histogram of ``k`` counts is about chi-square with ``k - 1`` degrees of
+freedom over ``8 n ln 2``.  ``stray`` is the distance of its mean plus ``SIGMAS`` deviations.  Words
+may stray that far and, independently, ``WORD_MARGIN``; characters, which come word by word, that far
+beyond ``CHAR_MARGIN``.  So short texts have wide limits and long ones narrow limits, and below
+``MIN_WORDS`` words the distances don't count.
 
 The base rules reject a text of fewer than 20 words, and one of which over 30 % of the words lie
-in 8-word windows that the text holds twice or more.  Windows are told apart by 64-bit hashes.
+in 8-word windows that the text holds twice or more.  Windows are told apart by 64-bit hashes, and
+those whose hashes meet are compared word by word.
 
 Everything is a DataFrame expression.  Words are what ``[^\\x20\\x09-\\x0D]+`` matches.
 
@@ -18,6 +26,8 @@ the ``ADDED`` ones are replaced, and names that begin with ``_q_`` are dropped.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +42,9 @@ COMMON_WORDS = {
 }
 ALL_WORDS = list(dict.fromkeys(w for words in COMMON_WORDS.values() for w in words))
 
-MIN_WORDS = 80
-MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.30
+MIN_WORDS = 40
+SIGMAS = 3.0
+WORD_MARGIN, CHAR_MARGIN = 0.10, 0.13
 WINDOW = 8
 CLASSES = 7
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
@@ -52,17 +62,21 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in windows that occur twice or more; ``window`` is a power of two."""
 
+    def twice(keyed: Column) -> Column:
+        """Of structs (h, i) those whose ``h`` occurs twice or more."""
+        same = lambda s, x, k: F.coalesce(F.get(s, k)["h"] == x.h, F.lit(False))
+        return let(F.sort_array(keyed), lambda s: F.filter(s, lambda x, k: same(s, x, k - 1) | same(s, x, k + 1)))
+
     def covered(found: Column) -> Column:
-        order = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        hashed = twice(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        spelled = F.transform(hashed, lambda x: F.struct(F.array_join(F.slice(words, x.i + 1, window), " ").alias("h"), x.i.alias("i")))
 
         def runs(s: Column) -> Column:
-            same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x.h, F.lit(False))
-            twice = F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
             start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
             step = lambda a, i: F.struct((i + window).alias("end"), (a.n + window - F.greatest(F.lit(0), a.end - i)).alias("n"))
-            return F.aggregate(F.sort_array(F.transform(twice, lambda x: x.i)), start, step, lambda a: a.n)
+            return F.aggregate(F.sort_array(F.transform(s, lambda x: x.i)), start, step, lambda a: a.n)
 
-        return let(order, runs)
+        return let(twice(spelled), runs)
 
     def joined(k: int):
         """From hashes of ``k`` words to hashes of twice as many: each joined to the one ``k`` words on."""
@@ -121,6 +135,11 @@ def distance(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
+def stray(k: Column, n: Column) -> Column:
+    """The squared distance that a histogram of ``k`` counts over ``n`` words may have by chance."""
+    return (k - 1 + SIGMAS * F.sqrt(2.0 * (k - 1))) / (n * (8 * math.log(2)))
+
+
 def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``_q_lang`` and its summed histograms ``_q_ref_chars`` and ``_q_ref_common``, over all documents."""
     hists = histograms(df.select(text_col, lang_col).withColumn("_q_words", words_of(F.col(text_col))), text_col, lang_col)
@@ -145,6 +164,8 @@ def judge(df: DataFrame, text_col: str = "text", lang_col: str = "lang", refs: D
         "char_distance": F.when(enough, distance(F.col("_q_chars"), F.col("_q_ref_chars"))),
         "word_distance": F.when(enough, distance(F.col("_q_common"), F.col("_q_ref_common"))),
     })
-    far = (F.col("char_distance") > MAX_CHAR_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)
+    char_limit = CHAR_MARGIN + F.sqrt(stray(F.size("_q_chars"), F.col("n_words")))
+    word_limit = F.sqrt(WORD_MARGIN**2 + stray(F.size("_q_common"), F.col("n_words")))
+    far = (F.col("char_distance") > char_limit) | (F.col("word_distance") > word_limit)
     scored = scored.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     return scored.select(*names, *ADDED)

@@ -145,6 +145,7 @@ def _quality_sql() -> str:
     share = lambda c: f"list_transform({c}, lambda x: x / greatest(list_sum({c}), 1)::DOUBLE)"
     part = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0.0 END"
     terms = part.format("p[i]", "q[i]") + " + " + part.format("q[i]", "p[i]")
+    stray = f"(len({{0}}) - 1 + {quality.SIGMAS}::DOUBLE * sqrt(2.0::DOUBLE * (len({{0}}) - 1))) / (n_words * (8 * ln(2::DOUBLE)))"
     classes = ["[^A-Z]", "[^0-9]", "[^.,;:!?''\"()-]", "[^#*$%&|<>]", "[^ß-ÿ]"]
     counts = ", ".join(f"length(regexp_replace(rest, '{c}', '', 'g'))" for c in classes)
     return f"""
@@ -177,7 +178,8 @@ judged AS (
   FROM pairs)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   round(char_distance, 9) AS char_distance, round(word_distance, 9) AS word_distance,
-  NOT base_failed AND NOT coalesce(char_distance > {quality.MAX_CHAR_DISTANCE} OR word_distance > {quality.MAX_WORD_DISTANCE}, false) AS kept
+  NOT base_failed AND NOT coalesce(char_distance > {quality.CHAR_MARGIN}::DOUBLE + sqrt({stray.format("chars")})
+    OR word_distance > sqrt({quality.WORD_MARGIN}::DOUBLE * {quality.WORD_MARGIN}::DOUBLE + {stray.format("common")}), false) AS kept
 FROM judged
 """
 
