@@ -123,6 +123,35 @@ def test_bpe_is_the_librarys(spark, odd, vocab, library, monkeypatch, cached):
         assert bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_bpe_of_very_long_pieces(spark, vocab, library):
+    rng = random.Random(3)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(of) for _ in range(n))
+    made = [letters(257), letters(256), letters(32_000), letters(16_000) + " and " + letters(300) + "\n" * 400, "a" * 100_000, "漢字" * 5000, "\u3000" * 600 + "x", "!?" * 700, " " * 2000 + letters(200, "éüñ") * 3]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(made)], SCHEMA)
+    for r in bytebpe.decode(bytebpe.encode(clashing(df, "_bpe_long", "_bpe_more"), vocab), vocab).collect():
+        assert r.ids == library.encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abetrshn é漢", min_size=1, max_size=80))
+def test_long_folds_are_the_librarys(text):
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    ranks = test_long_folds_are_the_librarys.__dict__.setdefault("r", bytebpe.read_ranks(path))
+    library = test_long_folds_are_the_librarys.__dict__.setdefault("l", tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    for piece in re.findall(r"[^ ]+", text):
+        assert bytebpe.fold_long(piece.encode(), ranks) == library._encode_single_piece(piece.encode())
+
+
+def test_bpe_of_a_large_vocabulary(spark, odd, tmp_path, library):
+    ranks = bytebpe.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    path = tmp_path / "large.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % (3 * r) for t, r in ranks.items()))
+    large = bytebpe.Vocabulary(spark, str(path), public_tokenizers.PATTERN)
+    df = odd.unionByName(spark.createDataFrame([(10 + i, t, "en", "s", 1) for i, t in enumerate([*texts(20), "aaaaabbbbb" * 12])], SCHEMA))
+    for r in bytebpe.decode(bytebpe.encode(df, large), large).collect():
+        assert r.ids == [3 * i for i in library.encode_ordinary(r.text or "")] and bytes(r.decoded) == (r.text or "").encode()
+
+
 def test_bpe_of_no_rows_and_unknown_ids(spark, odd, vocab):
     assert bytebpe.encode(odd.where("false"), vocab).collect() == []
     df = spark.createDataFrame([([1, 99_999_999],), ([-1],), ([],), (None,)], "ids array<int>")

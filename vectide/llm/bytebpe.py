@@ -14,8 +14,12 @@ frequent pieces of about ``SAMPLE`` documents form a second literal of the same
 ``FEW`` most frequent a third that fits a processor's cache.  They have fixed bounds; pieces that
 they lack are folded where they stand, so they never decide a result.
 
+An ``aggregate`` copies its state at each step, so it costs the square of a piece's length.  Pieces
+of more than ``LONG`` bytes, which prose has not, are folded by the same rule in Arrow batches, with
+a heap of the joins (``fold_long``); of a text only its distinct long pieces go there.
+
 Nulls and odd input.  A null text is the empty text, which has no ids.  Long texts and long pieces
-are taken whole (a piece's fold costs the square of its length).  Repeated rows are encoded alike.
+are taken whole.  Vocabularies of any size are taken.  Repeated rows are encoded alike.
 An empty table gives no rows.  Unknown ids make ``decode`` null.  Columns of the input pass
 through; those that are named like the added one, or ``_bpe``, are replaced or dropped.
 """
@@ -25,6 +29,7 @@ from __future__ import annotations
 import contextlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,17 +68,22 @@ def _table(spark: SparkSession, ids: DataFrame, buckets: int, name: str) -> Data
 
 
 #: Parts' ids are kept this much higher than ranks, so that the least number of a state is a rank.
+#: This for ids of 16 bits; larger vocabularies take a larger power of two.
 _PART = 1 << 16
-#: No id: what stands before the first part and behind the last.
-_EDGE = 2 * _PART - 1
 #: Odd, so that of the pairs in a bucket no two have the same second id.
 _SPREAD = 16_381
+#: Pieces of more bytes go to ``fold_long``, and the pattern of texts that may hold one.
+LONG = 256
+_LONG_TEXT = rf"(?<!\S)\S{{{LONG // 4}}}|\s{{{LONG // 4}}}"
 
 
-def pair_bucket(a, b):
+def pair_bucket(a, b, part: int = _PART):
     """Where the pair of two parts is kept (columns, or numbers in Python)."""
-    n = a * _SPREAD + b
-    return n.bitwiseAND(_PART - 1) if isinstance(n, Column) else n & (_PART - 1)
+    if not isinstance(a, Column) and not isinstance(b, Column):
+        return a * _SPREAD + b & (part - 1)
+    if part > _PART:
+        return (a.cast("long") * _SPREAD + b.cast("long")).bitwiseAND(part - 1).cast("int")
+    return (a * _SPREAD + b).bitwiseAND(part - 1)
 
 
 class Vocabulary:
@@ -82,16 +92,16 @@ class Vocabulary:
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = read_ranks(path)
         self.spark, self.pattern = spark, java_pattern(pattern)
-        if max(ranks.values(), default=0) >= _PART - 1:
-            raise ValueError("ids beyond 16 bits")
-        pairs: list[dict[int, int]] = [{} for _ in range(_PART)]
+        self.path = path
+        self.part = part = max(_PART, 1 << (max(ranks.values(), default=0) + 1).bit_length())
+        pairs: list[dict[int, int]] = [{} for _ in range(part)]
         pieces = [None] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             pieces[rank] = token.hex().upper()
             for i in range(1, len(token)):
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
-                    pairs[pair_bucket(a, b)][b + _PART] = rank
-        single = [ranks[bytes([b])] + _PART for b in range(256)]
+                    pairs[pair_bucket(a, b, part)][b + part] = rank
+        single = [ranks[bytes([b])] + part for b in range(256)]
         self.size = len(pieces) if None not in pieces else 0
         tokens = {}
         for token, rank in ranks.items():
@@ -119,33 +129,78 @@ def with_literal(df: DataFrame, literal: Column, name: str, body) -> DataFrame:
     return df.withColumn("_bpe", literal).withColumn(name, let(F.col("_bpe"), body)).drop("_bpe")
 
 
-def fold(merges: Column, word: Column) -> Column:
-    """The ids of a piece of two bytes or more that is no token."""
-
-    rank = lambda a, b: F.try_element_at(F.get(merges.pairs, pair_bucket(a, b)), b)
+def fold(merges: Column, word: Column, part: int = _PART) -> Column:
+    """The ids of a piece of two bytes or more that is no token; ``part`` is the vocabulary's."""
+    edge = 2 * part - 1  # no id: what stands before the first part and behind the last
+    rank = lambda a, b: F.try_element_at(F.get(merges.pairs, pair_bucket(a, b, part)), b)
 
     def begin(parts: Column) -> Column:
         """An edge, and before each part the rank of its join to the part before; nulls where there is none."""
         pairs = F.flatten(F.transform(parts, lambda b, i: F.array(rank(F.get(parts, i - 1), b), b)))
-        return F.flatten(F.array(F.array(F.lit(_EDGE)), pairs, F.array(F.lit(None).cast("int"), F.lit(_EDGE))))
+        return F.flatten(F.array(F.array(F.lit(edge)), pairs, F.array(F.lit(None).cast("int"), F.lit(edge))))
 
     def step(x: Column, _: Column) -> Column:
         def join(m: Column) -> Column:
             def at(p: Column) -> Column:
                 """``p``: where the rank stands, from 1; parts beside it become one."""
-                new = F.array(rank(F.get(x, p - 4), m + _PART), m + _PART, rank(m + _PART, F.get(x, p + 2)))
+                new = F.array(rank(F.get(x, p - 4), m + part), m + part, rank(m + part, F.get(x, p + 2)))
                 return F.flatten(F.array(F.slice(x, 1, p - 3), new, F.slice(x, p + 3, F.size(x))))
 
-            return F.when(m < _PART, let(F.array_position(x, m).cast("int"), at)).otherwise(x)
+            return F.when(m < part, let(F.array_position(x, m).cast("int"), at)).otherwise(x)
 
         return let(F.array_min(x), join)
 
-    finish = lambda x: F.transform(F.filter(x, lambda v: (v >= _PART) & (v < _EDGE)), lambda v: v - _PART)
+    finish = lambda x: F.transform(F.filter(x, lambda v: (v >= part) & (v < edge)), lambda v: v - part)
     letters = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
     parts = F.transform(letters, lambda c: F.get(merges.bytes, F.ascii(c)))
     return F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), let(parts, begin), step, finish)
 
 
+def fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """What ``fold`` gives, by a heap of the joins: the lowest rank first, the leftmost of equals."""
+    import heapq
+
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that begins at a place
+    joins: list[tuple[int, int, int, int]] = []
+
+    def offer(a: int) -> None:
+        if a >= 0 and (b := end[a]) < n and (rank := ranks.get(piece[a : end[b]])) is not None:
+            heapq.heappush(joins, (rank, a, b, end[b]))
+
+    for a in range(n):
+        offer(a)
+    gone = bytearray(n + 1)
+    while joins:
+        _, a, b, c = heapq.heappop(joins)
+        if gone[a] or gone[b] or end[a] != b or end[b] != c:
+            continue
+        end[a], gone[b] = c, 1
+        before[c] = a
+        offer(a)
+        offer(before[a])
+    out, a = [], 0
+    while a < n:
+        out.append(ranks[piece[a : end[a]]])
+        a = end[a]
+    return out
+
+
+_ranks: dict[str, dict[bytes, int]] = {}
+
+
+def _folded_long(path: str):
+    """An expression from arrays of long pieces to arrays of their ids."""
+
+    @F.pandas_udf("array<array<int>>")
+    def folded(pieces: pd.Series) -> pd.Series:
+        if path not in _ranks:
+            _ranks[path] = read_ranks(path)
+        return pieces.map(lambda ws: None if ws is None else [fold_long(w.encode(), _ranks[path]) for w in ws])
+
+    return folded
+
+
 def split_words(vocabulary: Vocabulary, text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(vocabulary.pattern), F.lit(0))
 
@@ -154,10 +209,10 @@ def frequent_words(vocabulary: Vocabulary, docs: DataFrame, text_col: str) -> tu
     """Tables of one row, ``words`` and ``few``: the ids of all tokens and of a sample's most frequent pieces, and those of the first of them."""
     n = docs.count()
     some = docs.select(text_col) if n <= SAMPLE else docs.select(text_col).sample(SAMPLE / n, seed=1)
-    counts = some.select(F.explode(split_words(vocabulary, F.col(text_col))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = some.select(F.explode(split_words(vocabulary, F.col(text_col))).alias("w")).where(F.octet_length("w") <= LONG).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     tokens = vocabulary.tokens()
     top = counts.orderBy(F.desc("n"), "w").limit(WORDS).join(tokens.withColumnRenamed("ids", "token"), "w", "left").repartition(F.col("w"))
-    ids = with_literal(top, vocabulary.merges(), "ids", lambda m: F.coalesce("token", fold(m, F.col("w")))).select("w", "n", "ids")
+    ids = with_literal(top, vocabulary.merges(), "ids", lambda m: F.coalesce("token", fold(m, F.col("w"), vocabulary.part))).select("w", "n", "ids")
     ids = stored(ids, "bpe-pieces")
     words = ids.select("w", "ids").unionByName(tokens.join(ids, "w", "left_anti"))
     few = ids.orderBy(F.desc("n"), "w").limit(FEW).select("w", "ids")
@@ -170,11 +225,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     words, few = frequent_words(vocabulary, docs, text_col)
     literals = F.struct(vocabulary.merges().alias("merges"), words.scalar().alias("words"), few.scalar().alias("few"))
 
+    long = F.array_distinct(F.filter(split_words(vocabulary, F.col(text_col)), lambda w: F.octet_length(w) > LONG))
+    docs = cleared(docs, "_bpe_long", "_bpe_more").withColumn("_bpe_long", F.when(F.col(text_col).rlike(_LONG_TEXT), long))
+    docs = docs.withColumn("_bpe_more", _folded_long(vocabulary.path)("_bpe_long"))
+
     def ids(g: Column) -> Column:
-        piece = lambda w: F.coalesce(find(g.few, w, _FEW_BUCKETS), find(g.words, w), fold(g.merges, w))
+        more = lambda w: F.get("_bpe_more", F.array_position("_bpe_long", w).cast("int") - 1)
+        rest = lambda w: F.when(F.octet_length(w) > LONG, more(w)).otherwise(fold(g.merges, w, vocabulary.part))
+        piece = lambda w: F.coalesce(find(g.few, w, _FEW_BUCKETS), find(g.words, w), rest(w))
         return F.flatten(F.transform(split_words(vocabulary, F.col(text_col)), piece))
 
-    return with_literal(docs, literals, ids_col, ids)
+    return with_literal(docs, literals, ids_col, ids).drop("_bpe_long", "_bpe_more")
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
