@@ -128,7 +128,7 @@ def test_bpe_of_very_long_pieces(spark, vocab, library):
     letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(of) for _ in range(n))
     made = [letters(257), letters(256), letters(32_000), letters(16_000) + " and " + letters(300) + "\n" * 400, "a" * 100_000, "漢字" * 5000, "\u3000" * 600 + "x", "!?" * 700, " " * 2000 + letters(200, "éüñ") * 3]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(made)], SCHEMA)
-    for r in bytebpe.decode(bytebpe.encode(clashing(df, "_bpe_long", "_bpe_more"), vocab), vocab).collect():
+    for r in bytebpe.decode(bytebpe.encode(clashing(df, "ids", "decoded"), vocab), vocab).collect():
         assert r.ids == library.encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode()
 
 

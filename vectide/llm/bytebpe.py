@@ -14,9 +14,9 @@ frequent pieces of about ``SAMPLE`` documents form a second literal of the same
 ``FEW`` most frequent a third that fits a processor's cache.  They have fixed bounds; pieces that
 they lack are folded where they stand, so they never decide a result.
 
-An ``aggregate`` copies its state at each step, so it costs the square of a piece's length.  Pieces
-of more than ``LONG`` bytes, which prose has not, are folded by the same rule in Arrow batches, with
-a heap of the joins (``fold_long``); of a text only its distinct long pieces go there.
+An ``aggregate`` copies its state at each step, so it costs the square of a piece's length.  So a
+text with pieces of more than ``LONG`` bytes, as prose has none, is marked, and encoded by the same
+rule in Arrow batches, with a heap of the joins (``fold_long``).
 
 Nulls and odd input.  A null text is the empty text, which has no ids.  Long texts and long pieces
 are taken whole.  Vocabularies of any size are taken.  Repeated rows are encoded alike.
@@ -72,9 +72,8 @@ def _table(spark: SparkSession, ids: DataFrame, buckets: int, name: str) -> Data
 _PART = 1 << 16
 #: Odd, so that of the pairs in a bucket no two have the same second id.
 _SPREAD = 16_381
-#: Pieces of more bytes go to ``fold_long``, and the pattern of texts that may hold one.
+#: Pieces of more bytes go to ``fold_long``.
 LONG = 256
-_LONG_TEXT = rf"(?<!\S)\S{{{LONG // 4}}}|\s{{{LONG // 4}}}"
 
 
 def pair_bucket(a, b, part: int = _PART):
@@ -91,7 +90,7 @@ class Vocabulary:
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         ranks = read_ranks(path)
-        self.spark, self.pattern = spark, java_pattern(pattern)
+        self.spark, self.pattern, self.plain_pattern = spark, java_pattern(pattern), pattern
         self.path = path
         self.part = part = max(_PART, 1 << (max(ranks.values(), default=0) + 1).bit_length())
         pairs: list[dict[int, int]] = [{} for _ in range(part)]
@@ -189,16 +188,24 @@ def fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 _ranks: dict[str, dict[bytes, int]] = {}
 
 
-def _folded_long(path: str):
-    """An expression from arrays of long pieces to arrays of their ids."""
+def _encoded_by_heap(path: str, pattern: str):
+    """An expression from texts to their ids; nulls stay null."""
+
+    @F.pandas_udf("array<int>")
+    def encoded(texts: pd.Series) -> pd.Series:
+        import regex
 
-    @F.pandas_udf("array<array<int>>")
-    def folded(pieces: pd.Series) -> pd.Series:
         if path not in _ranks:
             _ranks[path] = read_ranks(path)
-        return pieces.map(lambda ws: None if ws is None else [fold_long(w.encode(), _ranks[path]) for w in ws])
+        ranks = _ranks[path]
+
+        def ids(piece: bytes) -> list[int]:
+            known = ranks.get(piece)
+            return fold_long(piece, ranks) if known is None else [known]
+
+        return texts.map(lambda t: None if t is None else [i for w in regex.findall(pattern, t) for i in ids(w.encode())])
 
-    return folded
+    return encoded
 
 
 def split_words(vocabulary: Vocabulary, text: Column) -> Column:
@@ -225,17 +232,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_
     words, few = frequent_words(vocabulary, docs, text_col)
     literals = F.struct(vocabulary.merges().alias("merges"), words.scalar().alias("words"), few.scalar().alias("few"))
 
-    long = F.array_distinct(F.filter(split_words(vocabulary, F.col(text_col)), lambda w: F.octet_length(w) > LONG))
-    docs = cleared(docs, "_bpe_long", "_bpe_more").withColumn("_bpe_long", F.when(F.col(text_col).rlike(_LONG_TEXT), long))
-    docs = docs.withColumn("_bpe_more", _folded_long(vocabulary.path)("_bpe_long"))
+    marked = F.array(F.lit(-1))
 
     def ids(g: Column) -> Column:
-        more = lambda w: F.get("_bpe_more", F.array_position("_bpe_long", w).cast("int") - 1)
-        rest = lambda w: F.when(F.octet_length(w) > LONG, more(w)).otherwise(fold(g.merges, w, vocabulary.part))
+        rest = lambda w: F.when(F.octet_length(w) > LONG, marked).otherwise(fold(g.merges, w, vocabulary.part))
         piece = lambda w: F.coalesce(find(g.few, w, _FEW_BUCKETS), find(g.words, w), rest(w))
         return F.flatten(F.transform(split_words(vocabulary, F.col(text_col)), piece))
 
-    return with_literal(docs, literals, ids_col, ids).drop("_bpe_long", "_bpe_more")
+    encoded = with_literal(docs, literals, ids_col, ids)
+    long = F.when(F.array_min(ids_col) < 0, F.col(text_col))
+    return encoded.withColumn(ids_col, F.coalesce(_encoded_by_heap(vocabulary.path, vocabulary.plain_pattern)(long), F.col(ids_col)))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
