@@ -69,7 +69,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
     def covered(found: Column) -> Column:
         hashed = twice(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        spelled = F.transform(hashed, lambda x: F.struct(F.array_join(F.slice(words, x.i + 1, window), " ").alias("h"), x.i.alias("i")))
+        spelled = F.transform(hashed, lambda x: F.struct(F.concat_ws(" ", *[F.get(words, x.i + k) for k in range(window)]).alias("h"), x.i.alias("i")))
 
         def runs(s: Column) -> Column:
             start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
