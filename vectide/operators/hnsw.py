@@ -19,8 +19,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vectide.operators.search import dimension_of, found_schema, query_blocks
 from vectide.operators.topk import top_k_by
 from vectide.schema import Collection, VectorError, check_k
+from vectide.sources.store import stored
 
 MAX_LEVEL = 16
+#: Rows of a shard, at least, where shards are made for the sake of more cores.
+FEWEST = 500
 GRAPHS = "shard int, ids array<{id}>, levels array<int>, vectors array<float>, sources array<int>, edge_levels array<int>, targets array<int>"
 
 
@@ -53,17 +56,32 @@ def choose_neighbors(q: np.ndarray, nodes: np.ndarray, vectors: np.ndarray, m: i
     nodes = np.unique(nodes)
     d = _near(q, vectors[nodes], metric)
     ranked = np.lexsort((nodes, d))[: 2 * m]
-    chosen: list[int] = []
-    rest: list[int] = []
-    for i in ranked:
+    nodes, d = nodes[ranked], d[ranked]
+    if not len(nodes):
+        return []
+    closer = _between(vectors[nodes], metric) < d[:, None]  # closer[i, j]: node j is nearer to node i than q is
+    free, chosen, rest = np.ones(len(nodes), bool), [], []
+    for i in range(len(nodes)):
         if len(chosen) == m:
             break
-        node = int(nodes[i])
-        if chosen and (_near(vectors[node], vectors[chosen], metric) < d[i]).any():
-            rest.append(node)
+        if free[i]:
+            chosen.append(i)
+            free &= ~closer[:, i]
         else:
-            chosen.append(node)
-    return chosen + rest[: m - len(chosen)]
+            rest.append(i)
+    return nodes[chosen + rest[: m - len(chosen)]].tolist()
+
+
+def _between(x: np.ndarray, metric: str) -> np.ndarray:
+    """``_near`` of all pairs of a few rows."""
+    products = x @ x.T
+    squares = np.diag(products)
+    if metric == "euclidean":
+        return np.maximum(0.0, squares[:, None] + squares[None] - 2 * products)
+    if metric == "dot":
+        return -products
+    below = np.sqrt(np.outer(squares, squares))
+    return 1.0 - np.where(below > 1.1920929e-7, np.clip(products / np.where(below > 0, below, 1), -1, 1), 0.0)
 
 
 def prune_neighbors(q: np.ndarray, node: int, nodes: np.ndarray, vectors: np.ndarray, m: int, metric: str = "euclidean") -> list[int]:
@@ -120,7 +138,8 @@ class Graph:
                             heapq.heappop(found)
         return sorted((-d, -n) for d, n in found)
 
-    def add(self, level: int) -> None:
+    def add(self, level: int, near: list[np.ndarray] | None = None) -> None:
+        """Link the next row in.  ``near`` are its nearest earlier nodes of each level; without them the graph is searched."""
         node, q = len(self.levels), self.x[len(self.levels)]
         self.levels.append(level)
         self.edges.append([[] for _ in range(level + 1)])
@@ -128,20 +147,26 @@ class Graph:
             self.entry = node
             return
         top = self.levels[self.entry]
-        starts = [self.descend(q, self.entry, top, level)]
+        starts = [] if near is not None else [self.descend(q, self.entry, top, level)]
         for at in range(min(level, top), -1, -1):
-            found = self.explore(q, starts, max(self.s.ef_construction, self.s.m), at)
-            near = choose_neighbors(q, np.array([n for _, n in found]), self.x, self.s.m, self.metric)
-            self.edges[node][at] = near
-            for n in near:
+            if near is None:
+                found = np.array([n for _, n in self.explore(q, starts, max(self.s.ef_construction, self.s.m), at)], int)
+                starts = found.tolist() or starts
+            else:
+                found = near[at]
+            chosen = self.choose(q, found)
+            self.edges[node][at] = chosen
+            for n in chosen:
                 around = self.edges[n][at]
                 around.append(node)
                 if len(around) > self.s.m:
-                    self.edges[n][at] = choose_neighbors(self.x[n], np.array(around), self.x, self.s.m, self.metric)
-            starts = [n for _, n in found] or starts
+                    self.edges[n][at] = self.choose(self.x[n], np.array(around))
         if level > top:
             self.entry = node
 
+    def choose(self, q: np.ndarray, nodes: np.ndarray) -> list[int]:
+        return choose_neighbors(q, nodes, self.x, self.s.m, self.metric)
+
     def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
         if self.entry < 0 or k < 1:
             return []
@@ -150,18 +175,47 @@ class Graph:
         return [(math.sqrt(d), n) for d, n in found] if self.metric == "euclidean" else found
 
 
+#: Rows whose nearest earlier rows are found at once.
+_AT_ONCE = 512
+
+
 def build_graph(vectors: np.ndarray, metric: str = "euclidean", s: Settings = Settings()) -> Graph:
+    """A graph whose rows are linked to their nearest earlier rows, found exactly by blocks of matrix products.
+
+    For the rows of a shard that is faster than to walk the graph, and no worse a choice: the
+    ``ef_construction`` nearest are the best that a walk can find.
+    """
     g, rng = Graph(vectors, metric, s), np.random.default_rng(s.seed)
-    for _ in range(len(g.x)):
-        g.add(draw_level(s.m, rng))
+    levels = np.array([draw_level(s.m, rng) for _ in range(len(g.x))], int)
+    most = max(s.ef_construction, s.m)
+    squares = np.einsum("nd,nd->n", g.x, g.x)
+    for a in range(0, len(g.x), _AT_ONCE):
+        b = min(len(g.x), a + _AT_ONCE)
+        products = g.x[a:b] @ g.x[:b].T
+        if metric == "euclidean":
+            d = squares[None, :b] - 2 * products
+        elif metric == "dot":
+            d = -products
+        else:
+            d = -products / np.sqrt(np.maximum(squares[None, :b], 1e-30))
+        d[np.arange(b)[None] >= np.arange(a, b)[:, None]] = np.inf  # only earlier rows
+        for i in range(a, b):
+            row, near = d[i - a, :i], []
+            for level in range(levels[i] + 1):
+                nodes = np.flatnonzero(levels[:i] >= level) if level else np.arange(i)
+                if len(nodes) > most:
+                    nodes = nodes[np.argpartition(row[nodes], most - 1)[:most]]
+                near.append(nodes)
+            g.add(int(levels[i]), near)
     return g
 
 
 def build(collection: DataFrame, metric: str = "euclidean", settings: Settings = Settings(), rows_per_shard: int = 20_000) -> DataFrame:
-    """The graphs of a collection: one row for each shard."""
+    """The graphs of a collection: one row for each shard, of which there are as many as the rows or, for small collections, the cores ask."""
     d = dimension_of(collection)
     Collection(d, metric, "hnsw")
-    shards = max(1, -(-collection.count() // rows_per_shard))
+    n = collection.count()
+    shards = max(1, -(-n // rows_per_shard), min(collection.sparkSession.sparkContext.defaultParallelism, n // FEWEST))
     kind = collection.schema["id"].dataType.simpleString()
 
     def one(pdf):
@@ -237,14 +291,37 @@ def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", set
         raise VectorError("invalid_k", "k is from 1 to the number of rows less one", "hnsw.knn_graph", k=k, n=n)
     ef = max(settings.ef_search, 2 * k, k + 1)
     wide = Settings(settings.m, settings.ef_construction, ef, settings.seed)
-    graphs = build(collection, metric, settings, rows_per_shard)
-    queries = collection.select(F.col("id").alias("qid"), F.col("vector").alias("q"))
-    found = search(graphs, queries, k + 1, metric, wide).where("qid <> id")
-    best = top_k_by(found.drop("rank"), k)
+    graphs = stored(build(collection, metric, settings, rows_per_shard), "graphs")
+    found = _among_shards(graphs, k + 1, metric, wide).where("qid <> id")
+    best = top_k_by(found, k)
     weight = F.sqrt(F.greatest(F.lit(0.0), F.col("distance") * 2)) if metric == "cosine" else F.col("distance")
     return best.select(F.col("qid").alias("src"), "rank", F.col("id").alias("dst"), weight.alias("distance"))
 
 
+def _among_shards(graphs: DataFrame, k: int, metric: str, settings: Settings) -> DataFrame:
+    """``(qid, id, distance)``: each row's k nearest in each shard, the shard's rows as queries; pairs of shards meet in tasks."""
+    id_type = graphs.schema["ids"].dataType.elementType
+    schema = found_schema(id_type, id_type)
+    asking = graphs.select(F.col("shard").alias("_by"), F.col("ids").alias("_qids"), F.col("vectors").alias("_q"))
+    shards = graphs.count()
+    # every shard asks every shard: a row of each pair, dealt to tasks by the pair
+    left = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(graphs.agg(F.max("shard")).first()[0] or 0)))))
+    met = left.repartition(max(1, shards * shards), "_by", "shard").join(graphs, "shard")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, g = _load(row, metric, settings)
+                queries = np.asarray(row["_q"], np.float32).astype(float).reshape(len(row["_qids"]), -1)
+                found = [(qid, ids[n], dist) for qid, q in zip(row["_qids"], queries) for dist, n in g.search(q, k, settings.ef_search)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), to_arrow_schema(schema))], names=schema.names)
+
+    return met.mapInArrow(run, schema)
+
+
 def nodes(graphs: DataFrame) -> DataFrame:
     return graphs.select("shard", F.posexplode(F.arrays_zip("ids", "levels")).alias("node", "n")).select("shard", "node", F.col("n.ids").alias("id"), F.col("n.levels").alias("level"))
 

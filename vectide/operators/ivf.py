@@ -26,12 +26,9 @@ def train(collection: DataFrame, nlist: int, seed: int = 42, **settings) -> Data
     return kmeans.train(collection, nlist, seed, **settings)
 
 
-def build(collection: DataFrame, centroids: DataFrame, metric: str = "euclidean", strategy: str = "expr") -> DataFrame:
-    """The collection with ``list_id``; ``strategy="arrow"`` adds it where the rows stand, without a shuffle."""
-    if strategy == "arrow":
-        return kmeans.assign_in_place(collection, centroids, metric).drop("distance")
-    lists = kmeans.assign(collection, centroids, metric).select("id", "list_id")
-    return collection.join(lists, "id")
+def build(collection: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """The collection with ``list_id``, added where the rows stand, without a shuffle."""
+    return kmeans.assign_in_place(collection, centroids, metric).drop("distance")
 
 
 def select_lists(centroids: DataFrame, queries: DataFrame, nprobe: int, metric: str = "euclidean", disabled: Sequence[int] = (), pad: bool = False) -> DataFrame:

@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.functions import metrics
 from vectide.operators.sampling import bounded_sample, weighted_pick
-from vectide.operators.search import dimension_of, distances
-from vectide.operators.transform import CENTROID_BYTES, bounded
+from vectide.operators.search import PAIRS, dimension_of, distances, matrix
+from vectide.operators.transform import CENTROID_BYTES
 from vectide.schema import VectorError
 
 SAMPLE = 65_536
@@ -104,43 +103,54 @@ def centroid_table(spark, c: np.ndarray) -> DataFrame:
 
 
 def assign(collection: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """``(id, list_id, distance)``: the nearest centroid of each row, the lowest list of equals.
-
-    A row meets all centroids in its task, and the nearest is taken there before rows are shuffled
-    by id.  The centroid table is broadcast only if a count shows that it is small.
-    """
-    d = dimension_of(centroids, "centroid")
-    both = collection.join(bounded(centroids.select("list_id", F.col("centroid").alias("_c")), d))
-    scores = both.select("id", F.struct(metrics.distance(metric, F.col("vector"), F.col("_c"), d).alias("distance"), F.col("list_id")).alias("s"))
-    return scores.groupBy("id").agg(F.min("s").alias("b")).select("id", "b.list_id", "b.distance")
+    """``(id, list_id, distance)``: the nearest centroid of each row, the lowest list of equals; no shuffle."""
+    return assign_in_place(collection.select("id", "vector"), centroids, metric).select("id", "list_id", "distance")
 
 
 def assign_in_place(collection: DataFrame, centroids: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """The collection with ``list_id`` and ``distance``, by numpy on Arrow batches: no shuffle.
+    """The collection with ``list_id`` and ``distance``, by numpy on Arrow batches: no shuffle, and repeated ids stay rows of their own.
 
-    The model goes to the tasks whole; it is collected only up to CENTROID_BYTES.
+    The model goes to the tasks in blocks of at most CENTROID_BYTES, one pass over a row's task for
+    each; so a large model costs more passes in the same stage, and no join.
     """
-    d, n = dimension_of(centroids, "centroid"), centroids.count()
-    if n * (8 * d + 64) > CENTROID_BYTES:
-        raise VectorError("capacity_exceeded", "a model this large is assigned by expressions", "assign_in_place", centroids=n, dimension=d)
-    model = sorted((r.list_id, r.centroid) for r in centroids.select("list_id", "centroid").collect())
-    lists, c = [i for i, _ in model], np.array([row for _, row in model], float)
-    schema = T.StructType([*collection.schema.fields, T.StructField("list_id", T.IntegerType()), T.StructField("distance", T.DoubleType())])
-    at = collection.columns.index("vector")
+    d = dimension_of(centroids, "centroid")
+    model = centroids.select("list_id", F.col("centroid").alias("_c"))
+    n = model.count()
+    parts = max(1, -(-n * (8 * d + 64) // CENTROID_BYTES))
+    out = collection.withColumns({"list_id": F.lit(None).cast("int"), "distance": F.lit(None).cast("double")})
+    for p in range(parts):
+        block = model if parts == 1 else model.where(F.pmod(F.xxhash64("list_id"), F.lit(parts)) == p)
+        out = _assign_block(out, sorted((r.list_id, r._c) for r in block.collect()), d, metric)  # CENTROID_BYTES, about
+    return out
+
+
+def _assign_block(rows: DataFrame, model: list, d: int, metric: str) -> DataFrame:
+    """``rows`` with ``list_id`` and ``distance`` where one of the model's centroids is nearer, or as near and of a lower list."""
+    lists, c = np.array([i for i, _ in model], np.int32), np.array([row for _, row in model], float).reshape(len(model), d)
+    schema, at = rows.schema, rows.columns.index("vector")
+    kept = [i for i, name in enumerate(rows.columns) if name not in ("list_id", "distance")]
+    list_at, distance_at = rows.columns.index("list_id"), rows.columns.index("distance")
+    step = max(1, PAIRS // max(1, len(lists)))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            near, best = np.empty(len(x), int), np.empty(len(x))
-            for i in range(0, len(x), 4096):
-                dist = distances(x[i : i + 4096], c, metric)
-                near[i : i + 4096] = dist.argmin(1)
-                best[i : i + 4096] = dist.min(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([lists[i] for i in near], pa.int32()), pa.array(best)], names=schema.names)
-
-    return collection.mapInArrow(run, schema)
+            x = matrix(batch.column(at), d)
+            near, best = np.empty(len(x), np.int32), np.empty(len(x))
+            for i in range(0, len(x), step):
+                dist = distances(c, x[i : i + step], metric)
+                near[i : i + step] = lists[dist.argmin(0)] if len(lists) else -1
+                best[i : i + step] = dist.min(0) if len(lists) else np.inf
+            old = batch.column(distance_at).fill_null(np.inf).to_numpy(zero_copy_only=False)
+            old_list = batch.column(list_at).fill_null(2**31 - 1).to_numpy(zero_copy_only=False)
+            keep = (old < best) | ((old == best) & (old_list < near))
+            near, best = np.where(keep, old_list, near).astype(np.int32), np.where(keep, old, best)
+            none = ~np.isfinite(best) & (near == -1)
+            columns = {i: batch.column(i) for i in kept} | {list_at: pa.array(near, pa.int32(), mask=none), distance_at: pa.array(best, pa.float64(), mask=none)}
+            yield pa.RecordBatch.from_arrays([columns[i] for i in range(len(schema.names))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def cost(collection: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -155,7 +165,7 @@ def lloyd_step(collection: DataFrame, centroids: DataFrame) -> DataFrame:
     Means are taken for each dimension by partial sums, which the map side combines.
     """
     d = dimension_of(centroids, "centroid")
-    found = assign(collection, centroids).select("id", "list_id").join(collection, "id")
+    found = assign_in_place(collection.select("id", "vector"), centroids)
     sums = found.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.get("vector", F.lit(i)).cast("double")) for i in range(d)]).alias("_mean"))
     old = centroids.select("list_id", F.transform("centroid", lambda x: x.cast("double")).alias("_old"))
     return old.join(sums, "list_id", "left").select("list_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_mean", "_old").alias("centroid"))

@@ -35,8 +35,24 @@ def split_seed(seed: int, n: int) -> list[int]:
 
 
 def bounded_sample(df: DataFrame, most: int, seed: int, key: str = "id") -> DataFrame:
-    """At most ``most`` rows: those with the smallest seeded hash of the key, whatever the layout."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most)
+    """At most ``most`` rows: those with the smallest seeded hash of the key, whatever the layout.
+
+    Rows over a hash limit that leaves about twice as many are dropped where they stand, so that no
+    task sends more than its share on.
+    """
+    hashed = F.xxhash64(F.lit(seed), F.col(key))
+    n = df.count()
+    if n > 4 * most and most >= 1000:
+        df = df.where(hashed < F.lit(int(-(2**63) + 2**64 * (2 * most / n))))
+    return df.orderBy(hashed, key).limit(most)
+
+
+def permutation(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
+    """``(key, position)``: a seeded permutation of the rows, positions gapless from 0, whatever the layout."""
+    from vectide.operators.ids import assign_ids
+
+    keyed = df.select(F.struct(F.xxhash64(F.lit(seed), F.col(key)).alias("hash"), F.col(key).alias("key")).alias("external_id"))
+    return assign_ids(keyed, check=False).select(F.col("external_id.key").alias(key), F.col("internal_id").alias("position"))
 
 
 def weighted_pick(weights: np.ndarray, rng: np.random.Generator) -> int:

@@ -2,22 +2,33 @@
 
 A search scores queries against a collection.  The queries are broadcast in blocks of at most
 ``QUERY_BYTES``, so a block always fits; more queries make more blocks, each a pass of its own.
-``strategy="expr"`` scores by Spark expressions, the same on any layout bit by bit.  ``"arrow"``
-scores Arrow batches by numpy and passes k rows a query and batch on, for large collections.
+``strategy="expr"`` scores by Spark expressions.  ``"arrow"`` scores Arrow batches by numpy, adds
+dimension by dimension and so gives the same numbers bit by bit, and passes on only the rows that a
+batch finds: k a query, or those in range.  ``"auto"`` takes Arrow where the queries' numbers are
+many (``choose_strategy``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vectide.functions import metrics
+from vectide.functions.filters import id_pass
 from vectide.operators.topk import top_k, top_k_by
 from vectide.schema import METRICS, VectorError, check_k
 
+if TYPE_CHECKING:
+    from pyspark.sql import Observation
+
 QUERY_BYTES = 32_000_000
+#: Pairs that a worker scores at once, and numbers of the queries from which on Arrow batches pay.
+PAIRS, MANY = 250_000, 512
 
 
 def dimension_of(df: DataFrame, column: str = "vector") -> int:
@@ -69,7 +80,12 @@ def knn(collection: DataFrame, query: list[float], k: int, metric: str = "euclid
     return top_k(scored, k).select("rank", "id", "distance")
 
 
-def batch_knn(collection: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", where: Column | None = None, strategy: str = "expr", filter_mode: str = "pre") -> DataFrame:
+def choose_strategy(n_queries: int, d: int) -> str:
+    """``"arrow"`` where a row meets many numbers of the queries, else ``"expr"``."""
+    return "arrow" if n_queries * d >= MANY else "expr"
+
+
+def batch_knn(collection: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", where: Column | None = None, strategy: str = "auto", filter_mode: str = "pre") -> DataFrame:
     """``(qid, rank, id, distance)`` for ``queries(qid, q)``.
 
     ``filter_mode="post"`` filters the k results instead, so that fewer may be left.
@@ -80,7 +96,8 @@ def batch_knn(collection: DataFrame, queries: DataFrame, k: int, metric: str = "
     d = dimension_of(queries, "q")
     found = []
     for block in query_blocks(queries, d):
-        scored = _arrow_scores(rows, block, k, metric) if strategy == "arrow" else pairs(rows, block, metric, d)
+        how = choose_strategy(block.count(), d) if strategy == "auto" else strategy
+        scored = _arrow_scores(rows, block, metric, _nearest(k)) if how == "arrow" else pairs(rows, block, metric, d)
         found.append(top_k_by(scored, k).select("qid", "rank", "id", "distance"))
     out = _union(found)
     if where is not None and filter_mode == "post":
@@ -88,55 +105,122 @@ def batch_knn(collection: DataFrame, queries: DataFrame, k: int, metric: str = "
     return out
 
 
-def distances(q, x, metric: str):
-    """Distances (queries, rows) of two double arrays; rows in bounded slices."""
+def _sums(q, x, term):
+    """Sums (queries, rows) of ``term`` of a dimension's numbers, from the first dimension on, as the expressions add."""
+    import numpy as np
+
+    out = np.zeros((len(q), len(x)))
+    columns = np.ascontiguousarray(x.T)
+    for j in range(q.shape[1]):
+        out += term(q[:, j, None], columns[None, j])
+    return out
+
+
+def _norms(x):
+    """Squared norms, added from the first dimension on."""
     import numpy as np
 
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += np.square(x[:, j])
+    return out
+
+
+def raw_scores(q, x, metric: str):
+    """What ``metrics.score`` gives, for all pairs of two double arrays: (queries, rows)."""
+    import numpy as np
+
+    if metric == "euclidean":
+        return _sums(q, x, lambda a, b: np.square(a - b))
     if metric == "dot":
-        return -(q @ x.T)
+        return _sums(q, x, np.multiply)
     if metric == "cosine":
-        below = np.sqrt(np.outer((q * q).sum(1), (x * x).sum(1)))
-        safe = np.where(below > metrics.ULP, below, 1.0)
-        return 1.0 - np.where(below > metrics.ULP, np.clip((q @ x.T) / safe, -1, 1), 0.0)
-    out = np.empty((len(q), len(x)))
-    for i, row in enumerate(q):
-        diff = x - row
-        if metric == "euclidean":
-            out[i] = np.sqrt(np.einsum("nd,nd->n", diff, diff))
-        elif metric == "manhattan":
-            out[i] = np.abs(diff).sum(1)
-        else:
-            out[i] = np.abs(diff).max(1, initial=0.0)
+        below = np.sqrt(_norms(q)[:, None] * _norms(x)[None])
+        product = _sums(q, x, np.multiply)
+        return np.where(below > metrics.ULP, np.clip(product / np.where(below > metrics.ULP, below, 1.0), -1.0, 1.0), 0.0)
+    if metric == "manhattan":
+        return _sums(q, x, lambda a, b: np.abs(a - b))
+    out = np.zeros((len(q), len(x)))
+    for j in range(q.shape[1]):
+        np.maximum(out, np.abs(q[:, j, None] - x[None, :, j]), out=out)
     return out
 
 
-def _arrow_scores(rows: DataFrame, block: DataFrame, k: int, metric: str) -> DataFrame:
+def distances(q, x, metric: str):
+    """What ``metrics.distance`` gives, for all pairs of two double arrays: (queries, rows)."""
+    import numpy as np
+
+    scores = raw_scores(q, x, metric)
+    return {"euclidean": lambda: np.sqrt(scores), "cosine": lambda: 1.0 - scores, "dot": lambda: -scores}.get(metric, lambda: scores)()
+
+
+def matrix(column, d: int):
+    """An Arrow list column as a double array (rows, d); a row that is null or of another length is an error."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    if (lengths != d).any():
+        raise VectorError("dimension_mismatch", "a vector has another dimension", "search", expected=d, found=int(lengths[lengths != d][0]))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+
+
+def _nearest(k: int):
+    """From distances (queries, rows) those up to each query's k-th, ties and all; the window picks by id."""
+
+    def pick(d):
+        import numpy as np
+
+        if not k:
+            return np.zeros((2, 0), int)
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1, None] if k < d.shape[1] else np.inf
+        return np.nonzero(d <= edge)
+
+    return pick
+
+
+def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: bool = False, norm_band: float | None = None) -> DataFrame:
+    """``(qid, id, distance)`` of the pairs that ``pick`` finds in a batch's scores.
+
+    With ``norm_band`` (Euclidean) pairs whose norms alone are further apart are not scored: the
+    rows of a batch are sorted by norm, and a query meets only those in its band.
+    """
     import numpy as np
 
     data = [(r.qid, r.q) for r in block.collect()]  # QUERY_BYTES at most
     queries = np.array([q for _, q in data], float).reshape(len(data), -1)
     qids = [qid for qid, _ in data]
     schema = found_schema(block.schema["qid"].dataType, rows.schema["id"].dataType)
+    score = raw_scores if raw else distances
+    q_norms = np.sqrt(np.square(queries).sum(1))
 
     def run(batches):
         import pyarrow as pa
 
         kind = to_arrow_schema(schema).field("qid").type
+        names = pa.array(qids, kind)
         for batch in batches:
-            n = batch.num_rows
-            if not n or not qids or not k:
+            if not batch.num_rows or not qids:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
-            d = distances(queries, x, metric)
-            q_at, at = [], []
-            for i in range(len(qids)):
-                # all rows up to the k-th distance, ties and all; the window picks by id
-                edge = np.partition(d[i], k - 1)[k - 1] if k < n else np.inf
-                hit = np.flatnonzero(d[i] <= edge)
-                q_at.append(np.full(len(hit), i))
-                at.append(hit)
-            q_at, at = np.concatenate(q_at), np.concatenate(at)
-            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q_at], kind), batch.column(0).take(pa.array(at)), pa.array(d[q_at, at])], names=["qid", "id", "distance"])
+            x = matrix(batch.column(1), queries.shape[1])
+            order = norms = None
+            if norm_band is not None:
+                norms = np.sqrt(np.square(x).sum(1))
+                order = np.argsort(norms, kind="stable")
+                x, norms = x[order], norms[order]
+            if norm_band is None:
+                step = max(1, PAIRS // len(x))
+                parts = [(i, min(len(qids), i + step), 0, len(x)) for i in range(0, len(qids), step)]
+            else:
+                room = abs(norm_band) * (1 + 1e-9) + 1e-9
+                lo, hi = np.searchsorted(norms, q_norms - room, "left"), np.searchsorted(norms, q_norms + room, "right")
+                parts = [(i, i + 1, int(a), int(b)) for i, (a, b) in enumerate(zip(lo, hi)) if a < b]
+            for i, j, a, b in parts:
+                d = score(queries[i:j], x[a:b], metric)
+                q_at, at = pick(d)
+                if len(q_at):
+                    where = at + a if order is None else order[at + a]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q_at + i)), batch.column(0).take(pa.array(where)), pa.array(d[q_at, at])], names=["qid", "id", "distance"])
 
     return rows.select("id", "vector").mapInArrow(run, schema)
 
@@ -145,18 +229,44 @@ def found_schema(qid: T.DataType, id: T.DataType) -> T.StructType:
     return T.StructType([T.StructField("qid", qid), T.StructField("id", id), T.StructField("distance", T.DoubleType())])
 
 
-def range_search(collection: DataFrame, queries: DataFrame, threshold: float, metric: str = "euclidean", most: int | None = None) -> DataFrame:
+def range_search(
+    collection: DataFrame,
+    queries: DataFrame,
+    threshold: float,
+    metric: str = "euclidean",
+    most: int | None = None,
+    *,
+    allow: Sequence[DataFrame] = (),
+    deny: Sequence[DataFrame] = (),
+    first_seen: bool = False,
+    reservoir: int | None = None,
+    strategy: str = "auto",
+) -> DataFrame:
     """``(qid, id, score)`` of all rows within the threshold: distance at most, or dot or cosine similarity at least.
 
-    A negative Euclidean threshold keeps nothing.  ``most`` keeps the first rows of a query by id.
+    A negative Euclidean threshold keeps nothing.  ``allow`` and ``deny`` are id sets, which hold
+    before the scan.  ``most`` keeps the first rows of a query by id; ``first_seen`` one row of each
+    id, the best; ``reservoir`` the best rows of a query.  By Arrow a Euclidean range skips the rows
+    whose norm is out of reach, and only rows in range leave a task.
     """
     _check(metric, "range_search")
+    rows = id_pass(collection, allow, deny)
     d = dimension_of(queries, "q")
+    up = metrics.ascending(metric)
+    inside = (lambda s: s <= threshold) if up else (lambda s: s >= threshold)
     found = []
     for block in query_blocks(queries, d):
-        scored = _range_scores(collection, block, metric, d)
-        found.append(scored.where(F.col("score") <= threshold if metrics.ascending(metric) else F.col("score") >= threshold))
+        how = choose_strategy(block.count(), d) if strategy == "auto" else strategy
+        if how == "arrow":
+            scored = _arrow_scores(rows, block, metric, lambda s: inside(s).nonzero(), metric in ("dot", "cosine"), max(0.0, threshold) if metric == "euclidean" else None)
+            found.append(scored.withColumnRenamed("distance", "score"))
+        else:
+            found.append(_range_scores(rows, block, metric, d).where(inside(F.col("score"))))
     out = _union(found)
+    if first_seen:
+        out = out.groupBy("qid", "id").agg((F.min if up else F.max)("score").alias("score"))
+    if reservoir is not None:
+        out = top_k_by(out, reservoir, score="score", ascending=up).select("qid", "id", "score")
     return out if most is None else top_k_by(out, most, score="id").select("qid", "id", "score")
 
 
@@ -190,8 +300,12 @@ def rerank_top_k(candidates: DataFrame, collection: DataFrame, queries: DataFram
     return top_k_by(scored, k, score="score", ascending=metrics.ascending(metric)).select("qid", "rank", "id", "score")
 
 
-def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", strategy: str = "expr") -> DataFrame:
-    """``(src, rank, dst, distance)``: each row's k nearest others, Euclidean weights; cosine ones as chords of the unit sphere."""
+def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", strategy: str = "auto") -> DataFrame:
+    """``(src, rank, dst, distance)``: each row's k nearest others, Euclidean weights; cosine ones as chords of the unit sphere.
+
+    Exact, so all pairs are scored, a block of queries at a time: for collections of some million
+    rows.  ``hnsw.knn_graph`` and the inverted lists give approximate neighbours beyond that.
+    """
     if metric not in ("euclidean", "cosine"):
         raise VectorError("unsupported_metric", "a neighbour graph takes euclidean and cosine", "knn_graph", metric=metric)
     if k < 1:
@@ -200,7 +314,9 @@ def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", str
     d = dimension_of(collection)
     found = []
     for block in query_blocks(queries, d):
-        scored = _arrow_scores(collection, block, k + 1, metric) if strategy == "arrow" else pairs(collection, block, metric, d)
+        how = choose_strategy(block.count(), d) if strategy == "auto" else strategy
+        # one more than k, for the row itself
+        scored = _arrow_scores(collection, block, metric, _nearest(k + 1)) if how == "arrow" else pairs(collection, block, metric, d)
         found.append(top_k_by(scored.where("qid <> id"), k))
     out = _union(found)
     weight = F.sqrt(F.greatest(F.lit(0.0), F.col("distance") * 2)) if metric == "cosine" else F.col("distance")
@@ -224,10 +340,22 @@ def finalize(found: DataFrame, offered: DataFrame, k: int, where: Column | None
     return top_k_by(named.select("qid", "id", "distance"), k).select("qid", "rank", "id", "distance")
 
 
-def with_stats(results: DataFrame, collection: DataFrame, exhaustive: bool) -> tuple[DataFrame, dict]:
-    """Results and, beside them, how many candidates were searched and for how long."""
+def observed(candidates: DataFrame, found: Callable[[DataFrame], DataFrame], name: str = "search") -> tuple[DataFrame, Observation]:
+    """``found(candidates)`` and an observation, which after an action holds ``candidates_searched``: the rows that the search read.
+
+    ``candidates`` is what an index leaves to score (a collection, the probed lists); nothing is
+    run a second time to count it.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return found(candidates.observe(seen, F.count(F.lit(1)).alias("candidates_searched"))), seen
+
+
+def with_stats(results: DataFrame, seen: Observation, exhaustive: bool) -> tuple[list, dict]:
+    """The rows of a search that was ``observed``, and beside them the candidates, the time of the search and whether it saw all rows."""
     import time
 
     began = time.perf_counter_ns()
-    searched = collection.count()
-    return results, {"candidates_searched": searched, "count_nanos": time.perf_counter_ns() - began, "is_exhaustive": exhaustive}
+    rows = results.collect()
+    return rows, {"search_nanos": time.perf_counter_ns() - began, "is_exhaustive": exhaustive, **seen.get}
