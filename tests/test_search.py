@@ -141,9 +141,6 @@ def test_seeding_and_training():
     assert len(set(kmeans.seed_plus_plus(np.zeros((5, 2)), 5).chosen)) == 5
     with pytest.raises(VectorError):
         kmeans.seed_plus_plus(x, 0)
-    m = kmeans.RunningMeans(np.array([[0.0], [10.0]]), 0.5)
-    m.update(np.array([[2.0], [9.0]]))
-    assert m.c.ravel().tolist() == [1.0, 9.5] and m.n.tolist() == [1, 1]
 
 
 def test_codes_of_clusterable_data(spark):

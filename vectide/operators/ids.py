@@ -38,6 +38,20 @@ def append_ids(known: DataFrame, new: DataFrame, external: str = "external_id",
     return kept.unionByName(assign_ids(new, external, 0 if last is None else last + 1))
 
 
+def get_or_create(known: DataFrame, wanted: DataFrame, external: str = "external_id") -> DataFrame:
+    """``(external, internal_id)`` of all ids wanted: known ones keep their number, new ones follow behind the last, in order."""
+    wanted = wanted.select(external).distinct()
+    last = known.agg(F.max("internal_id")).first()[0]
+    new = assign_ids(wanted.join(known.select(external), external, "left_anti"), external, 0 if last is None else last + 1, check=False)
+    return known.join(wanted, external, "left_semi").select(external, "internal_id").unionByName(new)
+
+
+def statistics(known: DataFrame) -> DataFrame:
+    """One row: ids that are held, the largest number, and the numbers below it that are free (erased ids)."""
+    top = F.max("internal_id")
+    return known.agg(F.count(F.lit(1)).alias("held"), top.alias("largest"), (F.coalesce(top + 1, F.lit(0)) - F.count(F.lit(1))).alias("free"))
+
+
 def erase_ids(known: DataFrame, gone: DataFrame, external: str = "external_id") -> DataFrame:
     return known.join(gone.select(external), external, "left_anti")
 

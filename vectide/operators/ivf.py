@@ -18,8 +18,6 @@ from vectide.operators.search import batch_knn, dimension_of, pairs, query_block
 from vectide.operators.topk import top_k_by
 from vectide.schema import VectorError
 
-PACKINGS = ("pq8", "pq4", "flat")
-
 
 def train(collection: DataFrame, nlist: int, seed: int = 42, **settings) -> DataFrame:
     """``(list_id, centroid)``; training is always Euclidean."""

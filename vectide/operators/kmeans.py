@@ -169,20 +169,3 @@ def lloyd_step(collection: DataFrame, centroids: DataFrame) -> DataFrame:
     sums = found.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.get("vector", F.lit(i)).cast("double")) for i in range(d)]).alias("_mean"))
     old = centroids.select("list_id", F.transform("centroid", lambda x: x.cast("double")).alias("_old"))
     return old.join(sums, "list_id", "left").select("list_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_mean", "_old").alias("centroid"))
-
-
-class RunningMeans:
-    """Centroids that follow a stream: each row moves its centroid by ``decay``, or by ``decay / (1 + count)``."""
-
-    def __init__(self, centroids: np.ndarray, decay: float = 0.05, adaptive: bool = False):
-        if not 0 < decay <= 1:
-            raise VectorError("invalid_parameter", "a decay is in (0, 1]", "running_means", decay=decay)
-        self.c, self.n = np.array(centroids, float), np.zeros(len(centroids), int)
-        self.decay, self.adaptive = decay, adaptive
-
-    def update(self, rows: np.ndarray) -> None:
-        for x in np.asarray(rows, float):
-            i = int(((self.c - x) ** 2).sum(1).argmin())
-            rate = self.decay / (1 + self.n[i]) if self.adaptive else self.decay
-            self.c[i] += rate * (x - self.c[i])
-            self.n[i] += 1

@@ -19,6 +19,24 @@ def norms(collection: DataFrame) -> DataFrame:
     return collection.select("id", metrics.norm_squared(F.col("vector"), d).alias("norm_sq"), metrics.inverse_norm(F.col("vector"), d).alias("inv_norm"))
 
 
+def update_norms(cache: DataFrame, changed: DataFrame) -> DataFrame:
+    """A table of ``norms`` after vectors were added or replaced: only those of ``changed(id, vector)`` are computed."""
+    return cache.join(changed.select("id"), "id", "left_anti").unionByName(norms(changed))
+
+
+def cosine_with_norms(collection: DataFrame, cache: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(qid, id, score)``: cosine similarity from stored inverse norms, which are joined by id; queries go in blocks."""
+    d = dimension_of(queries, "q")
+    rows = collection.select("id", "vector").join(cache.select("id", "inv_norm"), "id")
+    out = None
+    for block in query_blocks(queries, d):
+        asked = block.select("qid", F.col("q").alias("_q"), metrics.inverse_norm(F.col("q"), d).alias("_i"))
+        both = rows.join(F.broadcast(asked))
+        part = both.select("qid", "id", (metrics.dot(F.col("_q"), F.col("vector"), d) * F.col("_i") * F.col("inv_norm")).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def bounded(table: DataFrame, d: int):
     """The table, marked for broadcast only if a count shows that it is small."""
     return F.broadcast(table) if table.count() * (8 * d + 64) <= CENTROID_BYTES else table

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import codecs, metrics
 from vectide.functions.filters import MetadataFilter, id_mask, id_overlay, id_pass
-from vectide.operators import hnsw, ids, ivf, kmeans, pq, search, topk, transform
+from vectide.operators import hnsw, ids, ivf, kmeans, lists, pq, sampling, search, topk, transform
 from vectide.plans import sql as S
 from vectide.sources.collection import live_view
 from vectide.sources.store import stored
@@ -446,6 +446,87 @@ add(
     f"WITH {_LOG}, {_LIVE} SELECT b.id, coalesce(arg_max(li.v, li.seq) FILTER (li.op = 'update' AND li.seq > b.at AND li.v IS NOT NULL), any_value(b.v))::DOUBLE AS x, coalesce(arg_max(li.t, li.seq) FILTER (li.op = 'update' AND li.seq > b.at AND li.t IS NOT NULL), any_value(b.t)) AS type FROM b JOIN li USING (id) GROUP BY b.id, b.at",
 )
 
+# ranges with id sets and a reservoir, stored lists, packed scans, caches and counters
+
+
+def _range_sets(spark, sf):
+    v = scaled(spark, sf)
+    return search.range_search(v, probes(v), 6.0, allow=[v.where("label < 7").select("id")], deny=[v.where("id % 3 = 0").select("id")], first_seen=True, reservoir=5)
+
+
+add(
+    "range_filtered_reservoir",
+    _range_sets,
+    f"WITH {S.SCALED}, d AS (SELECT q.id AS qid, e.id, {_L2} AS score FROM emb q, emb e WHERE q.id % 20 = 0 AND e.label < 7 AND e.id % 3 <> 0), i AS (SELECT * FROM d WHERE score <= 6.0) SELECT qid, id, score FROM {S.ranked('i', 'score, id')} WHERE rank <= 5",
+)
+
+
+def _store(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """A list store of all vectors: those with even ids first, then the others."""
+    v = scaled(spark, sf)
+    coded = pq.encode_in_place(ivf.build(v, centroids(v)), codebooks(v, 16), M).select("list_id", F.col("id").alias("external_id"), F.col("id").alias("seq"), "codes")
+    store = lists.ingest(lists.empty(spark), coded.where("external_id % 2 = 0"), kind)
+    return lists.ingest(store, coded.where("external_id % 2 = 1"), kind)
+
+
+_STORED = f"{_LISTS}, {_PARTS}, {_BOOK.format(cut='AND id < 320')}, {_CODES}, a AS (SELECT id, list(code ORDER BY sub) AS c FROM codes GROUP BY id), st AS (SELECT asg.list_id, row_number() OVER (PARTITION BY asg.list_id ORDER BY id % 2, id) - 1 AS pos, id AS external_id, c FROM asg JOIN a USING (id))"
+add(
+    "list_ingest_pq8",
+    lambda s, f: _store(s, f, "pq8").select("list_id", "pos", "external_id", F.hex("payload").alias("payload")),
+    f"{_STORED} SELECT list_id, pos, external_id, array_to_string(list_transform(c, lambda x: printf('%02X', x)), '') AS payload FROM st",
+)
+add(
+    "list_ingest_pq4",
+    lambda s, f: _store(s, f, "pq4").select("list_id", "pos", "external_id", F.hex("payload").alias("payload")),
+    f"{_STORED} SELECT list_id, pos, external_id, array_to_string(list_transform(range(0, 4), lambda p: printf('%02X', c[2 * p + 1] | (c[2 * p + 2] << 4))), '') AS payload FROM st",
+)
+add(
+    "list_read",
+    lambda s, f: lists.read_list(_store(s, f, "pq4"), 3, "pq4", M).select("pos", "external_id", F.array_join(F.col("content").cast("array<string>"), ",").alias("codes")),
+    f"{_STORED} SELECT pos, external_id, array_to_string(c, ',') AS codes FROM st WHERE list_id = 3",
+)
+add("list_bytes", lambda s, f: lists.statistics(_store(s, f, "pq4"), centroids(scaled(s, f))), f"{_STORED} SELECT cen.list_id, count(st.pos) AS length, count(st.pos) * 4 AS bytes FROM cen LEFT JOIN st USING (list_id) GROUP BY cen.list_id")
+
+
+def _adc_u4(spark, sf):
+    v = scaled(spark, sf)
+    packed = _store(spark, sf, "pq4").select(F.col("external_id").alias("id"), lists.unpack("pq4", F.col("payload"), M).alias("codes"))
+    return pq.adc(packed, pq.table_arrays(pq.lookup_tables(probes(v), codebooks(v, 16), M)), m=M, bias=1.5)
+
+
+add("adc_scan_u4", _adc_u4, f"{_PQ4}, {_LUT}, {_ADC} SELECT qid, id, distance + 1.5 AS distance FROM adc")
+_AFFINE = "list_transform(v, lambda x: greatest(-128, least(127, round_even(x * (1 / 0.1::DOUBLE), 0)::INTEGER + 7)))"
+add("quantize_affine", lambda s, f: _joined(scaled(s, f).select("id", codecs.quantize_affine(F.col("vector"), 0.1, 7).alias("code")), "code"), f"WITH {S.SCALED} SELECT id, array_to_string({_AFFINE}, ',') AS code FROM emb")
+add(
+    "norm_cache_update",
+    lambda s, f: transform.update_norms(transform.norms(plain(s, f)), scaled(s, f).where("id % 4 = 1")),
+    f"WITH {S.SCALED}, p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT id, v FROM emb WHERE id % 4 = 1 UNION ALL SELECT id, v FROM p WHERE id % 4 <> 1) SELECT id, {S.dot('v', 'v')} AS norm_sq, 1.0::DOUBLE / sqrt(greatest({S.dot('v', 'v')}, 1e-12)) AS inv_norm FROM m",
+)
+_INVERSE = "(1.0::DOUBLE / sqrt(greatest({0}, 1e-12)))"
+add(
+    "cosine_stored_norms",
+    lambda s, f: transform.cosine_with_norms(v := scaled(s, f), transform.norms(v), probes(v)),
+    f"WITH {S.SCALED} SELECT q.id AS qid, e.id, {S.dot('q.v', 'e.v')} * {_INVERSE.format(S.dot('q.v', 'q.v'))} * {_INVERSE.format(S.dot('e.v', 'e.v'))} AS score FROM emb q, emb e WHERE q.id % 20 = 0",
+)
+add(
+    "reservoir_counters",
+    lambda s, f: topk.reservoir_counters(_seen(s, f), 32, "event_type"),
+    f"WITH {_SEEN} SELECT event_type, count(*) AS offered, count(*) FILTER (isfinite(score)) AS finite, count(DISTINCT id) FILTER (isfinite(score)) AS \"distinct\", least(count(DISTINCT id) FILTER (isfinite(score)), 32) AS kept FROM s GROUP BY event_type",
+)
+
+
+def _get_or_create(spark, sf):
+    names = _read(spark, sf, "customer").select(F.col("c_name").alias("external_id"), "c_acctbal")
+    return ids.get_or_create(ids.assign_ids(names.where("c_acctbal > 0")), names.where("c_acctbal < 5000"))
+
+
+add(
+    "id_get_or_create",
+    _get_or_create,
+    "WITH k AS (SELECT c_name AS e, row_number() OVER (ORDER BY c_name) - 1 AS i FROM customer WHERE c_acctbal > 0), n AS (SELECT c_name AS e, row_number() OVER (ORDER BY c_name) - 1 + (SELECT count(*) FROM k) AS i FROM customer WHERE c_acctbal <= 0) SELECT e AS external_id, i AS internal_id FROM (SELECT * FROM k UNION ALL SELECT * FROM n) WHERE e IN (SELECT c_name FROM customer WHERE c_acctbal < 5000)",
+)
+add("id_permutation", lambda s, f: sampling.permutation(_read(s, f, "customer").select(F.col("c_custkey").alias("id")), 5))
+
 # models that are trained or built: approximate neighbours; the tests hold their recall against exact search
 
 

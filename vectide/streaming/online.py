@@ -1,35 +1,99 @@
-"""Streams: centroids that follow arriving vectors, and logs that arrive as files."""
+"""Streams: centroids and codebooks that follow arriving vectors, and logs that arrive as files."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vectide.operators.kmeans import RunningMeans
+from vectide.operators import kmeans
+from vectide.schema import VectorError
 
+STATE = "list_id int, n long, centroid array<double>"
 
-def follow_centroids(stream: DataFrame, means: RunningMeans, checkpoint: str, batch_rows: int = 100_000) -> StreamingQuery:
-    """Update ``means`` by the vectors of ``stream(id, vector)``: batch by batch, within a batch by id.
 
-    The update depends on the order, so a batch's rows pass the driver in turn, ``batch_rows`` at
-    a time; limit the rows of a trigger at the source.
+def fold_batch(state: DataFrame, batch: DataFrame, decay: float | None = None) -> DataFrame:
+    """``state(list_id, n, centroid)`` after the vectors of ``batch(id, vector)``.
+
+    Rows go to the centroids as they were before the batch; a task sends one sum for each centroid.
+    Without a decay a centroid is the mean of all rows that it ever had.  With a decay ``a`` a batch
+    of ``m`` rows weighs ``1 - (1 - a) ** m`` against what was before, as ``m`` steps of ``a`` do;
+    the rows of a batch weigh alike, so their order doesn't matter.
     """
+    found = kmeans.assign_in_place(batch.select("id", "vector"), state.select("list_id", "centroid"))
+    d = len(state.first()["centroid"])
+    sums = found.groupBy("list_id").agg(F.count(F.lit(1)).alias("m"), F.array(*[F.avg(F.get("vector", F.lit(i)).cast("double")) for i in range(d)]).alias("mean"))
+    share = F.col("m") / (F.col("n") + F.col("m")) if decay is None else 1 - F.pow(F.lit(1.0 - decay), F.col("m"))
+    moved = F.zip_with("centroid", "mean", lambda c, x: c + (x - c) * F.col("share"))
+    joined = state.join(sums, "list_id", "left").withColumn("share", share)
+    return joined.select("list_id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.coalesce(moved, "centroid").alias("centroid"))
+
+
+def state_of(spark: SparkSession, path: str, batch: int | None = None) -> tuple[int, DataFrame]:
+    """The last finished state below ``path``, or the last before a batch, and its batch number (-1: the beginning)."""
+    states = spark.read.schema(STATE + ", batch long").parquet(path)
+    numbers = [r.batch for r in states.select("batch").distinct().collect() if batch is None or r.batch < batch]  # a number a batch
+    if not numbers:
+        raise VectorError("not_trained", "no state here", "state_of", path=path)
+    return max(numbers), states.where(F.col("batch") == max(numbers)).drop("batch")
 
-    def update(batch: DataFrame, _: int) -> None:
-        held = []
-        for r in batch.orderBy("id").select("vector").toLocalIterator():
-            held.append(r.vector)
-            if len(held) == batch_rows:
-                means.update(np.array(held))
-                held = []
-        if held:
-            means.update(np.array(held))
+
+def follow_centroids(stream: DataFrame, first: DataFrame, path: str, checkpoint: str, decay: float | None = None) -> StreamingQuery:
+    """Centroids that follow ``stream(id, vector)``, from ``first(list_id, centroid)`` on.
+
+    Each batch's state is written below ``path`` under the batch's number, so a query that starts
+    again goes on from the last one, and a batch that is delivered again is written over.
+    """
+    spark = stream.sparkSession
+    begin = first.select(F.col("list_id").cast("int").alias("list_id"), F.lit(0).cast("long").alias("n"), F.col("centroid").cast("array<double>").alias("centroid"))
+    try:
+        state_of(spark, path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        begin.write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def update(batch: DataFrame, number: int) -> None:
+        _, state = state_of(spark, path, number)
+        fold_batch(state, batch, decay).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow_codebooks(stream: DataFrame, first: DataFrame, m: int, path: str, checkpoint: str, decay: float | None = None) -> StreamingQuery:
+    """Codebooks ``first(sub, code, centroid)`` that follow ``stream(id, vector)``; read them by ``codebooks_of``.
+
+    Each sub-space's parts are vectors of their own: a state's ``list_id`` is ``sub * 65536 + code``.
+    """
+    spark = stream.sparkSession
+    begin = first.select((F.col("sub") * 65_536 + F.col("code")).cast("int").alias("list_id"), F.lit(0).cast("long").alias("n"), F.col("centroid").cast("array<double>").alias("centroid"))
+    try:
+        state_of(spark, path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        begin.write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def update(batch: DataFrame, number: int) -> None:
+        from vectide.operators import pq
+
+        _, state = state_of(spark, path, number)
+        parts, out = pq.sub_vectors(batch, m), None
+        for sub in range(m):
+            own = state.where(F.expr(f"list_id div 65536 = {sub}"))
+            folded = fold_batch(own, parts.where(F.col("sub") == sub).select("id", F.col("part").alias("vector")), decay)
+            out = folded if out is None else out.unionByName(folded)
+        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def codebooks_of(spark: SparkSession, path: str) -> DataFrame:
+    """The last state of ``follow_codebooks`` as ``(sub, code, centroid)``."""
+    _, state = state_of(spark, path)
+    return state.select(F.expr("cast(list_id div 65536 as int)").alias("sub"), F.expr("cast(list_id % 65536 as int)").alias("code"), "centroid")
+
+
 def ingest_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append arriving log rows to a log table; a batch that is delivered again is written over, so none counts twice."""
 
