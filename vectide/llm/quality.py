@@ -60,8 +60,14 @@ def words_of(text: Column) -> Column:
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """How many words lie in windows that occur twice or more; ``window`` is a power of two."""
+    """How many words lie in windows that occur twice or more; ``window`` is a power of two.
 
+    The words are bound once: a plan may put their expression wherever their column stands.
+    """
+    return let(words, lambda ws: _repeated_words(ws, window))
+
+
+def _repeated_words(words: Column, window: int) -> Column:
     def twice(keyed: Column) -> Column:
         """Of structs (h, i) those whose ``h`` occurs twice or more."""
         same = lambda s, x, k: F.coalesce(F.get(s, k)["h"] == x.h, F.lit(False))
