@@ -46,3 +46,18 @@ def cleared(df: DataFrame, *added: str, prefix: str | None = None) -> DataFrame:
 def hash_unit(*cols: Column | str) -> Column:
     """A uniform double in [0, 1) that only the given columns decide."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") * F.lit(2.0**-53)
+
+
+#: Groups with more than one row in so many are hot; there are fewer of them than this.
+HOT_GROUPS = 1024
+
+
+def joined_by_size(rows: DataFrame, groups: DataFrame, on: Column, size_col: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` to their ``groups``, of which ``size_col`` says how many of the ``total`` rows each has.
+
+    Hot groups are fewer than ``HOT_GROUPS``, so they are broadcast and their rows stay where they
+    are.  The rest meets by a shuffle, where no group has more than one row in ``HOT_GROUPS``.
+    """
+    hot = F.col(size_col) * HOT_GROUPS > total
+    large = F.broadcast(groups.where(hot))
+    return rows.join(large, on).unionByName(rows.join(large, on, "left_anti").join(groups.where(~hot), on))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm import bytebpe, flatscan, linededup, media, mixing, pii, quality, seekable, sharding, simhash
+from vectide.llm import bytebpe, exactdedup, flatscan, lexical, linededup, media, mixing, pii, quality, seekable, sharding, simhash, vectorcodes
 from vectide.llm.common import stored, table
 from vectide.llm.tokenizing import vocabulary
 
@@ -124,6 +124,26 @@ def _is(kind: str):
     return lambda s: s.kind == F.lit(kind)
 
 
+@query
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    numbers = stored(vectorcodes.scaled(vectors, "embedding", parts=16, scale=256), "scaled-vectors")
+    books = vectorcodes.fit(numbers, "vec_id", parts=16, entries=64, rounds=2)
+    coded = vectorcodes.label_errors(vectorcodes.encode(numbers, books), "label")
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vectorcodes.digest(books)).cast("string").alias("codebooks_sha256"))
+
+
+@query
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op9_mixing_sources"] = """
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, pow(n::DOUBLE, 0.5) / sum(pow(n::DOUBLE, 0.5)) OVER () * sum(n) OVER ()::DOUBLE / n AS rate FROM counts),
@@ -209,3 +229,63 @@ SELECT doc_id, len(coalesce(places, []))::BIGINT AS n_lines, len(coalesce(gone,
     ELSE array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda k: NOT list_contains(list_transform(gone, lambda i: places[i]), k)), lambda k: lines[k]), chr(10)) END AS text
 FROM sums LEFT JOIN gone USING (r)
 """
+
+
+ORACLES["op13_exact_dedup"] = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, sha256(t) AS text_sha256,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept
+FROM docs WINDOW same AS (PARTITION BY t)
+"""
+
+
+ORACLES["op12_ranked_lexical_search"] = r"""
+WITH words AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+asked AS (
+  SELECT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)),
+sums AS (SELECT count(DISTINCT r) AS n_docs, count(*) AS total FROM words),
+lengths AS (SELECT r, count(*) AS n FROM words GROUP BY r),
+held AS (SELECT r, doc_id, term, count(*) AS tf FROM words SEMI JOIN asked USING (term) GROUP BY r, doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, sums GROUP BY term, n_docs),
+impacts AS (
+  SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * n_docs) // total))) AS impact
+  FROM held JOIN lengths USING (r), sums),
+scores AS (
+  SELECT q, item_id, r, doc_id, sum(w * impact)::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY q, item_id, r, doc_id)
+SELECT item_id, row_number() OVER best::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW best AS (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
+ORACLES["op11_vector_code_compression"] = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT row, vec_id, label, p, v[p * w + 1 : p * w + w] AS v
+  FROM (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS row, len(v) // 16 AS w FROM kept), (SELECT unnest(range(0, 16)) AS p)),
+book0 AS (SELECT p, row - 1 AS e, v AS c FROM parts WHERE row <= 64),
+"""
+for _round in (1, 2, 3):
+    ORACLES["op11_vector_code_compression"] += f"""
+near{_round} AS (
+  SELECT row, p, min({{d: list_sum(list_transform(range(1, len(v) + 1), lambda j: (v[j] - c[j]) * (v[j] - c[j])))::BIGINT, e: e}}) AS best
+  FROM parts JOIN book{_round - 1} USING (p) GROUP BY row, p),"""
+    if _round < 3:
+        ORACLES["op11_vector_code_compression"] += f"""
+means{_round} AS (
+  SELECT p, e, list(mean ORDER BY j) AS c FROM (
+    SELECT p, best.e AS e, j, floor(sum(v[j])::DOUBLE / count(*))::BIGINT AS mean
+    FROM near{_round} JOIN parts USING (row, p), (SELECT unnest(range(1, (SELECT max(len(v)) FROM parts) + 1)) AS j) GROUP BY p, best.e, j) GROUP BY p, e),
+book{_round} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{_round - 1} b LEFT JOIN means{_round} m USING (p, e)),"""
+ORACLES["op11_vector_code_compression"] += """
+coded AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near3 GROUP BY row),
+hashed AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM coded JOIN (SELECT row, vec_id, label FROM parts WHERE p = 0) USING (row), hashed
+"""
