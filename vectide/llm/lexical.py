@@ -1,6 +1,7 @@
 """Ranked lexical search with block-max pruning.
 
-``build_index`` cuts each partition's documents, in their order, into blocks and writes two tables:
+``build_index`` takes each partition's documents in runs, puts a run in order of the documents' most
+frequent terms and lengths, so that neighbours share terms, cuts it into blocks and writes two tables:
 
 - the forward index: a block's distinct terms, and for each of its documents the terms and their
   frequencies;
@@ -22,9 +23,9 @@ documents hold is one number a block.  What leaves a task is k rows a query.
 Nulls and odd input.  A null text, or one without a term, is in no block and doesn't count in N.
 Documents with a null id are ranked, after others of the same score.  Repeated rows are documents of
 their own.  A query without terms, or with terms that no document holds, has no rows; queries with
-the same id are ranked apart.  A block closes at ``BLOCK_DOCS`` documents or ``BLOCK_POSTINGS``
-terms, so a very long text is a block by itself.  Empty tables give no rows.  Only the named columns
-are read, so others can't clash.
+the same id are ranked apart.  A block closes at ``BLOCK_DOCS`` documents, a run at ``RUN_POSTINGS``
+terms; a very long text is a run by itself.  Empty tables give no rows.  Only the named columns are
+read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -43,13 +44,14 @@ from pyspark.sql.window import Window
 
 from vectide.llm.common import stored
 
-BLOCK_DOCS, BLOCK_POSTINGS = 64, 1 << 15
+#: Documents of a block; distinct terms by document that a task puts in order at once.
+BLOCK_DOCS, RUN_POSTINGS = 16, 1 << 18
 #: Blocks that are scored for each query to find its threshold.
 SEEDS = 4
 #: Bytes of query texts that are answered in one pass.
 QUERY_BYTES = 4_000_000
 #: Blocks that a task sorts and scores together.
-_TOGETHER = 64
+_TOGETHER = 256
 
 #: Bytes to terms: A-Z in lower case, other ASCII than letters and digits to spaces, the rest as it is.
 _LETTERS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -87,31 +89,33 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     def run(batches):
         import pyarrow as pa
 
-        arrow, made = to_arrow_schema(schema), TaskContext.get().partitionId() << 33
-        held: list[tuple] = []
-        postings = 0
-
-        def block():
-            vocabulary = sorted(set().union(*(c for _, c in held)))
-            place = {t: i for i, t in enumerate(vocabulary)}
-            columns = [
-                made, [i for i, _ in held], vocabulary, [c.total() for _, c in held], np.cumsum([len(c) for _, c in held]).astype(np.int32),
-                np.fromiter((place[t] for _, c in held for t in c), np.int32, postings), np.fromiter((n for _, c in held for n in c.values()), np.int32, postings),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        arrow, made, held, postings = to_arrow_schema(schema), TaskContext.get().partitionId() << 33, [], 0
+
+        def blocks():
+            nonlocal made
+            held.sort(key=lambda h: h[0])
+            for i in range(0, len(held), BLOCK_DOCS):
+                part = held[i : i + BLOCK_DOCS]
+                words = pa.array([t for *_, c in part for t in c], pa.binary()).dictionary_encode()
+                columns = [
+                    made, [i for _, i, _ in part], words.dictionary, [c.total() for *_, c in part], np.cumsum([len(c) for *_, c in part]).astype(np.int32),
+                    words.indices, np.fromiter((n for *_, c in part for n in c.values()), np.int32, len(words)),
+                ]
+                yield pa.RecordBatch.from_arrays([_one(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                made += 1
+            held.clear()
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counts = Counter(terms(text.as_py()))
                 if not counts:
                     continue
-                held.append((i, counts))
+                held.append(((min((-n, t) for t, n in counts.items())[1], counts.total()), i, counts))
                 postings += len(counts)
-                if len(held) >= BLOCK_DOCS or postings >= BLOCK_POSTINGS:
-                    yield block()
-                    held, postings, made = [], 0, made + 1
-        if held:
-            yield block()
+                if postings >= RUN_POSTINGS:
+                    yield from blocks()
+                    postings = 0
+        yield from blocks()
 
     forward = stored(rows.mapInArrow(run, schema), "forward-index")
     sums = forward.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("l")).first()
@@ -138,6 +142,15 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return Index(forward, stored(maxima, "block-maxima"), documents, length)
 
 
+def _one(value, kind):
+    """A column of one row."""
+    import pyarrow as pa
+
+    if not isinstance(value, pa.Array):
+        return pa.array([value], kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value.cast(kind.value_type), kind)
+
+
 def _flat(column, i: int) -> np.ndarray:
     return column[i].values.to_numpy(zero_copy_only=False)
 
@@ -158,17 +171,20 @@ class _Portion:
         self.flat_term, self.flat_weight = np.concatenate(self.term), np.concatenate(self.weights)
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in self.term])[:-1]])
 
-    def local(self, words) -> tuple[np.ndarray, np.ndarray]:
-        """Which of a block's terms the queries have: their places in the block, and their numbers."""
-        found = [(i, n) for i, t in enumerate(words) if (n := self.number.get(t)) is not None]
-        both = np.array(found, np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+    def numbers(self, words) -> list[np.ndarray]:
+        """The numbers of the terms of each block of a column of lists, -1 for a term that no query has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.fill_null(pc.index_in(words.values, value_set=pa.array(list(self.number), words.type.value_type)), -1).to_numpy(zero_copy_only=False)
+        ends = words.offsets.to_numpy().tolist()
+        return [found[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-    def bounds(self, words, most: np.ndarray) -> np.ndarray:
+    def bounds(self, numbers: np.ndarray, most: np.ndarray) -> np.ndarray:
         """The largest score that a document of the block may have, for each query."""
-        places, numbers = self.local(words)
         top = np.zeros(len(self.number), np.int64)
-        top[numbers] = most[places]
+        known = numbers >= 0
+        top[numbers[known]] = most[known]
         return np.add.reduceat(self.flat_weight * top[self.flat_term], self.starts)
 
 
@@ -189,7 +205,7 @@ class _Best:
 
 
 def _scored(blocks: list[tuple], portion: _Portion, best: _Best, documents: int, length: int) -> None:
-    """Score blocks ``(terms, ids, lengths, ends, at, tf, queries, bounds)`` for their queries, the highest bounds first."""
+    """Score blocks ``(numbers, ids, lengths, ends, at, tf, queries, bounds)`` for their queries, the highest bounds first."""
     order: dict[int, list[tuple[int, int]]] = {}
     for b, block in enumerate(blocks):
         for q, bound in zip(block[6].tolist(), block[7].tolist()):
@@ -202,22 +218,19 @@ def _scored(blocks: list[tuple], portion: _Portion, best: _Best, documents: int,
             if bound < best.least[q]:
                 break
             if b not in ready:
-                ready[b] = _postings(blocks[b], portion, documents, length)
+                ready[b] = _postings(blocks[b], documents, length)
             number, impact, ends, ids = ready[b]
-            so_far = np.concatenate([[0], np.cumsum(weight[number] * impact)])
-            best.add(q, np.diff(so_far[ends], prepend=0), ids)
+            so_far = np.concatenate([[0], np.cumsum(weight[number] * impact)])[ends]
+            best.add(q, so_far[1:] - so_far[:-1], ids)
 
 
-def _postings(block: tuple, portion: _Portion, documents: int, length: int) -> tuple:
+def _postings(block: tuple, documents: int, length: int) -> tuple:
     """A block's postings of the queries' terms: numbers, impacts, the documents' ends among them, ids."""
-    words, ids, lengths, ends, at, tf = block[:6]
-    places, numbers = portion.local(words)
-    known = np.full(len(words), -1, np.int64)
-    known[places] = numbers
-    number, doc = known[at], np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
+    numbers, ids, lengths, ends, at, tf = block[:6]
+    number, doc = numbers[at], np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
     kept = number >= 0
     impact = _impacts(tf[kept].astype(np.int64), lengths[doc[kept]], documents, length)
-    return number[kept], impact, np.cumsum(np.bincount(doc[kept], minlength=len(ids))), ids
+    return number[kept], impact, np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=len(ids)))]), ids
 
 
 def _found(index: Index, asked: DataFrame, portion: _Portion, k: int, least: list[int]) -> DataFrame:
@@ -235,8 +248,9 @@ def _found(index: Index, asked: DataFrame, portion: _Portion, k: int, least: lis
         best = _Best(k, least)
         for batch in batches:
             words, ids, *rest = (batch.column(c) for c in range(len(columns)))
+            numbers = portion.numbers(words)
             for i in range(0, batch.num_rows, _TOGETHER):
-                _scored([(words[j].as_py(), ids[j].as_py(), *(_flat(c, j) for c in rest)) for j in range(i, min(i + _TOGETHER, batch.num_rows))], portion, best, documents, length)
+                _scored([(numbers[j], ids[j].as_py(), *(_flat(c, j) for c in rest)) for j in range(i, min(i + _TOGETHER, batch.num_rows))], portion, best, documents, length)
         rows = [(portion.places[q], None if none else i, -score) for q, found in enumerate(best.rows) for score, none, i in found]
         arrow = to_arrow_schema(schema)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, arrow)], schema=arrow)
@@ -257,9 +271,9 @@ def _portion_rows(index: Index, portion: _Portion, k: int) -> DataFrame:
 
         df = np.zeros(len(portion.number), np.int64)
         for batch in batches:
-            for words, n in zip(batch.column(0).to_pylist(), batch.column(1)):
-                places, numbers = portion.local(words)
-                df[numbers] += n.values.to_numpy(zero_copy_only=False)[places]
+            for numbers, n in zip(portion.numbers(batch.column(0)), batch.column(1)):
+                known = numbers >= 0
+                df[numbers[known]] += n.values.to_numpy(zero_copy_only=False)[known]
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
 
@@ -271,8 +285,8 @@ def _portion_rows(index: Index, portion: _Portion, k: int) -> DataFrame:
 
         tops: list[list[tuple[int, int]]] = [[] for _ in portion.places]
         for batch in batches:
-            for block, words, most in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                bounds = portion.bounds(words, most.values.to_numpy(zero_copy_only=False))
+            for block, numbers, most in zip(batch.column(0).to_pylist(), portion.numbers(batch.column(1)), batch.column(2)):
+                bounds = portion.bounds(numbers, most.values.to_numpy(zero_copy_only=False))
                 for q in np.flatnonzero(bounds).tolist():
                     if len(tops[q]) < SEEDS or bounds[q] > tops[q][-1][0]:
                         tops[q] = sorted([*tops[q], (int(bounds[q]), block)], reverse=True)[:SEEDS]
@@ -300,8 +314,8 @@ def _portion_rows(index: Index, portion: _Portion, k: int) -> DataFrame:
 
         for batch in batches:
             blocks, queries, bounds = [], [], []
-            for block, words, most in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                bound = portion.bounds(words, most.values.to_numpy(zero_copy_only=False))
+            for block, numbers, most in zip(batch.column(0).to_pylist(), portion.numbers(batch.column(1)), batch.column(2)):
+                bound = portion.bounds(numbers, most.values.to_numpy(zero_copy_only=False))
                 open_ = bound >= floor
                 open_[done.get(block, [])] = False
                 if open_.any():
