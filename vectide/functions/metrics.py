@@ -34,9 +34,10 @@ def manhattan(a: Column, b: Column, d: int) -> Column:
 
 
 def chebyshev(a: Column, b: Column, d: int) -> Column:
+    away = lambda x, y: F.coalesce(F.abs(x.cast("double") - y.cast("double")), F.lit(float("nan")))  # noqa: E731  a maximum passes over nulls, not over NaN
     if 1 < d <= UNROLLED:
-        return F.greatest(*[F.abs(F.get(a, F.lit(i)).cast("double") - F.get(b, F.lit(i)).cast("double")) for i in range(d)])
-    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+        return F.greatest(*[away(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(d)])
+    return F.array_max(F.zip_with(a, b, away))
 
 
 def norm_squared(a: Column, d: int) -> Column:
@@ -44,9 +45,9 @@ def norm_squared(a: Column, d: int) -> Column:
 
 
 def cosine_similarity(product: Column, a_squared: Column, b_squared: Column) -> Column:
-    """Clamped to [-1, 1]; 0 where a vector is as good as zero."""
+    """Clamped to [-1, 1]; 0 where a vector is as good as zero; what is no number stays none."""
     below = F.sqrt(a_squared * b_squared)
-    return F.when(below > ULP, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product / below))).otherwise(F.lit(0.0))
+    return F.when(product.isNull() | F.isnan(product), product).when(below > ULP, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), product / below))).otherwise(F.lit(0.0))
 
 
 def cosine_distance(a: Column, b: Column, d: int) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from vectide.functions import metrics
 from vectide.operators import kmeans
-from vectide.operators.search import batch_knn, dimension_of, pairs, query_blocks
+from vectide.operators.scan import blocks, scan
+from vectide.operators.search import batch_knn, dimension_of, distances, matrix, pairs, query_blocks
 from vectide.operators.topk import top_k_by
 from vectide.schema import VectorError
 
@@ -64,16 +65,14 @@ def search(lists: DataFrame, centroids: DataFrame | None, queries: DataFrame, k:
     rows = lists if where is None else lists.where(where)
     d = dimension_of(queries, "q")
     out = None
-    for block in query_blocks(queries, d * 2):
-        probes = _probes(centroids, block, nprobe, metric).join(block.select("qid", F.col("q").alias("_q")), "qid")
-        hit = rows.join(F.broadcast(probes), "list_id")
-        scored = hit.select("qid", "id", metrics.distance(metric, F.col("_q"), F.col("vector"), d).alias("distance"))
-        best = top_k_by(scored, k).select("qid", "rank", "id", "distance")
+    for block in blocks(queries, d, lambda part: probes_of(centroids, part, nprobe, metric), nprobe):
+        found = scan(rows, "vector", block, lambda c: matrix(c, d), lambda x, q, _, v=block.vectors: distances(v[q], x, metric), k)
+        best = top_k_by(found, k).select("qid", "rank", "id", "distance")
         out = best if out is None else out.unionByName(best)
     return out
 
 
-def _probes(centroids: DataFrame, block: DataFrame, nprobe: int, metric: str) -> DataFrame:
+def probes_of(centroids: DataFrame, block: DataFrame, nprobe: int, metric: str) -> DataFrame:
     """Probes by distance, which orders all five metrics."""
     d = dimension_of(centroids, "centroid")
     scored = pairs(_as_rows(centroids), block, metric, d).withColumnRenamed("id", "list_id")

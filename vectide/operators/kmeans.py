@@ -19,7 +19,8 @@ from vectide.operators.search import PAIRS, dimension_of, distances, matrix
 from vectide.operators.transform import CENTROID_BYTES
 from vectide.schema import VectorError
 
-SAMPLE = 65_536
+#: Rows of a training sample, and bytes that it has on the driver, at most.
+SAMPLE, SAMPLE_BYTES = 65_536, 256_000_000
 
 
 @dataclass
@@ -84,11 +85,13 @@ def mini_batch(x: np.ndarray, k: int, seed: int = 42, batch: int = 1024, epochs:
 
 
 def sample_matrix(collection: DataFrame, most: int = SAMPLE, seed: int = 42) -> np.ndarray:
-    rows = bounded_sample(collection.select("id", "vector"), most, seed).collect()
-    if not rows:
+    """The sampled vectors in order of their ids, as Arrow columns; wide vectors make a smaller sample (``SAMPLE_BYTES``)."""
+    d = max(1, dimension_of(collection))
+    rows = bounded_sample(collection.select("id", "vector"), min(most, max(1, SAMPLE_BYTES // (8 * d))), seed).toArrow()
+    if not rows.num_rows:
         raise VectorError("empty_input", "no vectors to train on", "kmeans")
-    rows.sort(key=lambda r: r.id)
-    return np.array([r.vector for r in rows], float)
+    rows = rows.sort_by("id")
+    return matrix(rows.column("vector").combine_chunks(), d)
 
 
 def train(collection: DataFrame, k: int, seed: int = 42, **settings) -> DataFrame:

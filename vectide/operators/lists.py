@@ -7,13 +7,16 @@ payload is a row's content in the store's format: ``pq8`` one byte a code, ``pq4
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.functions import codecs
-from vectide.operators import ivf
-from vectide.schema import VectorError
+from vectide.functions import codecs, metrics
+from vectide.operators import ivf, pq, scan
+from vectide.operators.search import dimension_of, raw_scores
+from vectide.operators.topk import top_k_by
+from vectide.schema import VectorError, check_k
 
 FORMATS = ("pq8", "pq4", "flat")
 SCHEMA = T.StructType([T.StructField("list_id", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("external_id", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -23,18 +26,26 @@ def _hex(values: Column, digits: int) -> Column:
     return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), digits, "0")), ""))
 
 
-@F.pandas_udf(T.BinaryType())
+@F.arrow_udf(T.BinaryType())
 def _floats(v):
-    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+    flat = v.flatten().cast(pa.float32())
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False))]) * 4
+    data = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+    mask = v.is_null().to_numpy(zero_copy_only=False)
+    return pa.array([None if none else data[a:b] for none, a, b in zip(mask, ends[:-1], ends[1:])], pa.binary())
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def _from_floats(v):
-    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    return v.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+    lengths = pc.fill_null(pc.binary_length(v), 0).to_numpy(zero_copy_only=False) // 4
+    values = pa.array(np.frombuffer(b"".join(pc.drop_null(v).to_pylist()), "<f4"))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values, mask=v.is_null())
 
 
 def pack(kind: str, content: Column) -> Column:
@@ -78,3 +89,73 @@ def statistics(store: DataFrame, centroids: DataFrame) -> DataFrame:
     """``(list_id, length, bytes)`` of all lists, empty ones too."""
     sums = store.groupBy("list_id").agg(F.count(F.lit(1)).alias("length"), F.sum(F.octet_length("payload")).alias("bytes"))
     return centroids.select("list_id").join(sums, "list_id", "left").select("list_id", F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+def content_matrix(kind: str, payloads, m: int) -> np.ndarray:
+    """An Arrow column of payloads of one length as an array: vectors (rows, m) in double, or codes (rows, m)."""
+    import pyarrow.compute as pc
+
+    width = {"flat": 4 * m, "pq8": m, "pq4": -(-m // 2)}[kind]
+    if (pc.fill_null(pc.binary_length(payloads), -1).to_numpy(zero_copy_only=False) != width).any():
+        raise VectorError("corrupted_data", "a payload has another length", "lists.search", expected=width)
+    raw = np.frombuffer(b"".join(payloads.to_pylist()), np.uint8).reshape(-1, width)
+    if kind == "flat":
+        return raw.reshape(-1).view("<f4").reshape(-1, m).astype(float)
+    if kind == "pq8":
+        return raw.astype(np.int64)
+    return np.stack([raw & 15, raw >> 4], axis=2).reshape(len(raw), -1)[:, :m].astype(np.int64)
+
+
+def search(
+    store: DataFrame,
+    kind: str,
+    centroids: DataFrame,
+    queries: DataFrame,
+    k: int,
+    nprobe: int,
+    metric: str = "euclidean",
+    codebooks: DataFrame | None = None,
+    id_map: DataFrame | None = None,
+    where: Column | None = None,
+) -> DataFrame:
+    """``(qid, rank, id, score)`` of the k best rows of the probed lists, read from their payloads.
+
+    Scores are raw: squared distances, inner products or cosine similarities; of codes, which are
+    those of whole vectors, by the tables of ``codebooks``, so as good as the codes.  ``id_map(internal_id, external_id)`` renames
+    the ``external_id`` of the store after the top-k, and ``where`` then filters the results, so fewer
+    than k may be left; an id without a name is dropped.
+    """
+    if kind not in FORMATS:
+        raise VectorError("unreadable_format", "no such list format", "lists.search", format=kind)
+    if metric not in ("euclidean", "dot", "cosine") or (kind != "flat" and metric == "cosine"):
+        raise VectorError("unsupported_metric", "lists take euclidean and dot, vectors also cosine", "lists.search", metric=metric)
+    k, d = check_k(k, "lists.search"), dimension_of(queries, "q")
+    up = metrics.ascending(metric)
+    if kind != "flat" and codebooks is None:
+        raise VectorError("not_trained", "codes need their codebooks", "lists.search")
+    books = None if kind == "flat" else pq.books_of(codebooks)
+    m = d if books is None else len(books)
+    rows = store.select("list_id", F.col("external_id").alias("id"), "payload")
+    out = None
+    extra = 0 if books is None else 8 * books.shape[0] * books.shape[1]
+    for block in scan.blocks(queries, d, lambda part: ivf.probes_of(centroids, part, nprobe, metric), nprobe, extra):
+
+        def score(content, asking, _, vectors=block.vectors, kept={}):  # noqa: B006
+            if books is None:
+                s = raw_scores(vectors[asking], content, metric)
+            else:
+                if not kept:  # once a task
+                    kept["tables"] = pq.tables_of(vectors, books, metric)
+                s = np.zeros((len(asking), len(content)))
+                for j in range(m):
+                    s += kept["tables"][asking, j][:, content[:, j]]
+            return s if up else -s
+
+        found = scan.scan(rows, "payload", block, lambda c: content_matrix(kind, c, m), score, k)
+        best = top_k_by(found, k)
+        out = best if out is None else out.unionByName(best)
+    out = out.select("qid", "rank", "id", (F.col("distance") if up else -F.col("distance")).alias("score"))
+    if id_map is not None:
+        names = id_map.select(F.col("internal_id").alias("id"), F.col("external_id").alias("_e"))
+        out = out.join(names, "id").select("qid", "rank", F.col("_e").alias("id"), "score")
+    return out if where is None else out.where(where)

@@ -6,6 +6,10 @@ A search scores queries against a collection.  The queries are broadcast in bloc
 dimension by dimension and so gives the same numbers bit by bit, and passes on only the rows that a
 batch finds: k a query, or those in range.  ``"auto"`` takes Arrow where the queries' numbers are
 many (``choose_strategy``).
+
+Both strategies take odd vectors alike.  A null vector, or one of another dimension than the query,
+is an error (``dimension_mismatch``).  A row whose distance is no number, because a component is null
+or NaN, is not found.
 """
 
 from __future__ import annotations
@@ -36,10 +40,10 @@ def dimension_of(df: DataFrame, column: str = "vector") -> int:
     return first[0] if first else 1
 
 
-def query_blocks(queries: DataFrame, d: int) -> list[DataFrame]:
-    """The queries in parts of which each may be broadcast."""
+def query_blocks(queries: DataFrame, d: int, extra: int = 0) -> list[DataFrame]:
+    """The queries in parts of which each may be broadcast: ``8 d + 64 + extra`` bytes a query."""
     n = queries.count()
-    parts = max(1, -(-n * (8 * d + 64) // QUERY_BYTES))
+    parts = max(1, -(-n * (8 * d + 64 + extra) // QUERY_BYTES))
     if parts == 1:
         return [queries]
     part = F.pmod(F.xxhash64("qid"), F.lit(parts))
@@ -51,6 +55,17 @@ def _check(metric: str, operation: str) -> None:
         raise VectorError("unsupported_metric", f"no metric {metric!r}", operation)
 
 
+def sound(value: Column, vector: Column, d: int) -> Column:
+    """``value``, or an error where the vector is null or of another dimension."""
+    wrong = F.concat(F.lit("dimension_mismatch: a vector has another dimension, expected="), F.lit(d), F.lit(", found="), F.coalesce(F.size(vector), F.lit(-1)).cast("string"))
+    return F.when(F.size(vector) == d, value).otherwise(F.raise_error(wrong).cast("double"))
+
+
+def numbers(scored: DataFrame, column: str = "distance") -> DataFrame:
+    """The rows whose distance is a number."""
+    return scored.where(F.col(column).isNotNull() & ~F.isnan(column))
+
+
 def pairs(collection: DataFrame, block: DataFrame, metric: str, d: int, raw: bool = False) -> DataFrame:
     """``(qid, id, distance)`` of each row and each query of a block (broadcast: see ``query_blocks``)."""
     name = "score" if raw else "distance"
@@ -59,9 +74,9 @@ def pairs(collection: DataFrame, block: DataFrame, metric: str, d: int, raw: boo
         rows = collection.select("id", "vector", metrics.norm_squared(F.col("vector"), d).alias("_x2"))
         queries = queries.withColumn("_q2", metrics.norm_squared(F.col("_q"), d))
         similarity = metrics.cosine_similarity(metrics.dot(F.col("_q"), F.col("vector"), d), F.col("_q2"), F.col("_x2"))
-        return rows.join(F.broadcast(queries)).select("qid", "id", (similarity if raw else F.lit(1.0) - similarity).alias(name))
+        return rows.join(F.broadcast(queries)).select("qid", "id", sound(similarity if raw else F.lit(1.0) - similarity, F.col("vector"), d).alias(name))
     how = metrics.score if raw else metrics.distance
-    return collection.join(F.broadcast(queries)).select("qid", "id", how(metric, F.col("_q"), F.col("vector"), d).alias(name))
+    return collection.join(F.broadcast(queries)).select("qid", "id", sound(how(metric, F.col("_q"), F.col("vector"), d), F.col("vector"), d).alias(name))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -76,8 +91,8 @@ def knn(collection: DataFrame, query: list[float], k: int, metric: str = "euclid
     _check(metric, "knn")
     rows = collection if where is None else collection.where(where)
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.select("id", metrics.distance(metric, q, F.col("vector"), len(query)).alias("distance"))
-    return top_k(scored, k).select("rank", "id", "distance")
+    scored = rows.select("id", sound(metrics.distance(metric, q, F.col("vector"), len(query)), F.col("vector"), len(query)).alias("distance"))
+    return top_k(numbers(scored), k).select("rank", "id", "distance")
 
 
 def choose_strategy(n_queries: int, d: int) -> str:
@@ -97,7 +112,7 @@ def batch_knn(collection: DataFrame, queries: DataFrame, k: int, metric: str = "
     found = []
     for block in query_blocks(queries, d):
         how = choose_strategy(block.count(), d) if strategy == "auto" else strategy
-        scored = _arrow_scores(rows, block, metric, _nearest(k)) if how == "arrow" else pairs(rows, block, metric, d)
+        scored = _arrow_scores(rows, block, metric, nearest_of(k)) if how == "arrow" else numbers(pairs(rows, block, metric, d))
         found.append(top_k_by(scored, k).select("qid", "rank", "id", "distance"))
     out = _union(found)
     if where is not None and filter_mode == "post":
@@ -137,7 +152,8 @@ def raw_scores(q, x, metric: str):
     if metric == "cosine":
         below = np.sqrt(_norms(q)[:, None] * _norms(x)[None])
         product = _sums(q, x, np.multiply)
-        return np.where(below > metrics.ULP, np.clip(product / np.where(below > metrics.ULP, below, 1.0), -1.0, 1.0), 0.0)
+        similar = np.where(below > metrics.ULP, np.clip(product / np.where(below > metrics.ULP, below, 1.0), -1.0, 1.0), 0.0)
+        return np.where(np.isnan(product), np.nan, similar)
     if metric == "manhattan":
         return _sums(q, x, lambda a, b: np.abs(a - b))
     out = np.zeros((len(q), len(x)))
@@ -165,16 +181,18 @@ def matrix(column, d: int):
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
 
 
-def _nearest(k: int):
-    """From distances (queries, rows) those up to each query's k-th, ties and all; the window picks by id."""
+def nearest_of(k: int):
+    """From distances (queries, rows) the numbers up to each query's k-th, ties and all; the window picks by id."""
 
     def pick(d):
         import numpy as np
 
         if not k:
             return np.zeros((2, 0), int)
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1, None] if k < d.shape[1] else np.inf
-        return np.nonzero(d <= edge)
+        if k >= d.shape[1]:
+            return np.nonzero(~np.isnan(d))
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1, None]  # NaN comes last
+        return np.nonzero((d <= edge) | (np.isnan(edge) & ~np.isnan(d)))
 
     return pick
 
@@ -253,7 +271,7 @@ def range_search(
     rows = id_pass(collection, allow, deny)
     d = dimension_of(queries, "q")
     up = metrics.ascending(metric)
-    inside = (lambda s: s <= threshold) if up else (lambda s: s >= threshold)
+    inside = (lambda s: s <= threshold) if up else (lambda s: s >= threshold)  # never for what is no number
     found = []
     for block in query_blocks(queries, d):
         how = choose_strategy(block.count(), d) if strategy == "auto" else strategy
@@ -261,7 +279,7 @@ def range_search(
             scored = _arrow_scores(rows, block, metric, lambda s: inside(s).nonzero(), metric in ("dot", "cosine"), max(0.0, threshold) if metric == "euclidean" else None)
             found.append(scored.withColumnRenamed("distance", "score"))
         else:
-            found.append(_range_scores(rows, block, metric, d).where(inside(F.col("score"))))
+            found.append(numbers(_range_scores(rows, block, metric, d), "score").where(inside(F.col("score"))))
     out = _union(found)
     if first_seen:
         out = out.groupBy("qid", "id").agg((F.min if up else F.max)("score").alias("score"))
@@ -279,8 +297,8 @@ def range_mask(collection: DataFrame, queries: DataFrame, threshold: float, metr
     """``(qid, id, mask)``: 1 for rows within the threshold, else 0."""
     d = dimension_of(queries, "q")
     out = _union([_range_scores(collection, block, metric, d) for block in query_blocks(queries, d)])
-    inside = F.col("score") <= threshold if metrics.ascending(metric) else F.col("score") >= threshold
-    return out.select("qid", "id", inside.cast("int").alias("mask"))
+    inside = F.col("score") <= threshold if metrics.ascending(metric) else (F.col("score") >= threshold) & ~F.isnan("score")
+    return out.select("qid", "id", F.coalesce(inside, F.lit(False)).cast("int").alias("mask"))
 
 
 def rerank_scores(candidates: DataFrame, collection: DataFrame, queries: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -316,7 +334,7 @@ def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", str
     for block in query_blocks(queries, d):
         how = choose_strategy(block.count(), d) if strategy == "auto" else strategy
         # one more than k, for the row itself
-        scored = _arrow_scores(collection, block, metric, _nearest(k + 1)) if how == "arrow" else pairs(collection, block, metric, d)
+        scored = _arrow_scores(collection, block, metric, nearest_of(k + 1)) if how == "arrow" else numbers(pairs(collection, block, metric, d))
         found.append(top_k_by(scored.where("qid <> id"), k))
     out = _union(found)
     weight = F.sqrt(F.greatest(F.lit(0.0), F.col("distance") * 2)) if metric == "cosine" else F.col("distance")

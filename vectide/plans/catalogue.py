@@ -494,6 +494,32 @@ def _adc_u4(spark, sf):
     return pq.adc(packed, pq.table_arrays(pq.lookup_tables(probes(v), codebooks(v, 16), M)), m=M, bias=1.5)
 
 
+def _list_search(kind):
+    def run(spark, sf):
+        v = scaled(spark, sf)
+        if kind == "flat":
+            rows = ivf.build(v, centroids(v)).select("list_id", F.col("id").alias("external_id"), F.col("id").alias("seq"), "vector")
+            store, books = lists.ingest(lists.empty(spark), rows, kind, "vector"), None
+        else:
+            store, books = _store(spark, sf, kind), codebooks(v, 16)
+        names = v.select(F.col("id").alias("internal_id"), (F.col("id") + 1000000).alias("external_id"))
+        return lists.search(store, kind, centroids(v), probes(v), 10, 3, "euclidean", books, names)
+
+    return run
+
+
+_FLAT32 = _LISTS.replace(S.SCALED, S.SCALED + ", low AS (SELECT id, list_transform(v, lambda x: x::FLOAT::DOUBLE) AS v FROM emb)")
+add(
+    "list_search_flat",
+    _list_search("flat"),
+    f"{_FLAT32}, {_PROBED}, d AS (SELECT pr.qid, e.id, {S.l2sq('q.v', 'e.v')} AS score FROM pr JOIN asg USING (list_id) JOIN low e ON e.id = asg.id JOIN emb q ON q.id = pr.qid) SELECT qid, rank, id + 1000000 AS id, score FROM {S.ranked('d', 'score, id')} WHERE rank <= 10",
+)
+for kind in ("pq8", "pq4"):
+    add(
+        f"list_search_{kind}",
+        _list_search(kind),
+        f"{_LISTS}, {_PROBED}, {_PARTS}, {_BOOK.format(cut='AND id < 320')}, {_CODES}, {_LUT}, {_ADC}, d AS (SELECT qid, id, adc.distance AS score FROM pr JOIN asg USING (list_id) JOIN adc USING (qid, id)) SELECT qid, rank, id + 1000000 AS id, score FROM {S.ranked('d', 'score, id')} WHERE rank <= 10",
+    )
 add("adc_scan_u4", _adc_u4, f"{_PQ4}, {_LUT}, {_ADC} SELECT qid, id, distance + 1.5 AS distance FROM adc")
 _AFFINE = "list_transform(v, lambda x: greatest(-128, least(127, round_even(x * (1 / 0.1::DOUBLE), 0)::INTEGER + 7)))"
 add("quantize_affine", lambda s, f: _joined(scaled(s, f).select("id", codecs.quantize_affine(F.col("vector"), 0.1, 7).alias("code")), "code"), f"WITH {S.SCALED} SELECT id, array_to_string({_AFFINE}, ',') AS code FROM emb")
