@@ -1,24 +1,21 @@
 """Ranked lexical search with block-max pruning.
 
 ``build_index`` takes each partition's documents in runs, puts a run in order of the documents' most
-frequent terms and lengths, so that neighbours share terms, cuts it into blocks and writes two tables:
-
-- the forward index: a block's distinct terms, and for each of its documents the terms and their
-  frequencies;
-- the maxima: for each block and term the largest impact ``10^9 tf div (1000 tf + 8 m)`` that any of
-  its documents gives, and in how many documents the term is.
+frequent terms and lengths, so that neighbours share terms, and cuts it into blocks.  A row of the
+index is a block: its distinct terms; for each term the largest impact ``10^9 tf div (1000 tf + 8 m)``
+that any of its documents gives (the block's maximum) and the number of documents that hold it; and
+the forward index, which is each document's terms and their frequencies.
 
 ``search`` goes in two rounds.  First the maxima bound each block's best score for each query; the
 blocks with the highest bounds, ``SEEDS`` a query, are scored by the forward index, and their k-th
-best score is the query's threshold.  Then only blocks whose bound reaches the threshold are read;
-each task sorts a query's blocks by bound and scores them until the bound drops below the threshold,
-which rises with what the task finds.  A bound equal to the threshold is still scored, because a
-smaller id may win the tie.  So the result is exact.
+best score is the query's threshold.  Then each task bounds its blocks again, sorts a query's blocks
+by bound and scores them until the bound drops below the threshold, which rises with what the task
+finds.  A bound equal to the threshold is still scored, because a smaller id may win the tie.  So
+the result is exact.  Blocks stay where they are; only the few seeds are joined, by a broadcast.
 
-Queries go in portions of about ``QUERY_BYTES`` of text, each of which is sent to all tasks and
-takes one pass over the maxima; a portion's terms, seeds and thresholds are all that the driver
-sees.  Blocks are joined by their number, which is unique, so nothing is skewed; a term that all
-documents hold is one number a block.  What leaves a task is k rows a query.
+Queries go in portions of about ``QUERY_BYTES`` of text, each of which is sent to all tasks; a
+portion's terms, seeds and thresholds are all that the driver sees.  A term that all documents hold
+is one number a block, so nothing is skewed, and what leaves a task is k rows a query.
 
 Nulls and odd input.  A null text, or one without a term, is in no block and doesn't count in N.
 Documents with a null id are ranked, after others of the same score.  Repeated rows are documents of
@@ -64,8 +61,9 @@ def terms(text: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Index:
-    forward: DataFrame
-    maxima: DataFrame
+    """Blocks, the number of documents with a term, and all their terms; a larger corpus needs a new index."""
+
+    blocks: DataFrame
     documents: int
     length: int
 
@@ -121,25 +119,26 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     sums = forward.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("l")).first()
     documents, length = sums.n, sums.l
 
+    names = forward.columns
+
     def bound(batches):
         import pyarrow as pa
 
         for batch in batches:
-            blocks, words, lengths, ends, at, tf = (batch.column(c) for c in range(6))
+            words, lengths, ends, at, tf = (batch.column(names.index(c)) for c in ("terms", "lengths", "ends", "at", "tf"))
             most, df = [], []
             for i in range(batch.num_rows):
-                size = len(words[i].values)
-                where = _flat(at, i)
+                size, where = len(words[i].values), _flat(at, i)
                 impact = _impacts(_flat(tf, i).astype(np.int64), np.repeat(_flat(lengths, i), np.diff(_flat(ends, i), prepend=0)), documents, length)
                 top = np.zeros(size, np.int64)
                 np.maximum.at(top, where, impact)
                 most.append(top.astype(np.int32))
                 df.append(np.bincount(where, minlength=size).astype(np.int32))
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([blocks, words, pa.array(most, kind), pa.array(df, kind)], names=["block", "terms", "most", "df"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(most, kind), pa.array(df, kind)], names=[*names, "most", "df"])
 
-    maxima = forward.select("block", "terms", "lengths", "ends", "at", "tf").mapInArrow(bound, "block long, terms array<binary>, most array<int>, df array<int>")
-    return Index(forward, stored(maxima, "block-maxima"), documents, length)
+    both = T.StructType([*schema.fields, T.StructField("most", numbers), T.StructField("df", numbers)])
+    return Index(stored(forward.mapInArrow(bound, both), "lexical-blocks"), documents, length)
 
 
 def _one(value, kind):
@@ -233,29 +232,45 @@ def _postings(block: tuple, documents: int, length: int) -> tuple:
     return number[kept], impact, np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=len(ids)))]), ids
 
 
-def _found(index: Index, asked: DataFrame, portion: _Portion, k: int, least: list[int]) -> DataFrame:
-    """``(place, id, score)``: each task's k best of the blocks ``asked(block, queries, bounds)``; the number of rows is bounded by tasks and queries."""
+def _found(index: Index, portion: _Portion, k: int, least: list[int], seeds: DataFrame | None = None, done: dict[int, list[int]] | None = None) -> DataFrame:
+    """``(place, id, score)``: each task's k best; the number of rows is bounded by tasks and queries.
+
+    Of the blocks of ``seeds(block, queries, bounds)``; or of all blocks whose bounds reach ``least``,
+    but for those that ``done`` has for a query.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    columns = ["terms", "ids", "lengths", "ends", "at", "tf", "queries", "bounds"]
-    joined = index.forward.join(asked, "block").select(*columns)
-    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("id", index.forward.schema["ids"].dataType.elementType), T.StructField("score", T.LongType())])
-    documents, length = index.documents, index.length
+    columns = ["block", "terms", "ids", "lengths", "ends", "at", "tf"]
+    blocks = index.blocks.select(*columns, "most") if seeds is None else index.blocks.select(*columns).join(F.broadcast(seeds), "block").select(*columns, "queries", "bounds")
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("id", index.blocks.schema["ids"].dataType.elementType), T.StructField("score", T.LongType())])
+    documents, length, whole = index.documents, index.length, seeds is None
 
     def run(batches):
         import pyarrow as pa
 
         best = _Best(k, least)
         for batch in batches:
-            words, ids, *rest = (batch.column(c) for c in range(len(columns)))
-            numbers = portion.numbers(words)
+            names, words, ids, *forward = (batch.column(c) for c in range(7))
+            numbers, rest = portion.numbers(words), [batch.column(c) for c in range(7, batch.num_columns)]
             for i in range(0, batch.num_rows, _TOGETHER):
-                _scored([(numbers[j], ids[j].as_py(), *(_flat(c, j) for c in rest)) for j in range(i, min(i + _TOGETHER, batch.num_rows))], portion, best, documents, length)
+                part = []
+                for j in range(i, min(i + _TOGETHER, batch.num_rows)):
+                    if whole:
+                        bound = portion.bounds(numbers[j], _flat(rest[0], j))
+                        asking = bound >= np.array(best.least, np.int64)
+                        asking[(done or {}).get(names[j].as_py(), [])] = False
+                        queries = np.flatnonzero(asking)
+                        bounds = bound[queries]
+                    else:
+                        queries, bounds = _flat(rest[0], j), _flat(rest[1], j)
+                    if len(queries):
+                        part.append((numbers[j], ids[j].as_py(), *(_flat(c, j) for c in forward), queries, bounds))
+                _scored(part, portion, best, documents, length)
         rows = [(portion.places[q], None if none else i, -score) for q, found in enumerate(best.rows) for score, none, i in found]
         arrow = to_arrow_schema(schema)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, arrow)], schema=arrow)
 
-    return joined.mapInArrow(run, schema)
+    return blocks.mapInArrow(run, schema)
 
 
 def _best_of(found: DataFrame, k: int) -> DataFrame:
@@ -277,7 +292,7 @@ def _portion_rows(index: Index, portion: _Portion, k: int) -> DataFrame:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
 
-    counted = index.maxima.select("terms", "df").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = index.blocks.select("terms", "df").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
     portion.weigh({r.term: r.df for r in counted.collect()}, index.documents)
 
     def seed(batches) -> Iterator:
@@ -294,12 +309,12 @@ def _portion_rows(index: Index, portion: _Portion, k: int) -> DataFrame:
         kinds = [pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, kinds)], names=["query", "bound", "block"])
 
-    tops = index.maxima.select("block", "terms", "most").mapInArrow(seed, "query int, bound long, block long")
+    tops = index.blocks.select("block", "terms", "most").mapInArrow(seed, "query int, bound long, block long")
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "block")) <= SEEDS
     seeds = stored(tops.withColumn("first", first).where("first"), "seeds")  # SEEDS rows a query of the portion at most
     asked = seeds.groupBy("block").agg(F.collect_list("query").alias("queries"), F.collect_list("bound").alias("bounds"))
     nothing = [1] * len(portion.places)
-    found = stored(_best_of(_found(index, F.broadcast(asked), portion, k, nothing), k), "seed-rows")
+    found = stored(_best_of(_found(index, portion, k, nothing, asked), k), "seed-rows")
     number = {p: q for q, p in enumerate(portion.places)}
     least = list(nothing)
     for r in found.groupBy("place").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).collect():
@@ -307,24 +322,7 @@ def _portion_rows(index: Index, portion: _Portion, k: int) -> DataFrame:
     done: dict[int, list[int]] = {}
     for r in seeds.select("block", "query").collect():
         done.setdefault(r.block, []).append(r.query)
-    floor = np.array(least, np.int64)
-
-    def survive(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            blocks, queries, bounds = [], [], []
-            for block, numbers, most in zip(batch.column(0).to_pylist(), portion.numbers(batch.column(1)), batch.column(2)):
-                bound = portion.bounds(numbers, most.values.to_numpy(zero_copy_only=False))
-                open_ = bound >= floor
-                open_[done.get(block, [])] = False
-                if open_.any():
-                    at = np.flatnonzero(open_)
-                    blocks.append(block), queries.append(at.astype(np.int32)), bounds.append(bound[at])
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(queries, pa.list_(pa.int32())), pa.array(bounds, pa.list_(pa.int64()))], names=["block", "queries", "bounds"])
-
-    rest = stored(index.maxima.select("block", "terms", "most").mapInArrow(survive, "block long, queries array<int>, bounds array<long>"), "open-blocks")
-    return _best_of(found.drop("rank").unionByName(_found(index, rest, portion, k, least)), k)
+    return _best_of(found.drop("rank").unionByName(_found(index, portion, k, least, done=done)), k)
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, text_col: str = "text", id_col: str = "item_id", doc_col: str = "doc_id") -> DataFrame:
@@ -341,6 +339,6 @@ def search(index: Index, queries: DataFrame, k: int = 10, text_col: str = "text"
             part = stored(_portion_rows(index, portion, k), "ranked")
             rows = part if rows is None else rows.unionByName(part)
     if rows is None:
-        kind = index.forward.schema["ids"].dataType.elementType.simpleString()
+        kind = index.blocks.schema["ids"].dataType.elementType.simpleString()
         rows = asked.where("false").selectExpr("place", f"cast(null as {kind}) as id", "cast(null as long) as score", "cast(null as int) as rank")
     return rows.join(asked.select("place", "item"), "place").select(F.col("item").alias(id_col), "rank", F.col("id").alias(doc_col), "score")
