@@ -801,6 +801,20 @@ def test_baseline_clips_and_large_files():
     assert media.analyse(first + more)[1] == bytes(np.arange(3 * 768, dtype=np.uint8))
 
 
+def test_lists_in_lists_and_large_categories():
+    x = np.arange(2 * 768, dtype=np.uint8).reshape(2, 24, 32)
+    frames = media.encode_frames(x)
+    body = media._chunk(b"00dc", frames[0])
+    for depth in range(3000):
+        body = media._chunk(b"LIST", b"rec " + body + (media._chunk(b"00dc", frames[1]) if depth == 2999 else b""))
+    file = media._chunk(b"RIFF", b"AVI " + media._chunk(b"LIST", b"movi" + body))
+    assert media.analyse(file)[1] == x.tobytes()
+    for symbol in (16, 255):
+        head = b"\xff\xd8" + media._segment(0xC3, struct.pack(">BHHB", 8, 8, 8, 1) + bytes([1, 0x11, 0])) + media._segment(0xC4, bytes([0, 2] + [0] * 15 + [0, symbol])) + media._segment(0xDA, bytes([1, 1, 0, 1, 0, 0]))
+        n, payload, clips, error = media.analyse(media.write_avi([head + b"\xaa" * 4000 + b"\xff\xd9"], 8, 8))
+        assert (n, payload, clips) == (None, None, []) and error
+
+
 def test_odd_files_give_rows_with_errors():
     headless = b"\xff\xd8" + media._segment(0xC4, bytes([0, *media._COUNTS, *media._SYMBOLS])) + media._segment(0xDA, bytes([1, 1, 0, 1, 0, 0])) + b"\xff\xd9"
     assert media.analyse(media.write_avi([headless], 32, 24))[3] == "no frame header"

@@ -105,6 +105,30 @@ def test_token_files(spark, docs):
     assert result(spark, "op7_token_id_binary_output", "start", "n_tokens", "ids_crc32") == want
 
 
+def plain_feature(payload):
+    """Frames, shots and first frames: a shot ends where the histogram changes by far more than just before."""
+    payload += b" " * (-len(payload) % 768)  # whole frames of 32 x 24
+    frames = [payload[i : i + 768] for i in range(0, len(payload), 768)]
+    shares = []
+    for f, g in zip(frames, frames[1:]):
+        a, b = (collections.Counter(v // 16 for v in x) for x in (f, g))
+        shares.append(sum(abs(a[c] - b[c]) for c in range(16)) / (2 * len(f)))
+    starts = [0]
+    for t, d in enumerate(shares):
+        before = shares[max(0, t - 8) : t]
+        if before and d > 0.25 and t + 1 - starts[-1] >= 4:
+            mean = sum(before) / len(before)
+            spread = max(0.0, sum(v * v for v in before) / len(before) - mean * mean) ** 0.5
+            if d > mean + 3 * spread:
+                starts.append(t + 1)
+    return f"frames={len(frames)};shots={len(starts)};starts={','.join(map(str, starts))}"
+
+
+def test_media_features(spark, docs):
+    got = result(spark, "op10_media_columns", "feature")
+    assert {d: plain_feature(media.pad_payload((t or "").encode())) for d, t in docs} == {d: v[0] for d, v in got.items()}
+
+
 def test_media(spark, docs):
     want = {}
     for d, t in docs:

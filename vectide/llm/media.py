@@ -173,11 +173,15 @@ def read_avi(media: bytes) -> dict:
 
 
 def _movi_frames(data: memoryview, at: int, end: int) -> Iterator[tuple[int, int]]:
-    for name, start, size in _chunks(data, at, end):
-        if name == b"LIST":
-            yield from _movi_frames(data, start + 4, start + size)
-        elif name[2:] in (b"dc", b"db"):
-            yield start, size
+    """The frames of a movi list in order, those of lists within it too, however deep."""
+    open_ = [_chunks(data, at, end)]
+    while open_:
+        if (found := next(open_[-1], None)) is None:
+            open_.pop()
+        elif found[0] == b"LIST":
+            open_.append(_chunks(data, found[1] + 4, found[1] + found[2]))
+        elif found[0][2:] in (b"dc", b"db"):
+            yield found[1], found[2]
 
 
 class _Jpeg:
@@ -216,6 +220,8 @@ class _Jpeg:
         self.codes, code, k = {}, 0, 0
         for length, n in enumerate(table[0], 1):
             for _ in range(n):
+                if table[1][k] > 15:
+                    raise ValueError("a difference of more than 15 bits")
                 self.codes[length, code] = table[1][k]
                 code, k = code + 1, k + 1
             code <<= 1
@@ -320,7 +326,7 @@ def analyse(media: bytes | None) -> tuple[int | None, bytes | None, list[dict],
         if kept.isdecimal():
             payload = payload[: int(kept)]
         return n, payload, clips, None
-    except (ValueError, IndexError, KeyError, struct.error) as e:
+    except (ValueError, IndexError, KeyError, OverflowError, struct.error) as e:
         return None, None, [], str(e) or type(e).__name__
 
 
