@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 
 from vectide.sources.store import fresh_path, shared_dir, stored
 
-__all__ = ["cleared", "fresh_path", "hash_unit", "let", "open_fs", "shared_dir", "stored", "table"]
+__all__ = ["cleared", "fresh_path", "hash_unit", "joined_by_size", "let", "open_fs", "pin_splits", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Let scans of files be cut alike each time in this session, also after executors came or went.
+
+    Where neither setting is there, Spark takes the cores of the moment, and the places of rows in
+    two scans of one table may differ.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None and spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vectide.llm.common import cleared, let, shared_dir, stored
+from vectide.llm.common import cleared, let, pin_splits, shared_dir, stored
 
 MIN_WORDS = 50
 _WORDS = r"[\x20\x09-\x0D]+"
@@ -145,6 +145,7 @@ def dedup_lines(df: DataFrame, *, min_words: int = MIN_WORDS, text_col: str = "t
     if not stable:
         shared_dir(df.sparkSession)
         df = df.checkpoint()
+    pin_splits(df.sparkSession)
     names = df.columns
     df = df.withColumn("_ld_row", F.monotonically_increasing_id())
     gone = removed_lines(stored(line_table(df, text_col, id_col), "all-lines"), min_words)

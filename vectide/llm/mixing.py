@@ -76,5 +76,6 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, *
     copies = let(unit, lambda u: law["first"] + F.size(F.filter(law["cdf"], lambda c: c <= u)))
     drawn = drawn.withColumn("copies", copies.cast("int")).where("copies > 0")
     out = drawn.select(*names, "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    key = F.xxhash64(F.lit(seed), F.lit("order"), F.col(id_col), F.col(text_col), F.col("copy"))
+    # with the row's place, so that equal rows don't meet in one task
+    key = F.xxhash64(F.lit(seed), F.lit("order"), F.col(id_col), F.col(text_col), F.col("copy"), F.monotonically_increasing_id())
     return out.withColumn("_mix_key", key).repartition("_mix_key").sortWithinPartitions("_mix_key").drop("_mix_key")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vectide.llm.common import cleared, hash_unit, let, shared_dir
+from vectide.llm.common import cleared, hash_unit, let, pin_splits, shared_dir
 
 MAX_ENTRIES = 1 << 20
 MAX_CELLS = 1 << 20
@@ -110,6 +110,7 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 0, *, stable: bool = Fa
     if not stable:
         shared_dir(df.sparkSession)
         df = df.checkpoint()
+    pin_splits(df.sparkSession)
     counted = lambda d: d.select(F.spark_partition_id().alias("_shard_part")).groupBy("_shard_part").agg(F.count(F.lit(1)).alias("n"))
     n_partitions = counted(df).count()
     if n_partitions * n_shards > MAX_ENTRIES:
