@@ -2,7 +2,8 @@
 
 A shard is the rows that a hash of the id deals to it; a task builds its graph, and a search asks
 every shard and merges the answers.  The graph of a shard is one row: arrays of ids, levels,
-vectors and edges.  Shards are bounded by ``rows_per_shard``, so a task holds a bounded graph.
+vectors, edges and tombstones.  Shards are bounded by ``rows_per_shard``, so a task holds a bounded
+graph, and they don't depend on the cluster.  ``sources.graphs`` stores graphs and updates them.
 """
 
 from __future__ import annotations
@@ -14,17 +15,19 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vectide.operators.search import dimension_of, found_schema, query_blocks
+from vectide.operators import kmeans
+from vectide.operators.search import dimension_of, found_schema, matrix, query_blocks
 from vectide.operators.topk import top_k_by
 from vectide.schema import Collection, VectorError, check_k
 from vectide.sources.store import stored
 
 MAX_LEVEL = 16
-#: Rows of a shard, at least, where shards are made for the sake of more cores.
-FEWEST = 500
-GRAPHS = "shard int, ids array<{id}>, levels array<int>, vectors array<float>, sources array<int>, edge_levels array<int>, targets array<int>"
+#: Of a list that is too large for one graph, the parts that a row of a neighbour graph asks.
+PARTS_ASKED = 4
+GRAPHS = "shard int, ids array<{id}>, levels array<int>, vectors array<float>, sources array<int>, edge_levels array<int>, targets array<int>, dead array<int>"
 
 
 @dataclass(frozen=True)
@@ -98,6 +101,12 @@ class Graph:
         self.levels: list[int] = []
         self.edges: list[list[list[int]]] = []
         self.entry = -1
+        self.dead = np.zeros(len(self.x), bool)
+
+    def grow(self, vectors: np.ndarray) -> None:
+        """Rows that ``add`` will link in."""
+        self.x = np.concatenate([self.x.reshape(-1, vectors.shape[1]), np.asarray(vectors, float)])
+        self.dead = np.concatenate([self.dead, np.zeros(len(vectors), bool)])
 
     def descend(self, q: np.ndarray, start: int, top: int, bottom: int) -> int:
         """The nearest node that greedy steps reach from ``start`` in the levels above ``bottom``."""
@@ -146,11 +155,11 @@ class Graph:
         if self.entry < 0:
             self.entry = node
             return
-        top = self.levels[self.entry]
+        top, alive = self.levels[self.entry], ~self.dead if self.dead.any() else None
         starts = [] if near is not None else [self.descend(q, self.entry, top, level)]
         for at in range(min(level, top), -1, -1):
             if near is None:
-                found = np.array([n for _, n in self.explore(q, starts, max(self.s.ef_construction, self.s.m), at)], int)
+                found = np.array([n for _, n in self.explore(q, starts, max(self.s.ef_construction, self.s.m), at, alive)], int)
                 starts = found.tolist() or starts
             else:
                 found = near[at]
@@ -179,14 +188,14 @@ class Graph:
 _AT_ONCE = 512
 
 
-def build_graph(vectors: np.ndarray, metric: str = "euclidean", s: Settings = Settings()) -> Graph:
+def build_graph(vectors: np.ndarray, metric: str = "euclidean", s: Settings = Settings(), drawn: np.ndarray | None = None) -> Graph:
     """A graph whose rows are linked to their nearest earlier rows, found exactly by blocks of matrix products.
 
     For the rows of a shard that is faster than to walk the graph, and no worse a choice: the
     ``ef_construction`` nearest are the best that a walk can find.
     """
     g, rng = Graph(vectors, metric, s), np.random.default_rng(s.seed)
-    levels = np.array([draw_level(s.m, rng) for _ in range(len(g.x))], int)
+    levels = np.array([draw_level(s.m, rng) for _ in range(len(g.x))], int) if drawn is None else drawn
     most = max(s.ef_construction, s.m)
     squares = np.einsum("nd,nd->n", g.x, g.x)
     for a in range(0, len(g.x), _AT_ONCE):
@@ -211,37 +220,118 @@ def build_graph(vectors: np.ndarray, metric: str = "euclidean", s: Settings = Se
 
 
 def build(collection: DataFrame, metric: str = "euclidean", settings: Settings = Settings(), rows_per_shard: int = 20_000) -> DataFrame:
-    """The graphs of a collection: one row for each shard, of which there are as many as the rows or, for small collections, the cores ask."""
-    d = dimension_of(collection)
-    Collection(d, metric, "hnsw")
-    n = collection.count()
-    shards = max(1, -(-n // rows_per_shard), min(collection.sparkSession.sparkContext.defaultParallelism, n // FEWEST))
-    kind = collection.schema["id"].dataType.simpleString()
+    """The graphs of a collection: one row for each shard, of which there are as many as the rows ask."""
+    Collection(dimension_of(collection), metric, "hnsw")
+    shards = max(1, -(-collection.count() // rows_per_shard))
+    return build_shards(collection.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")), metric, settings)
+
+
+def build_shards(dealt: DataFrame, metric: str, settings: Settings) -> DataFrame:
+    """Graphs of ``dealt(shard, id, vector)``, with ``level`` if levels are drawn already."""
+    schema = T.StructType.fromDDL(GRAPHS.format(id=dealt.schema["id"].dataType.simpleString()))
+    d = dimension_of(dealt)
+
+    def one(key, table):
+        import pyarrow as pa
 
-    def one(pdf):
-        import pandas as pd
+        table = table.sort_by("id").combine_chunks()
+        x = matrix(table.column("vector").combine_chunks(), d).astype(np.float32)
+        levels = table.column("level").to_numpy() if "level" in table.column_names else None
+        return pa.Table.from_batches([packed(key[0].as_py(), table.column("id").combine_chunks(), build_graph(x, metric, settings, levels), schema)])
 
-        pdf = pdf.sort_values("id")
-        x = np.stack(pdf["vector"].to_numpy()).astype(np.float32)
-        g = build_graph(x, metric, settings)
-        flat = [(i, level, n) for i, levels in enumerate(g.edges) for level, ns in enumerate(levels) for n in ns]
-        row = {"shard": int(pdf["shard"].iloc[0]), "ids": pdf["id"].tolist(), "levels": g.levels, "vectors": x.ravel().tolist()}
-        row |= {name: [e[i] for e in flat] for i, name in enumerate(("sources", "edge_levels", "targets"))}
-        return pd.DataFrame([row])
+    return dealt.groupBy("shard").applyInArrow(one, schema)
 
-    dealt = collection.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vector")
-    return dealt.groupBy("shard").applyInPandas(one, GRAPHS.format(id=kind))
 
+def packed(shard: int, ids, g: Graph, schema: T.StructType):
+    """A graph as a record batch of one row; ``ids`` is an Arrow array."""
+    import pyarrow as pa
 
-def _load(row: dict, metric: str, settings: Settings) -> tuple[list, Graph]:
+    kinds = to_arrow_schema(schema)
+    lengths = np.array([[len(ns), i, level] for i, levels in enumerate(g.edges) for level, ns in enumerate(levels)], np.int32).reshape(-1, 3)
+    targets = np.fromiter((n for levels in g.edges for ns in levels for n in ns), np.int32)
+    columns = [ids, g.levels, g.x.astype(np.float32).ravel(), np.repeat(lengths[:, 1], lengths[:, 0]), np.repeat(lengths[:, 2], lengths[:, 0]), targets, np.flatnonzero(g.dead)]
+    out = [pa.array([shard], pa.int32())]
+    for values, kind in zip(columns, list(kinds)[1:]):
+        values = values.cast(kind.type.value_type) if isinstance(values, pa.Array) else pa.array(values, kind.type.value_type)
+        out.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values, kind.type))
+    return pa.RecordBatch.from_arrays(out, schema=kinds)
+
+
+def load(batch, i: int, metric: str, settings: Settings) -> tuple:
+    """The ids (an Arrow array) and the graph of one row of a batch, by Arrow's buffers."""
+    row = {name: batch.column(name)[i].values for name in ("ids", "levels", "vectors", "sources", "edge_levels", "targets", "dead")}
+    flat = {name: row[name].to_numpy(zero_copy_only=False) for name in ("levels", "vectors", "sources", "edge_levels", "targets", "dead")}
     n = len(row["ids"])
-    g = Graph(np.asarray(row["vectors"], np.float32).reshape(n, -1) if n else np.zeros((0, 1)), metric, settings)
-    g.levels = list(row["levels"])
+    g = Graph(flat["vectors"].reshape(n, -1) if n else np.zeros((0, 1)), metric, settings)
+    g.levels = flat["levels"].tolist()
     g.edges = [[[] for _ in range(level + 1)] for level in g.levels]
-    for a, level, b in zip(row["sources"], row["edge_levels"], row["targets"]):
-        g.edges[a][level].append(b)
+    if len(flat["targets"]):
+        change = np.flatnonzero(np.diff(flat["sources"]) | np.diff(flat["edge_levels"])) + 1
+        starts = np.concatenate([[0], change])
+        for a, level, part in zip(flat["sources"][starts].tolist(), flat["edge_levels"][starts].tolist(), np.split(flat["targets"], change)):
+            g.edges[a][level] = part.tolist()
     g.entry = int(np.argmax(g.levels)) if n else -1
-    return list(row["ids"]), g
+    g.dead[flat["dead"]] = True
+    return row["ids"], g
+
+
+def without_tombstones(ids, g: Graph) -> tuple:
+    """The live ids and a graph of them: who led to a dropped node is linked to what that led to, and every node stays reachable."""
+    alive = np.flatnonzero(~g.dead)
+    place = np.full(len(g.dead), -1)
+    place[alive] = np.arange(len(alive))
+    new = Graph(g.x[alive], g.metric, g.s)
+    new.levels = [g.levels[n] for n in alive]
+    new.edges = [[[] for _ in range(level + 1)] for level in new.levels]
+    for node in alive.tolist():
+        for level, around in enumerate(g.edges[node]):
+            found, todo, seen = set(), [n for n in around if g.dead[n]], set()
+            while todo:  # through dropped nodes to live ones
+                n = todo.pop()
+                if n not in seen:
+                    seen.add(n)
+                    beyond = g.edges[n][level] if level < len(g.edges[n]) else []
+                    found.update(m for m in beyond if not g.dead[m])
+                    todo += [m for m in beyond if g.dead[m]]
+            kept = [n for n in around if not g.dead[n]]
+            found = (found | set(kept)) - {node}
+            kept = kept if not seen else g.choose(g.x[node], np.array(sorted(found), int)) if found else []
+            new.edges[place[node]][level] = [int(place[n]) for n in kept]
+    if len(alive):
+        new.entry = int(np.argmax(new.levels))
+        _reach(new)
+    return ids.take(alive), new
+
+
+def _reach(g: Graph) -> None:
+    """Link in what the entry doesn't lead to on the lowest level, one node after another, from its nearest reachable node."""
+    n = len(g.levels)
+    reached, todo = np.zeros(n, bool), [g.entry]
+    reached[g.entry] = True
+    rest = None
+    while True:
+        while todo:
+            around = [m for m in g.edges[todo.pop()][0] if not reached[m]]
+            reached[around] = True
+            todo += around
+        rest = np.flatnonzero(~reached)
+        if not len(rest):
+            return
+        lost, inside = int(rest[0]), np.flatnonzero(reached)
+        near = inside[np.argsort(_near(g.x[lost], g.x[inside], g.metric), kind="stable")]
+        host = next((int(m) for m in near[:64] if len(g.edges[m][0]) < g.s.m), None)
+        if host is None:  # all are full: one leads here instead of to its farthest, which leads back to it
+            host = int(near[0])
+            far = max(g.edges[host][0], key=lambda m: float(_near(g.x[host], g.x[[m]], g.metric)[0]))
+            g.edges[host][0].remove(far)
+            g.edges[lost][0] = [far, *[m for m in g.edges[lost][0] if m != far]][: g.s.m]
+            reached[:] = False
+            reached[g.entry], todo = True, [g.entry]
+        g.edges[host][0].append(lost)
+        if len(g.edges[lost][0]) < g.s.m and host not in g.edges[lost][0]:
+            g.edges[lost][0].append(host)
+        if reached[host]:
+            todo.append(host)
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", settings: Settings = Settings(), allowed: DataFrame | None = None, filter_mode: str = "pre") -> DataFrame:
@@ -263,16 +353,19 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
         def run(batches, data=data):
             import pyarrow as pa
 
+            kinds = to_arrow_schema(schema)
             for batch in batches:
-                for row in batch.to_pylist():
-                    ids, g = _load(row, metric, settings)
-                    mask = None
-                    if "allowed" in row:
-                        mask = np.zeros(len(ids), bool)
-                        mask[row["allowed"]] = True
-                    found = [(qid, ids[n], dist) for qid, q in data for dist, n in g.search(q, k, settings.ef_search, mask)]
+                for i in range(batch.num_rows):
+                    ids, g = load(batch, i, metric, settings)
+                    mask = ~g.dead
+                    if "allowed" in batch.schema.names:
+                        inside = np.zeros(len(ids), bool)
+                        inside[batch.column("allowed")[i].values.to_numpy(zero_copy_only=False)] = True
+                        mask &= inside
+                    found = [(qid, n, dist) for qid, q in data for dist, n in g.search(q, k, settings.ef_search, None if mask.all() else mask)]
                     if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), to_arrow_schema(schema))], names=schema.names)
+                        qids, at, dists = zip(*found)
+                        yield pa.RecordBatch.from_arrays([pa.array(qids, kinds.field("qid").type), ids.take(pa.array(at)), pa.array(dists, pa.float64())], names=schema.names)
 
         hits = graphs.mapInArrow(run, schema)
         best = top_k_by(hits, k).select("qid", "rank", "id", "distance")
@@ -282,8 +375,14 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
     return out
 
 
-def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", settings: Settings = Settings(), rows_per_shard: int = 20_000) -> DataFrame:
-    """``(src, rank, dst, distance)``: approximate neighbours of all rows, Euclidean weights, none of itself."""
+def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", settings: Settings = Settings(), rows_per_shard: int = 20_000, probes: int = 4) -> DataFrame:
+    """``(src, rank, dst, distance)``: approximate neighbours of all rows, Euclidean weights, none of itself.
+
+    Rows are dealt to lists of near rows, of about ``rows_per_shard`` each, and each list becomes a
+    graph.  A row asks the graphs of the ``probes`` lists nearest to it, so the work grows with the
+    rows.  A list that is too large is cut into graphs by a hash; of these a row asks its own and
+    the next, ``PARTS_ASKED`` in all.
+    """
     if metric == "dot":
         raise VectorError("unsupported_metric", "a neighbour graph takes euclidean and cosine", "hnsw.knn_graph")
     n = collection.count()
@@ -291,35 +390,72 @@ def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", set
         raise VectorError("invalid_k", "k is from 1 to the number of rows less one", "hnsw.knn_graph", k=k, n=n)
     ef = max(settings.ef_search, 2 * k, k + 1)
     wide = Settings(settings.m, settings.ef_construction, ef, settings.seed)
-    graphs = stored(build(collection, metric, settings, rows_per_shard), "graphs")
-    found = _among_shards(graphs, k + 1, metric, wide).where("qid <> id")
+    lists = -(-n // rows_per_shard)
+    centroids = stored(kmeans.train(collection, lists, settings.seed), "centroids")
+    dealt = stored(kmeans.assign_in_place(collection.select("id", "vector"), centroids, metric).drop("distance"), "dealt")
+    sizes = {r.list_id: r["count"] for r in dealt.groupBy("list_id").count().collect()}  # a row for each list
+    first, parts, at = {}, {}, 0
+    for i in sorted(sizes):
+        first[i], parts[i] = at, -(-sizes[i] // (2 * rows_per_shard))
+        at += parts[i]
+    places = collection.sparkSession.createDataFrame([(i, first[i], parts[i]) for i in sizes], "list_id int, _first int, _parts int")
+    part = F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")
+    shard = lambda step: (F.col("_first") + F.pmod(part + step, F.col("_parts"))).cast("int")
+    graphs = build_shards(dealt.join(F.broadcast(places), "list_id").select("id", "vector", shard(F.lit(0)).alias("shard")), metric, settings)
+    asking = _nearest_lists(dealt, centroids, min(probes, lists), metric).join(F.broadcast(places), "list_id")
+    asking = asking.withColumn("_step", F.explode(F.sequence(F.lit(0), F.least(F.col("_parts"), F.lit(PARTS_ASKED)) - 1)))
+    asking = asking.select(shard(F.col("_step")).alias("shard"), F.col("id").alias("qid"), F.col("vector").alias("q"))
+    found = _asked(graphs, asking, k + 1, metric, wide).where("qid <> id")
     best = top_k_by(found, k)
     weight = F.sqrt(F.greatest(F.lit(0.0), F.col("distance") * 2)) if metric == "cosine" else F.col("distance")
     return best.select(F.col("qid").alias("src"), "rank", F.col("id").alias("dst"), weight.alias("distance"))
 
 
-def _among_shards(graphs: DataFrame, k: int, metric: str, settings: Settings) -> DataFrame:
-    """``(qid, id, distance)``: each row's k nearest in each shard, the shard's rows as queries; pairs of shards meet in tasks."""
-    id_type = graphs.schema["ids"].dataType.elementType
-    schema = found_schema(id_type, id_type)
-    asking = graphs.select(F.col("shard").alias("_by"), F.col("ids").alias("_qids"), F.col("vectors").alias("_q"))
-    shards = graphs.count()
-    # every shard asks every shard: a row of each pair, dealt to tasks by the pair
-    left = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(graphs.agg(F.max("shard")).first()[0] or 0)))))
-    met = left.repartition(max(1, shards * shards), "_by", "shard").join(graphs, "shard")
+def _nearest_lists(rows: DataFrame, centroids: DataFrame, n: int, metric: str) -> DataFrame:
+    """``(id, vector, list_id)``: each row with each of its n nearest lists, found where the row stands."""
+    from vectide.operators.search import distances
+
+    model = sorted((r.list_id, r.centroid) for r in centroids.collect())  # a centroid for each ``rows_per_shard`` rows
+    numbers, c = np.array([i for i, _ in model], np.int32), np.array([v for _, v in model], float)
+    schema = T.StructType([rows.schema["id"], rows.schema["vector"], T.StructField("list_id", T.IntegerType())])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, g = _load(row, metric, settings)
-                queries = np.asarray(row["_q"], np.float32).astype(float).reshape(len(row["_qids"]), -1)
-                found = [(qid, ids[n], dist) for qid, q in zip(row["_qids"], queries) for dist, n in g.search(q, k, settings.ef_search)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), to_arrow_schema(schema))], names=schema.names)
+            d = distances(c, matrix(batch.column(1), c.shape[1]), metric).T
+            near = np.argsort(d, axis=1, kind="stable")[:, :n]
+            each = pa.array(np.repeat(np.arange(len(d)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), pa.array(numbers[near].ravel())], names=schema.names)
+
+    return rows.select("id", "vector").mapInArrow(run, schema)
+
+
+def _asked(graphs: DataFrame, asking: DataFrame, k: int, metric: str, settings: Settings) -> DataFrame:
+    """``(qid, id, distance)``: k nearest in each shard of ``asking(shard, qid, q)``; a shard's graph and its queries meet in a task."""
+    schema = found_schema(asking.schema["qid"].dataType, graphs.schema["ids"].dataType.elementType)
+
+    def run(key, graph, queries):
+        import pyarrow as pa
+
+        kinds = to_arrow_schema(schema)
+        if not graph.num_rows or not queries.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in kinds})
+        ids, g = load(graph.combine_chunks().to_batches()[0], 0, metric, settings)
+        q = matrix(queries.column("q").combine_chunks(), g.x.shape[1])
+        mask = None if not g.dead.any() else ~g.dead
+        found = [(i, n, d) for i, v in enumerate(q) for d, n in g.search(v, k, settings.ef_search, mask)]
+        at, where, dists = zip(*found) if found else ((), (), ())
+        return pa.table({"qid": queries.column("qid").take(pa.array(at, pa.int64())), "id": ids.take(pa.array(where, pa.int64())), "distance": pa.array(dists, pa.float64())}, schema=kinds)
+
+    return graphs.groupBy("shard").cogroup(asking.groupBy("shard")).applyInArrow(run, schema)
+
 
-    return met.mapInArrow(run, schema)
+def vectors(graphs: DataFrame) -> DataFrame:
+    """``(id, vector)`` of the live rows."""
+    d = (F.size("vectors") / F.size("ids")).cast("int")
+    rows = graphs.where(F.size("ids") > 0).select("ids", "vectors", "dead", d.alias("_d"), F.posexplode("ids").alias("_at", "id"))
+    return rows.where(~F.array_contains("dead", F.col("_at"))).select("id", F.slice("vectors", F.col("_at") * F.col("_d") + 1, F.col("_d")).alias("vector"))
 
 
 def nodes(graphs: DataFrame) -> DataFrame:
@@ -331,6 +467,6 @@ def edges(graphs: DataFrame) -> DataFrame:
 
 
 def statistics(graphs: DataFrame) -> DataFrame:
-    """One row: live rows, the top level and the mean degree of the lowest level."""
+    """One row: live rows, tombstones, the top level and the mean degree of the lowest level."""
     base = F.size(F.filter("edge_levels", lambda x: x == 0))
-    return graphs.agg(F.sum(F.size("ids")).alias("count"), F.max(F.array_max("levels")).alias("max_level"), (F.sum(base) / F.sum(F.size("ids"))).alias("mean_degree"))
+    return graphs.agg(F.sum(F.size("ids") - F.size("dead")).alias("count"), F.sum(F.size("dead")).alias("tombstones"), F.max(F.array_max("levels")).alias("max_level"), (F.sum(base) / F.sum(F.size("ids"))).alias("mean_degree"))

@@ -18,7 +18,8 @@ from vectide.functions.filters import MetadataFilter, id_mask, id_overlay, id_pa
 from vectide.operators import hnsw, ids, ivf, kmeans, lists, pq, sampling, search, topk, transform
 from vectide.plans import sql as S
 from vectide.sources.collection import live_view
-from vectide.sources.store import stored
+from vectide.sources.graphs import DurableGraph
+from vectide.sources.store import fresh_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -559,7 +560,28 @@ add("id_permutation", lambda s, f: sampling.permutation(_read(s, f, "customer").
 def _hnsw(spark, sf):
     v = plain(spark, sf)
     s = hnsw.Settings(16, 100, 64, 42)
-    return hnsw.search(stored(hnsw.build(v, "euclidean", s), "graphs"), probes(v), 10, "euclidean", s)
+    return hnsw.search(stored(hnsw.build(v, "euclidean", s, 500), "graphs"), probes(v), 10, "euclidean", s)
+
+
+def _updated(spark, sf) -> DurableGraph:
+    """A stored graph: four fifths of the rows, then the others inserted, a tenth removed."""
+    v = plain(spark, sf).select("id", "vector")
+    g = DurableGraph.create(spark, fresh_path(spark, "graph"), v.where("id % 5 <> 0"), "euclidean", hnsw.Settings(16, 100, 64, 42), 500)
+    g.insert(v.where("id % 5 = 0"))
+    g.remove(v.where("id % 10 = 3").select("id"))
+    return DurableGraph.open(spark, g.path)
+
+
+def _replayed(spark, sf):
+    g = _updated(spark, sf)
+    g.insert(plain(spark, sf).where("id % 10 = 3").select("id", "vector"))
+    return g.search(probes(plain(spark, sf)), 10)
+
+
+def _compacted(spark, sf):
+    g = _updated(spark, sf)
+    g.compact()
+    return g.search(probes(plain(spark, sf)), 10)
 
 
 def _ivf_trained(spark, sf):
@@ -578,6 +600,8 @@ def _ivfpq(spark, sf):
 
 
 add("hnsw_knn", _hnsw)
-add("hnsw_knn_graph", lambda spark, sf: hnsw.knn_graph(plain(spark, sf), 10))
+add("hnsw_replayed_knn", _replayed)
+add("hnsw_compacted_knn", _compacted)
+add("hnsw_knn_graph", lambda spark, sf: hnsw.knn_graph(plain(spark, sf), 10, rows_per_shard=500))
 add("ivf_trained_knn", _ivf_trained)
 add("ivfpq_knn", _ivfpq)

@@ -2,9 +2,9 @@
 
 A log row is ``(seq, op, id, vector, metadata)``; ``op`` is upsert, remove, update or clear.  The
 live view replays it: per id the last upsert or remove counts, updates after an upsert fill the
-fields that they set, and nothing before the last clear is seen.  Appends are atomic: the rows of
-one batch become visible with one file commit, or not at all, and an unfinished batch is never read.
-A log that a checkpoint has taken in may be replayed again without effect.
+fields that they set, and nothing before the last clear is seen.  Appends are atomic, and several
+writers may append at once (``commits.CommitLog``): batches are numbered, and rows count in order of
+``(batch, seq)``.  A log that a checkpoint has taken in may be replayed again without effect.
 """
 
 from __future__ import annotations
@@ -18,26 +18,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.schema import RECORD, Collection, VectorError, checked, metric_of
+from vectide.sources.commits import CommitLog
 
 LOG = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), *[T.StructField(f.name, f.dataType) for f in RECORD]])
 VERSION = 1
 
 
 def live_view(snapshot: DataFrame | None, log: DataFrame) -> DataFrame:
-    """``(id, vector, metadata)`` of all records that are left; one shuffle by id, combined before it."""
+    """``(id, vector, metadata)`` of all records that are left; one shuffle by id, combined before it.
+
+    A log with ``batch`` counts in order of ``(batch, seq)``, another one in order of ``seq``.
+    """
+    batched = "batch" in log.columns
     if snapshot is not None:
-        log = log.unionByName(snapshot.select(F.lit(-1).cast("long").alias("seq"), F.lit("upsert").alias("op"), "id", "vector", "metadata"))
-    cleared = log.where("op = 'clear'").agg(F.coalesce(F.max("seq"), F.lit(-2).cast("long")).alias("_cleared"))
-    ops = log.where("op <> 'clear'").join(F.broadcast(cleared)).where("seq > _cleared")
+        before = snapshot.select(F.lit(-1).cast("long").alias("seq"), F.lit("upsert").alias("op"), "id", "vector", "metadata")
+        log = log.unionByName(before.withColumn("batch", F.lit(-1).cast("long")) if batched else before)
+    nothing = F.lit(-2).cast("long")
+    log = log.withColumn("_at", F.struct("batch", "seq") if batched else F.col("seq"))
+    cleared = log.where("op = 'clear'").agg(F.coalesce(F.max("_at"), F.struct(nothing.alias("batch"), nothing.alias("seq")) if batched else nothing).alias("_cleared"))
+    ops = log.where("op <> 'clear'").join(F.broadcast(cleared)).where("_at > _cleared")
     # the last write of an id, and after it the last update of each field
-    whole = F.when(F.col("op").isin("upsert", "remove"), F.col("seq"))
+    at = F.col("_at")
+    whole = F.when(F.col("op").isin("upsert", "remove"), at)
     last = ops.groupBy("id").agg(
         F.max(whole).alias("at"),
         F.max_by(F.struct("op", "vector", "metadata"), whole).alias("w"),
-        F.max(F.when((F.col("op") == "update") & F.col("vector").isNotNull(), F.col("seq"))).alias("v_at"),
-        F.max_by("vector", F.when((F.col("op") == "update") & F.col("vector").isNotNull(), F.col("seq"))).alias("v"),
-        F.max(F.when((F.col("op") == "update") & F.col("metadata").isNotNull(), F.col("seq"))).alias("m_at"),
-        F.max_by("metadata", F.when((F.col("op") == "update") & F.col("metadata").isNotNull(), F.col("seq"))).alias("m"),
+        F.max(F.when((F.col("op") == "update") & F.col("vector").isNotNull(), at)).alias("v_at"),
+        F.max_by("vector", F.when((F.col("op") == "update") & F.col("vector").isNotNull(), at)).alias("v"),
+        F.max(F.when((F.col("op") == "update") & F.col("metadata").isNotNull(), at)).alias("m_at"),
+        F.max_by("metadata", F.when((F.col("op") == "update") & F.col("metadata").isNotNull(), at)).alias("m"),
     )
     kept = last.where("at is not null and w.op = 'upsert'")
     return kept.select("id", F.when(F.col("v_at") > F.col("at"), F.col("v")).otherwise(F.col("w.vector")).alias("vector"), F.when(F.col("m_at") > F.col("at"), F.col("m")).otherwise(F.col("w.metadata")).alias("metadata"))
@@ -48,6 +57,7 @@ class DurableCollection:
 
     def __init__(self, spark: SparkSession, path: str, config: Collection):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
+        self._log = CommitLog(spark, f"{self.path}/log", LOG)
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, config: Collection) -> DurableCollection:
@@ -83,25 +93,33 @@ class DurableCollection:
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/meta")
 
     def log(self) -> DataFrame:
-        """All log rows that no snapshot has taken in."""
-        upto = self._meta(self.spark, self.path)["upto"]
-        try:
-            return self.spark.read.schema(LOG).parquet(f"{self.path}/log").where(F.col("seq") > upto)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], LOG)
-            raise
+        """All log rows that no snapshot has taken in, with their ``batch``."""
+        return self._log.rows(self._meta(self.spark, self.path)["upto"])
 
     def records(self) -> DataFrame:
         generation = self._meta(self.spark, self.path)["generation"]
         return live_view(self.spark.read.schema(RECORD).parquet(f"{self.path}/snapshot/{generation}"), self.log())
 
     def _append(self, ops: DataFrame) -> None:
-        """One atomic batch: rows get the next numbers, in order of their ``seq``."""
-        last = self.log().agg(F.max("seq")).first()[0]
-        upto = self._meta(self.spark, self.path)["upto"]
-        first = max(upto, -1 if last is None else last) + 1
-        ops.select((F.col("seq") + first).alias("seq"), *[f.name for f in LOG.fields[1:]]).write.mode("append").parquet(f"{self.path}/log")
+        """One atomic batch, numbered behind those that are there and the snapshot."""
+        self._log.append(ops, self._meta(self.spark, self.path)["upto"] + 1)
+
+    def changes(self, after: int = -1) -> tuple[DataFrame, int]:
+        """``(id, vector, metadata, gone)`` of each id that the batches after one touch, and the last batch.
+
+        What an index follows (``lists.follow``).  Ids that are left have their present record; after a
+        clear the ids of all earlier records are gone too, which an index learns from ``cleared``.
+        """
+        last = self._log.last()
+        touched = self._log.rows(after, last)
+        now = self.records().withColumn("_live", F.lit(True))
+        ids = touched.where("op <> 'clear'").select("id").distinct()
+        found = ids.join(now, "id", "left").select("id", "vector", "metadata", F.col("_live").isNull().alias("gone"))
+        return found, last
+
+    def cleared(self, after: int = -1) -> bool:
+        """Whether a batch after one clears the collection."""
+        return bool(self._log.rows(after).where("op = 'clear'").limit(1).count())
 
     def _ops(self, rows: Iterable[tuple]) -> DataFrame:
         return self.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], LOG).coalesce(1)
@@ -137,11 +155,16 @@ class DurableCollection:
     def count(self) -> int:
         return self.records().count()
 
-    def compact(self) -> None:
-        """A new snapshot that takes the log in; the description that names it is written last."""
-        meta = self._meta(self.spark, self.path)
-        last = self.log().agg(F.max("seq")).first()[0]
-        self._write_snapshot(self.records(), meta["generation"] + 1, meta["upto"] if last is None else last)
+    def compact(self, keep_log: bool = True) -> None:
+        """A new snapshot that takes the log in; the description that names it is written last.
+
+        ``keep_log=False`` deletes the batches that are taken in, which indexes then can't follow.
+        """
+        meta, last = self._meta(self.spark, self.path), self._log.last()
+        generation = self.spark.read.schema(RECORD).parquet(f"{self.path}/snapshot/{meta['generation']}")
+        self._write_snapshot(live_view(generation, self._log.rows(meta["upto"], last)), meta["generation"] + 1, max(meta["upto"], last))
+        if not keep_log:
+            self._log.forget(last)
 
     def statistics(self) -> dict[str, Any]:
         return {"type": self.config.kind, "count": self.count(), "dimension": self.config.dimension, "metric": self.config.metric, "log_rows": self.log().count(), **self.config.settings}
