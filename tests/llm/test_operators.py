@@ -544,10 +544,10 @@ def test_forest_has_links_whose_bits_lie_in_one_word(split):
     assert list(simhash.link_forest(np.stack([a[0], b[0], a[2]]), np.stack([a[0], b[0], a[2]]), True, 46)) in ([(0, 1)], [(1, 0)])
 
 
-@pytest.mark.parametrize("block", [3, 512])
+@pytest.mark.parametrize("block", [300, 1 << 19])
 def test_similar_duplicates_are_exact(spark, odd, monkeypatch, block):
     """Groups of near copies, and chains of texts of which only some neighbours are near enough."""
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_HASHES", block)
     rng, made = random.Random(9), near_copies(25, 8)
     for t in texts(6, 77, (80, 160)):
         w = t.split(" ")
@@ -569,6 +569,36 @@ def test_similar_duplicates_are_exact(spark, odd, monkeypatch, block):
     assert simhash.similar_duplicates(docs.where("false"), "text", "doc_id", 5, 0.8, 76, 4).collect() == []
 
 
+def test_similar_texts_of_a_million_words(spark):
+    words = [f"{WORDS[i % len(WORDS)]}{i % 9973}" for i in range(1_000_000)]
+    near, far = list(words), list(words)
+    for i in range(0, len(words), 100):
+        near[i] = "other"
+    for i in range(0, len(words), 30):
+        far[i] = "third"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "a short text of some words")]
+    sets = [set(simhash._hashes(t, 5)) for _, t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    label = components(4, [(i, j) for i in range(4) for j in range(i) if alike(i, j)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs, "text", "doc_id", 5, 0.8, 76, 4).collect()}
+    assert got == {d: rows[c][0] for (d, _), c in zip(rows, label)} and alike(0, 1) and not alike(0, 2)
+
+
+def test_sizes_rule_pairs_out(spark):
+    items = spark.createDataFrame([(i, [7, i, -i, 3], 10 + i) for i in range(300)], "id long, words array<long>, n long")
+    _, sizes, met = simhash.classes(items, 76, 4, 0.8)
+    _, plain, all_met = simhash.classes(items, 76, 4)
+    work = lambda s, m: sum(s[c] * s[d] for c, d in m)
+    assert sum(sizes.values()) == 300 and work(sizes, met) < work(plain, all_met) / 2
+    place = {r.id: (r.h, r.w) for r in simhash.classes(items, 76, 4, 0.8)[0].collect()}
+    pairs = {frozenset(p) for p in met} | {frozenset([c]) for c in sizes}
+    for a in range(300):
+        for b in range(a, 300):
+            if min(10 + a, 10 + b) >= 0.8 * max(10 + a, 10 + b) and abs(place[a][0] - place[b][0]) <= 1:
+                assert frozenset([place[a], place[b]]) in pairs
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)] + [(7, 7)]

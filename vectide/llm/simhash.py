@@ -17,7 +17,9 @@ classes divide that by a constant (by 3 for 64 bits and radius 4).  Tiles grow w
 table of the classes is broadcast, of which there are 33 x 33 at most.
 
 ``similar_duplicates`` links by the exact Jaccard similarity of the sets of shingles; there the
-fingerprints, at a wider radius, only choose the candidates.
+fingerprints, at a wider radius, only choose the candidates.  At such a radius population counts tell
+little, but a similarity bounds the ratio of the sets' sizes: items are sorted into bands of sizes
+too, and a band meets only itself and the next.
 
 Nulls and odd input.  A null text is the empty text.  Texts without words have fingerprint zero and
 are linked like any other.  Null ids count last as a component's smallest.  Repeated rows share a
@@ -40,8 +42,8 @@ from vectide.llm.graph import connected_components
 
 #: Fingerprints of a tile: the least, and where there are very many.
 TILE, LARGE_TILE = 4096, 65_536
-#: Items of a block that are compared by their whole shingle sets.
-BLOCK = 512
+#: Shingle hashes of a block of items that are compared by their whole sets, about; a larger set is alone.
+BLOCK_HASHES = 1 << 19
 #: Comparisons, and bytes of tiles, that a task has about.
 WORK, BYTES = 500_000_000, 16_000_000
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -170,7 +172,7 @@ def link_forest(a, b, same: bool, radius: int) -> Iterator[tuple[int, int]]:
         root = known[root]
 
 
-def _class(radius: int, n_words: int):
+def _class(radius: int, n_words: int, similarity: float | None = None):
     """Columns of a fingerprint's class; the offsets of the classes that it may link to, each pair of classes once."""
     if n_words == 1 and radius <= 8:
         word = F.element_at("words", 1)
@@ -178,16 +180,33 @@ def _class(radius: int, n_words: int):
         offsets = [(h, w) for h in range(-radius, radius + 1) for w in range(-radius, radius + 1) if abs(h) + abs(w) <= radius and (h, w) >= (0, 0)]
         return high, low, offsets
     count = sum(F.bit_count(F.element_at("words", k + 1)) for k in range(n_words))
-    return F.floor(count / (radius + 1)).cast("int"), F.lit(0), [(0, 0), (1, 0)]
+    band = F.floor(count / (radius + 1)).cast("int")
+    if similarity is None:
+        return band, F.lit(0), [(0, 0), (1, 0)]
+    # sets of that similarity differ in size by that ratio at most; bands are a little wider, for rounding
+    size = F.when(F.col("n") > 0, F.floor(F.ln("n") / F.lit(-math.log(similarity) * 1.0001))).otherwise(F.lit(-9)).cast("int")
+    return band, size, [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
-def links(items: DataFrame, radius: int, n_words: int = 1) -> DataFrame:
-    """Links ``(u, v)`` among ``items(id long, words array<long>)`` within the radius: enough to connect all that are linked."""
-    spark = items.sparkSession
-    high, low, offsets = _class(radius, n_words)
+def classes(items: DataFrame, radius: int, n_words: int = 1, similarity: float | None = None) -> tuple[DataFrame, dict[tuple[int, int], int], list[tuple]]:
+    """Items with their class ``(h, w)``, the classes' sizes, and the pairs of classes that meet.
+
+    The sum of the products of met classes' sizes is what ``links`` compares.
+    """
+    high, low, offsets = _class(radius, n_words, similarity)
     items = items.select("id", "words", high.alias("h"), low.alias("w"))
-    sizes = {(r.h, r.w): r.n for r in items.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).collect()}  # 33 x 33 classes at most
-    met = [(c, d) for c in sizes for o in offsets if (d := (c[0] + o[0], c[1] + o[1])) in sizes]
+    sizes = {(r.h, r.w): r.n for r in items.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).collect()}  # 33 x 33 classes, or bands by logarithms of sizes
+    return items, sizes, [(c, d) for c in sizes for o in offsets if (d := (c[0] + o[0], c[1] + o[1])) in sizes]
+
+
+def links(items: DataFrame, radius: int, n_words: int = 1, similarity: float | None = None) -> DataFrame:
+    """Links ``(u, v)`` among ``items(id long, words array<long>)`` within the radius: enough to connect all that are linked.
+
+    With ``similarity`` the items also have ``n``, the size of their set, and pairs whose sizes rule
+    that similarity out need not be linked.
+    """
+    spark = items.sparkSession
+    items, sizes, met = classes(items, radius, n_words, similarity)
     work = sum(sizes[c] * sizes[d] for c, d in met)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # larger tiles where there are many, so that what is moved grows slower than the comparisons
@@ -255,15 +274,16 @@ def shingle_hashes(text: str | None, width: int):
 
 
 def shingle_sets(df: DataFrame, text_col: str, width: int, n_words: int, words_col: str = "words") -> DataFrame:
-    """df without its text, with the fingerprint and ``same long``: a hash of the set of shingles."""
-    return _mapped(df, text_col, [T.StructField(words_col, T.ArrayType(T.LongType())), T.StructField("same", T.LongType())], lambda t: _print_and_set(t, width, n_words))
+    """df without its text, with the fingerprint, ``same long``, a hash of the set of shingles, and ``n long``, its size."""
+    added = [T.StructField(words_col, T.ArrayType(T.LongType())), T.StructField("same", T.LongType()), T.StructField("n", T.LongType())]
+    return _mapped(df, text_col, added, lambda t: _print_and_set(t, width, n_words))
 
 
 def _print_and_set(text: str | None, width: int, n_words: int) -> tuple:
     import xxhash
 
-    signed = lambda w: w - (w >> 63 << 64)
-    return [signed(w) for w in fingerprint(text, width, n_words)], signed(xxhash.xxh64_intdigest(shingle_hashes(text, width).tobytes(), 1))
+    signed, found = lambda w: w - (w >> 63 << 64), shingle_hashes(text, width)
+    return [signed(w) for w in fingerprint(text, width, n_words)], signed(xxhash.xxh64_intdigest(found.tobytes(), 1)), len(found)
 
 
 def similar(a, b, similarity: float) -> bool:
@@ -320,16 +340,16 @@ def similar_duplicates(docs: DataFrame, text_col: str, key_col: str, width: int,
     3. The candidate links that were found are tried by the exact similarity; those that hold join
        items to parts.
     4. A candidate group of one part is done.  In the others all pairs of items of different parts
-       are tried, in blocks of ``BLOCK`` items, sorted by part, so that pairs of blocks of one part
+       are tried, in blocks of about ``BLOCK_HASHES`` hashes, sorted by part, so that pairs of blocks of one part
        drop out.  Groups of copies thus cost a link for each item; only parts that are near each
        other and yet not linked cost all their pairs.
 
     ``docs`` must give the same rows each time it is read.
     """
     prints = stored(shingle_sets(docs.select(key_col, text_col), text_col, width, n_words), "shingle-sets")
-    items = prints.groupBy("words", "same").agg(F.min(key_col).alias("least"))
+    items = prints.groupBy("words", "same").agg(F.min(key_col).alias("least"), F.max("n").alias("n"))
     items = stored(items.withColumn("id", F.monotonically_increasing_id()), "items")
-    found = stored(links(items.select("id", "words"), radius, n_words), "candidate-links")
+    found = stored(links(items.select("id", "words", "n"), radius, n_words, similarity), "candidate-links")
     group = stored(connected_components(found).select(F.col("node").alias("id"), F.col("component").alias("group")), "candidate-groups")
     # the sets of items that have a candidate, each from the text of the item's smallest key
     wanted = items.join(group, "id").select("id", "least")
@@ -343,8 +363,9 @@ def similar_duplicates(docs: DataFrame, text_col: str, key_col: str, width: int,
 
     sure = stored(tried(found.select("u", "v").distinct()), "links")
     part = connected_components(sure).select(F.col("node").alias("id"), F.col("component").alias("part"))
-    grouped = stored(group.join(part, "id", "left").select("id", "group", F.coalesce("part", "id").alias("part")), "parts")
-    split = grouped.groupBy("group").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n")).where("parts > 1")
+    grouped = group.join(part, "id", "left").join(items.select("id", "n"), "id")
+    grouped = stored(grouped.select("id", "group", F.coalesce("part", "id").alias("part"), F.greatest("n", F.lit(1)).alias("size")), "parts")
+    split = grouped.groupBy("group").agg((F.min("part") < F.max("part")).alias("several"), F.sum("size").alias("n")).where("several").drop("several")
     more = stored(_across_parts(stored(grouped.join(split, "group"), "split-groups"), sets, similarity), "more-links")
     joined = connected_components(sure.unionByName(more))
     labelled = items.join(joined.withColumnRenamed("node", "id"), "id", "left").select("words", "same", "least", F.coalesce("component", "id").alias("part"))
@@ -354,15 +375,15 @@ def similar_duplicates(docs: DataFrame, text_col: str, key_col: str, width: int,
 
 
 def _across_parts(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between different parts of the groups of ``members(id, group, part, n)``, block by block."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    """Links between different parts of the groups of ``members(id, group, part, size, n)``, block by block; ``n`` hashes a group."""
+    blocks = F.ceil(F.col("n") / BLOCK_HASHES).cast("int")
     large = members.where(blocks > 1)
-    # places in order of parts: counts of parts' items before, and a part's items in any order
-    sizes = large.groupBy("group", "part").agg(F.count(F.lit(1)).alias("c"))
+    # places in order of parts: hashes of the parts before, and a part's items in any order
+    sizes = large.groupBy("group", "part").agg(F.sum("size").alias("c"))
     ahead = sizes.withColumn("ahead", F.sum("c").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     placed = large.join(ahead.select("group", "part", "c", F.coalesce("ahead", F.lit(0)).alias("ahead")), ["group", "part"])
     # within a part blocks are dealt by hash, so that no task sorts a large part
-    start, end = F.floor(F.col("ahead") / BLOCK), F.floor((F.col("ahead") + F.col("c") - 1) / BLOCK)
+    start, end = F.floor(F.col("ahead") / BLOCK_HASHES), F.floor((F.col("ahead") + F.col("c") - 1) / BLOCK_HASHES)
     placed = placed.withColumn("block", (start + F.pmod(F.xxhash64("id"), (end - start + 1))).cast("int")).select("id", "group", "part", "block", blocks.alias("blocks"))
     small = members.where(blocks <= 1).select("id", "group", "part", F.lit(0).alias("block"), F.lit(1).alias("blocks"))
     rows = stored(placed.unionByName(small), "blocks")
