@@ -2,8 +2,9 @@
 
 The patterns find emails, IP addresses, card numbers and phone numbers; their spans always stay.
 In every text the tokens that may be part of personal data (they hold a digit or ``@``, or are an
-email spelled out with "at" and "dot") become the variables of a conditional random field with the
-labels none, email, ip, card, phone and secret.  Tokens in a pattern's span are observed.
+email spelled out with "at" and "dot"), and the key names (``token =``, ``api_key:``) become the
+variables of a conditional random field with the labels none, email, ip, card, phone, secret and key.
+Tokens in a pattern's span and key names are observed.
 Neighbouring tokens share chain potentials.  Tokens that repeat or resemble each other anywhere in
 the text share skip potentials, which favour equal labels: the same letters and digits, the same
 last seven digits, or the same last four digits where the rest is masked.  Sum-product messages run
@@ -15,8 +16,14 @@ address, and so on), or if skip links join it to a token that is part of a span
 So the field finds numbers that a pattern lost because it ran into the next number, addresses and
 emails in altered spelling, secrets after a key name, and parts and repeats of all these.
 
+What a secret looks like, a long mix of letters and digits, is what a checksum looks like too.  Only
+those after a key name are known, so no share of secrets among the others can be learnt: by itself
+such a token is never held to be a secret rather than none (``alone``).  The key name
+speaks through the chain, and a repeat elsewhere in the text through its skip links; without these
+messages no secret is found.
+
 ``fit`` learns the weights from all documents, with the patterns' matches as labels, and as secrets
-the long mixed tokens that a key name is assigned.  Token features are learnt by multinomial
+the long mixed tokens next to a key name; other mixed tokens are unlabelled.  Token features are learnt by multinomial
 logistic regression, chain and skip weights from counts.  A token that no pattern matched but skip
 links join to a matched one counts as unlabelled, not as none.  Of each email, address and card
 a copy in altered spelling is learnt too.  All this needs only counts of feature sets, label pairs and links:
@@ -46,11 +53,14 @@ from vectide.llm.common import cleared
 #: The patterns' kinds; the field adds one more.
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
-LABELS = ("none", *ALL_KINDS)
+LABELS = ("none", *ALL_KINDS, "key")
 EMAIL, IP, CARD, PHONE, SECRET = range(5)
+KEY = len(LABELS) - 1
 SURE = 0.9
 #: Links that are taken to agree before any is seen; one is taken to disagree.
 ALIKE = 20
+#: Neighbours of each label that are added to those seen, labelled as by chance; what a neighbour may weigh, at least and at most.
+SMOOTH, CHAIN = 1.0, (-2.0, 3.0)
 ROUNDS, DAMPING, SETTLED = 30, 0.5, 1e-4
 
 SPANS = T.ArrayType(T.StructType([
@@ -109,7 +119,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _CORE = "()[]{}<>,;:!?\"'`#*$%&|=."
 _MIXED = re.compile(r"[A-Za-z0-9_+/-]{16,}")
-_KEY_NAME = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credential|bearer|auth|api.?key|access.?key|private.?key)\w*[\"']?\s*[=:]+\s*[\"'`]?$", re.IGNORECASE)
+_KEY_NAME = re.compile(r"[\"'`({\[]*[\w.-]*(?:token|secret|passw(?:or)?d|pwd|credential|bearer|auth|api.?key|access.?key|private.?key)\w*[\"'`]?(?P<given>[=:]+(?P<value>\S*))?", re.IGNORECASE)
+_KEY_HINT = re.compile(r"token|secret|passw|pwd|credential|bearer|auth|key", re.IGNORECASE)
+_GIVEN = re.compile(r"\s*[=:]")
 _SEVEN = re.compile(r"(?<![0-9])[0-9]{3}[-.][0-9]{4}(?![0-9])")
 _SPELLED = re.compile(
     r"[A-Za-z0-9._%+-]+\s*(?:\(at\)|\[at\]|\{at\}|\sat\s|@)\s*[A-Za-z0-9-]+(?:\s*(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s*[A-Za-z0-9-]+)+", re.IGNORECASE
@@ -124,13 +136,13 @@ _FENCED = re.compile(r"[\[({]\.[\])}]")
 #: What a token's features say; a token's set of them is a bit mask.
 FEATURES = (
     "always", "at", "domain", "four groups", "no digit", "1-4 digits", "5-9 digits", "10-13 digits", "14-19 digits", "check digit",
-    "plus", "bracket", "seven digits", "letter", "mixed", "key name", "altered", "masked",
+    "plus", "bracket", "seven digits", "letter", "mixed", "altered", "masked",
 )
 #: A bound of the sets that can occur: five digit classes, and all else free.
 _MASKS = 6 * 2 ** (len(FEATURES) - 6)
 
 
-def features(token: str, digits: str, keyed: bool = False) -> int:
+def features(token: str, digits: str) -> int:
     """The bit mask of a token's features."""
     n = len(digits)
     core = token.strip(_CORE)
@@ -154,7 +166,6 @@ def features(token: str, digits: str, keyed: bool = False) -> int:
         bool(_SEVEN.search(core)),
         letters,
         letters and n > 0 and "@" not in token and bool(_MIXED.fullmatch(core)) and len(set(core.lower())) >= 8,
-        keyed,
         plain != core,
         masked,
     )
@@ -168,7 +179,7 @@ def _bits(*names: str) -> int:
 #: Emails spelled out, and the altered copies that are learnt beside each observed email, address and card.
 SPELLED = _bits("always", "at", "domain", "no digit", "letter", "altered")
 ALTERED = {EMAIL + 1: SPELLED, IP + 1: _bits("always", "four groups", "10-13 digits", "altered"), CARD + 1: _bits("always", "masked")}
-_SECRET = _bits("mixed", "key name")
+_SECRET = _bits("mixed")
 
 
 @dataclass
@@ -205,9 +216,18 @@ def keys_of(token: str, digits: str) -> set[str]:
     return {k for k in keys if len(k) > 3}
 
 
+def key_name(token: str, text: str, end: int) -> int | None:
+    """If the token is a key name that something is assigned to: how many of its characters are before the value."""
+    m = _KEY_NAME.match(token)
+    if m is None or (m["given"] is None and (m.end() < len(token) or not _GIVEN.match(text, end))):
+        return None
+    return len(token) if m["given"] is None else m.start("value")
+
+
 def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
     g, last_of, k, before = Graph(), {}, 0, None
     spelled, s = spelled_emails(text), 0
+    named = _KEY_HINT.search(text) is not None
     for number, m in enumerate(_TOKEN.finditer(text)):
         start, end = m.span()
         while s < len(spelled) and spelled[s][1] <= start:
@@ -217,19 +237,16 @@ def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
                 continue  # a later token of the same spelled email
             start, end = spelled[s]
         token = text[start:end]
+        if named and not altered and _KEY_HINT.search(token) and (cut := key_name(token, text, end)) is not None:
+            _link(g, (start, start + cut), _bits("always"), KEY, number, before)
+            before, start, token = number, start + cut, token[cut:]
         if not altered and "@" not in token and not _DIGIT.search(token):
             continue
         i, digits = len(g.at), _NO_DIGITS.sub("", token)
         while k < len(base) and base[k][2] <= start:
             k += 1
         label = next((b[1] + 1 for b in base[k : k + 8] if b[0] < end and b[2] > start), 0)
-        body = start + len(token) - len(token.lstrip(_CORE))
-        g.at.append((start, end))
-        g.x.append(SPELLED if altered else features(token, digits, bool(_KEY_NAME.search(text, max(0, body - 40), body))))
-        g.y.append(label)
-        g.number.append(number)
-        if before is not None and number - before <= 2:
-            g.chain.append((i - 1, i))
+        _link(g, (start, end), SPELLED if altered else features(token, digits), label, number, before)
         before = number
         for key in keys_of(token, digits):
             if key in last_of:
@@ -239,6 +256,16 @@ def graph_of(text: str, base: list[tuple[int, int, int]]) -> Graph:
     return g
 
 
+def _link(g: Graph, at: tuple[int, int], x: int, y: int, number: int, before: int | None) -> None:
+    """One more token, in a chain with the last one where that is the one before or before that."""
+    if before is not None and number - before <= 2:
+        g.chain.append((len(g.at) - 1, len(g.at)))
+    g.at.append(at)
+    g.x.append(x)
+    g.y.append(y)
+    g.number.append(number)
+
+
 def tops(g: Graph) -> list[int]:
     """For each token the first token that skip links join it to."""
     parent = list(range(len(g.x)))
@@ -269,11 +296,12 @@ def default_weights() -> Weights:
 
 def observations(g: Graph) -> Iterator[tuple[str, int, int]]:
     """What a text's graph teaches: ("token", mask, label), ("chain", label, label) and ("skip", 0, alike)."""
-    y = [v or (SECRET + 1 if x & _SECRET == _SECRET else 0) for x, v in zip(g.x, g.y)]
+    after_key = {j for i, j in g.chain if g.y[i] == KEY}
+    y = [v or (SECRET + 1 if x & _SECRET and i in after_key else 0) for i, (x, v) in enumerate(zip(g.x, g.y))]
     top = tops(g)
     known = {t for t, v in zip(top, y) if v}
     for x, v, t in zip(g.x, y, top):
-        if v or t not in known:
+        if v != KEY and (v or (t not in known and not x & _SECRET)):
             yield "token", x, v
         if v in ALTERED:
             yield "token", ALTERED[v], v
@@ -312,34 +340,51 @@ def learn(counts: dict[tuple[str, int, int], int], steps: int = 400, rate: float
         p /= p.sum(axis=1, keepdims=True)
         moment = 0.9 * moment + x.T @ ((target - p) * share[:, None]) - decay * w
         w += rate * moment
-    pairs = np.ones((n, n))
+    pairs = np.zeros((n, n))
     for (kind, a, b), c in counts.items():
         if kind == "chain":
             pairs[a, b] += c
-    chain = np.log(pairs / pairs.sum()) - np.log(np.outer(pairs.sum(1), pairs.sum(0)) / pairs.sum() ** 2)
+    # how much oftener a label follows another one than it occurs at all; few pairs say little
+    at_all = np.maximum(np.bincount(y, [c for *_, c in used], n), pairs.sum(0)) + 1
+    at_all /= at_all.sum()
+    chain = np.log((pairs + SMOOTH * at_all) / (pairs.sum(1, keepdims=True) + SMOOTH) / at_all)
+    chain[0] = 0.0  # a token of no kind says nothing of the next one
     alike, unlike = counts.get(("skip", 0, 1), 0), counts.get(("skip", 0, 0), 0)
     skip = float(np.log((alike + ALIKE) / (unlike + 1)) + np.log(n - 1))
-    return Weights(w.tolist(), np.clip(chain, -2, 2).tolist(), max(1.0, min(skip, 5.0)))
+    return Weights(w.tolist(), np.clip(chain, *CHAIN).tolist(), max(1.0, min(skip, 5.0)))
+
+
+def alone(g: Graph, w: Weights):
+    """Log potentials of each token by itself; a mixed token is as likely none as it is a secret, at least."""
+    import numpy as np
+
+    out = unpacked(g.x) @ np.array(w.unary)
+    mixed = np.array(g.x) & _SECRET > 0
+    out[mixed, 0] = np.maximum(out[mixed, 0], out[mixed, SECRET + 1])
+    out[:, KEY] = -30.0  # key names are observed
+    return out
 
 
 def marginals(g: Graph, w: Weights):
     """Label probabilities of each token, by damped sum-product messages; tokens in pattern spans are observed."""
     import numpy as np
 
-    n, k = len(g.at), len(LABELS)
-    unary = unpacked(g.x) @ np.array(w.unary)
+    k = len(LABELS)
+    unary = alone(g, w)
     y = np.array(g.y)
     seen = y > 0
     unary[seen] = -30.0
     unary[seen, y[seen]] = 0.0
     unary -= unary.max(axis=1, keepdims=True)
-    edges = np.array(g.chain + g.skip, int).reshape(-1, 2)
-    if not len(edges):
+    if not g.chain and not g.skip:
         p = np.exp(unary)
         return p / p.sum(axis=1, keepdims=True)
+    # two tokens that are neighbours and alike share one table, the product of both
+    near, alike = set(g.chain), set(g.skip)
     chain, skip = np.exp(np.array(w.chain)), np.exp(w.skip * np.eye(k))
-    kind = np.repeat([0, 1], [len(g.chain), len(g.skip)])
-    tables = np.stack([chain, skip])[kind]
+    edges = np.array(sorted(near | alike), int)
+    kind = [(e in near) + 2 * (e in alike) for e in map(tuple, edges.tolist())]
+    tables = np.stack([np.ones((k, k)), chain, skip, chain * skip])[kind]
     source, goal = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
