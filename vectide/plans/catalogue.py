@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import codecs, metrics
 from vectide.functions.filters import MetadataFilter, id_mask, id_overlay, id_pass
-from vectide.operators import hnsw, ids, ivf, kmeans, lists, pq, sampling, search, topk, transform
+from vectide.operators import hnsw, ids, idsets, ivf, kmeans, lists, pq, sampling, search, topk, transform
 from vectide.plans import sql as S
 from vectide.sources.collection import live_view
 from vectide.sources.graphs import DurableGraph
@@ -227,6 +227,18 @@ add(
     f"WITH {_ORD} SELECT id, pos, score FROM o WHERE {_IN} AND {_RICH} AND {_BUILD}",
 )
 
+_BITMAPS = {"rich": _rich, "auto": lambda s, f: _segment(s, f, "AUTOMOBILE", "MACHINERY"), "building": lambda s, f: _segment(s, f, "BUILDING")}
+add(
+    "id_bitmap_allow_deny",
+    lambda s, f: idsets.id_pass(_orders(s, f), [idsets.build(_rich(s, f))], [idsets.build(_BITMAPS["auto"](s, f))]),
+    f"WITH {_ORD} SELECT id, pos, score FROM o WHERE {_RICH} AND NOT {_AUTO}",
+)
+add(
+    "id_bitmap_upkeep",
+    lambda s, f: idsets.count(idsets.clear_ids(idsets.set_ids(idsets.build(_rich(s, f)), _BITMAPS["building"](s, f)), _BITMAPS["auto"](s, f).where("id % 2 = 0"))),
+    "SELECT count(*) AS kept FROM customer WHERE (c_acctbal > 0 OR c_mktsegment = 'BUILDING') AND NOT (c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') AND c_custkey % 2 = 0)",
+)
+
 # selection, dedup, reservoirs
 
 add("topk_min", lambda s, f: topk.top_k(_orders(s, f), 100, "score", tie="pos").select("rank", "pos", "score"), f"WITH {_ORD} SELECT row_number() OVER (ORDER BY score, pos) AS rank, pos, score FROM o ORDER BY score, pos LIMIT 100")
@@ -392,6 +404,11 @@ add(
 )
 _RES_PARTS = "parts AS (SELECT r.id, s AS sub, r.v[s * 8 + 1 : s * 8 + 8] AS p FROM (SELECT a.id, list_transform(range(1, 65), lambda i: e.v[i] - c.c[i]) AS v FROM asg a JOIN emb e USING (id) JOIN cen c USING (list_id)) r, (SELECT unnest(range(0, 8)) AS s)), raw AS (SELECT id, s AS sub, v[s * 8 + 1 : s * 8 + 8] AS p FROM emb, (SELECT unnest(range(0, 8)) AS s)), book AS (SELECT sub, id // 20 AS code, p AS c FROM raw WHERE id % 20 = 0)"
 add("pq_encode_residual", lambda s, f: pq.encode_residual(ivf.build(v := scaled(s, f), centroids(v)), centroids(v), codebooks(v), M), f"{_LISTS}, {_RES_PARTS}, {_CODES} SELECT id, sub, code, error FROM codes")
+add(
+    "pq_lloyd_round",
+    lambda s, f: pq.train_all(v := scaled(s, f), M, codebooks(v).count() // M, rounds=1, empty="ignore", start=codebooks(v))[0].select("sub", "code", F.posexplode("centroid").alias("at", "x")).select("sub", "code", "at", F.round("x", 9).alias("x")),
+    f"{_PQ}, m AS (SELECT c.sub, c.code, i, avg(p.p[i]) AS x FROM codes c JOIN parts p USING (id, sub), (SELECT unnest(range(1, 9)) AS i) GROUP BY c.sub, c.code, i) SELECT b.sub, b.code, (i - 1)::BIGINT AS at, round(coalesce(m.x, b.c[i]), 9) AS x FROM (SELECT *, unnest(range(1, 9)) AS i FROM book) b LEFT JOIN m USING (sub, code, i)",
+)
 add("pq_distortion", lambda s, f: pq.distortion(pq.encode(v := scaled(s, f), codebooks(v), M)).select(F.round("distortion", 9).alias("distortion")), f"{_PQ} SELECT round(sum(e), 9) AS distortion FROM (SELECT avg(error) AS e FROM codes GROUP BY sub)")
 add("pq_subnorms", lambda s, f: pq.sub_norms(probes(scaled(s, f)), M), f"WITH {S.SCALED}, {_PARTS} SELECT id AS qid, sub, {S.dot('p', 'p', 8)} AS norm_sq FROM parts WHERE id % 20 = 0")
 add("pq_lut", lambda s, f: pq.lookup_tables(probes(v := scaled(s, f)), codebooks(v), M), f"{_PQ}, {_LUT} SELECT qid, sub, code, d FROM lut")
@@ -542,6 +559,20 @@ add(
 )
 
 
+def _sketched(spark, sf):
+    """Customers by name, of which a part is known."""
+    names = _read(spark, sf, "customer").select(F.col("c_name").alias("external_id"), "c_acctbal")
+    known = ids.assign_ids(names.where("c_acctbal > 3000").select("external_id"))
+    return ids.lookup_sketched(names, known).select("external_id", "internal_id")
+
+
+add(
+    "id_lookup_sketched",
+    _sketched,
+    "WITH k AS (SELECT c_name AS e, row_number() OVER (ORDER BY c_name) - 1 AS i FROM customer WHERE c_acctbal > 3000) SELECT c_name AS external_id, coalesce(i, -1) AS internal_id FROM customer LEFT JOIN k ON e = c_name",
+)
+
+
 def _get_or_create(spark, sf):
     names = _read(spark, sf, "customer").select(F.col("c_name").alias("external_id"), "c_acctbal")
     return ids.get_or_create(ids.assign_ids(names.where("c_acctbal > 0")), names.where("c_acctbal < 5000"))
