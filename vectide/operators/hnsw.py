@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from vectide.operators import kmeans
 from vectide.operators.search import dimension_of, found_schema, matrix, query_blocks
+from vectide.operators.telemetry import Telemetry
 from vectide.operators.topk import top_k_by
 from vectide.schema import Collection, VectorError, check_k
 from vectide.sources.store import stored
@@ -102,6 +103,7 @@ class Graph:
         self.edges: list[list[list[int]]] = []
         self.entry = -1
         self.dead = np.zeros(len(self.x), bool)
+        self.visited = 0
 
     def grow(self, vectors: np.ndarray) -> None:
         """Rows that ``add`` will link in."""
@@ -116,6 +118,7 @@ class Graph:
             while moved:
                 moved, around = False, self.edges[best][level]
                 if around:
+                    self.visited += len(around)
                     ds = _near(q, self.x[around], self.metric)
                     i = int(ds.argmin())
                     if ds[i] < d:
@@ -138,6 +141,7 @@ class Graph:
             if not around:
                 continue
             seen.update(around)
+            self.visited += len(around)
             for dn, n in zip(_near(q, self.x[around], self.metric).tolist(), around):
                 if len(found) < ef or (-dn, -n) > found[0]:
                     heapq.heappush(todo, (dn, n))
@@ -334,7 +338,7 @@ def _reach(g: Graph) -> None:
             todo.append(host)
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", settings: Settings = Settings(), allowed: DataFrame | None = None, filter_mode: str = "pre") -> DataFrame:
+def search(graphs: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", settings: Settings = Settings(), allowed: DataFrame | None = None, filter_mode: str = "pre", telemetry: Telemetry | None = None) -> DataFrame:
     """``(qid, rank, id, distance)``.
 
     ``allowed(id)`` are the ids that may be found: by default the traversal only keeps those, with
@@ -343,6 +347,7 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
     k = check_k(k, "hnsw.search")
     d = dimension_of(queries, "q")
     schema = found_schema(queries.schema["qid"].dataType, graphs.schema["ids"].dataType.elementType)
+    count = telemetry.counters() if telemetry else None
     if allowed is not None and filter_mode == "pre":
         inside = graphs.select("shard", F.posexplode("ids").alias("at", "id")).join(allowed.select("id").distinct(), "id", "left_semi")
         graphs = graphs.join(inside.groupBy("shard").agg(F.collect_list("at").alias("allowed")), "shard", "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<int>")))
@@ -363,6 +368,9 @@ def search(graphs: DataFrame, queries: DataFrame, k: int, metric: str = "euclide
                         inside[batch.column("allowed")[i].values.to_numpy(zero_copy_only=False)] = True
                         mask &= inside
                     found = [(qid, n, dist) for qid, q in data for dist, n in g.search(q, k, settings.ef_search, None if mask.all() else mask)]
+                    if count:
+                        count["nodes_visited"].add(g.visited)
+                        count["found"].add(len(found))
                     if found:
                         qids, at, dists = zip(*found)
                         yield pa.RecordBatch.from_arrays([pa.array(qids, kinds.field("qid").type), ids.take(pa.array(at)), pa.array(dists, pa.float64())], names=schema.names)

@@ -16,6 +16,7 @@ from vectide.functions import metrics
 from vectide.operators import kmeans
 from vectide.operators.scan import blocks, scan
 from vectide.operators.search import batch_knn, dimension_of, distances, matrix, pairs, query_blocks
+from vectide.operators.telemetry import Telemetry
 from vectide.operators.topk import top_k_by
 from vectide.schema import VectorError
 
@@ -58,7 +59,7 @@ def select_beam(centroids: DataFrame, queries: DataFrame, nprobe: int, beam: int
     return select_lists(centroids, queries, nprobe, metric)
 
 
-def search(lists: DataFrame, centroids: DataFrame | None, queries: DataFrame, k: int, nprobe: int, metric: str = "euclidean", where: Column | None = None) -> DataFrame:
+def search(lists: DataFrame, centroids: DataFrame | None, queries: DataFrame, k: int, nprobe: int, metric: str = "euclidean", where: Column | None = None, telemetry: Telemetry | None = None) -> DataFrame:
     """``(qid, rank, id, distance)`` within the probed lists; the filter holds before the search.  Without centroids all rows are searched."""
     if centroids is None:
         return batch_knn(lists, queries, k, metric, where)
@@ -66,7 +67,7 @@ def search(lists: DataFrame, centroids: DataFrame | None, queries: DataFrame, k:
     d = dimension_of(queries, "q")
     out = None
     for block in blocks(queries, d, lambda part: probes_of(centroids, part, nprobe, metric), nprobe):
-        found = scan(rows, "vector", block, lambda c: matrix(c, d), lambda x, q, _, v=block.vectors: distances(v[q], x, metric), k)
+        found = scan(rows, "vector", block, lambda c: matrix(c, d), lambda x, q, _, v=block.vectors: distances(v[q], x, metric), k, telemetry)
         best = top_k_by(found, k).select("qid", "rank", "id", "distance")
         out = best if out is None else out.unionByName(best)
     return out

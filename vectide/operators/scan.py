@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vectide.operators.search import PAIRS, found_schema, nearest_of, query_blocks
+from vectide.operators.telemetry import Telemetry
 
 
 @dataclass
@@ -43,7 +44,7 @@ def blocks(queries: DataFrame, d: int, probes: Callable[[DataFrame], DataFrame],
         yield Block([r.qid for r in rows], part.schema["qid"].dataType, vectors, {i: np.array(sorted(q)) for i, q in by_list.items()})
 
 
-def scan(rows: DataFrame, content: str, block: Block, decode: Callable, score: Callable, k: int) -> DataFrame:
+def scan(rows: DataFrame, content: str, block: Block, decode: Callable, score: Callable, k: int, telemetry: Telemetry | None = None) -> DataFrame:
     """``(qid, id, distance)``: each query's k best rows of each list that it probes and each batch.
 
     ``rows(list_id, id, <content>)``; ``decode`` turns a batch's content column into an array, and
@@ -52,6 +53,7 @@ def scan(rows: DataFrame, content: str, block: Block, decode: Callable, score: C
     wanted = rows.sparkSession.createDataFrame([(int(i),) for i in block.by_list], "list_id int")
     rows = rows.select("list_id", "id", content).join(F.broadcast(wanted), "list_id", "left_semi")
     schema, pick = found_schema(block.kind, rows.schema["id"].dataType), nearest_of(k)
+    count = telemetry.counters() if telemetry else None
 
     def run(batches):
         import pyarrow as pa
@@ -66,6 +68,9 @@ def scan(rows: DataFrame, content: str, block: Block, decode: Callable, score: C
             starts = np.flatnonzero(np.diff(lists[order], prepend=lists[order[0]] - 1))
             for a, b in zip(starts, [*starts[1:], len(order)]):
                 asking, at = block.by_list[int(lists[order[a]])], order[a:b]
+                if count:
+                    count["lists_probed"].add(len(asking))
+                    count["rows_scored"].add(len(asking) * int(b - a))
                 step = max(1, PAIRS // (b - a))
                 for i in range(0, len(asking), step):
                     d = score(values[at], asking[i : i + step], int(lists[order[a]]))

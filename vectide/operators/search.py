@@ -30,6 +30,8 @@ from vectide.schema import METRICS, VectorError, check_k
 if TYPE_CHECKING:
     from pyspark.sql import Observation
 
+    from vectide.operators.telemetry import Telemetry
+
 QUERY_BYTES = 32_000_000
 #: Pairs that a worker scores at once, and numbers of the queries from which on Arrow batches pay.
 PAIRS, MANY = 250_000, 512
@@ -197,7 +199,7 @@ def nearest_of(k: int):
     return pick
 
 
-def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: bool = False, norm_band: float | None = None) -> DataFrame:
+def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: bool = False, norm_band: float | None = None, telemetry: Telemetry | None = None) -> DataFrame:
     """``(qid, id, distance)`` of the pairs that ``pick`` finds in a batch's scores.
 
     With ``norm_band`` (Euclidean) pairs whose norms alone are further apart are not scored: the
@@ -211,6 +213,7 @@ def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: boo
     schema = found_schema(block.schema["qid"].dataType, rows.schema["id"].dataType)
     score = raw_scores if raw else distances
     q_norms = np.sqrt(np.square(queries).sum(1))
+    count = telemetry.counters() if telemetry else None
 
     def run(batches):
         import pyarrow as pa
@@ -233,9 +236,15 @@ def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: boo
                 room = abs(norm_band) * (1 + 1e-9) + 1e-9
                 lo, hi = np.searchsorted(norms, q_norms - room, "left"), np.searchsorted(norms, q_norms + room, "right")
                 parts = [(i, i + 1, int(a), int(b)) for i, (a, b) in enumerate(zip(lo, hi)) if a < b]
+            if count:
+                scored = sum((j - i) * (b - a) for i, j, a, b in parts)
+                count["range_scored"].add(scored)
+                count["range_skipped"].add(len(x) * len(qids) - scored)
             for i, j, a, b in parts:
                 d = score(queries[i:j], x[a:b], metric)
                 q_at, at = pick(d)
+                if count:
+                    count["found"].add(len(q_at))
                 if len(q_at):
                     where = at + a if order is None else order[at + a]
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(q_at + i)), batch.column(0).take(pa.array(where)), pa.array(d[q_at, at])], names=["qid", "id", "distance"])
@@ -259,6 +268,7 @@ def range_search(
     first_seen: bool = False,
     reservoir: int | None = None,
     strategy: str = "auto",
+    telemetry: Telemetry | None = None,
 ) -> DataFrame:
     """``(qid, id, score)`` of all rows within the threshold: distance at most, or dot or cosine similarity at least.
 
@@ -276,7 +286,7 @@ def range_search(
     for block in query_blocks(queries, d):
         how = choose_strategy(block.count(), d) if strategy == "auto" else strategy
         if how == "arrow":
-            scored = _arrow_scores(rows, block, metric, lambda s: inside(s).nonzero(), metric in ("dot", "cosine"), max(0.0, threshold) if metric == "euclidean" else None)
+            scored = _arrow_scores(rows, block, metric, lambda s: inside(s).nonzero(), metric in ("dot", "cosine"), max(0.0, threshold) if metric == "euclidean" else None, telemetry)
             found.append(scored.withColumnRenamed("distance", "score"))
         else:
             found.append(numbers(_range_scores(rows, block, metric, d), "score").where(inside(F.col("score"))))

@@ -73,9 +73,9 @@ def reservoir(df: DataFrame, capacity: int, by: str | Sequence[str] = "qid", sco
 
 
 def reservoir_counters(df: DataFrame, capacity: int, by: str | Sequence[str] = "qid", score: str = "score", tie: str = "id") -> DataFrame:
-    """For each query what a ``reservoir`` with dedup sees: rows offered, finite ones, distinct ids of those, and how many it keeps."""
+    """For each query what a ``reservoir`` with dedup sees: rows offered, finite ones, distinct ids of those, how many it keeps, and how many of the ids its threshold rejects."""
     by = [by] if isinstance(by, str) else list(by)
     finite = F.coalesce(~F.isnan(score) & (F.abs(score) < float("inf")), F.lit(False))
     counts = df.groupBy(*by, tie).agg(F.count(F.lit(1)).alias("n"), F.sum(finite.cast("long")).alias("f"))
     distinct = F.sum((F.col("f") > 0).cast("long"))
-    return counts.groupBy(*by).agg(F.sum("n").alias("offered"), F.sum("f").alias("finite"), distinct.alias("distinct"), F.least(distinct, F.lit(capacity)).alias("kept"))
+    return counts.groupBy(*by).agg(F.sum("n").alias("offered"), F.sum("f").alias("finite"), distinct.alias("distinct"), F.least(distinct, F.lit(capacity)).alias("kept"), F.greatest(distinct - capacity, F.lit(0)).alias("rejected"))

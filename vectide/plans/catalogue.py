@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vectide.functions import codecs, metrics
 from vectide.functions.filters import MetadataFilter, id_mask, id_overlay, id_pass
 from vectide.operators import hnsw, ids, idsets, ivf, kmeans, lists, pq, sampling, search, topk, transform
+from vectide.operators.telemetry import Telemetry
 from vectide.plans import sql as S
 from vectide.sources.collection import live_view
 from vectide.sources.graphs import DurableGraph
@@ -555,7 +556,23 @@ add(
 add(
     "reservoir_counters",
     lambda s, f: topk.reservoir_counters(_seen(s, f), 32, "event_type"),
-    f"WITH {_SEEN} SELECT event_type, count(*) AS offered, count(*) FILTER (isfinite(score)) AS finite, count(DISTINCT id) FILTER (isfinite(score)) AS \"distinct\", least(count(DISTINCT id) FILTER (isfinite(score)), 32) AS kept FROM s GROUP BY event_type",
+    f"WITH {_SEEN} SELECT event_type, count(*) AS offered, count(*) FILTER (isfinite(score)) AS finite, count(DISTINCT id) FILTER (isfinite(score)) AS \"distinct\", least(count(DISTINCT id) FILTER (isfinite(score)), 32) AS kept, greatest(count(DISTINCT id) FILTER (isfinite(score)) - 32, 0) AS rejected FROM s GROUP BY event_type",
+)
+
+
+def _telemetry(spark, sf):
+    """What searches count while they run: one of lists, one of a range."""
+    v, told = scaled(spark, sf), Telemetry(spark)
+    ivf.search(ivf.build(v, centroids(v)), centroids(v), probes(v), 10, 3, telemetry=told).write.format("noop").mode("overwrite").save()
+    search.range_search(v, probes(v), 6.0, strategy="arrow", telemetry=told).write.format("noop").mode("overwrite").save()
+    return told.row().select("rows_scored", "range_scored", "range_skipped", "found")
+
+
+_NEAR_NORM = f"abs(sqrt({S.dot('q.v', 'q.v')}) - sqrt({S.dot('e.v', 'e.v')})) <= 6.0 * (1 + 1e-9) + 1e-9"
+add(
+    "search_telemetry",
+    _telemetry,
+    f"{_LISTS}, {_PROBED}, band AS (SELECT count(*) FILTER ({_NEAR_NORM}) AS n, count(*) AS total, count(*) FILTER (sqrt({S.l2sq('q.v', 'e.v')}) <= 6.0) AS found FROM emb q, emb e WHERE q.id % 20 = 0) SELECT (SELECT count(*) FROM pr JOIN asg USING (list_id)) AS rows_scored, n AS range_scored, total - n AS range_skipped, found FROM band",
 )
 
 
