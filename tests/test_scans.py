@@ -145,3 +145,73 @@ def test_list_searches_check_their_input(spark):
     torn = spark.createDataFrame([(0, 0, 7, bytearray(b"abc"))], lists.SCHEMA)
     with pytest.raises(Exception, match="another length"):
         lists.search(torn, "flat", centroids, q, 3, 1).collect()
+
+
+def test_arrays_are_queries(spark):
+    for x in ([1, 2], np.array([1, 2], np.float16), np.array([[1, 2]], np.int8), ((1.0, 2.0),)):
+        assert [tuple(r) for r in search.as_queries(spark, x).collect()] == [(0, [1.0, 2.0])]
+    assert [r.qid for r in search.as_queries(spark, np.eye(2), ["a", "b"]).collect()] == ["a", "b"]
+    for bad in ((np.zeros((0, 2)),), (np.eye(2), [1])):
+        with pytest.raises(VectorError):
+            search.as_queries(spark, *bad)
+
+
+def test_padded_reranking(spark):
+    c = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 4.0])], ROWS)
+    offered = spark.createDataFrame([(0, 1), (0, 2), (0, 9), (1, 9)], "qid int, id long")
+    q = asked(spark, [0, 0], [1, 1])
+    got = sorted(map(tuple, search.rerank_top_k(offered, c, q, 3, pad=True).collect()), key=lambda r: r[:2])
+    inf = float("inf")
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 25.0), (0, 3, None, inf), (1, 1, None, inf), (1, 2, None, inf), (1, 3, None, inf)]
+    assert search.rerank_top_k(offered, c, q, 2, "dot", pad=True).where("score = double('-infinity')").count() == 2
+
+
+def test_candidates_of_probes_and_norms_beside_vectors(spark):
+    c, x = clustered(spark, 200, 4)
+    q, centroids = asked(spark, *x[:3]), spark.createDataFrame([(i, x[i * 9].tolist()) for i in range(5)], "list_id int, centroid array<double>")
+    placed, probes = ivf.build(c, centroids), ivf.probes_of(centroids, q, 2, "euclidean")
+    got = search.candidates(placed, q, probes).collect()
+    lists_of = {r.id: r.list_id for r in placed.collect()}
+    want = {(p.qid, i) for p in probes.collect() for i, at in lists_of.items() if at == p.list_id}
+    assert {(r.qid, r.id) for r in got} == want and len(got) == len(want)
+    for qid in range(3):
+        mine = sorted((r.pos, r.id) for r in got if r.qid == qid)
+        assert [p for p, _ in mine] == list(range(len(mine))) and [i for _, i in mine] == sorted(i for _, i in mine)
+    key = lambda df: sorted((r.qid, r.id, r.score) for r in df.collect())
+    assert key(transform.cosine_with_norms(transform.with_norms(c), None, q)) == key(transform.cosine_with_norms(c, transform.norms(c), q))
+    with pytest.raises(VectorError):
+        transform.cosine_with_norms(c, None, q)
+
+
+def test_stores_record_their_format(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 5, 1, [1, 2, 3])], "list_id int, external_id long, seq long, codes array<int>")
+    lists.save(lists.ingest(lists.empty(spark), rows, "pq4"), str(tmp_path / "s"), "pq4", 3)
+    store, kind, m = lists.load(spark, str(tmp_path / "s"))
+    assert (kind, m) == ("pq4", 3) and lists.read_list(store, 0, kind, m).first().content == [1, 2, 3]
+    with pytest.raises(VectorError):
+        lists.load(spark, str(tmp_path / "s"), "pq8")
+    with pytest.raises(VectorError):
+        lists.save(store, str(tmp_path / "t"), "pq9", 3)
+
+
+def test_searches_count_what_they_do(spark):
+    from vectide.operators import hnsw
+    from vectide.operators.telemetry import COUNTERS, Telemetry
+
+    c, x = clustered(spark, 300, 8)
+    q, told = asked(spark, *x[:4]), Telemetry(spark)
+    graphs = hnsw.build(c, "euclidean", hnsw.Settings(8, 40, 20), 100).cache()
+    found = hnsw.search(graphs, q, 5, "euclidean", hnsw.Settings(8, 40, 20), telemetry=told).collect()
+    seen = told.values()
+    assert len(found) == 20 and seen["found"] == graphs.count() * 20 and 0 < seen["nodes_visited"] < 4 * 300
+    told = Telemetry(spark)
+    centroids = spark.createDataFrame([(i, x[i * 9].tolist()) for i in range(5)], "list_id int, centroid array<double>")
+    placed = ivf.build(c, centroids)
+    ivf.search(placed, centroids, q, 5, 2, telemetry=told).collect()
+    want = ivf.probes_of(centroids, q, 2, "euclidean").join(placed, "list_id").count()
+    assert told.values()["rows_scored"] == want and told.values()["lists_probed"] >= 8
+    told = Telemetry(spark)
+    rows = search.range_search(c, q, 2.0, strategy="arrow", telemetry=told).collect()
+    seen = told.row().first()
+    assert seen.found == len(rows) and seen.range_scored + seen.range_skipped == 1200 and seen.range_skipped > 0 and seen.nanos > 0
+    assert set(COUNTERS) < set(seen.asDict())

@@ -7,6 +7,8 @@ payload is a row's content in the store's format: ``pq8`` one byte a code, ``pq4
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,26 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
+def save(store: DataFrame, path: str, kind: str, m: int) -> None:
+    """The store in a folder, partitioned by list, with its format and its codes (or dimensions) a row beside it."""
+    if kind not in FORMATS:
+        raise VectorError("unreadable_format", "no such list format", "lists.save", format=kind)
+    store.write.partitionBy("list_id").parquet(f"{path.rstrip('/')}/lists")
+    store.sparkSession.createDataFrame([(json.dumps({"format": kind, "m": m}),)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}/meta")
+
+
+def load(spark: SparkSession, path: str, kind: str | None = None) -> tuple[DataFrame, str, int]:
+    """A stored list table, its format and ``m``; another format than ``kind`` is an error."""
+    try:
+        meta = json.loads(spark.read.text(f"{path.rstrip('/')}/meta").first().value)
+        found, m = meta["format"], meta["m"]
+    except (ValueError, KeyError, AttributeError) as e:
+        raise VectorError("corrupted_data", "the description can't be read", "lists.load", path=path) from e
+    if found not in FORMATS or (kind is not None and kind != found):
+        raise VectorError("unreadable_format", "another list format", "lists.load", expected=kind, found=found)
+    return spark.read.schema(SCHEMA).parquet(f"{path.rstrip('/')}/lists"), found, m
+
+
 def ingest(store: DataFrame, rows: DataFrame, kind: str, content: str = "codes") -> DataFrame:
     """The store with ``rows(list_id, external_id, seq, <content>)`` behind the ends of their lists, in order of ``seq``."""
     new = rows.select(F.col("list_id").cast("int").alias("list_id"), F.col("external_id").cast("long").alias("external_id"), "seq", pack(kind, F.col(content)).alias("payload"))

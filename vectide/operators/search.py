@@ -42,6 +42,21 @@ def dimension_of(df: DataFrame, column: str = "vector") -> int:
     return first[0] if first else 1
 
 
+def as_queries(spark, vectors, qids: Sequence | None = None) -> DataFrame:
+    """``queries(qid, q)`` from one vector or several: lists, tuples, or arrays of any number type; ids count from 0 unless given."""
+    import numpy as np
+
+    x = np.asarray(vectors, float)
+    x = x.reshape(1, -1) if x.ndim == 1 else x
+    if x.ndim != 2 or not x.size:
+        raise VectorError("empty_input", "no vectors", "as_queries", shape=x.shape)
+    names = list(range(len(x))) if qids is None else list(qids)
+    if len(names) != len(x):
+        raise VectorError("invalid_parameter", "an id for each vector", "as_queries", ids=len(names), vectors=len(x))
+    kind = "string" if isinstance(names[0], str) else "long"
+    return spark.createDataFrame([(i, v.tolist()) for i, v in zip(names, x)], f"qid {kind}, q array<double>")
+
+
 def query_blocks(queries: DataFrame, d: int, extra: int = 0) -> list[DataFrame]:
     """The queries in parts of which each may be broadcast: ``8 d + 64 + extra`` bytes a query."""
     n = queries.count()
@@ -320,12 +335,20 @@ def rerank_scores(candidates: DataFrame, collection: DataFrame, queries: DataFra
     return joined.select(*candidates.columns, score.alias("score"), F.col("_v").isNotNull().alias("present"))
 
 
-def rerank_top_k(candidates: DataFrame, collection: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", skip_missing: bool = True) -> DataFrame:
-    """``(qid, rank, id, score)``: the k best candidates of each query by exact score, ties by id."""
+def rerank_top_k(candidates: DataFrame, collection: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", skip_missing: bool = True, pad: bool = False) -> DataFrame:
+    """``(qid, rank, id, score)``: the k best candidates of each query by exact score, ties by id.
+
+    ``pad`` gives each query k rows: behind the last candidate rows without an id, of the worst score.
+    """
     scored = rerank_scores(candidates, collection, queries, metric)
     if skip_missing:
         scored = scored.where("present")
-    return top_k_by(scored, k, score="score", ascending=metrics.ascending(metric)).select("qid", "rank", "id", "score")
+    best = top_k_by(scored, k, score="score", ascending=metrics.ascending(metric)).select("qid", "rank", "id", "score")
+    if not pad or check_k(k, "rerank_top_k") < 1:
+        return best
+    worst = float("inf") if metrics.ascending(metric) else float("-inf")
+    slots = queries.select("qid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    return slots.join(best, ["qid", "rank"], "left").select("qid", "rank", "id", F.coalesce("score", F.lit(worst)).alias("score"))
 
 
 def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", strategy: str = "auto") -> DataFrame:
@@ -351,10 +374,20 @@ def knn_graph(collection: DataFrame, k: int = 15, metric: str = "euclidean", str
     return out.select(F.col("qid").alias("src"), "rank", F.col("id").alias("dst"), weight.alias("distance"))
 
 
-def candidates(collection: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(qid, pos, id, vector, metadata)``: what an outside scorer gets; ``pos`` counts a query's candidates by id, from 0."""
+def candidates(collection: DataFrame, queries: DataFrame, probes: DataFrame | None = None) -> DataFrame:
+    """``(qid, pos, id, vector, metadata)``: what an outside scorer gets; ``pos`` counts a query's candidates by id, from 0.
+
+    With ``probes(qid, list_id)``, as ``ivf.probes_of`` gives them, the collection has ``list_id``, and a
+    query's candidates are the rows of its lists; without, all rows.
+    """
     from pyspark.sql.window import Window
 
+    if probes is not None:
+        kept = [c for c in ("vector", "metadata") if c in collection.columns]
+        met = collection.join(probes.select("qid", "list_id"), "list_id")
+        place = F.row_number().over(Window.partitionBy("qid").orderBy("id")) - 1
+        return met.select("qid", place.alias("pos"), "id", *kept)
+
     pos = F.row_number().over(Window.partitionBy("qid").orderBy("id")) - 1
     kept = [c for c in ("vector", "metadata") if c in collection.columns]
     blocks = query_blocks(queries, dimension_of(queries, "q"))

@@ -24,10 +24,24 @@ def update_norms(cache: DataFrame, changed: DataFrame) -> DataFrame:
     return cache.join(changed.select("id"), "id", "left_anti").unionByName(norms(changed))
 
 
-def cosine_with_norms(collection: DataFrame, cache: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(qid, id, score)``: cosine similarity from stored inverse norms, which are joined by id; queries go in blocks."""
+def with_norms(collection: DataFrame) -> DataFrame:
+    """The collection with ``inv_norm`` beside the vector, so that later searches neither sum nor join."""
+    return collection.withColumn("inv_norm", metrics.inverse_norm(F.col("vector"), dimension_of(collection)))
+
+
+def cosine_with_norms(collection: DataFrame, cache: DataFrame | None, queries: DataFrame) -> DataFrame:
+    """``(qid, id, score)``: cosine similarity from stored inverse norms; queries go in blocks.
+
+    Norms that are kept beside the vectors (``with_norms``) are taken as they are; those of a cache
+    are joined by id.
+    """
     d = dimension_of(queries, "q")
-    rows = collection.select("id", "vector").join(cache.select("id", "inv_norm"), "id")
+    if cache is None:
+        if "inv_norm" not in collection.columns:
+            raise VectorError("missing_id", "neither a cache nor norms beside the vectors", "cosine_with_norms")
+        rows = collection.select("id", "vector", "inv_norm")
+    else:
+        rows = collection.select("id", "vector").join(cache.select("id", "inv_norm"), "id")
     out = None
     for block in query_blocks(queries, d):
         asked = block.select("qid", F.col("q").alias("_q"), metrics.inverse_norm(F.col("q"), d).alias("_i"))
