@@ -198,6 +198,32 @@ def test_codebooks_follow_a_stream(spark, tmp_path):
     assert np.allclose([got[k] for k in sorted(got)], [[0.45, 0.0], [9.0, 9.0], [1.0, 1.0], [5.0, 5.0]])
 
 
+def test_codebooks_follow_batches_and_are_mended(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.1, (40, 4)), rng.normal(9, 0.1, (40, 4))])
+    x[1::2] = x[1::2] + 4
+    start = [[0.0, 0.0], [500.0, 500.0], [501.0, 501.0]]
+    first = spark.createDataFrame([(j, c, v) for j in range(2) for c, v in enumerate(start)], "sub int, code int, centroid array<double>")
+    kind = "id long, vector array<double>"
+
+    def run(name, restart, **settings):
+        source, state, checkpoint = (str(tmp_path / f"{name}-{part}") for part in ("in", "state", "checkpoint"))
+        for number in range(6):
+            rows = [(1000 * number + i, [float(v) for v in row]) for i, row in enumerate(x)]
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+            if restart or number == 5:
+                stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+                follow_codebooks(stream, first, 2, state, checkpoint, **settings).awaitTermination(120)
+        assert len(list((tmp_path / f"{name}-state").glob("batch=*"))) <= 5
+        return np.array([r.centroid for r in codebooks_of(spark, state).orderBy("sub", "code").collect()])
+
+    once, often = run("once", False, decay=0.05), run("often", True, decay=0.05)
+    assert np.allclose(once, often, atol=1e-12) and once.max() < 20
+    left = run("plain", False, repair=False)
+    assert (left.max(1) > 400).sum() == 4
+    assert run("thin", False, most=20, decay=0.05).max() < 20
+
+
 @pytest.mark.parametrize(("kind", "m"), [("pq8", 8), ("pq4", 8), ("pq4", 5)])
 def test_list_store(spark, tmp_path, kind, m):
     rows = [(i % 2, 10 + i, i, [(i * 10 + j) % (16 if kind == "pq4" else 256) for j in range(m)]) for i in range(6)]

@@ -394,7 +394,7 @@ _ADC = f"adc AS (SELECT qid, id, list_sum(list(d ORDER BY sub)) AS distance FROM
 def _adc(spark, sf):
     v = scaled(spark, sf)
     codes = pq.encode_in_place(v, codebooks(v), M).select("id", "codes")
-    return pq.adc(codes, pq.table_arrays(pq.lookup_tables(probes(v), codebooks(v), M)), m=M)
+    return pq.adc(codes, stored(pq.lookup_arrays(probes(v), codebooks(v), M), "tables"), m=M)
 
 
 add("pq_encode", lambda s, f: pq.encode(v := scaled(s, f), codebooks(v), M), f"{_PQ} SELECT id, sub, code, error FROM codes")
@@ -424,7 +424,8 @@ add("pq_range", lambda s, f: _adc(s, f).where("distance <= 20"), f"{_PQ}, {_LUT}
 
 def _pq_rerank(spark, sf):
     v = scaled(spark, sf)
-    return search.rerank_top_k(topk.top_k_by(_adc(spark, sf), 40).select("qid", "id"), v, probes(v), 10)
+    codes = pq.encode_in_place(v, codebooks(v), M).select("id", "codes")
+    return search.rerank_top_k(pq.nearest_codes(codes, probes(v), codebooks(v), 40).select("qid", "id"), v, probes(v), 10)
 
 
 add("pq_rerank", _pq_rerank, f"{_PQ}, {_LUT}, {_ADC}, can AS (SELECT qid, id FROM {S.ranked('adc', 'distance, id')} WHERE rank <= 40), {_rerank_sql('euclidean').replace('can.pos, ', '')} SELECT qid, rank, id, score FROM {S.ranked('sc', 'score, id')} WHERE rank <= 10")

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vectide.operators import kmeans
 from vectide.schema import VectorError
+from vectide.sources.store import stored
 
 STATE = "list_id int, n long, centroid array<double>"
 
@@ -38,6 +39,21 @@ def state_of(spark: SparkSession, path: str, batch: int | None = None) -> tuple[
     return max(numbers), states.where(F.col("batch") == max(numbers)).drop("batch")
 
 
+#: States of earlier batches that are kept, for batches that are delivered again.
+KEPT = 3
+
+
+def _write_state(spark: SparkSession, state: DataFrame, path: str, number: int) -> None:
+    """A batch's state; those of long ago are deleted, so that the folder and its listing stay small."""
+    state.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.listStatus(folder):
+        name = s.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < number - KEPT:
+            fs.delete(s.getPath(), True)
+
+
 def follow_centroids(stream: DataFrame, first: DataFrame, path: str, checkpoint: str, decay: float | None = None) -> StreamingQuery:
     """Centroids that follow ``stream(id, vector)``, from ``first(list_id, centroid)`` on.
 
@@ -55,16 +71,23 @@ def follow_centroids(stream: DataFrame, first: DataFrame, path: str, checkpoint:
 
     def update(batch: DataFrame, number: int) -> None:
         _, state = state_of(spark, path, number)
-        fold_batch(state, batch, decay).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _write_state(spark, fold_batch(state, batch, decay), path, number)
 
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def follow_codebooks(stream: DataFrame, first: DataFrame, m: int, path: str, checkpoint: str, decay: float | None = None) -> StreamingQuery:
+def follow_codebooks(stream: DataFrame, first: DataFrame, m: int, path: str, checkpoint: str, decay: float | None = None, most: int | None = None, repair: bool = True) -> StreamingQuery:
     """Codebooks ``first(sub, code, centroid)`` that follow ``stream(id, vector)``; read them by ``codebooks_of``.
 
-    Each sub-space's parts are vectors of their own: a state's ``list_id`` is ``sub * 65536 + code``.
+    A batch is read once: each row's parts are assigned together, and a task sends one sum for each
+    sub-space and code.  A state's ``list_id`` is ``sub * 65536 + code``.  ``most`` thins larger batches
+    to about so many rows, by a hash of the id and the batch.  With ``repair`` a code that no row has
+    ever come to moves to one of the batch's farthest parts, the next one to the next.
     """
+    import numpy as np
+
+    from vectide.operators import pq
+
     spark = stream.sparkSession
     begin = first.select((F.col("sub") * 65_536 + F.col("code")).cast("int").alias("list_id"), F.lit(0).cast("long").alias("n"), F.col("centroid").cast("array<double>").alias("centroid"))
     try:
@@ -75,15 +98,28 @@ def follow_codebooks(stream: DataFrame, first: DataFrame, m: int, path: str, che
         begin.write.mode("overwrite").parquet(f"{path}/batch=-1")
 
     def update(batch: DataFrame, number: int) -> None:
-        from vectide.operators import pq
-
         _, state = state_of(spark, path, number)
-        parts, out = pq.sub_vectors(batch, m), None
-        for sub in range(m):
-            own = state.where(F.expr(f"list_id div 65536 = {sub}"))
-            folded = fold_batch(own, parts.where(F.col("sub") == sub).select("id", F.col("part").alias("vector")), decay)
-            out = folded if out is None else out.unionByName(folded)
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        old = {r.list_id: r.n for r in state.select("list_id", "n").collect()}  # a model of bounded size
+        books = pq.books_of(state.select(F.expr("cast(list_id div 65536 as int)").alias("sub"), F.expr("cast(list_id % 65536 as int)").alias("code"), "centroid"))
+        if most is not None and (rows := batch.count()) > most:
+            batch = batch.where(F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(1_000_000)) < int(1_000_000 * most / rows))
+        sums = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(books.shape[2])]
+        passed = stored(pq.lloyd_sums(batch.select("vector"), books), "codebook-batch")  # tasks x codes
+        n = {j * 65_536 + c: old.get(j * 65_536 + c, 0) for j in range(m) for c in range(books.shape[1])}
+        for r in passed.where("code >= 0").groupBy("sub", "code").agg(F.sum("n").alias("n"), *sums).collect():
+            key, mean = r["sub"] * 65_536 + r["code"], np.array([r[f"s{i}"] for i in range(books.shape[2])]) / r["n"]
+            share = r["n"] / (n[key] + r["n"]) if decay is None else 1 - (1 - decay) ** r["n"]
+            books[r["sub"], r["code"]] += (mean - books[r["sub"], r["code"]]) * share
+            n[key] += r["n"]
+        if repair and not all(n.values()):
+            far: dict[int, list] = {}
+            for r in passed.where("code < 0 and error > 0").orderBy(F.desc("error"), "place").limit(len(n)).collect():
+                far.setdefault(r["sub"], []).append(np.array(r["sums"]))
+            for key in sorted(k for k, count in n.items() if not count):
+                if far.get(key // 65_536):
+                    books[key // 65_536, key % 65_536] = far[key // 65_536].pop(0)
+        rows = [(key, count, books[key // 65_536, key % 65_536].tolist()) for key, count in n.items()]
+        _write_state(spark, spark.createDataFrame(rows, STATE), path, number)
 
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
