@@ -119,7 +119,9 @@ def shard_rows(df: DataFrame, n_shards: int, seed: int = 0, *, stable: bool = Fa
     matrix = communication_matrix(counted(df), n_partitions, n_shards, seed)
     ends = F.aggregate("_shard_counts", F.array().cast("array<long>"), lambda a, c: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + c)))
     most = max(1, MAX_CELLS // n_shards)
-    cells = F.least(F.lit(most), F.ceil(F.col("_shard_rows") / (n_shards * ROWS_A_CELL))).cast("long")
+    # as many as the rows ask, and enough that each of the shuffle's tasks has one
+    tasks = -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n_shards)
+    cells = F.least(F.lit(most), F.greatest(F.lit(tasks), F.ceil(F.col("_shard_rows") / (n_shards * ROWS_A_CELL)))).cast("long")
     matrix = matrix.select("_shard_part", ends.alias("_shard_ends"), F.greatest(F.lit(1), cells).alias("_shard_cells"))
 
     names = df.columns
