@@ -195,6 +195,16 @@ def test_graph_filters(spark):
     assert hnsw.search(graphs, q, 5, "cosine", allowed=allowed, filter_mode="post").count() < 25
 
 
+def test_the_sequence_can_be_jumped_ahead():
+    for seed in (0, 777, 2**63):
+        steps = Lcg(seed)
+        for n in range(70):
+            assert Lcg(seed).jump(n).state == steps.state
+            steps.next()
+    far = Lcg(5).jump(10**18)
+    assert far.jump(3).state == Lcg(5).jump(10**18 + 3).state
+
+
 def test_generator_and_sampling(spark):
     a, b = (random_collection(spark, 50, 8, clusters=3, partitions=p).orderBy("id").collect() for p in (1, 7))
     assert a == b and abs(sum(v * v for v in a[0].vector) - 1) < 1e-5

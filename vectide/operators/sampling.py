@@ -20,6 +20,18 @@ class Lcg:
         self.state = (self.state * LCG[0] + LCG[1]) % 2**64
         return self.state
 
+    def jump(self, n: int) -> Lcg:
+        """Where n further steps lead, in time of the logarithm of n; a worker takes its own stretch of one sequence."""
+        a, b, times, plus = 1, 0, *LCG
+        while n:
+            if n & 1:
+                a, b = a * times % 2**64, (b * times + plus) % 2**64
+            times, plus = times * times % 2**64, (plus * times + plus) % 2**64
+            n >>= 1
+        out = Lcg(0)
+        out.state = (self.state * a + b) % 2**64
+        return out
+
     def unit(self) -> float:
         return (self.next() >> 11) / 2.0**53
 
@@ -48,10 +60,10 @@ def bounded_sample(df: DataFrame, most: int, seed: int, key: str = "id") -> Data
 
 
 def permutation(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """``(key, position)``: a seeded permutation of the rows, positions gapless from 0, whatever the layout."""
+    """``(key, position)``: a seeded permutation of the rows, positions gapless from 0, whatever the layout: by the MD5 of seed and key."""
     from vectide.operators.ids import assign_ids
 
-    keyed = df.select(F.struct(F.xxhash64(F.lit(seed), F.col(key)).alias("hash"), F.col(key).alias("key")).alias("external_id"))
+    keyed = df.select(F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))).alias("hash"), F.col(key).alias("key")).alias("external_id"))
     return assign_ids(keyed, check=False).select(F.col("external_id.key").alias(key), F.col("internal_id").alias("position"))
 
 

@@ -601,7 +601,7 @@ add(
     _get_or_create,
     "WITH k AS (SELECT c_name AS e, row_number() OVER (ORDER BY c_name) - 1 AS i FROM customer WHERE c_acctbal > 0), n AS (SELECT c_name AS e, row_number() OVER (ORDER BY c_name) - 1 + (SELECT count(*) FROM k) AS i FROM customer WHERE c_acctbal <= 0) SELECT e AS external_id, i AS internal_id FROM (SELECT * FROM k UNION ALL SELECT * FROM n) WHERE e IN (SELECT c_name FROM customer WHERE c_acctbal < 5000)",
 )
-add("id_permutation", lambda s, f: sampling.permutation(_read(s, f, "customer").select(F.col("c_custkey").alias("id")), 5))
+add("id_permutation", lambda s, f: sampling.permutation(_read(s, f, "customer").select(F.col("c_custkey").alias("id")), 5), "SELECT c_custkey AS id, row_number() OVER (ORDER BY md5('5:' || c_custkey::VARCHAR), c_custkey) - 1 AS position FROM customer")
 
 # models that are trained or built: approximate neighbours; the tests hold their recall against exact search
 
