@@ -686,6 +686,15 @@ def test_poisson_counts(spark):
         assert abs(mean - rate) < 0.02 * rate + 0.01 and abs(var - rate) < 0.05 * rate
 
 
+def test_very_many_sources_are_joined_by_their_size(spark, odd, monkeypatch):
+    rows = [(i, f"text {i}", "en", "hot" if i % 3 else f"s{i % 40}" if i % 40 else None, 1) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA).unionByName(odd.where("doc_id is not null")).repartition(4)
+    key = lambda out: sorted(((r.doc_id, r.text, r.source, r.copies, r.copy) for r in out.collect()), key=str)
+    want = [key(mixing.mix_sources(df, seed=3)), key(mixing.mix_sources(df, {"hot": 1.0, None: 2.0, "s3": 0.0}, seed=3))]
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert [key(mixing.mix_sources(df, seed=3)), key(mixing.mix_sources(df, {"hot": 1.0, None: 2.0, "s3": 0.0}, seed=3))] == want and all(want)
+
+
 def test_mixture(spark, odd):
     rows = [(i, t, "en", "big" if i % 4 else None, 1) for i, t in enumerate(texts(2000, words=(1, 5)))]
     df = clashing(spark.createDataFrame(rows, SCHEMA), "copy", "COPIES", "_mix_key")

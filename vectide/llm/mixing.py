@@ -20,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import cleared, let, stored
+from vectide.llm.common import cleared, joined_by_size, let, stored
 
-#: Source tables up to this many rows are broadcast, longer ones joined by a shuffle of salted sources.
-BROADCAST_SOURCES, SALTS = 10_000, 64
+#: Source tables up to this many rows are broadcast; of longer ones only the hot sources, the rest meet by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -63,14 +63,14 @@ def mix_sources(df: DataFrame, weights: dict[str | None, float] | None = None, *
     counts = counts.select("_mix_source", "n", share.alias("w"))
     sums = counts.agg(F.sum("w").alias("w_all"), F.sum("n").alias("n_all"))
     wanted = F.col("n_all").cast("double") if total is None else F.lit(float(total))
-    rates = counts.join(F.broadcast(sums)).where("w > 0").select("_mix_source", poisson_cdf(F.col("w") / F.col("w_all") * wanted / F.col("n")).alias("_mix_law"))
+    law = F.when(F.col("w") > 0, poisson_cdf(F.col("w") / F.col("w_all") * wanted / F.col("n")))
+    rates = counts.join(F.broadcast(sums)).select("_mix_source", F.col("n").alias("_mix_n"), law.alias("_mix_law"))
     same = F.col(source_col).eqNullSafe(F.col("_mix_source"))
     if counts.count() <= BROADCAST_SOURCES:
         drawn = df.join(F.broadcast(rates), same)
-    else:  # a hot source's rows go to SALTS tasks
-        salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS))
-        drawn = df.withColumn("_mix_part", salt).join(salted, same & (F.col("_mix_part") == F.col("_mix_salt")))
+    else:  # the rows of hot sources stay where they are
+        drawn = joined_by_size(df, rates, same, "_mix_n", counts.agg(F.sum("n")).first()[0])
+    drawn = drawn.where(F.col("_mix_law").isNotNull())
     unit = row_unit(seed, id_col, text_col)
     law = F.col("_mix_law")
     copies = let(unit, lambda u: law["first"] + F.size(F.filter(law["cdf"], lambda c: c <= u)))
