@@ -22,6 +22,22 @@ def asked(spark, x):
     return spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "qid int, q array<float>")
 
 
+def test_scopes_clear_their_tables(spark):
+    import os
+
+    from vectide.sources.store import scratch, stored
+
+    with scratch(spark):
+        a = stored(spark.range(3))
+        with scratch(spark):
+            b = stored(a)
+            assert b.count() == 3
+        assert a.count() == 3
+    kept = stored(spark.range(2))
+    gone = [df.inputFiles()[0][len("file://") :] for df in (a, b)]
+    assert not any(map(os.path.exists, gone)) and kept.count() == 2
+
+
 def test_two_writers_lose_and_mix_nothing(spark, tmp_path):
     path = str(tmp_path / "log")
     schema = "writer int, n int"
