@@ -183,7 +183,8 @@ def test_graph_recall_and_determinism(spark):
     assert len(exact & {(r.qid, r.id) for r in hnsw.search(sharded, q, 5, "euclidean", s).collect()}) / len(exact) >= 0.6
     degree = hnsw.edges(graphs).groupBy("level", "src").count().agg(F.max("count")).first()[0]
     assert degree <= s.m and hnsw.statistics(graphs).first()["count"] == 300
-    assert hnsw.nodes(graphs).count() == 300
+    top = hnsw.nodes(graphs).where("entry").collect()
+    assert hnsw.nodes(graphs).count() == 300 and len(top) == 1 and top[0].level == hnsw.nodes(graphs).agg(F.max("level")).first()[0]
 
 
 def test_graph_filters(spark):

@@ -467,7 +467,9 @@ def vectors(graphs: DataFrame) -> DataFrame:
 
 
 def nodes(graphs: DataFrame) -> DataFrame:
-    return graphs.select("shard", F.posexplode(F.arrays_zip("ids", "levels")).alias("node", "n")).select("shard", "node", F.col("n.ids").alias("id"), F.col("n.levels").alias("level"))
+    """``(shard, node, id, level, dead, entry)``: the entry is the first node of the top level, where each search begins."""
+    rows = graphs.select("shard", "dead", (F.array_position("levels", F.array_max("levels")) - 1).alias("_entry"), F.posexplode(F.arrays_zip("ids", "levels")).alias("node", "n"))
+    return rows.select("shard", "node", F.col("n.ids").alias("id"), F.col("n.levels").alias("level"), F.array_contains("dead", F.col("node")).alias("dead"), (F.col("node") == F.col("_entry")).alias("entry"))
 
 
 def edges(graphs: DataFrame) -> DataFrame:
