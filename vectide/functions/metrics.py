@@ -44,6 +44,11 @@ def norm_squared(a: Column, d: int) -> Column:
     return dot(a, a, d)
 
 
+def clamped(score: Column) -> Column:
+    """A cosine similarity held within [-1, 1]; what is no number stays none."""
+    return F.when(score.isNull() | F.isnan(score), score).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
+
+
 def cosine_similarity(product: Column, a_squared: Column, b_squared: Column) -> Column:
     """Clamped to [-1, 1]; 0 where a vector is as good as zero; what is no number stays none."""
     below = F.sqrt(a_squared * b_squared)

@@ -20,7 +20,9 @@ from vectide.operators.search import dimension_of, raw_scores
 from vectide.operators.topk import top_k_by
 from vectide.schema import VectorError, check_k
 
-FORMATS = ("pq8", "pq4", "flat")
+#: Formats that keep whole vectors, as 32-bit and 16-bit floats, and all formats.
+VECTORS = {"flat": "<f4", "half": "<f2"}
+FORMATS = ("pq8", "pq4", *VECTORS)
 SCHEMA = T.StructType([T.StructField("list_id", T.IntegerType()), T.StructField("pos", T.LongType()), T.StructField("external_id", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
@@ -28,34 +30,45 @@ def _hex(values: Column, digits: int) -> Column:
     return F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), digits, "0")), ""))
 
 
-@F.arrow_udf(T.BinaryType())
-def _floats(v):
-    import pyarrow as pa
-    import pyarrow.compute as pc
+def _to_bytes(dtype: str):
+    """An Arrow function from vectors to their numbers' bytes; numbers beyond a half's range are clamped to it."""
 
-    flat = v.flatten().cast(pa.float32())
-    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False))]) * 4
-    data = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("<f4").tobytes()
-    mask = v.is_null().to_numpy(zero_copy_only=False)
-    return pa.array([None if none else data[a:b] for none, a, b in zip(mask, ends[:-1], ends[1:])], pa.binary())
+    @F.arrow_udf(T.BinaryType())
+    def run(v):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        width = np.dtype(dtype).itemsize
+        numbers = v.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+        if width == 2:
+            numbers = np.clip(numbers.astype(np.float32), -codecs.HALF_MOST, codecs.HALF_MOST)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False))]) * width
+        data = numbers.astype(dtype).tobytes()
+        mask = v.is_null().to_numpy(zero_copy_only=False)
+        return pa.array([None if none else data[a:b] for none, a, b in zip(mask, ends[:-1], ends[1:])], pa.binary())
 
-@F.arrow_udf(T.ArrayType(T.FloatType()))
-def _from_floats(v):
-    import pyarrow as pa
-    import pyarrow.compute as pc
+    return run
+
+
+def _from_bytes(dtype: str):
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(v):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lengths = pc.fill_null(pc.binary_length(v), 0).to_numpy(zero_copy_only=False) // np.dtype(dtype).itemsize
+        values = pa.array(np.frombuffer(b"".join(pc.drop_null(v).to_pylist()), dtype).astype(np.float32))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values, mask=v.is_null())
 
-    lengths = pc.fill_null(pc.binary_length(v), 0).to_numpy(zero_copy_only=False) // 4
-    values = pa.array(np.frombuffer(b"".join(pc.drop_null(v).to_pylist()), "<f4"))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values, mask=v.is_null())
+    return run
 
 
 def pack(kind: str, content: Column) -> Column:
-    """Codes (``pq8``, ``pq4``) or a vector (``flat``) as a payload."""
+    """Codes (``pq8``, ``pq4``) or a vector (``flat``, ``half``) as a payload."""
     if kind not in FORMATS:
         raise VectorError("unreadable_format", "no such list format", "pack", format=kind)
-    if kind == "flat":
-        return _floats(content)
+    if kind in VECTORS:
+        return _to_bytes(VECTORS[kind])(content)
     codes = codecs.pack_nibbles(content) if kind == "pq4" else content
     return F.when(F.size(codes) == 0, F.lit(b"")).otherwise(_hex(codes, 2))
 
@@ -64,8 +77,8 @@ def unpack(kind: str, payload: Column, m: int | None = None) -> Column:
     """The content of a payload; ``m`` is the number of codes, which an odd ``pq4`` row needs."""
     if kind not in FORMATS:
         raise VectorError("unreadable_format", "no such list format", "unpack", format=kind)
-    if kind == "flat":
-        return _from_floats(payload)
+    if kind in VECTORS:
+        return _from_bytes(VECTORS[kind])(payload)
     places = F.when(F.octet_length(payload) > 0, F.sequence(F.lit(1), F.octet_length(payload))).otherwise(F.array().cast("array<int>"))
     codes = F.transform(places, lambda i: F.conv(F.hex(F.substring(payload, i, 1)), 16, 10).cast("int"))
     codes = codecs.unpack_nibbles(codes) if kind == "pq4" else codes
@@ -117,12 +130,12 @@ def content_matrix(kind: str, payloads, m: int) -> np.ndarray:
     """An Arrow column of payloads of one length as an array: vectors (rows, m) in double, or codes (rows, m)."""
     import pyarrow.compute as pc
 
-    width = {"flat": 4 * m, "pq8": m, "pq4": -(-m // 2)}[kind]
+    width = {"flat": 4 * m, "half": 2 * m, "pq8": m, "pq4": -(-m // 2)}[kind]
     if (pc.fill_null(pc.binary_length(payloads), -1).to_numpy(zero_copy_only=False) != width).any():
         raise VectorError("corrupted_data", "a payload has another length", "lists.search", expected=width)
     raw = np.frombuffer(b"".join(payloads.to_pylist()), np.uint8).reshape(-1, width)
-    if kind == "flat":
-        return raw.reshape(-1).view("<f4").reshape(-1, m).astype(float)
+    if kind in VECTORS:
+        return raw.reshape(-1).view(VECTORS[kind]).reshape(-1, m).astype(float)
     if kind == "pq8":
         return raw.astype(np.int64)
     return np.stack([raw & 15, raw >> 4], axis=2).reshape(len(raw), -1)[:, :m].astype(np.int64)
@@ -149,13 +162,13 @@ def search(
     """
     if kind not in FORMATS:
         raise VectorError("unreadable_format", "no such list format", "lists.search", format=kind)
-    if metric not in ("euclidean", "dot", "cosine") or (kind != "flat" and metric == "cosine"):
+    if metric not in ("euclidean", "dot", "cosine") or (kind not in VECTORS and metric == "cosine"):
         raise VectorError("unsupported_metric", "lists take euclidean and dot, vectors also cosine", "lists.search", metric=metric)
     k, d = check_k(k, "lists.search"), dimension_of(queries, "q")
     up = metrics.ascending(metric)
-    if kind != "flat" and codebooks is None:
+    if kind not in VECTORS and codebooks is None:
         raise VectorError("not_trained", "codes need their codebooks", "lists.search")
-    books = None if kind == "flat" else pq.books_of(codebooks)
+    books = None if kind in VECTORS else pq.books_of(codebooks)
     m = d if books is None else len(books)
     rows = store.select("list_id", F.col("external_id").alias("id"), "payload")
     out = None

@@ -21,6 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vectide.operators.search import PAIRS, found_schema, nearest_of, query_blocks
 from vectide.operators.telemetry import Telemetry
 
+#: True of all lists.  A broadcast that is filtered prunes the files of what it is joined with; one that is not doesn't.
+ANY_LIST = "list_id >= -2147483648"
+
 
 @dataclass
 class Block:
@@ -50,7 +53,7 @@ def scan(rows: DataFrame, content: str, block: Block, decode: Callable, score: C
     ``rows(list_id, id, <content>)``; ``decode`` turns a batch's content column into an array, and
     ``score(content, queries, list_id)`` gives distances (queries, rows).
     """
-    wanted = rows.sparkSession.createDataFrame([(int(i),) for i in block.by_list], "list_id int")
+    wanted = rows.sparkSession.createDataFrame([(int(i),) for i in block.by_list], "list_id int").where(ANY_LIST)
     rows = rows.select("list_id", "id", content).join(F.broadcast(wanted), "list_id", "left_semi")
     schema, pick = found_schema(block.kind, rows.schema["id"].dataType), nearest_of(k)
     count = telemetry.counters() if telemetry else None

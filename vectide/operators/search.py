@@ -30,6 +30,7 @@ from vectide.schema import METRICS, VectorError, check_k
 if TYPE_CHECKING:
     from pyspark.sql import Observation
 
+    from vectide.operators.readers import VectorReader
     from vectide.operators.telemetry import Telemetry
 
 QUERY_BYTES = 32_000_000
@@ -83,12 +84,27 @@ def numbers(scored: DataFrame, column: str = "distance") -> DataFrame:
     return scored.where(F.col(column).isNotNull() & ~F.isnan(column))
 
 
-def pairs(collection: DataFrame, block: DataFrame, metric: str, d: int, raw: bool = False) -> DataFrame:
+#: A norm hint that says that all vectors of a collection have norm 1.
+NORMALIZED = "normalized"
+
+
+def _hinted(norms: str | None, d: int) -> Column:
+    """Squared norms of the rows: as hinted, and computed where there is no hint."""
+    if norms == NORMALIZED:
+        return F.lit(1.0)
+    computed = metrics.norm_squared(F.col("vector"), d)
+    if norms is None:
+        return computed
+    hint = F.col(norms).cast("double")
+    return F.coalesce(F.when(~F.isnan(hint), hint), computed)
+
+
+def pairs(collection: DataFrame, block: DataFrame, metric: str, d: int, raw: bool = False, norms: str | None = None) -> DataFrame:
     """``(qid, id, distance)`` of each row and each query of a block (broadcast: see ``query_blocks``)."""
     name = "score" if raw else "distance"
     queries = block.select("qid", F.col("q").alias("_q"))
     if metric == "cosine":  # norms once for each row and query, not for each pair
-        rows = collection.select("id", "vector", metrics.norm_squared(F.col("vector"), d).alias("_x2"))
+        rows = collection.select("id", "vector", _hinted(norms, d).alias("_x2"))
         queries = queries.withColumn("_q2", metrics.norm_squared(F.col("_q"), d))
         similarity = metrics.cosine_similarity(metrics.dot(F.col("_q"), F.col("vector"), d), F.col("_q2"), F.col("_x2"))
         return rows.join(F.broadcast(queries)).select("qid", "id", sound(similarity if raw else F.lit(1.0) - similarity, F.col("vector"), d).alias(name))
@@ -103,12 +119,20 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def knn(collection: DataFrame, query: list[float], k: int, metric: str = "euclidean", where: Column | None = None) -> DataFrame:
-    """``(rank, id, distance)`` of the k nearest rows to one vector; ``where`` filters before the search."""
+def knn(collection: DataFrame, query: Sequence[float], k: int, metric: str = "euclidean", where: Column | None = None, norms: str | None = None) -> DataFrame:
+    """``(rank, id, distance)`` of the k nearest rows to one vector; ``where`` filters before the search.
+
+    ``query`` is any sequence or array of numbers; ``norms`` as in ``batch_knn``.
+    """
     _check(metric, "knn")
     rows = collection if where is None else collection.where(where)
+    d, v = len(query), F.col("vector")
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.select("id", sound(metrics.distance(metric, q, F.col("vector"), len(query)), F.col("vector"), len(query)).alias("distance"))
+    if metric == "cosine":
+        value = F.lit(1.0) - metrics.cosine_similarity(metrics.dot(q, v, d), metrics.norm_squared(q, d), _hinted(norms, d))
+    else:
+        value = metrics.distance(metric, q, v, d)
+    scored = rows.select("id", sound(value, v, d).alias("distance"))
     return top_k(numbers(scored), k).select("rank", "id", "distance")
 
 
@@ -117,10 +141,14 @@ def choose_strategy(n_queries: int, d: int) -> str:
     return "arrow" if n_queries * d >= MANY else "expr"
 
 
-def batch_knn(collection: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", where: Column | None = None, strategy: str = "auto", filter_mode: str = "pre") -> DataFrame:
+def batch_knn(collection: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", where: Column | None = None, strategy: str = "auto", filter_mode: str = "pre", norms: str | None = None) -> DataFrame:
     """``(qid, rank, id, distance)`` for ``queries(qid, q)``.
 
     ``filter_mode="post"`` filters the k results instead, so that fewer may be left.
+
+    ``norms`` is a hint for cosine distances, which is taken on trust: a column of the collection
+    that holds squared norms (``transform.norms``), whose nulls and NaN are computed, or ``"normalized"``
+    where all vectors have norm 1.  Other metrics need no norms and pass it over.
     """
     _check(metric, "batch_knn")
     k = check_k(k, "batch_knn")
@@ -129,7 +157,7 @@ def batch_knn(collection: DataFrame, queries: DataFrame, k: int, metric: str = "
     found = []
     for block in query_blocks(queries, d):
         how = choose_strategy(block.count(), d) if strategy == "auto" else strategy
-        scored = _arrow_scores(rows, block, metric, nearest_of(k)) if how == "arrow" else numbers(pairs(rows, block, metric, d))
+        scored = _arrow_scores(rows, block, metric, nearest_of(k), norms=norms) if how == "arrow" else numbers(pairs(rows, block, metric, d, norms=norms))
         found.append(top_k_by(scored, k).select("qid", "rank", "id", "distance"))
     out = _union(found)
     if where is not None and filter_mode == "post":
@@ -158,8 +186,11 @@ def _norms(x):
     return out
 
 
-def raw_scores(q, x, metric: str):
-    """What ``metrics.score`` gives, for all pairs of two double arrays: (queries, rows)."""
+def raw_scores(q, x, metric: str, x_squared=None):
+    """What ``metrics.score`` gives, for all pairs of two double arrays: (queries, rows).
+
+    ``x_squared`` holds squared norms of the rows, NaN where they are to be computed.
+    """
     import numpy as np
 
     if metric == "euclidean":
@@ -167,7 +198,12 @@ def raw_scores(q, x, metric: str):
     if metric == "dot":
         return _sums(q, x, np.multiply)
     if metric == "cosine":
-        below = np.sqrt(_norms(q)[:, None] * _norms(x)[None])
+        if x_squared is None:
+            x_squared = _norms(x)
+        elif (none := np.isnan(x_squared)).any():
+            x_squared = x_squared.copy()
+            x_squared[none] = _norms(x[none])
+        below = np.sqrt(_norms(q)[:, None] * x_squared[None])
         product = _sums(q, x, np.multiply)
         similar = np.where(below > metrics.ULP, np.clip(product / np.where(below > metrics.ULP, below, 1.0), -1.0, 1.0), 0.0)
         return np.where(np.isnan(product), np.nan, similar)
@@ -179,11 +215,11 @@ def raw_scores(q, x, metric: str):
     return out
 
 
-def distances(q, x, metric: str):
+def distances(q, x, metric: str, x_squared=None):
     """What ``metrics.distance`` gives, for all pairs of two double arrays: (queries, rows)."""
     import numpy as np
 
-    scores = raw_scores(q, x, metric)
+    scores = raw_scores(q, x, metric, x_squared)
     return {"euclidean": lambda: np.sqrt(scores), "cosine": lambda: 1.0 - scores, "dot": lambda: -scores}.get(metric, lambda: scores)()
 
 
@@ -214,11 +250,12 @@ def nearest_of(k: int):
     return pick
 
 
-def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: bool = False, norm_band: float | None = None, telemetry: Telemetry | None = None) -> DataFrame:
+def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: bool = False, norm_band: float | None = None, telemetry: Telemetry | None = None, norms: str | None = None) -> DataFrame:
     """``(qid, id, distance)`` of the pairs that ``pick`` finds in a batch's scores.
 
     With ``norm_band`` (Euclidean) pairs whose norms alone are further apart are not scored: the
-    rows of a batch are sorted by norm, and a query meets only those in its band.
+    rows of a batch are sorted by norm, and a query meets only those in its band.  ``norms`` is the
+    hint of ``batch_knn``.
     """
     import numpy as np
 
@@ -229,6 +266,8 @@ def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: boo
     score = raw_scores if raw else distances
     q_norms = np.sqrt(np.square(queries).sum(1))
     count = telemetry.counters() if telemetry else None
+    hint = [] if norms is None or metric != "cosine" else [F.lit(1.0) if norms == NORMALIZED else F.col(norms).cast("double")]
+    rows = rows.select("id", "vector", *[h.alias("_squared") for h in hint])
 
     def run(batches):
         import pyarrow as pa
@@ -239,24 +278,25 @@ def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: boo
             if not batch.num_rows or not qids:
                 continue
             x = matrix(batch.column(1), queries.shape[1])
-            order = norms = None
+            squared = batch.column(2).to_numpy(zero_copy_only=False).astype(float) if batch.num_columns > 2 else None
+            order = sizes = None
             if norm_band is not None:
-                norms = np.sqrt(np.square(x).sum(1))
-                order = np.argsort(norms, kind="stable")
-                x, norms = x[order], norms[order]
+                sizes = np.sqrt(np.square(x).sum(1))
+                order = np.argsort(sizes, kind="stable")
+                x, sizes = x[order], sizes[order]
             if norm_band is None:
                 step = max(1, PAIRS // len(x))
                 parts = [(i, min(len(qids), i + step), 0, len(x)) for i in range(0, len(qids), step)]
             else:
                 room = abs(norm_band) * (1 + 1e-9) + 1e-9
-                lo, hi = np.searchsorted(norms, q_norms - room, "left"), np.searchsorted(norms, q_norms + room, "right")
+                lo, hi = np.searchsorted(sizes, q_norms - room, "left"), np.searchsorted(sizes, q_norms + room, "right")
                 parts = [(i, i + 1, int(a), int(b)) for i, (a, b) in enumerate(zip(lo, hi)) if a < b]
             if count:
                 scored = sum((j - i) * (b - a) for i, j, a, b in parts)
                 count["range_scored"].add(scored)
                 count["range_skipped"].add(len(x) * len(qids) - scored)
             for i, j, a, b in parts:
-                d = score(queries[i:j], x[a:b], metric)
+                d = score(queries[i:j], x[a:b], metric, None if squared is None else squared[a:b])
                 q_at, at = pick(d)
                 if count:
                     count["found"].add(len(q_at))
@@ -264,7 +304,7 @@ def _arrow_scores(rows: DataFrame, block: DataFrame, metric: str, pick, raw: boo
                     where = at + a if order is None else order[at + a]
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(q_at + i)), batch.column(0).take(pa.array(where)), pa.array(d[q_at, at])], names=["qid", "id", "distance"])
 
-    return rows.select("id", "vector").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def found_schema(qid: T.DataType, id: T.DataType) -> T.StructType:
@@ -326,16 +366,20 @@ def range_mask(collection: DataFrame, queries: DataFrame, threshold: float, metr
     return out.select("qid", "id", F.coalesce(inside, F.lit(False)).cast("int").alias("mask"))
 
 
-def rerank_scores(candidates: DataFrame, collection: DataFrame, queries: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """``candidates(qid, id, ...)`` with their exact raw ``score``; candidates without a vector get the worst score, infinite, and ``present`` false."""
+def rerank_scores(candidates: DataFrame, collection: DataFrame | VectorReader, queries: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """``candidates(qid, id, ...)`` with their exact raw ``score``; candidates without a vector get the worst score, infinite, and ``present`` false.
+
+    The vectors are those of a collection, or what a reader fetches (``readers``).
+    """
     d = dimension_of(queries, "q")
     worst = float("inf") if metrics.ascending(metric) else float("-inf")
-    joined = candidates.join(collection.select("id", F.col("vector").alias("_v")), "id", "left").join(queries.select("qid", F.col("q").alias("_q")), "qid")
+    vectors = collection if isinstance(collection, DataFrame) else collection.fetch(candidates)
+    joined = candidates.join(vectors.select("id", F.col("vector").alias("_v")), "id", "left").join(queries.select("qid", F.col("q").alias("_q")), "qid")
     score = F.when(F.col("_v").isNotNull(), metrics.score(metric, F.col("_q"), F.col("_v"), d)).otherwise(F.lit(worst))
     return joined.select(*candidates.columns, score.alias("score"), F.col("_v").isNotNull().alias("present"))
 
 
-def rerank_top_k(candidates: DataFrame, collection: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", skip_missing: bool = True, pad: bool = False) -> DataFrame:
+def rerank_top_k(candidates: DataFrame, collection: DataFrame | VectorReader, queries: DataFrame, k: int, metric: str = "euclidean", skip_missing: bool = True, pad: bool = False) -> DataFrame:
     """``(qid, rank, id, score)``: the k best candidates of each query by exact score, ties by id.
 
     ``pad`` gives each query k rows: behind the last candidate rows without an id, of the worst score.

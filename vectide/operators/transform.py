@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.functions import metrics
+from vectide.functions import codecs, metrics
 from vectide.operators.search import dimension_of, query_blocks
 from vectide.schema import VectorError
 
@@ -24,29 +24,36 @@ def update_norms(cache: DataFrame, changed: DataFrame) -> DataFrame:
     return cache.join(changed.select("id"), "id", "left_anti").unionByName(norms(changed))
 
 
-def with_norms(collection: DataFrame) -> DataFrame:
-    """The collection with ``inv_norm`` beside the vector, so that later searches neither sum nor join."""
-    return collection.withColumn("inv_norm", metrics.inverse_norm(F.col("vector"), dimension_of(collection)))
+def with_norms(collection: DataFrame, half: bool = False) -> DataFrame:
+    """The collection with ``inv_norm`` beside the vector, so that later searches neither sum nor join.
+
+    ``half`` keeps the bits of 16-bit floats instead, as ``inv_norm_half``: two bytes a row.
+    """
+    inverse = metrics.inverse_norm(F.col("vector"), dimension_of(collection))
+    return collection.withColumn("inv_norm_half", codecs.half_bits(inverse)) if half else collection.withColumn("inv_norm", inverse)
 
 
-def cosine_with_norms(collection: DataFrame, cache: DataFrame | None, queries: DataFrame) -> DataFrame:
+def cosine_with_norms(collection: DataFrame, cache: DataFrame | None, queries: DataFrame, clamp: bool = False) -> DataFrame:
     """``(qid, id, score)``: cosine similarity from stored inverse norms; queries go in blocks.
 
     Norms that are kept beside the vectors (``with_norms``) are taken as they are; those of a cache
-    are joined by id.
+    are joined by id.  ``clamp`` holds scores within [-1, 1], which rounded norms may miss.
     """
     d = dimension_of(queries, "q")
-    if cache is None:
-        if "inv_norm" not in collection.columns:
-            raise VectorError("missing_id", "neither a cache nor norms beside the vectors", "cosine_with_norms")
-        rows = collection.select("id", "vector", "inv_norm")
+    rows = collection if cache is None else collection.select("id", "vector").join(cache, "id")
+    if "inv_norm" in rows.columns:
+        inverse = F.col("inv_norm")
+    elif "inv_norm_half" in rows.columns:
+        inverse = codecs.from_half_bits(F.col("inv_norm_half"))
     else:
-        rows = collection.select("id", "vector").join(cache.select("id", "inv_norm"), "id")
+        raise VectorError("missing_id", "neither a cache nor norms beside the vectors", "cosine_with_norms")
+    rows = rows.select("id", "vector", inverse.alias("_x"))
     out = None
     for block in query_blocks(queries, d):
         asked = block.select("qid", F.col("q").alias("_q"), metrics.inverse_norm(F.col("q"), d).alias("_i"))
         both = rows.join(F.broadcast(asked))
-        part = both.select("qid", "id", (metrics.dot(F.col("_q"), F.col("vector"), d) * F.col("_i") * F.col("inv_norm")).alias("score"))
+        score = metrics.dot(F.col("_q"), F.col("vector"), d) * F.col("_i") * F.col("_x")
+        part = both.select("qid", "id", (metrics.clamped(score) if clamp else score).alias("score"))
         out = part if out is None else out.unionByName(part)
     return out
 

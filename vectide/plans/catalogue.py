@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions import codecs, metrics
 from vectide.functions.filters import MetadataFilter, id_mask, id_overlay, id_pass
-from vectide.operators import hnsw, ids, idsets, ivf, kmeans, lists, pq, sampling, search, topk, transform
+from vectide.operators import hnsw, ids, idsets, ivf, kmeans, lists, pq, readers, sampling, search, topk, transform
 from vectide.operators.telemetry import Telemetry
 from vectide.plans import sql as S
 from vectide.sources.collection import live_view
@@ -517,7 +517,7 @@ def _adc_u4(spark, sf):
 def _list_search(kind):
     def run(spark, sf):
         v = scaled(spark, sf)
-        if kind == "flat":
+        if kind in lists.VECTORS:
             rows = ivf.build(v, centroids(v)).select("list_id", F.col("id").alias("external_id"), F.col("id").alias("seq"), "vector")
             store, books = lists.ingest(lists.empty(spark), rows, kind, "vector"), None
         else:
@@ -534,6 +534,36 @@ add(
     _list_search("flat"),
     f"{_FLAT32}, {_PROBED}, d AS (SELECT pr.qid, e.id, {S.l2sq('q.v', 'e.v')} AS score FROM pr JOIN asg USING (list_id) JOIN low e ON e.id = asg.id JOIN emb q ON q.id = pr.qid) SELECT qid, rank, id + 1000000 AS id, score FROM {S.ranked('d', 'score, id')} WHERE rank <= 10",
 )
+_E = "greatest(-14, floor(log2(abs(x))))"
+_HALF = f"(CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE round_even(x * pow(2.0::DOUBLE, 10 - {_E}), 0) * pow(2.0::DOUBLE, {_E} - 10) END)"
+_HALVES = _LISTS.replace(S.SCALED, S.SCALED + f", low AS (SELECT id, list_transform(list_transform(v, lambda x: x::FLOAT::DOUBLE), lambda x: {_HALF}) AS v FROM emb)")
+add(
+    "list_search_half",
+    _list_search("half"),
+    f"{_HALVES}, {_PROBED}, d AS (SELECT pr.qid, e.id, {S.l2sq('q.v', 'e.v')} AS score FROM pr JOIN asg USING (list_id) JOIN low e ON e.id = asg.id JOIN emb q ON q.id = pr.qid) SELECT qid, rank, id + 1000000 AS id, score FROM {S.ranked('d', 'score, id')} WHERE rank <= 10",
+)
+_HALF_BITS = f"((CASE WHEN x < 0 THEN -32768 ELSE 0 END) + CASE WHEN x = 0 THEN 0 ELSE ({_E} + 14) * 1024 + round_even(abs(x) * pow(2.0::DOUBLE, 10 - {_E}), 0) END)::INTEGER"
+add(
+    "half_bits",
+    lambda s, f: _joined(scaled(s, f).select("id", F.transform("vector", codecs.half_bits).alias("bits")), "bits"),
+    f"WITH {S.SCALED} SELECT id, array_to_string(list_transform(v, lambda x: {_HALF_BITS}), ',') AS bits FROM emb",
+)
+
+
+def _reader(spark, sf):
+    """Candidates that name their lists, re-ranked by the vectors in a list store."""
+    v = scaled(spark, sf)
+    placed = ivf.build(v, centroids(v))
+    store = lists.ingest(lists.empty(spark), placed.select("list_id", F.col("id").alias("external_id"), F.col("id").alias("seq"), "vector"), "flat", "vector")
+    named = _candidates(v).join(placed.select("id", "list_id"), "id", "left")
+    return search.rerank_top_k(named, readers.ListReader(store), probes(v), 5)
+
+
+add(
+    "rerank_list_reader",
+    _reader,
+    f"{_FLAT32}, {_CAND}, sc AS (SELECT can.qid, can.id, {S.l2sq('q.v', 'e.v')} AS score FROM can JOIN emb q ON q.id = can.qid JOIN low e ON e.id = can.id) SELECT qid, rank, id, score FROM {S.ranked('sc', 'score, id')} WHERE rank <= 5",
+)
 for kind in ("pq8", "pq4"):
     add(
         f"list_search_{kind}",
@@ -554,6 +584,22 @@ add(
     lambda s, f: transform.cosine_with_norms(v := scaled(s, f), transform.norms(v), probes(v)),
     f"WITH {S.SCALED} SELECT q.id AS qid, e.id, {S.dot('q.v', 'e.v')} * {_INVERSE.format(S.dot('q.v', 'q.v'))} * {_INVERSE.format(S.dot('e.v', 'e.v'))} AS score FROM emb q, emb e WHERE q.id % 20 = 0",
 )
+_HALF_INVERSE = f"list_transform([{_INVERSE.format(S.dot('v', 'v'))}], lambda x: {_HALF})[1]"
+add(
+    "cosine_half_norms",
+    lambda s, f: topk.top_k_by(transform.cosine_with_norms(transform.with_norms(v := scaled(s, f), half=True), None, probes(v), clamp=True), 10, score="score", ascending=False).select("qid", "rank", "id", "score"),
+    f"WITH {S.SCALED}, h AS (SELECT id, v, {_HALF_INVERSE} AS i FROM emb), d AS (SELECT q.id AS qid, e.id, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {S.dot('q.v', 'e.v')} * {_INVERSE.format(S.dot('q.v', 'q.v'))} * e.i)) AS score FROM emb q, h e WHERE q.id % 20 = 0) SELECT qid, rank, id, score FROM {S.ranked('d', 'score DESC, id')} WHERE rank <= 10",
+)
+
+
+def _hinted(spark, sf):
+    """Two thirds of the rows bring their squared norms along."""
+    v = scaled(spark, sf)
+    with_norms = v.withColumn("norm_sq", F.when(F.col("id") % 3 != 0, metrics.norm_squared(F.col("vector"), S.D)))
+    return search.batch_knn(with_norms, probes(v), 10, "cosine", norms="norm_sq")
+
+
+add("batch_knn_norm_hint", _hinted, ORACLES["batch_knn_cosine"])
 add(
     "reservoir_counters",
     lambda s, f: topk.reservoir_counters(_seen(s, f), 32, "event_type"),

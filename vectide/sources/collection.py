@@ -10,13 +10,14 @@ writers may append at once (``commits.CommitLog``): batches are numbered, and ro
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.operators import search
 from vectide.schema import RECORD, Collection, VectorError, checked, metric_of
 from vectide.sources.commits import CommitLog
 
@@ -52,6 +53,33 @@ def live_view(snapshot: DataFrame | None, log: DataFrame) -> DataFrame:
     return kept.select("id", F.when(F.col("v_at") > F.col("at"), F.col("v")).otherwise(F.col("w.vector")).alias("vector"), F.when(F.col("m_at") > F.col("at"), F.col("m")).otherwise(F.col("w.metadata")).alias("metadata"))
 
 
+def as_records(spark: SparkSession, items) -> DataFrame:
+    """``(seq, id, vector, metadata)`` of what a program holds, in its order.
+
+    ``items`` is a DataFrame of Spark, pandas or Arrow with ``id``, ``vector`` and, where there is
+    one, ``metadata``; a mapping from ids to vectors; or tuples ``(id, vector[, metadata])``.  A
+    vector is any sequence or array of numbers.
+    """
+    if isinstance(items, DataFrame):
+        rows = items if "metadata" in items.columns else items.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+        return rows.select(F.monotonically_increasing_id().alias("seq"), F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), "metadata")
+    if hasattr(items, "to_pylist"):  # an Arrow table
+        items = [(r["id"], r["vector"], r.get("metadata")) for r in items.to_pylist()]
+    elif hasattr(items, "itertuples"):  # of pandas
+        named = items["metadata"] if "metadata" in items else [None] * len(items)
+        items = list(zip(items["id"], items["vector"], named))
+    elif isinstance(items, Mapping):
+        items = list(items.items())
+
+    def row(seq: int, id, vector, metadata=None) -> tuple:
+        numbers = None if vector is None else [float(x) for x in vector]
+        none = metadata is None or metadata != metadata  # pandas has NaN where nothing is
+        return seq, str(id), numbers, None if none else dict(metadata)
+
+    schema = T.StructType([LOG["seq"], *RECORD.fields])
+    return spark.createDataFrame([row(i, *item) for i, item in enumerate(items)], schema).coalesce(1)
+
+
 class DurableCollection:
     """A collection in a folder: ``snapshot`` and ``log`` tables and ``meta``, a one-line JSON text."""
 
@@ -124,26 +152,23 @@ class DurableCollection:
     def _ops(self, rows: Iterable[tuple]) -> DataFrame:
         return self.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], LOG).coalesce(1)
 
-    def upsert(self, items: Iterable[tuple[str, list[float], dict[str, str] | None]] | DataFrame) -> None:
-        """All items or, where one has another dimension, none."""
-        if isinstance(items, DataFrame):
-            items = items.withColumn("op", F.lit("upsert")).withColumn("seq", F.monotonically_increasing_id())
-            ops = items.select(*[f.name for f in LOG])
-        else:
-            ops = self._ops(("upsert", *item) for item in items)
-        self._append(checked(ops, self.config.dimension, "upsert"))
+    def upsert(self, items: DataFrame | Mapping | Iterable[tuple]) -> None:
+        """All items (``as_records``) or, where one has another dimension, none."""
+        records = as_records(self.spark, items).withColumn("op", F.lit("upsert"))
+        self._append(checked(records.select(*[f.name for f in LOG]), self.config.dimension, "upsert"))
 
     def remove(self, ids: Iterable[str]) -> None:
         """Unknown ids are passed over."""
         self._append(self._ops(("remove", i, None, None) for i in ids))
 
-    def update(self, id: str, vector: list[float] | None = None, metadata: dict[str, str] | None = None) -> bool:
+    def update(self, id: str, vector: Sequence[float] | None = None, metadata: dict[str, str] | None = None) -> bool:
         """Fields that are None stay as they are; False where the id is unknown."""
         if vector is not None and len(vector) != self.config.dimension:
             raise VectorError("dimension_mismatch", "a vector has another dimension", "update", expected=self.config.dimension, found=len(vector))
         if not self.contains(id):
             return False
-        self._append(self._ops([("update", id, vector, metadata)]))
+        numbers = None if vector is None else [float(x) for x in vector]
+        self._append(self._ops([("update", id, numbers, metadata)]))
         return True
 
     def clear(self) -> None:
@@ -166,28 +191,51 @@ class DurableCollection:
         if not keep_log:
             self._log.forget(last)
 
+    def search(self, queries, k: int, where: Column | None = None, filter_mode: str = "pre", norms: str | None = None) -> DataFrame:
+        """``(qid, rank, id, distance)`` by the collection's metric.
+
+        ``queries`` is ``DataFrame(qid, q)``, or one vector or several, as ``search.as_queries`` takes them.
+        """
+        asked = queries if isinstance(queries, DataFrame) else search.as_queries(self.spark, queries)
+        found = search.dimension_of(asked, "q")
+        if found != self.config.dimension:
+            raise VectorError("dimension_mismatch", "a query has another dimension", "search", expected=self.config.dimension, found=found)
+        return search.batch_knn(self.records(), asked, k, self.config.metric, where, filter_mode=filter_mode, norms=norms)
+
     def statistics(self) -> dict[str, Any]:
-        return {"type": self.config.kind, "count": self.count(), "dimension": self.config.dimension, "metric": self.config.metric, "log_rows": self.log().count(), **self.config.settings}
+        """Counts and settings; ``fragmentation`` is the share of stored vectors that are not live any more."""
+        meta = self._meta(self.spark, self.path)
+        log = self._log.rows(meta["upto"]).agg(F.count(F.lit(1)).alias("rows"), F.count("vector").alias("vectors")).first()
+        stored = self.spark.read.schema(RECORD).parquet(f"{self.path}/snapshot/{meta['generation']}").count() + log.vectors
+        count = self.count()
+        sizes = {"vector_bytes": 4 * self.config.dimension * count, "fragmentation": max(0.0, 1 - count / stored) if stored else 0.0}
+        return {"type": self.config.kind, "count": count, "dimension": self.config.dimension, "metric": self.config.metric, "log_rows": log.rows, **sizes, **self.config.settings}
 
 
 def export_json(records: DataFrame, config: Collection, path: str) -> None:
     """One JSON text for each record, each with the collection's description."""
-    head = [F.lit(config.kind).alias("type"), F.lit(VERSION).alias("version"), F.lit(config.dimension).alias("dimension"), F.lit(config.metric).alias("metric")]
+    head = [F.lit(config.kind).alias("type"), F.lit(VERSION).alias("version"), F.lit(config.dimension).alias("dimension"), F.lit(config.metric).alias("metric"), F.lit(json.dumps(config.settings)).alias("settings")]
     records.select(*head, "id", "vector", "metadata").write.mode("overwrite").json(path)
 
 
+#: Kinds that may be opened as another one: records are the same.
+_ALSO = {("flat_optimized", "flat")}
+
+
 def import_json(spark: SparkSession, path: str, kind: str | None = None) -> tuple[DataFrame, Collection]:
-    schema = T.StructType([T.StructField("type", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("dimension", T.IntegerType()), T.StructField("metric", T.StringType()), *RECORD.fields])
+    """Records and their description; another kind than ``kind`` is an error, but for plain records where optimised ones are asked for."""
+    schema = T.StructType([T.StructField("type", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("dimension", T.IntegerType()), T.StructField("metric", T.StringType()), T.StructField("settings", T.StringType()), *RECORD.fields])
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     try:
-        head = rows.select("type", "version", "dimension", "metric").first()
+        head = rows.select("type", "version", "dimension", "metric", "settings").first()
+        settings = json.loads(head.settings) if head and head.settings else {}
     except Exception as e:
         raise VectorError("corrupted_data", "a record is no JSON", "import_json") from e
     if head is None:
         raise VectorError("empty_input", "no records", "import_json")
-    if kind is not None and head.type != kind:
+    if kind is not None and head.type != kind and (kind, head.type) not in _ALSO:
         raise VectorError("unreadable_format", "another kind of collection", "import_json", expected=kind, found=head.type)
-    return rows.select("id", "vector", "metadata"), Collection(head.dimension, metric_of(head.metric), head.type or "flat")
+    return rows.select("id", "vector", "metadata"), Collection(head.dimension, metric_of(head.metric), head.type or "flat", settings)
 
 
 def with_checksum(df: DataFrame) -> DataFrame:
