@@ -52,6 +52,28 @@ def test_matches_are_all_pairs_in_range(metric, limit):
     assert got == set(zip(q, r, want[q, r])) and len(got) > 100
 
 
+@pytest.mark.parametrize("metric, limit", [("euclidean", 9.0), ("euclidean", 0.0), ("euclidean", -1.0), ("euclidean", np.inf), ("dot", 30.0), ("cosine", 0.4), ("cosine", -1.0)])
+def test_a_tally_scores_only_what_the_product_leaves_open(monkeypatch, metric, limit):
+    x, scored = crowd(), []
+    raw, whole = metric != "euclidean", Nearest._exact
+    monkeypatch.setattr(Nearest, "_exact", lambda self, q, x, at, *more: scored.append(len(at)) or whole(self, q, x, at, *more))
+    got = Nearest(x[::7].copy(), 1, metric, raw, -limit if raw else limit).tally(x)
+    with np.errstate(all="ignore"):
+        want = (search.raw_scores if raw else search.distances)(x[::7], x, metric)
+        assert got.tolist() == (want >= limit if raw else want <= limit).sum(1).tolist()
+    assert sum(scored) < len(got) * len(x) / 20
+
+
+def test_counts_of_a_range(spark):
+    x = crowd(600)[14:]
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>")
+    q = c.where("id % 7 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
+    for metric, limit in (("euclidean", 9.0), ("cosine", 0.4), ("manhattan", 30.0)):
+        want = search.range_search(c, q, limit, metric).groupBy("qid").count().collect()
+        assert want and sorted(map(tuple, search.range_count(c, q, limit, metric).collect())) == sorted(map(tuple, want))
+    assert search.range_count(c.where("false"), q, 9.0).count() == 0
+
+
 def test_distinct_ids_within_a_bound():
     x = np.arange(1000.0).reshape(-1, 1)
     found = Nearest(np.array([[0.0]]), 4, "euclidean", within=900.0, distinct=True)
