@@ -198,3 +198,19 @@ def test_whole_rows_stay(spark, odd):  # noqa: F811
     kept = {(r.doc_id, r.text): r.source for r in got.collect()}
     texts_ = {t or "" for _, t, *_ in ODD}
     assert len(kept) == len(texts_) and kept[9, ""] == "y" and (None, "Repeated row without an id") in kept
+
+
+def test_a_run_holds_numbers_of_terms():
+    """A run of documents takes some bytes a posting (before, a dictionary of terms each: over 100)."""
+    import tracemalloc
+
+    texts = [" ".join(f"word{(i * 7 + j * 13) % 5000}" for j in range(500)).encode() for i in range(300)]
+    known = {}
+    tracemalloc.start()
+    held = [lexical._counted(t, known) for t in texts]
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert lexical._counted(b" .,", known) is None
+    names = list(known)
+    assert {names[n].decode(): f for n, f in zip(held[3][1], held[3][2])} == {w: 1 for w in texts[3].decode().split()}
+    assert size / sum(len(n) for _, n, _ in held) < 24

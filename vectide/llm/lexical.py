@@ -48,7 +48,7 @@ SEEDS = 4
 #: Bytes of query texts that are answered in one pass.
 QUERY_BYTES = 4_000_000
 #: Blocks that a task sorts and scores together.
-_TOGETHER = 256
+_TOGETHER = 128
 
 #: Bytes to terms: A-Z in lower case, other ASCII than letters and digits to spaces, the rest as it is.
 _LETTERS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -88,32 +88,37 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         import pyarrow as pa
 
         arrow, made, held, postings = to_arrow_schema(schema), TaskContext.get().partitionId() << 33, [], 0
+        known: dict[bytes, int] = {}  # a run's terms; its documents hold their numbers, as a dictionary each would take many times the memory
 
         def blocks():
             nonlocal made
             held.sort(key=lambda h: h[0])
+            names = pa.array(list(known), pa.binary())
             for i in range(0, len(held), BLOCK_DOCS):
                 part = held[i : i + BLOCK_DOCS]
-                words = pa.array([t for *_, c in part for t in c], pa.binary()).dictionary_encode()
+                words, at = np.unique(np.concatenate([n for *_, n, _ in part]), return_inverse=True)
                 columns = [
-                    made, [i for _, i, _ in part], words.dictionary, [c.total() for *_, c in part], np.cumsum([len(c) for *_, c in part]).astype(np.int32),
-                    words.indices, np.fromiter((n for *_, c in part for n in c.values()), np.int32, len(words)),
+                    made, [i for _, i, *_ in part], names.take(pa.array(words)), [int(tf.sum()) for *_, tf in part], np.cumsum([len(tf) for *_, tf in part]).astype(np.int32),
+                    pa.array(at, pa.int32()), np.concatenate([tf for *_, tf in part]),
                 ]
                 yield pa.RecordBatch.from_arrays([_one(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
                 made += 1
             held.clear()
+            known.clear()
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = Counter(terms(text.as_py()))
-                if not counts:
+            for i, text in zip(batch.column(0), batch.column(1)):
+                found = _counted(text.as_py(), known)
+                if found is None:
                     continue
-                held.append(((min((-n, t) for t, n in counts.items())[1], counts.total()), i, counts))
-                postings += len(counts)
+                order, numbers, tf = found
+                held.append((order, i.as_py(), numbers, tf))
+                postings += len(tf)
                 if postings >= RUN_POSTINGS:
                     yield from blocks()
                     postings = 0
-        yield from blocks()
+        if held:
+            yield from blocks()
 
     forward = stored(rows.mapInArrow(run, schema), "forward-index")
     sums = forward.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("l")).first()
@@ -141,6 +146,15 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     return Index(stored(forward.mapInArrow(bound, both), "lexical-blocks"), documents, length)
 
 
+def _counted(text: bytes, known: dict[bytes, int]) -> tuple | None:
+    """A text's place in a run, and its terms, as numbers of the run's ``known`` ones, with their frequencies; nothing without a term."""
+    counts = Counter(terms(text))
+    if not counts:
+        return None
+    numbers = np.fromiter((known.setdefault(t, len(known)) for t in counts), np.int32, len(counts))
+    return (min((-n, t) for t, n in counts.items())[1], counts.total()), numbers, np.fromiter(counts.values(), np.int32, len(counts))
+
+
 def _one(value, kind):
     """A column of one row."""
     import pyarrow as pa
