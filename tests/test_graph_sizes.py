@@ -49,3 +49,21 @@ def test_more_rows_make_shards_larger_once_there_are_many(spark, x):
     assert hnsw.shards_for(2_001, 500, 64) == 5 and hnsw.shards_for(0, 500, 64) == 1
     assert hnsw.shards_for(10**8, 500, 64) == 1526  # and none is larger than a task can hold
     assert hnsw.wider(64, 500, 500) == 64 and hnsw.wider(64, 750, 500) == 96 and hnsw.wider(64, 30_000, 500) == 256
+
+
+def test_rows_put_back_are_not_hidden_by_their_tombstones():
+    rng = np.random.default_rng(7)
+    x, q = rng.normal(size=(2_000, 32)), rng.normal(size=(100, 32))
+    x, q = x / np.linalg.norm(x, axis=1)[:, None], q / np.linalg.norm(q, axis=1)[:, None]
+    back = np.arange(0, 2_000, 10)
+    s = hnsw.Settings(8, 60, 60)
+    g = hnsw.build_graph(x, "euclidean", s)
+    g.grow(x[back])
+    g.dead[back] = True
+    earlier = hnsw.Earlier(g, np.array(g.levels + [0] * len(back)))
+    for i in range(2_000, 2_000 + len(back)):
+        g.add(0, earlier.near(i, True))
+    row = np.concatenate([np.arange(2_000), back])
+    found = {(int(i), int(row[n])) for a, b, _ in g.search_all(q, 10, 150, ~g.dead) for i, n in zip(a, b)}
+    want = {(i, int(n)) for i, v in enumerate(q) for n in np.argsort(((x - v) ** 2).sum(1))[:10] if n % 10 == 0}
+    assert len(found & want) >= 0.9 * len(want)
