@@ -214,3 +214,15 @@ def test_a_run_holds_numbers_of_terms():
     names = list(known)
     assert {names[n].decode(): f for n, f in zip(held[3][1], held[3][2])} == {w: 1 for w in texts[3].decode().split()}
     assert size / sum(len(n) for _, n, _ in held) < 24
+
+
+def test_blocks_are_packed(spark):
+    """A term of a document takes two numbers of one byte each, or of more where a block needs them (before: arrays, of which Spark's readers hold 12 bytes or more for each number)."""
+    some, often = [(i, " ".join(f"w{(i + j) % 200}" for j in range(100))) for i in range(16)], [(99, "rare " + "often " * 70_000 + "seldom " * 300)]
+    for rows, wide in ((some, 1), (often, 4)):
+        index = lexical.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+        (block,) = index.blocks.selectExpr("ends[size(ends) - 1] as n", "octet_length(at) as at", "octet_length(tf) as tf", "octet_length(df) as df", "size(most) as terms").collect()
+        assert (block.at, block.tf, block.df) == (block.n, wide * block.n, block.terms)
+        queries = [(1, "w3 w150 often"), (2, "rare seldom w7")]
+        got = lexical.search(index, spark.createDataFrame(queries, "item_id int, text string"), 10)
+        assert sorted(map(tuple, got.collect()), key=str) == ranked_by_hand(rows, queries, 10)

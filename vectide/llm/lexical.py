@@ -4,7 +4,9 @@
 frequent terms and lengths, so that neighbours share terms, and cuts it into blocks.  A row of the
 index is a block: its distinct terms; for each term the largest impact ``10^9 tf div (1000 tf + 8 m)``
 that any of its documents gives (the block's maximum) and the number of documents that hold it; and
-the forward index, which is each document's terms and their frequencies.
+the forward index, which is each document's terms and their frequencies.  Terms are one string with
+spaces between, and all numbers but the maxima are packed in as few bytes as a block's largest
+takes: of arrays, Spark's readers hold levels, offsets and elements, several times the memory.
 
 ``search`` goes in two rounds.  First the maxima bound each block's best score for each query; the
 blocks with the highest bounds, ``SEEDS`` a query, are scored by the forward index, and their k-th
@@ -78,10 +80,9 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
-    numbers = T.ArrayType(T.IntegerType(), False)
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("terms", T.ArrayType(T.BinaryType(), False)),
-        T.StructField("lengths", T.ArrayType(T.LongType(), False)), T.StructField("ends", numbers), T.StructField("at", numbers), T.StructField("tf", numbers),
+        T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("terms", T.BinaryType()),
+        T.StructField("lengths", T.ArrayType(T.LongType(), False)), T.StructField("ends", T.ArrayType(T.IntegerType(), False)), T.StructField("at", T.BinaryType()), T.StructField("tf", T.BinaryType()),
     ])
 
     def run(batches):
@@ -93,15 +94,15 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         def blocks():
             nonlocal made
             held.sort(key=lambda h: h[0])
-            names = pa.array(list(known), pa.binary())
+            names = list(known)
             for i in range(0, len(held), BLOCK_DOCS):
                 part = held[i : i + BLOCK_DOCS]
                 words, at = np.unique(np.concatenate([n for *_, n, _ in part]), return_inverse=True)
                 columns = [
-                    made, [i for _, i, *_ in part], names.take(pa.array(words)), [int(tf.sum()) for *_, tf in part], np.cumsum([len(tf) for *_, tf in part]).astype(np.int32),
-                    pa.array(at, pa.int32()), np.concatenate([tf for *_, tf in part]),
+                    made, [i for _, i, *_ in part], b" ".join([names[w] for w in words.tolist()]), [int(tf.sum()) for *_, tf in part],
+                    np.cumsum([len(tf) for *_, tf in part]).astype(np.int32), _packed(at), _packed(np.concatenate([tf for *_, tf in part])),
                 ]
-                yield pa.RecordBatch.from_arrays([_one(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, arrow)], schema=arrow)
                 made += 1
             held.clear()
             known.clear()
@@ -130,19 +131,20 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         import pyarrow as pa
 
         for batch in batches:
-            words, lengths, ends, at, tf = (batch.column(names.index(c)) for c in ("terms", "lengths", "ends", "at", "tf"))
+            lengths, ends, at, tf = (batch.column(names.index(c)) for c in ("lengths", "ends", "at", "tf"))
             most, df = [], []
             for i in range(batch.num_rows):
-                size, where = len(words[i].values), _flat(at, i)
-                impact = _impacts(_flat(tf, i).astype(np.int64), np.repeat(_flat(lengths, i), np.diff(_flat(ends, i), prepend=0)), documents, length)
-                top = np.zeros(size, np.int64)
+                until = _flat(ends, i)
+                where = _unpacked(at, i, until[-1])
+                impact = _impacts(_unpacked(tf, i, until[-1]).astype(np.int64), np.repeat(_flat(lengths, i), np.diff(until, prepend=0)), documents, length)
+                held = np.bincount(where)  # a document holds each term once, and some document each term
+                top = np.zeros(len(held), np.int64)
                 np.maximum.at(top, where, impact)
                 most.append(top.astype(np.int32))
-                df.append(np.bincount(where, minlength=size).astype(np.int32))
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(most, kind), pa.array(df, kind)], names=[*names, "most", "df"])
+                df.append(_packed(held))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(most, pa.list_(pa.int32())), pa.array(df, pa.binary())], names=[*names, "most", "df"])
 
-    both = T.StructType([*schema.fields, T.StructField("most", numbers), T.StructField("df", numbers)])
+    both = T.StructType([*schema.fields, T.StructField("most", T.ArrayType(T.IntegerType(), False)), T.StructField("df", T.BinaryType())])
     return Index(stored(forward.mapInArrow(bound, both), "lexical-blocks"), documents, length)
 
 
@@ -155,13 +157,15 @@ def _counted(text: bytes, known: dict[bytes, int]) -> tuple | None:
     return (min((-n, t) for t, n in counts.items())[1], counts.total()), numbers, np.fromiter(counts.values(), np.int32, len(counts))
 
 
-def _one(value, kind):
-    """A column of one row."""
-    import pyarrow as pa
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on, each in as few bytes as the largest takes."""
+    return values.astype(np.min_scalar_type(values.max()).newbyteorder("<")).tobytes()
 
-    if not isinstance(value, pa.Array):
-        return pa.array([value], kind)
-    return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value.cast(kind.value_type), kind)
+
+def _unpacked(column, i: int, n: int) -> np.ndarray:
+    """The n packed numbers of row i."""
+    packed = column[i].as_buffer()
+    return np.frombuffer(packed, f"<u{packed.size // n}")
 
 
 def _flat(column, i: int) -> np.ndarray:
@@ -185,10 +189,11 @@ class _Portion:
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in self.term])[:-1]])
 
     def numbers(self, words) -> list[np.ndarray]:
-        """The numbers of the terms of each block of a column of lists, -1 for a term that no query has."""
+        """The numbers of the terms of each block of a column, -1 for a term that no query has."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        words = pc.split_pattern(words, b" ")
         found = pc.fill_null(pc.index_in(words.values, value_set=pa.array(list(self.number), words.type.value_type)), -1).to_numpy(zero_copy_only=False)
         ends = words.offsets.to_numpy().tolist()
         return [found[a:b] for a, b in zip(ends[:-1], ends[1:])]
@@ -264,7 +269,7 @@ def _found(index: Index, portion: _Portion, k: int, least: list[int], seeds: Dat
 
         best = _Best(k, least)
         for batch in batches:
-            names, words, ids, *forward = (batch.column(c) for c in range(7))
+            names, words, ids, lengths, ends, at, tf = (batch.column(c) for c in range(7))
             numbers, rest = portion.numbers(words), [batch.column(c) for c in range(7, batch.num_columns)]
             for i in range(0, batch.num_rows, _TOGETHER):
                 part = []
@@ -278,7 +283,8 @@ def _found(index: Index, portion: _Portion, k: int, least: list[int], seeds: Dat
                     else:
                         queries, bounds = _flat(rest[0], j), _flat(rest[1], j)
                     if len(queries):
-                        part.append((numbers[j], ids[j].as_py(), *(_flat(c, j) for c in forward), queries, bounds))
+                        until = _flat(ends, j)
+                        part.append((numbers[j], ids[j].as_py(), _flat(lengths, j), until, _unpacked(at, j, until[-1]), _unpacked(tf, j, until[-1]), queries, bounds))
                 _scored(part, portion, best, documents, length)
         rows = [(portion.places[q], None if none else i, -score) for q, found in enumerate(best.rows) for score, none, i in found]
         arrow = to_arrow_schema(schema)
@@ -300,9 +306,9 @@ def _portion_rows(index: Index, portion: _Portion, k: int) -> DataFrame:
 
         df = np.zeros(len(portion.number), np.int64)
         for batch in batches:
-            for numbers, n in zip(portion.numbers(batch.column(0)), batch.column(1)):
-                known = numbers >= 0
-                df[numbers[known]] += n.values.to_numpy(zero_copy_only=False)[known]
+            for i, numbers in enumerate(portion.numbers(batch.column(0))):
+                known, found = numbers >= 0, _unpacked(batch.column(1), i, len(numbers))
+                df[numbers[known]] += found[known]
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
 
@@ -314,8 +320,8 @@ def _portion_rows(index: Index, portion: _Portion, k: int) -> DataFrame:
 
         tops: list[list[tuple[int, int]]] = [[] for _ in portion.places]
         for batch in batches:
-            for block, numbers, most in zip(batch.column(0).to_pylist(), portion.numbers(batch.column(1)), batch.column(2)):
-                bounds = portion.bounds(numbers, most.values.to_numpy(zero_copy_only=False))
+            for i, (block, numbers) in enumerate(zip(batch.column(0).to_pylist(), portion.numbers(batch.column(1)))):
+                bounds = portion.bounds(numbers, _flat(batch.column(2), i))
                 for q in np.flatnonzero(bounds).tolist():
                     if len(tops[q]) < SEEDS or bounds[q] > tops[q][-1][0]:
                         tops[q] = sorted([*tops[q], (int(bounds[q]), block)], reverse=True)[:SEEDS]
